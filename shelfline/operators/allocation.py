@@ -9,20 +9,28 @@ after all accepted orders, each round
   give stock back, so the line can never fit;
 * accepts orders whose every line fits even if all earlier undecided orders
   were accepted, using a running sum per product;
-* subtracts accepted quantities from ``free``, and forgets lines of products
-  whose undecided demand is covered, as these can no longer fail.
+* subtracts accepted quantities from ``free``.
+
+Lines of products whose whole demand is covered cannot fail and are left out
+from the start.
 
 Taking off an accepted order that comes later than an undecided one is safe: it
 was accepted with the earlier one already counted. The earliest undecided order
 is always decided, so the rounds end; a round that rejects an order leaves
-less demand, and one that accepts leaves fewer lines.
+less demand, and one that accepts leaves fewer lines. Once at most
+``tail_lines`` lines are undecided, one task replays them in sequence, as a long
+chain of dependent orders would otherwise cost a round per link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +38,9 @@ from shelfline.functions.order import line_amount
 from shelfline.operators.running import HOT_ROWS, HotKeys, find_hot, running
 from shelfline.session import stage
 
+# Undecided lines that one task may replay.
+TAIL_LINES = 10_000
+
 
 @dataclass
 class Allocation:
@@ -42,7 +53,11 @@ class Allocation:
 
 
 def confirm_orders(
-    lines: DataFrame, producto: DataFrame, *, hot_rows: int = HOT_ROWS
+    lines: DataFrame,
+    producto: DataFrame,
+    *,
+    hot_rows: int = HOT_ROWS,
+    tail_lines: int = TAIL_LINES,
 ) -> Allocation:
     """Allocate stock to the orders in ``lines``, in (ts, id_solicitud) sequence.
 
@@ -54,7 +69,8 @@ def confirm_orders(
     needs = stage(_needs(lines, stocks), "needs")
     unfit = needs.groupBy("id_solicitud").agg(F.max("unfit").alias("unfit")).filter("unfit")
     rejected = [unfit.select("id_solicitud")]
-    undecided = _contended(needs.filter(~F.col("unfit")).drop("unfit").join(unfit, "id_solicitud", "left_anti"))
+    fit = needs.drop("unfit").join(unfit, "id_solicitud", "left_anti")
+    undecided = _contended(fit)
     hot = find_hot(needs, ["id_producto"], hot_rows)
     rounds = 0
     while True:
@@ -62,16 +78,17 @@ def confirm_orders(
         left, done, denied = decided.agg(
             F.count(F.lit(1)), F.count("accepted"), F.count_if(~F.col("accepted"))
         ).first()
-        if not left:
-            break
-        if not done:
+        if left and not done:
             raise RuntimeError("no order could be decided; (ts, id_solicitud) must be unique")
-        rounds += 1
+        rounds += bool(left)
         if denied:
             rejected.append(decided.filter(~F.col("accepted")).select("id_solicitud").distinct())
         if done == left:
             break
-        undecided = _contended(_carry_over(decided))
+        undecided = _carry_over(decided)
+        if left - done <= tail_lines:
+            rejected.append(_replay(undecided))
+            break
     refused = stage(reduce(DataFrame.unionByName, rejected), "rejected")
     accepted = lines.join(refused, "id_solicitud", "left_anti")
     return Allocation(accepted, refused, take_stock(producto, accepted), rounds)
@@ -178,3 +195,28 @@ def _carry_over(decided: DataFrame) -> DataFrame:
         .withColumn("free", F.col("free") - F.coalesce("_taken", F.lit(0)))
         .drop("_taken")
     )
+
+
+def _replay(lines: DataFrame) -> DataFrame:
+    """Ids of the rejected orders among few lines, by going through them in sequence."""
+    ordered = (
+        lines.select("ts", "id_solicitud", "id_producto", "q", "free")
+        .repartition(1)
+        .sortWithinPartitions("ts", "id_solicitud")
+        .select("id_solicitud", "id_producto", "q", "free")
+    )
+    return ordered.mapInPandas(_replay_rows, ordered.select("id_solicitud").schema)
+
+
+def _replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+    free: dict[int, int] = {}
+    refused = []
+    for order, cart in groupby(rows, key=itemgetter(0)):
+        wanted = [(product, q) for _, product, q, start in cart if free.setdefault(product, start) is not None]
+        if all(q <= free[product] for product, q in wanted):
+            for product, q in wanted:
+                free[product] -= q
+        else:
+            refused.append(order)
+    yield pd.DataFrame({"id_solicitud": pd.Series(refused, dtype="int64")})

@@ -30,6 +30,10 @@ from shelfline.operators import (
 from shelfline.plans.standin import StandIn
 from shelfline.schema import ORDER_STATES, PRIMARY_KEYS
 from shelfline.sources import feeds
+from shelfline.streaming.alerts import low_stock_alerts
+from shelfline.streaming.codes import stream_code_validity
+from shelfline.streaming.sales import windowed_sales
+from shelfline.streaming.state import run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -607,3 +611,29 @@ def _low_stock_crossings(t: StandIn) -> DataFrame:
 @_query("code_validity")
 def _code_validity(t: StandIn) -> DataFrame:
     return validity.code_validity(t["codigos"])
+
+
+# Streams, run over all of their input
+
+
+@_query("stream_daily_sales")
+def _stream_daily_sales(t: StandIn) -> DataFrame:
+    return run_to_end(windowed_sales(t.streamed()["solicitud"]), "sales")
+
+
+@_query("stream_low_stock")
+def _stream_low_stock(t: StandIn) -> DataFrame:
+    sold = t.streamed().raw("lineitem").select(
+        F.col("l_partkey").alias("id_producto"),
+        F.col("l_shipdate").alias("ts"),
+        (-F.col("l_quantity").cast("int")).alias("cantidad"),
+    )
+    opening = t["producto"].withColumn("stock_actual", F.col("stock_actual") * 20)
+    alerts = run_to_end(low_stock_alerts(sold, opening), "alerts")
+    return alerts.withColumn("hasta", F.col("hasta").cast("timestamp_ntz"))
+
+
+@_query("stream_code_validity")
+def _stream_code_validity(t: StandIn) -> DataFrame:
+    answers = run_to_end(stream_code_validity(t.streamed()["codigos"]), "codes")
+    return answers.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -1,0 +1,44 @@
+"""State store setting and a run-to-end helper shared by the stateful streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfline.session import shared_dir
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as stateful processors need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def run_to_end(stream: DataFrame, label: str) -> DataFrame:
+    """Run an append stream over all input there is and return what it wrote."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/shelfline-{uuid4().hex}"
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{folder}/{label}")
+        )
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{label}")

@@ -1,0 +1,71 @@
+"""Tables changed by micro-batches, each change applied exactly once.
+
+Every change writes new directories ``<table>/version=N`` and, as its last act, a
+commit row. Readers look at committed versions only, so a batch that dies half
+way leaves nothing visible, and running it again overwrites its own files. The
+commit row names the stream and its batch, so a repeated batch is a no-op.
+One writer at a time works on a store.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_COMMITS = "version int, source string, batch_id bigint"
+
+
+@dataclass
+class Change:
+    """Rows to append to tables, and tables to replace as a whole."""
+
+    append: Mapping[str, DataFrame] = field(default_factory=dict)
+    replace: Mapping[str, DataFrame] = field(default_factory=dict)
+
+
+class TableStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def create(self, append: Mapping[str, DataFrame], replace: Mapping[str, DataFrame]) -> None:
+        """Start the store with the given tables as version 0."""
+        self._write(Change(append, replace), 0, "create", 0)
+
+    def apply(self, source: str, batch_id: int, change: Callable[["TableStore"], Change]) -> bool:
+        """Apply the change of one micro-batch unless it is committed already."""
+        done = self._commits().filter((F.col("source") == source) & (F.col("batch_id") == batch_id))
+        if not done.isEmpty():
+            return False
+        self._write(change(self), self.version() + 1, source, batch_id)
+        return True
+
+    def version(self) -> int:
+        return self._commits().agg(F.max("version")).first()[0]
+
+    def rows(self, table: str) -> DataFrame:
+        """All committed rows of an appended table."""
+        return self._committed(table).drop("version")
+
+    def latest(self, table: str) -> DataFrame:
+        """The newest committed state of a replaced table."""
+        committed = self._committed(table)
+        newest = committed.agg(F.max("version")).first()[0]
+        return committed.filter(F.col("version") == newest).drop("version")
+
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
+
+    def _committed(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("version") <= self.version())
+
+    def _write(self, change: Change, version: int, source: str, batch_id: int) -> None:
+        for table, df in {**change.append, **change.replace}.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
+        commit = self.spark.range(1).select(
+            F.lit(source).alias("source"), F.lit(batch_id).cast("long").alias("batch_id")
+        )
+        commit.write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
