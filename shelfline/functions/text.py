@@ -62,9 +62,13 @@ def escape_html(column: str | Column) -> Column:
     return text
 
 
+def trimmed(column: str | Column) -> Column:
+    return F.btrim(column, F.lit(TRIMMED))
+
+
 def clean_input(column: str | Column) -> Column:
     """Submitted text as it is stored: trimmed, then escaped."""
-    return escape_html(F.btrim(column, F.lit(TRIMMED)))
+    return escape_html(trimmed(column))
 
 
 def digits_only(column: str | Column) -> Column:

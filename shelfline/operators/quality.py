@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfline.functions.text import is_digits, key
+from shelfline.functions.text import is_digits, key, trimmed
 
 PHONE_DIGITS = 15
 
@@ -77,11 +77,11 @@ def _failed(rules: dict[str, Column]) -> Column:
 
 
 def order_rules() -> dict[str, Column]:
-    phone = F.regexp_replace(F.trim("telefono"), "[- ]", "")
-    quantity = F.trim(F.col("cantidad").cast("string")).try_cast("int")
+    phone = F.regexp_replace(trimmed("telefono"), "[- ]", "")
+    quantity = trimmed(F.col("cantidad").cast("string")).try_cast("int")
     return {
-        "cedula": is_digits(F.trim("cedula")),
-        "nombre": F.length(F.trim("nombre")) > 0,
+        "cedula": is_digits(trimmed("cedula")),
+        "nombre": F.length(trimmed("nombre")) > 0,
         "telefono": F.col("telefono").isNull()
         | (phone == "")
         | (is_digits(phone) & (F.length(phone) <= PHONE_DIGITS)),
@@ -94,10 +94,10 @@ def product_rules() -> dict[str, Column]:
     """A new product needs every field; a change of one needs name and price."""
     new = F.col("id_producto").isNull()
     required = {
-        name: ~new | (F.length(F.trim(name)) > 0) for name in ("codigo", "marca_repuesto", "marca_carro")
+        name: ~new | (F.length(trimmed(name)) > 0) for name in ("codigo", "marca_repuesto", "marca_carro")
     }
     return {
-        "nombre": F.length(F.trim("nombre")) > 0,
+        "nombre": F.length(trimmed("nombre")) > 0,
         "precio": F.col("precio").isNotNull(),
         **required,
         "compra": ~new | F.col("compra").isNotNull(),
