@@ -4,7 +4,8 @@ Every change writes new directories ``<table>/version=N`` and, as its last act,
 commit row. Readers look at committed versions only, so a batch that dies half
 way leaves nothing visible, and running it again overwrites its own files. The
 commit row names the stream and its batch, so a repeated batch is a no-op.
-One writer at a time works on a store.
+One writer at a time works on a store. A table keeps the columns and types it
+was created with.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.schema import conform
+
 _COMMITS = "version int, source string, batch_id bigint"
 
 
@@ -64,6 +67,8 @@ class TableStore:
 
     def _write(self, change: Change, version: int, source: str, batch_id: int) -> None:
         for table, df in {**change.append, **change.replace}.items():
+            if version:
+                df = conform(df, self._committed(table).drop("version").schema)
             df.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
         commit = self.spark.range(1).select(
             F.lit(source).alias("source"), F.lit(batch_id).cast("long").alias("batch_id")
