@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.product import description_fields, or_missing, product_code, stock_flag
-from shelfline.functions.text import contains_lower, or_default
+from shelfline.functions.text import contains_lower, or_default, two_decimals
 from shelfline.schema import LOW_STOCK
 
 
@@ -138,7 +138,7 @@ def inventory_stats(producto: DataFrame) -> DataFrame:
         F.count_if(F.col("stock_actual") < LOW_STOCK).alias("critico"),
         F.coalesce(F.sum(value), F.lit(0)).alias("valor_inventario"),
         F.count(F.lit(1)).alias("total_productos"),
-    )
+    ).withColumn("valor_texto", two_decimals("valor_inventario"))
 
 
 def stock_by_category(producto: DataFrame, categoria: DataFrame, n: int = 5) -> DataFrame:

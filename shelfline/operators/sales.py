@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.product import or_missing
-from shelfline.functions.text import month_label
+from shelfline.functions.text import month_label, thousands
 from shelfline.operators.orders import Tables
 
 
 def dashboard_metrics(t: Tables) -> DataFrame:
-    """Product count, pending orders and delivered sales as one row."""
+    """Product count, pending orders and delivered sales as one row.
+
+    The two tables are summed apart and their rows put together without a join.
+    """
     products = t["producto"].agg(F.count(F.lit(1)).alias("productos"))
     orders = t["solicitud"].agg(
         F.count_if(F.col("estado") == "Pendiente").alias("pendientes"),
@@ -23,7 +26,7 @@ def dashboard_metrics(t: Tables) -> DataFrame:
         F.max("productos").alias("productos"),
         F.max("pendientes").alias("pendientes"),
         F.coalesce(F.max("ventas"), F.lit(0)).alias("ventas"),
-    )
+    ).withColumn("ventas_texto", thousands("ventas"))
 
 
 def delivered_in_year(solicitud: DataFrame, year: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.product import description_json
 from shelfline.operators.allocation import change_stock
 from shelfline.operators.orders import Tables
-from shelfline.operators.running import HOT_ROWS, highest, number_rows, running
+from shelfline.operators.running import HOT_ROWS, find_hot, highest, number_rows, running
 from shelfline.schema import LOW_STOCK, MONEY
 
 
@@ -153,14 +153,11 @@ def stock_ledger(
     The sequence is (ts, tipo, ref). Movements of one product with the same
     sequence key are one movement.
     """
-    merged = (
-        moves.filter(F.col("id_producto").isNotNull())
-        .groupBy("id_producto", "ts", "tipo", "ref")
-        .agg(F.sum("cantidad").alias("cantidad"))
-    )
-    ledger = running(
-        merged, ["id_producto"], ["ts", "tipo", "ref"], {"saldo": ("sum", "cantidad")}, hot_rows=hot_rows
-    )
+    known = moves.filter(F.col("id_producto").isNotNull())
+    merged = known.groupBy("id_producto", "ts", "tipo", "ref").agg(F.sum("cantidad").alias("cantidad"))
+    # Counted before merging: cheaper, and never below the merged count.
+    hot = find_hot(known, ["id_producto"], hot_rows)
+    ledger = running(merged, ["id_producto"], ["ts", "tipo", "ref"], {"saldo": ("sum", "cantidad")}, hot=hot)
     if opening is None:
         return ledger
     start = opening.select("id_producto", F.col("stock_actual").cast("long").alias("_start"))

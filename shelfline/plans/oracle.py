@@ -155,6 +155,24 @@ SELECT event_id AS seq, CASE WHEN event_type = 'view' THEN CAST(json_extract_str
 FROM events WHERE event_type IN ('view', 'signup')""",
 }
 
+# One element per order in sequence, each with its summed lines.
+VIEWS["carritos"] = """
+SELECT list({'libre': CAST([] AS BIGINT[]), 'aceptadas': [id_solicitud], 'lineas': lineas} ORDER BY ts, id_solicitud) AS pasos
+FROM (SELECT id_solicitud, any_value(fecha_solicitud) AS ts, list({'p': id_producto, 'q': q}) AS lineas
+  FROM (SELECT id_solicitud, id_producto, CAST(sum(cantidad) AS BIGINT) AS q FROM detalle_solicitud GROUP BY ALL)
+  JOIN solicitud USING (id_solicitud) GROUP BY id_solicitud)"""
+
+# The orders taken one after another: stock per product (ids count from 0) and accepted ids.
+for _times in (1, 20):
+    VIEWS[f"reparto_{_times}"] = f"""
+SELECT list_reduce(pasos, lambda acc, x:
+  CASE WHEN len(list_filter(x.lineas, lambda l: l.q > acc.libre[l.p + 1])) > 0 THEN acc
+  ELSE {{'libre': list_transform(acc.libre, lambda s, i: s
+      - coalesce(list_sum(list_transform(list_filter(x.lineas, lambda l: l.p + 1 = i), lambda l: l.q)), 0)),
+    'aceptadas': list_concat(acc.aceptadas, x.aceptadas), 'lineas': acc.lineas}} END,
+  {{'libre': libre, 'aceptadas': CAST([] AS BIGINT[]), 'lineas': CAST([] AS STRUCT(p BIGINT, q BIGINT)[])}}) AS f
+FROM carritos, (SELECT list(CAST(stock_actual * {_times} AS BIGINT) ORDER BY id_producto) AS libre FROM producto)"""
+
 _SQL = {
     "catalog": """
 SELECT i.id_producto, i.codigo, i.nombre_producto, i.descripcion, i.precio, i.stock_actual, i.marca_repuesto,
@@ -186,7 +204,8 @@ SELECT id_producto, nombre_producto, marca_repuesto AS marca, stock_actual, CAST
 FROM producto WHERE stock_actual < 5 ORDER BY stock_actual, id_producto""",
     "inventory_stats": """
 SELECT count(*) FILTER (WHERE stock_actual < 5) AS critico,
-  CAST(coalesce(sum(precio * stock_actual), 0) AS DOUBLE) AS valor_inventario, count(*) AS total_productos
+  CAST(coalesce(sum(precio * stock_actual), 0) AS DOUBLE) AS valor_inventario, count(*) AS total_productos,
+  CAST(CAST(sum(precio * stock_actual) AS DECIMAL(38,2)) AS VARCHAR) AS valor_texto
 FROM producto""",
     "stock_by_category": """
 SELECT p.id_categoria, c.nombre_categoria AS marca, CAST(sum(p.stock_actual) AS BIGINT) AS cantidad
@@ -289,7 +308,8 @@ FROM pedidos o JOIN clientes_resueltos c ON c.cedula = o.cedula""",
     "dashboard_metrics": """
 SELECT (SELECT count(*) FROM producto) AS productos,
   (SELECT count(*) FROM solicitud WHERE estado = 'Pendiente') AS pendientes,
-  CAST(coalesce((SELECT sum(total) FROM solicitud WHERE estado = 'Entregada'), 0) AS DOUBLE) AS ventas""",
+  CAST(coalesce((SELECT sum(total) FROM solicitud WHERE estado = 'Entregada'), 0) AS DOUBLE) AS ventas,
+  format('{:,.2f}', CAST((SELECT sum(total) FROM solicitud WHERE estado = 'Entregada') AS DOUBLE)) AS ventas_texto""",
     "monthly_sales": """
 SELECT CAST(month(fecha_solicitud) AS INTEGER) AS mes,
   (['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic'])[month(fecha_solicitud)] AS etiqueta,
@@ -344,6 +364,14 @@ FROM lineitem WHERE l_returnflag <> 'R'
 UNION ALL SELECT l_orderkey, l_shipdate, 1, l_suppkey, l_linenumber,
   CAST(CAST(l_tax AS DECIMAL(12,2)) AS DOUBLE) FROM lineitem WHERE l_returnflag <> 'R'""",
     "parse_order_rejects": "SELECT count(*) AS rechazados FROM lineitem WHERE l_returnflag = 'R'",
+    "confirm_orders": """
+SELECT id_solicitud, fecha_solicitud, 'Pendiente' AS estado, CAST(sum(cantidad * precio_unitario) AS DOUBLE) AS total,
+  id_cliente
+FROM detalle_con_precio JOIN solicitud USING (id_solicitud)
+WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1) GROUP BY ALL""",
+    "confirm_orders_stock": """
+SELECT generate_subscripts(f.libre, 1) - 1 AS id_producto, CAST(unnest(f.libre) AS INTEGER) AS stock_actual
+FROM reparto_20""",
     "apply_receipts": """
 SELECT p.id_producto, CAST(p.stock_actual + coalesce(r.cantidad, 0) AS INTEGER) AS stock_actual
 FROM producto p LEFT JOIN (SELECT id_producto, sum(cantidad) AS cantidad FROM recepciones

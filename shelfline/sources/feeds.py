@@ -28,13 +28,27 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A document that is no order object or has an empty cart is rejected.
     """
-    parsed = raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("_doc"))
-    filled = F.coalesce(F.size("_doc.carrito"), F.lit(0)) > 0
-    orders = parsed.filter(filled).select("_doc.*").withColumnRenamed("order_id", "id_solicitud")
-    headers = orders.drop("carrito")
-    lines = orders.select(
-        "id_solicitud", "ts", F.posexplode("carrito").alias("linea", "_item")
-    ).select(
+    return split_orders(read_orders(raw))
+
+
+def read_orders(raw: DataFrame) -> DataFrame:
+    """The texts with the order document read from each, NULL where it is none."""
+    return raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc"))
+
+
+def split_orders(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    filled = F.coalesce(F.size("doc.carrito"), F.lit(0)) > 0
+    headers = (
+        read.filter(filled).select("doc.*").withColumnRenamed("order_id", "id_solicitud").drop("carrito")
+    )
+    # The outer form keeps the cart filter above the reading of the document,
+    # which an inner explode would repeat below itself.
+    items = read.select(
+        F.col("doc.order_id").alias("id_solicitud"),
+        F.col("doc.ts").alias("ts"),
+        F.posexplode_outer("doc.carrito").alias("linea", "_item"),
+    ).filter(F.col("linea").isNotNull())
+    lines = items.select(
         "id_solicitud",
         "ts",
         "linea",
@@ -42,7 +56,7 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         _number("_item.cant", "int").alias("cantidad"),
         _number("_item.precio", "decimal(12,2)").alias("precio_unitario"),
     )
-    return headers, lines, parsed.filter(~filled).select("value")
+    return headers, lines, read.filter(~filled).select("value")
 
 
 def parse_products(raw: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from shelfline.operators.quality import validate_orders
 from shelfline.operators.status import apply_status
 from shelfline.operators.stock import apply_receipts, cancel_orders
 from shelfline.session import stage
-from shelfline.sources.feeds import parse_orders
+from shelfline.sources.feeds import read_orders, split_orders
 from shelfline.streaming.store import Change, TableStore
 
 
@@ -55,8 +55,7 @@ def take_orders(batch: DataFrame, store: TableStore) -> Change:
     A refused order leaves no trace but its reject row: its customer is not
     created either.
     """
-    documents = stage(batch.select("value"), "documents")
-    headers, lines, broken = parse_orders(documents)
+    headers, lines, broken = split_orders(stage(read_orders(batch), "documents"))
     _, bad = validate_orders(lines.join(headers.drop("ts"), "id_solicitud"))
     bad_ids = bad.groupBy("id_solicitud").agg(F.first("motivos").alias("motivos"))
     valid = lines.join(bad_ids, "id_solicitud", "left_anti")

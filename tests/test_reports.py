@@ -11,12 +11,12 @@ from shelfline.operators import catalog, customers, orders, people, quality, sal
 
 
 def test_dashboard(seed):
-    assert rows(sales.dashboard_metrics(seed)) == [(5, 0, D("430.00"))]
+    assert rows(sales.dashboard_metrics(seed)) == [(5, 0, D("430.00"), "430.00")]
 
 
 def test_dashboard_of_empty_tables(seed):
     empty = {name: df.limit(0) for name, df in seed.items()}
-    assert rows(sales.dashboard_metrics(empty)) == [(0, 0, D(0))]
+    assert rows(sales.dashboard_metrics(empty)) == [(0, 0, D(0), "0.00")]
 
 
 def test_stock_by_category(seed):
@@ -35,7 +35,7 @@ def test_monthly_sales(seed):
 
 
 def test_inventory_stats(seed):
-    assert rows(catalog.inventory_stats(seed["producto"])) == [(0, D("7483.25"), 5)]
+    assert rows(catalog.inventory_stats(seed["producto"])) == [(0, D("7483.25"), 5, "7483.25")]
 
 
 def test_frequent_customers_keeps_equal_names_apart(seed):
