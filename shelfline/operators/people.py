@@ -70,26 +70,25 @@ def resolve_customers(
         firsts.join(known, "_key", "left").select("_data.*", "_at.*", "id_persona", "id_cliente"),
         "asked",
     )
-    created = stage(
-        number_rows(
-            asked.filter(F.col("id_persona").isNull()).drop("id_persona"),
-            ["ts", "id_solicitud"],
-            "id_persona",
-            highest(persona, "id_persona"),
-            hot_rows,
-        ),
-        "new_persona",
+    persons_wanted, clients_wanted = asked.agg(
+        F.count_if(F.col("id_persona").isNull()), F.count_if(F.col("id_cliente").isNull())
+    ).first()
+    created = number_rows(
+        asked.filter(F.col("id_persona").isNull()).drop("id_persona"),
+        ["ts", "id_solicitud"],
+        "id_persona",
+        highest(persona, "id_persona"),
+        persons_wanted,
+        hot_rows,
     )
     with_person = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
-    joined = stage(
-        number_rows(
-            with_person.filter(F.col("id_cliente").isNull()).drop("id_cliente"),
-            ["ts", "id_solicitud"],
-            "id_cliente",
-            highest(cliente, "id_cliente"),
-            hot_rows,
-        ),
-        "new_cliente",
+    joined = number_rows(
+        with_person.filter(F.col("id_cliente").isNull()).drop("id_cliente"),
+        ["ts", "id_solicitud"],
+        "id_cliente",
+        highest(cliente, "id_cliente"),
+        clients_wanted,
+        hot_rows,
     )
     ids = with_person.filter(F.col("id_cliente").isNotNull()).unionByName(joined)
     resolved = cleaned.withColumn("_key", key("cedula")).join(
@@ -161,10 +160,13 @@ def register_staff(
     persona, usuario = _new_users(accepted, t, hot_rows)
     empleado = t["empleado"].limit(0)
     if variant == "managed":
-        empleado = number_rows(
-            usuario.select("id_usuario"), ["id_usuario"], "id_empleado",
-            highest(t["empleado"], "id_empleado"), hot_rows,
-        ).select("id_empleado", F.lit(STAFF_POST).alias("cargo"), "id_usuario")
+        # Users and employees are numbered in the same sequence.
+        shift = highest(t["empleado"], "id_empleado") - highest(t["usuario"], "id_usuario")
+        empleado = usuario.select(
+            (F.col("id_usuario") + shift).alias("id_empleado"),
+            F.lit(STAFF_POST).alias("cargo"),
+            "id_usuario",
+        )
     rejects = checked.filter("motivo IS NOT NULL").unionByName(
         refused.withColumn("motivo", F.lit("repetido"))
     )
@@ -187,13 +189,11 @@ def _first_free(candidates: DataFrame, persona: DataFrame, hot_rows: int) -> Dat
         ).alias("_name"),
         F.lit(1).alias("cantidad"),
     )
-    units = stage(
-        number_rows(
-            asks.groupBy(key("_name").alias("_key")).agg(F.min("_name").alias("_name")).select("_name"),
-            ["_name"], "id_producto", 0, hot_rows,
-        ),
-        "units",
+    names = stage(
+        asks.groupBy(key("_name").alias("_key")).agg(F.min("_name").alias("_name")).select("_name"),
+        "names",
     )
+    units = number_rows(names, ["_name"], "id_producto", 0, names.count(), hot_rows)
     taken = persona.select(key(F.concat(F.lit("c"), F.col("cedula"))).alias("_key"), F.lit(0).alias("_free"))
     keyed = units.withColumn("_key", key("_name"))
     stock = keyed.join(taken, "_key", "left").select(
@@ -214,20 +214,18 @@ def _new_users(accepted: DataFrame, t: Tables, hot_rows: int) -> tuple[DataFrame
         F.min_by(F.struct("seq", "cedula", "nombre"), "seq").alias("_data")
     )
     asked = stage(firsts.join(known, "_key", "left").select("_data.*", "id_persona"), "people")
-    created = stage(
-        number_rows(
-            asked.filter(F.col("id_persona").isNull()).drop("id_persona"),
-            ["seq"], "id_persona", highest(t["persona"], "id_persona"), hot_rows,
-        ),
-        "new_persona",
+    wanted = asked.filter(F.col("id_persona").isNull()).drop("id_persona")
+    created = number_rows(
+        wanted, ["seq"], "id_persona", highest(t["persona"], "id_persona"), wanted.count(), hot_rows
     )
     people = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
-    numbered = stage(
-        number_rows(accepted, ["seq"], "id_usuario", highest(t["usuario"], "id_usuario"), hot_rows)
+    numbered = (
+        number_rows(
+            accepted, ["seq"], "id_usuario", highest(t["usuario"], "id_usuario"), accepted.count(), hot_rows
+        )
         .withColumn("_key", key("cedula"))
         .join(people.select(key("cedula").alias("_key"), "id_persona"), "_key")
-        .drop("_key"),
-        "new_usuario",
+        .drop("_key")
     )
     persona = created.select(
         "id_persona",

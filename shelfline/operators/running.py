@@ -73,12 +73,15 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[str], name: str, start: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, order: Sequence[str], name: str, start: int, rows: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Consecutive ids ``start + 1, start + 2, ...`` in the given order."""
-    ranked = running(
-        df.withColumn("_one", F.lit(1)), [], order, {name: ("sum", "_one")}, hot_rows=hot_rows
-    )
+    """Consecutive ids ``start + 1, start + 2, ...`` in the given order.
+
+    ``rows`` is the number of rows in ``df``: up to ``hot_rows`` of them are
+    numbered by one window, more are numbered block by block.
+    """
+    whole = HotKeys(df, rows if rows > hot_rows else 0, hot_rows)
+    ranked = running(df.withColumn("_one", F.lit(1)), [], order, {name: ("sum", "_one")}, hot=whole)
     return ranked.withColumn(name, F.col(name) + F.lit(start).cast("long")).drop("_one")
 
 

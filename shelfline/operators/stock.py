@@ -81,12 +81,9 @@ def upsert_products(
         "descripcion": F.when(given, F.col("_new._text")).otherwise(F.col("descripcion")),
         "precio": F.when(given, F.col("_new._price")).otherwise(F.col("precio")),
     }
+    new = rows.filter(F.col("id_producto").isNull()).drop("id_producto")
     fresh = number_rows(
-        rows.filter(F.col("id_producto").isNull()).drop("id_producto"),
-        ["seq"],
-        "id_producto",
-        highest(producto, "id_producto"),
-        hot_rows,
+        new, ["seq"], "id_producto", highest(producto, "id_producto"), new.count(), hot_rows
     )
     code = F.coalesce(F.nullif(F.col("codigo"), F.lit("")), F.concat(F.lit("PROD-"), F.col("id_producto")))
     created = fresh.select(

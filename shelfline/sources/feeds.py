@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.product import description_json
+from shelfline.session import spread
 
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
@@ -33,7 +34,9 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def read_orders(raw: DataFrame) -> DataFrame:
     """The texts with the order document read from each, NULL where it is none."""
-    return raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc"))
+    return spread(raw.select("value")).select(
+        "value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc")
+    )
 
 
 def split_orders(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

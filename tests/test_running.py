@@ -49,5 +49,5 @@ def test_struct_maximum_gives_the_row_before(spark):
 @pytest.mark.parametrize("hot_rows", [1000, 10])
 def test_numbering(spark, hot_rows):
     df = spark.createDataFrame([(n,) for n in range(100)], "seq int").repartition(5)
-    got = number_rows(df, ["seq"], "id", 7, hot_rows=hot_rows)
+    got = number_rows(df, ["seq"], "id", 7, df.count(), hot_rows)
     assert dict(rows(got, "seq", "id")) == {n: n + 8 for n in range(100)}
