@@ -443,15 +443,12 @@ FROM solicitud WHERE estado = 'Entregada'
 GROUP BY 1, 2 HAVING date_trunc('day', fecha_solicitud) + INTERVAL 1 DAY
   <= (SELECT max(fecha_solicitud) FROM solicitud WHERE estado = 'Entregada') - INTERVAL 10 DAY""",
     "stream_low_stock": """
-SELECT id_producto, hasta, antes, saldo FROM (
-  SELECT id_producto, dia + INTERVAL 1 DAY AS hasta,
-    CAST(inicio - sum(q) OVER w + q AS BIGINT) AS antes, CAST(inicio - sum(q) OVER w AS BIGINT) AS saldo
-  FROM (SELECT l_partkey AS id_producto, date_trunc('day', l_shipdate) AS dia, sum(CAST(l_quantity AS BIGINT)) AS q
-    FROM lineitem GROUP BY 1, 2)
-  JOIN (SELECT id_producto, stock_actual * 20 AS inicio FROM producto) USING (id_producto)
-  WHERE dia + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY
-  WINDOW w AS (PARTITION BY id_producto ORDER BY dia))
-WHERE antes >= 5 AND saldo < 5""",
+SELECT id_producto, ts, 'venta' AS tipo, ref, -q AS cantidad, saldo FROM (
+  SELECT id_producto, ts, ref, q, CAST(inicio - sum(q) OVER (PARTITION BY id_producto ORDER BY ts, ref) AS BIGINT) AS saldo
+  FROM (SELECT l_partkey AS id_producto, l_shipdate AS ts, l_orderkey AS ref, CAST(sum(l_quantity) AS BIGINT) AS q
+    FROM lineitem GROUP BY ALL)
+  JOIN (SELECT id_producto, stock_actual * 20 AS inicio FROM producto) USING (id_producto))
+WHERE saldo + q >= 5 AND saldo < 5""",
     "stream_code_validity": """
 SELECT a.event_id, a.id_usuario, a.ts,
   coalesce((c.ts IS NULL OR c.ts < i.ts) AND date_trunc('second', i.ts) + INTERVAL 15 MINUTE > date_trunc('second', a.ts), false) AS valido

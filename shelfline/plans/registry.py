@@ -29,11 +29,13 @@ from shelfline.operators import (
 )
 from shelfline.plans.standin import StandIn
 from shelfline.schema import ORDER_STATES, PRIMARY_KEYS
+from shelfline.session import scratch_path
 from shelfline.sources import feeds
-from shelfline.streaming.alerts import low_stock_alerts
-from shelfline.streaming.codes import stream_code_validity
+from shelfline.streaming.alerts import ledger_store, take_movements
+from shelfline.streaming.codes import code_store, take_codes
+from shelfline.streaming.runner import run, run_to_end
 from shelfline.streaming.sales import windowed_sales
-from shelfline.streaming.state import run_to_end
+from shelfline.streaming.store import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -626,14 +628,20 @@ def _stream_low_stock(t: StandIn) -> DataFrame:
     sold = t.streamed().raw("lineitem").select(
         F.col("l_partkey").alias("id_producto"),
         F.col("l_shipdate").alias("ts"),
-        (-F.col("l_quantity").cast("int")).alias("cantidad"),
+        F.lit("venta").alias("tipo"),
+        F.col("l_orderkey").alias("ref"),
+        (-F.col("l_quantity").cast("long")).alias("cantidad"),
+    )
+    opening = t["producto"].select(
+        "id_producto", (F.col("stock_actual") * 20).alias("stock_actual")
     )
-    opening = t["producto"].withColumn("stock_actual", F.col("stock_actual") * 20)
-    alerts = run_to_end(low_stock_alerts(sold, opening), "alerts")
-    return alerts.withColumn("hasta", F.col("hasta").cast("timestamp_ntz"))
+    store = ledger_store(TableStore(t.spark, scratch_path(t.spark)), opening)
+    run(sold, store, "sales", take_movements, scratch_path(t.spark)).awaitTermination()
+    return store.rows("alerta")
 
 
 @_query("stream_code_validity")
 def _stream_code_validity(t: StandIn) -> DataFrame:
-    answers = run_to_end(stream_code_validity(t.streamed()["codigos"]), "codes")
-    return answers.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    store = code_store(TableStore(t.spark, scratch_path(t.spark)))
+    run(t.streamed()["codigos"], store, "codes", take_codes, scratch_path(t.spark)).awaitTermination()
+    return store.rows("respuesta")

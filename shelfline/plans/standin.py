@@ -32,19 +32,19 @@ class StandIn(Mapping[str, DataFrame]):
     """Each view is built when asked for; Spark prunes what a query leaves out."""
 
     def __init__(self, spark: SparkSession, directory: str, streaming: bool = False):
-        self._spark = spark
+        self.spark = spark
         self._directory = directory
         self._streaming = streaming
 
     def streamed(self) -> StandIn:
         """The same views over a stream of the tables' files."""
-        return StandIn(self._spark, self._directory, streaming=True)
+        return StandIn(self.spark, self._directory, streaming=True)
 
     def raw(self, name: str) -> DataFrame:
         if self._streaming:
-            reader = self._spark.readStream.schema(RAW_SCHEMAS[name])
+            reader = self.spark.readStream.schema(RAW_SCHEMAS[name])
             return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self._directory)
-        reader = self._spark.read
+        reader = self.spark.read
         if name in RAW_SCHEMAS:
             reader = reader.schema(RAW_SCHEMAS[name])
         return reader.parquet(f"{self._directory}/{name}.parquet")

@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name inside the shared folder."""
+    return f"{shared_dir(spark)}/shelfline-{uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,7 +58,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     the running task only, and every later use sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfline-{uuid4().hex}/{label}"
+    path = f"{scratch_path(spark)}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,66 +1,40 @@
-"""Alerts for products that fall to low stock."""
+"""The stock ledger and low-stock alerts, as movements arrive.
 
-from __future__ import annotations
+Each micro-batch is booked by the batch ledger from the balances before it. A
+product with very many movements is split like any hot key, every crossing of
+the low-stock mark is seen, and no row passes through Python.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from shelfline.schema import LOW_STOCK
-
-_ALERT = "id_producto bigint, hasta timestamp, antes bigint, saldo bigint"
 
+from shelfline.operators.allocation import change_stock
+from shelfline.operators.stock import low_stock_crossings, stock_ledger
+from shelfline.session import stage
+from shelfline.streaming.store import Change, TableStore
 
-class BalanceTracker(StatefulProcessor):
-    """The balance of one product; emits when it crosses the low-stock mark."""
+LEDGER = "id_producto bigint, ts timestamp_ntz, tipo string, ref bigint, cantidad bigint, saldo bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._balance = handle.getValueState("saldo", "saldo bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._balance.update((int(initialState["stock_actual"].iloc[0]),))
+def ledger_store(store: TableStore, producto: DataFrame) -> TableStore:
+    """Start a store for the movement stream from the products' stock."""
+    empty = store.spark.createDataFrame([], LEDGER)
+    store.create(append={"movimiento": empty, "alerta": empty}, replace={"producto": producto})
+    return store
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changes = pd.concat(list(rows)).sort_values("hasta")
-        start = self._balance.get()[0] if self._balance.exists() else 0
-        after = start + changes["cambio"].cumsum()
-        before = after - changes["cambio"]
-        self._balance.update((int(after.iloc[-1]),))
-        crossed = (before >= LOW_STOCK) & (after < LOW_STOCK)
-        yield pd.DataFrame(
-            {"id_producto": key[0], "hasta": changes["hasta"], "antes": before, "saldo": after}
-        )[crossed]
 
-    def close(self) -> None:
-        pass
+def take_movements(batch: DataFrame, store: TableStore) -> Change:
+    """Movements (id_producto, ts, tipo, ref, signed cantidad): ledger, alerts, stock.
 
-
-def low_stock_alerts(
-    moves: DataFrame, opening: DataFrame, width: str = "1 day", delay: str = "1 day"
-) -> DataFrame:
-    """Windows at whose end a product has newly fallen below the low-stock mark.
-
-    ``moves`` has id_producto, ts and a signed cantidad, ``opening`` the stock the
-    stream starts from. Movements are summed per product and window before they
-    reach the product's state, so the state sees one row per window however many
-    movements a product has.
+    Movements of unknown products are left out.
     """
-    sums = (
-        moves.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy("id_producto", F.window("ts", width).alias("_window"))
-        .agg(F.sum(F.col("cantidad").cast("long")).alias("cambio"))
-        .select("id_producto", F.col("_window.end").alias("hasta"), "cambio")
-    )
-    return sums.groupBy("id_producto").transformWithStateInPandas(
-        statefulProcessor=BalanceTracker(),
-        outputStructType=_ALERT,
-        outputMode="Append",
-        timeMode="None",
-        initialState=opening.select("id_producto", F.col("stock_actual").cast("long").alias("stock_actual")).groupBy(
-            "id_producto"
-        ),
+    products = store.latest("producto")
+    feed = stage(batch.join(products, "id_producto", "left_semi"), "movements")
+    ledger = stage(stock_ledger(feed, products), "ledger")
+    changes = feed.groupBy("id_producto").agg(F.sum("cantidad").alias("cambio"))
+    return Change(
+        append={"movimiento": ledger, "alerta": low_stock_crossings(ledger)},
+        replace={"producto": change_stock(products, changes)},
     )

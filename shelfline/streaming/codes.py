@@ -1,80 +1,49 @@
-"""Validity of recovery codes, answered as attempts arrive."""
+"""Validity of recovery codes, answered as attempts arrive.
 
-from __future__ import annotations
+Each micro-batch is answered by the batch operator over its own rows and the
+codes still open from before, so a user with very many events is split like any
+hot key and no row passes through Python. Carried over is at most one code per
+user, and only while it can still be valid. Batches come in time order.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from shelfline.operators.validity import CONSUMED, ISSUED, TRIED, TTL_MINUTES
-
-_ANSWER = "event_id bigint, id_usuario bigint, ts timestamp, valido boolean"
-
-
-class CodeTracker(StatefulProcessor):
-    """The open code of one user inside one time slot."""
 
-    def __init__(self, seconds: int):
-        self._seconds = seconds
+from shelfline.operators.validity import CONSUMED, ISSUED, code_validity, still_open
+from shelfline.session import stage
+from shelfline.streaming.store import Change, TableStore
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._issued = handle.getValueState("emitido", "segundo bigint")
+OPEN_CODES = "id_usuario bigint, event_id bigint, ts timestamp_ntz"
+ANSWERS = "event_id bigint, id_usuario bigint, ts timestamp_ntz, valido boolean"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        issued = self._issued.get()[0] if self._issued.exists() else None
-        answers = []
-        for event_id, ts, second, kind in events[["event_id", "ts", "segundo", "tipo"]].itertuples(index=False):
-            if kind == ISSUED:
-                issued = second
-            elif kind == CONSUMED:
-                issued = None
-            else:
-                valid = issued is not None and issued + self._seconds > second
-                answers.append((event_id, key[0], ts, valid))
-        if issued is None:
-            self._issued.clear()
-        else:
-            self._issued.update((int(issued),))
-        # Once event time is past the slot no row of it can come any more.
-        self._handle.registerTimer((int(key[1]) + 1) * self._seconds * 1000)
-        yield pd.DataFrame(answers, columns=["event_id", "id_usuario", "ts", "valido"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._issued.clear()
-        yield pd.DataFrame(columns=["event_id", "id_usuario", "ts", "valido"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_code_validity(feed: DataFrame, minutes: int = TTL_MINUTES, delay: str = "5 minutes") -> DataFrame:
-    """Each attempt with whether the code it meets is valid.
-
-    Time is cut into slots as long as a code lives. An attempt can only meet a
-    code of its own slot or the one before, so codes and uses are handed to their
-    slot and the next one, and state is kept per user and slot. A user with very
-    many events is thereby spread over slots, and old state goes by itself.
-    Rows of a micro-batch count in (ts, event_id) sequence.
-    """
-    seconds = minutes * 60
-    second = F.unix_timestamp(F.date_trunc("second", "ts"))
-    slot = F.floor(F.col("segundo") / seconds).cast("long")
-    slots = F.when(F.col("tipo") == TRIED, F.array(slot)).otherwise(F.array(slot, slot + 1))
-    return (
-        feed.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .withColumn("segundo", second)
-        .withColumn("tramo", F.explode(slots))
-        .groupBy("id_usuario", "tramo")
-        .transformWithStateInPandas(
-            statefulProcessor=CodeTracker(seconds),
-            outputStructType=_ANSWER,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+def code_store(store: TableStore) -> TableStore:
+    """Start a store for the code stream: no open codes, no answers."""
+    spark = store.spark
+    store.create(
+        append={"respuesta": spark.createDataFrame([], ANSWERS)},
+        replace={"codigo_abierto": spark.createDataFrame([], OPEN_CODES)},
+    )
+    return store
+
+
+def take_codes(batch: DataFrame, store: TableStore) -> Change:
+    """Code events (id_usuario, ts, event_id, tipo): answer attempts, keep open codes."""
+    feed = stage(batch.select("id_usuario", "event_id", "ts", "tipo"), "codes")
+    rows = store.latest("codigo_abierto").withColumn("tipo", F.lit(ISSUED)).unionByName(feed)
+    answers = code_validity(rows).select("event_id", "id_usuario", "ts", "valido")
+    at = F.struct("ts", "event_id")
+    last = rows.groupBy("id_usuario").agg(
+        F.max(F.when(F.col("tipo") == ISSUED, at)).alias("_issue"),
+        F.max(F.when(F.col("tipo") == CONSUMED, at)).alias("_use"),
+    )
+    newest = feed.agg(F.max("ts")).first()[0]
+    open_now = last.filter(
+        F.coalesce(F.col("_issue") > F.col("_use"), F.col("_issue").isNotNull())
+    ).select("id_usuario", "_issue.event_id", "_issue.ts")
+    return Change(
+        append={"respuesta": answers},
+        replace={"codigo_abierto": open_now.filter(still_open(F.col("ts"), F.lit(newest)))},
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.operators.allocation import append_orders, confirm_orders
 from shelfline.operators.people import resolve_customers
@@ -21,20 +20,6 @@ from shelfline.sources.feeds import read_orders, split_orders
 from shelfline.streaming.store import Change, TableStore
 
 
-def run(stream: DataFrame, store: TableStore, source: str, change, checkpoint: str) -> StreamingQuery:
-    """Start ``change(batch, store)`` on every micro-batch that is available now."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        store.apply(source, batch_id, lambda current: change(batch, current))
-
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def current_orders(store: TableStore) -> DataFrame:
     """Orders that are not cancelled, with the last status logged for each."""
     last = store.rows("estado").groupBy("id_solicitud").agg(

@@ -8,10 +8,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from shelfline.operators import validity
+from shelfline.operators import stock, validity
 from shelfline.schema import SCHEMAS
 from shelfline.streaming import alerts, codes, intake, sales
-from shelfline.streaming.state import rocksdb_state
+from shelfline.streaming.runner import run as run_store
+from shelfline.streaming.runner import run_to_end
 from shelfline.streaming.store import Change, TableStore
 
 START = datetime(2026, 1, 1)
@@ -28,16 +29,6 @@ def stream_of(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
-def run(stream, out, mode="append"):
-    with rocksdb_state(stream.sparkSession):
-        query = (
-            stream.writeStream.format("parquet").outputMode(mode)
-            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/data")
-        )
-        query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
-
-
 def test_store_commits_once(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     store.create(append={"log": spark.createDataFrame([(1,)], "n int")}, replace={"state": spark.createDataFrame([(5,)], "s int")})
@@ -94,7 +85,7 @@ def test_order_life_over_the_store(spark, seed, tmp_path):
         "nonsense",
     ]))
     documents = spark.readStream.text(str(feed))
-    start = lambda: intake.run(documents, store, "orders", intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
+    start = lambda: run_store(documents, store, "orders", intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
     start()
     start()  # a restart finds nothing new
     assert stock_of(store) == {1: 24, 2: 12, 3: 199, 4: 60, 5: 0}
@@ -113,7 +104,7 @@ def test_order_life_over_the_store(spark, seed, tmp_path):
         [(1, START, 10, "Rechazada"), (2, START, 12, "En Proceso"), (3, START, 77, "Aprobada")],
         "event_id long, ts timestamp_ntz, id long, estado string")
     changes.coalesce(1).write.parquet(str(tmp_path / "status"))
-    intake.run(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "status")), store, "status",
+    run_store(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "status")), store, "status",
                intake.take_status, str(tmp_path / "ck_status")).awaitTermination()
     assert stock_of(store)[5] == 6
     states = dict(rows(intake.current_orders(store), "id_solicitud", "estado"))
@@ -121,14 +112,14 @@ def test_order_life_over_the_store(spark, seed, tmp_path):
 
     receipts = spark.createDataFrame([(5, 4), (5, 0)], "id_producto long, cantidad int")
     receipts.coalesce(1).write.parquet(str(tmp_path / "receipts"))
-    intake.run(spark.readStream.schema(receipts.schema).parquet(str(tmp_path / "receipts")), store, "receipts",
+    run_store(spark.readStream.schema(receipts.schema).parquet(str(tmp_path / "receipts")), store, "receipts",
                intake.take_receipts, str(tmp_path / "ck_receipts")).awaitTermination()
     assert stock_of(store)[5] == 10
 
     gone = spark.createDataFrame([(12, START + timedelta(days=1), 9), (10, START + timedelta(days=1), 10)],
                                  "id_solicitud long, ts timestamp_ntz, event_id long")
     gone.coalesce(1).write.parquet(str(tmp_path / "gone"))
-    intake.run(spark.readStream.schema(gone.schema).parquet(str(tmp_path / "gone")), store, "gone",
+    run_store(spark.readStream.schema(gone.schema).parquet(str(tmp_path / "gone")), store, "gone",
                intake.take_cancellations, str(tmp_path / "ck_gone")).awaitTermination()
     # Order 12 gives its four back, the rejected order 10 does not do so again.
     assert stock_of(store)[5] == 14
@@ -143,7 +134,7 @@ def test_windowed_sales_drop_late_orders(spark, tmp_path):
     write_parts(folder, orders, "id_solicitud", [0, 100, 240])
     late = spark.createDataFrame([(999, START, "Entregada", D(1000))], schema)
     late.coalesce(1).write.parquet(f"{folder}/part=2")
-    got = dict(rows(run(sales.windowed_sales(stream_of(spark, folder, schema), "1 day", "1 day"), str(tmp_path / "out")), "desde", "ventas"))
+    got = dict(rows(run_to_end(sales.windowed_sales(stream_of(spark, folder, schema), "1 day", "1 day"), "sales"), "desde", "ventas"))
     want = {}
     for n, ts, state, total in data:
         if state == "Entregada":
@@ -153,19 +144,23 @@ def test_windowed_sales_drop_late_orders(spark, tmp_path):
     assert got == {day: total for day, total in want.items() if day + timedelta(days=1) <= last}
 
 
-def test_low_stock_alerts_over_batches(spark, tmp_path):
-    # One change per hour and product; the balance is looked at once a day.
-    data = [(p, START + timedelta(hours=h), q) for p, q in ((1, -1), (2, 1)) for h in range(24 * 6)]
-    data += [(1, START + timedelta(days=3, minutes=30), 100)]
-    schema = "id_producto long, ts timestamp_ntz, cantidad int"
-    folder = str(tmp_path / "moves")
+def test_ledger_stream_equals_batch(spark, tmp_path):
+    data = [(n % 3, START + timedelta(minutes=n), "venta" if n % 4 else "recepcion", n, -(n % 5) if n % 4 else n % 7) for n in range(240)]
+    schema = "id_producto long, ts timestamp_ntz, tipo string, ref long, cantidad long"
     moves = spark.createDataFrame(data, schema)
-    write_parts(folder, moves, "ts", [START + timedelta(days=n) for n in (0, 2, 4, 7)])
-    opening = spark.createDataFrame([(1, 50), (2, 0)], "id_producto long, stock_actual int")
-    stream = alerts.low_stock_alerts(stream_of(spark, folder, schema), opening, "1 day", "1 hour")
-    got = rows(run(stream, str(tmp_path / "out")), "id_producto", "hasta", "antes", "saldo")
-    # 50 - 24 - 24 = 2 at the end of day 2; back to 54 on day 4, then 30, then 6.
-    assert got == [(1, START + timedelta(days=2), 26, 2)]
+    folder = str(tmp_path / "moves")
+    write_parts(folder, moves, "ref", [0, 100, 170, 240])
+    opening = spark.createDataFrame([(0, 30), (1, 9)], "id_producto long, stock_actual int")
+    store = alerts.ledger_store(TableStore(spark, str(tmp_path / "store")), opening)
+    for _ in range(2):
+        run_store(stream_of(spark, folder, schema), store, "moves", alerts.take_movements, str(tmp_path / "ck")).awaitTermination()
+    known = stock.stock_ledger(moves.filter("id_producto < 2"), opening)
+    columns = ("id_producto", "ref", "saldo")
+    assert sorted(rows(store.rows("movimiento"), *columns)) == sorted(rows(known, *columns))
+    crossings = sorted(rows(stock.low_stock_crossings(known), *columns))
+    assert sorted(rows(store.rows("alerta"), *columns)) == crossings and crossings
+    last = {p: (30, 9)[p] + sum(q for product, _, _, _, q in data if product == p) for p in (0, 1)}
+    assert dict(rows(store.latest("producto"))) == last
 
 
 def test_code_stream_equals_batch(spark, tmp_path):
@@ -175,6 +170,14 @@ def test_code_stream_equals_batch(spark, tmp_path):
     feed = spark.createDataFrame(data, schema)
     folder = str(tmp_path / "codes")
     write_parts(folder, feed, "event_id", [0, 90, 180, 300])
-    got = dict(rows(run(codes.stream_code_validity(stream_of(spark, folder, schema)), str(tmp_path / "out")), "event_id", "valido"))
+    store = codes.code_store(TableStore(spark, str(tmp_path / "store")))
+    for _ in range(2):  # the second start finds nothing new
+        run_store(stream_of(spark, folder, schema), store, "codes", codes.take_codes, str(tmp_path / "ck")).awaitTermination()
+    got = rows(store.rows("respuesta"), "event_id", "valido")
     want = dict(rows(validity.code_validity(feed), "event_id", "valido"))
-    assert got == want and any(want.values()) and not all(want.values())
+    assert len(got) == len(want) and dict(got) == want
+    assert any(want.values()) and not all(want.values())
+    assert store.version() == 3
+    # At most one open code per user, none older than its lifetime.
+    still = rows(store.latest("codigo_abierto"), "id_usuario", "ts")
+    assert len(still) <= 5 and all(ts > START + timedelta(seconds=97 * 299 - 901) for _, ts in still)
