@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfline.schema import conform
 
-_COMMITS = "version int, source string, batch_id bigint"
+_COMMITS = "version int, source string, batch_id bigint, tables array<string>"
 
 
 @dataclass
@@ -33,6 +33,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._written: dict[str, int] | None = None
 
     def create(self, append: Mapping[str, DataFrame], replace: Mapping[str, DataFrame]) -> None:
         """Start the store with the given tables as version 0."""
@@ -43,34 +44,45 @@ class TableStore:
         done = self._commits().filter((F.col("source") == source) & (F.col("batch_id") == batch_id))
         if not done.isEmpty():
             return False
-        self._write(change(self), self.version() + 1, source, batch_id)
+        # The state a change reads is looked up once, as nobody else writes meanwhile.
+        self._written = self._last_written()
+        try:
+            self._write(change(self), self.version() + 1, source, batch_id)
+        finally:
+            self._written = None
         return True
 
     def version(self) -> int:
-        return self._commits().agg(F.max("version")).first()[0]
+        return max(self._last_written().values())
 
     def rows(self, table: str) -> DataFrame:
         """All committed rows of an appended table."""
-        return self._committed(table).drop("version")
+        committed = self.spark.read.parquet(f"{self.root}/{table}")
+        return committed.filter(F.col("version") <= self.version()).drop("version")
 
     def latest(self, table: str) -> DataFrame:
         """The newest committed state of a replaced table."""
-        committed = self._committed(table)
-        newest = committed.agg(F.max("version")).first()[0]
-        return committed.filter(F.col("version") == newest).drop("version")
+        return self.spark.read.parquet(f"{self.root}/{table}/version={self._last_written()[table]}")
+
+    def _last_written(self) -> dict[str, int]:
+        """The last version that wrote each table."""
+        if self._written is not None:
+            return self._written
+        per_table = self._commits().select("version", F.explode("tables").alias("table"))
+        return dict(per_table.groupBy("table").agg(F.max("version")).collect())
 
     def _commits(self) -> DataFrame:
         return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
 
-    def _committed(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("version") <= self.version())
-
     def _write(self, change: Change, version: int, source: str, batch_id: int) -> None:
-        for table, df in {**change.append, **change.replace}.items():
+        tables = {**change.append, **change.replace}
+        for table, df in tables.items():
             if version:
-                df = conform(df, self._committed(table).drop("version").schema)
+                df = conform(df, self.latest(table).schema)
             df.write.mode("overwrite").parquet(f"{self.root}/{table}/version={version}")
         commit = self.spark.range(1).select(
-            F.lit(source).alias("source"), F.lit(batch_id).cast("long").alias("batch_id")
+            F.lit(source).alias("source"),
+            F.lit(batch_id).cast("long").alias("batch_id"),
+            F.array(*[F.lit(table) for table in tables]).alias("tables"),
         )
         commit.write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")

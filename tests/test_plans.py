@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
+from conftest import plan
 
 import __spark_entry__ as entry
 
@@ -12,20 +13,6 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables not there")
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
-
-
-@pytest.mark.parametrize("name", BATCH)
-def test_no_pairing_join_and_no_row_python(spark, name):
-    text = plan(entry.queries()[name](spark, DATA))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert operator not in text, operator
-
-
 def test_year_is_a_pushed_range(spark):
     text = plan(entry.queries()["monthly_sales"](spark, DATA))
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate,2000-01-01.*LessThan\(o_orderdate,2001-01-01", text)

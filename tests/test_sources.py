@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import types as T
 
 from shelfline import session
-from shelfline.schema import RECOVERY_COLUMNS, SCHEMAS, ensure_columns, load_tables
+from shelfline.schema import RECOVERY_COLUMNS, SCHEMAS, ensure_columns, load_jdbc_table, load_tables
 from shelfline.sources import feeds, sinks
 
 
@@ -67,6 +67,47 @@ def test_load_tables(spark, seed, tmp_path):
         assert sorted(rows(df)) == sorted(rows(seed[name]), key=lambda r: r[0])
 
 
+class Reader:
+    """Records the options of each JDBC read and hands back fixed frames."""
+
+    def __init__(self, frames):
+        self.frames, self.seen, self.current = frames, [], {}
+
+    @property
+    def read(self):
+        return self
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        other = Reader(self.frames)
+        other.seen, other.current = self.seen, {**self.current, **options}
+        return other
+
+    def option(self, name, value):
+        return self.options(**{name: value})
+
+    def load(self):
+        self.seen.append(self.current)
+        return self.frames["query" if "query" in self.current else "dbtable"]
+
+
+def test_jdbc_read_is_split_by_key_range(spark, seed):
+    bounds = spark.createDataFrame([(3, 40)], "low long, high long")
+    texts = seed["producto"].select(*[c for c in reversed(seed["producto"].columns)])
+    reader = Reader({"query": bounds, "dbtable": texts})
+    got = load_jdbc_table(reader, "jdbc:x", "producto", 4, user="u")
+    assert got.schema.names == SCHEMAS["producto"].names
+    assert reader.seen[1] == {
+        "url": "jdbc:x", "user": "u", "dbtable": "producto", "partitionColumn": "id_producto",
+        "lowerBound": "3", "upperBound": "41", "numPartitions": "4"}
+    empty = Reader({"query": spark.createDataFrame([(None, None)], "low long, high long"), "dbtable": texts})
+    load_jdbc_table(empty, "jdbc:x", "producto", 4)
+    assert "numPartitions" not in empty.seen[1]
+
+
 class Conf(dict):
     def get(self, name, default=None):
         return dict.get(self, name, default)
