@@ -31,15 +31,15 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions.order import line_amount
 from shelfline.operators.running import HOT_ROWS, HotKeys, find_hot, running
 from shelfline.session import stage
 
-# Undecided lines that one task may replay.
-TAIL_LINES = 10_000
+# Undecided lines that one task may replay, a few megabytes and about a second of work.
+TAIL_LINES = 100_000
 
 
 @dataclass
@@ -67,14 +67,18 @@ def confirm_orders(
     """
     stocks = producto.select("id_producto", F.col("stock_actual").alias("free"))
     needs = stage(_needs(lines, stocks), "needs")
-    unfit = needs.groupBy("id_solicitud").agg(F.max("unfit").alias("unfit")).filter("unfit")
-    rejected = [unfit.select("id_solicitud")]
+    orders = needs.groupBy("id_solicitud").agg(
+        F.max("unfit").alias("unfit"), F.count(F.lit(1)).alias("lines")
+    )
+    unfit = orders.filter("unfit").select("id_solicitud")
+    wide_orders = (orders.agg(F.max("lines")).first()[0] or 0) > hot_rows
+    rejected = [unfit]
     fit = needs.drop("unfit").join(unfit, "id_solicitud", "left_anti")
     undecided = _contended(fit)
     hot = find_hot(needs, ["id_producto"], hot_rows)
     rounds = 0
     while True:
-        decided = stage(_decide(undecided, hot), f"round_{rounds}")
+        decided = stage(_decide(undecided, hot, wide_orders), f"round_{rounds}")
         left, done, denied = decided.agg(
             F.count(F.lit(1)), F.count("accepted"), F.count_if(~F.col("accepted"))
         ).first()
@@ -166,21 +170,25 @@ def _contended(lines: DataFrame) -> DataFrame:
     return lines.join(short, "id_producto", "left_semi")
 
 
-def _decide(lines: DataFrame, hot: HotKeys) -> DataFrame:
+def _decide(lines: DataFrame, hot: HotKeys, wide_orders: bool) -> DataFrame:
     """The lines with their order's verdict: true, false or NULL for not yet."""
     ranked = running(
-        lines,
-        ["id_producto"],
-        ["ts", "id_solicitud"],
-        {"_upto": ("sum", "q")},
-        hot=hot,
-    ).select(*lines.columns, (F.col("_upto") <= F.col("free")).alias("fits"))
-    verdicts = ranked.groupBy("id_solicitud").agg(
-        F.when(F.min("fits"), F.lit(True))
-        .when(F.max(F.col("q") > F.col("free")), F.lit(False))
-        .alias("accepted")
+        lines, ["id_producto"], ["ts", "id_solicitud"], {"_upto": ("sum", "q")}, hot=hot
+    ).select(
+        *lines.columns,
+        (F.col("_upto") <= F.col("free")).alias("fits"),
+        (F.col("q") > F.col("free")).alias("lacks"),
+    )
+    if wide_orders:
+        # An order too long for one task: its verdict is summed up and joined back.
+        verdict = F.when(F.min("fits"), F.lit(True)).when(F.max("lacks"), F.lit(False))
+        verdicts = ranked.groupBy("id_solicitud").agg(verdict.alias("accepted"))
+        return lines.join(verdicts, "id_solicitud")
+    order = Window.partitionBy("id_solicitud")
+    verdict = F.when(F.min("fits").over(order), F.lit(True)).when(
+        F.max("lacks").over(order), F.lit(False)
     )
-    return lines.join(verdicts, "id_solicitud")
+    return ranked.withColumn("accepted", verdict).drop("fits", "lacks")
 
 
 def _carry_over(decided: DataFrame) -> DataFrame:
