@@ -30,7 +30,7 @@ from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,18 +213,21 @@ def _replay(lines: DataFrame) -> DataFrame:
         .sortWithinPartitions("ts", "id_solicitud")
         .select("id_solicitud", "id_producto", "q", "free")
     )
-    return ordered.mapInPandas(_replay_rows, ordered.select("id_solicitud").schema)
+    return ordered.mapInArrow(_replay_rows, ordered.select("id_solicitud").schema)
 
 
-def _replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+def _replay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
     free: dict[int, int] = {}
     refused = []
     for order, cart in groupby(rows, key=itemgetter(0)):
-        wanted = [(product, q) for _, product, q, start in cart if free.setdefault(product, start) is not None]
-        if all(q <= free[product] for product, q in wanted):
-            for product, q in wanted:
-                free[product] -= q
+        wanted = []
+        for _, product, quantity, start in cart:
+            free.setdefault(product, start)
+            wanted.append((product, quantity))
+        if all(quantity <= free[product] for product, quantity in wanted):
+            for product, quantity in wanted:
+                free[product] -= quantity
         else:
             refused.append(order)
-    yield pd.DataFrame({"id_solicitud": pd.Series(refused, dtype="int64")})
+    yield pa.RecordBatch.from_pydict({"id_solicitud": pa.array(refused, pa.int64())})
