@@ -24,7 +24,7 @@ chain of dependent orders would otherwise cost a round per link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
@@ -213,21 +213,26 @@ def _replay(lines: DataFrame) -> DataFrame:
         .sortWithinPartitions("ts", "id_solicitud")
         .select("id_solicitud", "id_producto", "q", "free")
     )
-    return ordered.mapInArrow(_replay_rows, ordered.select("id_solicitud").schema)
-
-
-def _replay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    free: dict[int, int] = {}
-    refused = []
-    for order, cart in groupby(rows, key=itemgetter(0)):
-        wanted = []
-        for _, product, quantity, start in cart:
-            free.setdefault(product, start)
-            wanted.append((product, quantity))
-        if all(quantity <= free[product] for product, quantity in wanted):
-            for product, quantity in wanted:
-                free[product] -= quantity
-        else:
-            refused.append(order)
-    yield pa.RecordBatch.from_pydict({"id_solicitud": pa.array(refused, pa.int64())})
+    return ordered.mapInArrow(_replayer(), ordered.select("id_solicitud").schema)
+
+
+def _replayer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The replay as an inner function, which executors get without this package."""
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        free: dict[int, int] = {}
+        refused = []
+        for order, cart in groupby(rows, key=itemgetter(0)):
+            wanted = []
+            for _, product, quantity, start in cart:
+                free.setdefault(product, start)
+                wanted.append((product, quantity))
+            if all(quantity <= free[product] for product, quantity in wanted):
+                for product, quantity in wanted:
+                    free[product] -= quantity
+            else:
+                refused.append(order)
+        yield pa.RecordBatch.from_pydict({"id_solicitud": pa.array(refused, pa.int64())})
+
+    return replay

@@ -1,11 +1,14 @@
 """Change operators against row-by-row replays of their rules, and edge rows."""
 
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
 from conftest import rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from shelfline.operators import allocation, people, status, stock, validity
@@ -76,6 +79,20 @@ def test_long_chain_of_dependent_orders(spark):
     assert result.rounds == 1
 
 
+def test_replay_needs_no_package_on_executors(tmp_path):
+    """A Python process elsewhere, with Spark but without this repository, can run it."""
+    pickled = tmp_path / "replay.pickle"
+    pickled.write_bytes(cloudpickle.dumps(allocation._replayer()))
+    code = (
+        "import pickle, sys, pyarrow as pa\n"
+        "replay = pickle.load(open(sys.argv[1], 'rb'))\n"
+        "rows = {'o': [1, 1, 2, 3], 'p': [7, 8, 7, 8], 'q': [2, 1, 1, 1], 'free': [2, 2, 2, 2]}\n"
+        "print(next(replay(iter([pa.RecordBatch.from_pydict(rows)]))).to_pydict())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code, str(pickled)], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "{'id_solicitud': [2]}", done.stderr
+
+
 def test_nothing_contended(spark):
     feed = spark.createDataFrame([(1, START, 1, 2, D(1)), (1, START, 1, 2, D(1))], LINE)
     enough = spark.createDataFrame([(1, 4)], "id_producto long, stock_actual int")
