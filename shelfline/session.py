@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 # Adaptive execution re-plans joins from real sizes and splits skewed partitions;
 # UTC keeps timestamp casts equal on every machine.
@@ -19,9 +19,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_folder: str | None = None
-
-
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """The recommended settings on a session builder."""
     for name, value in SETTINGS.items():
@@ -32,18 +29,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would be invisible to the other machines.
+    Without that setting it is a folder beside the tables of the warehouse, which
+    every executor has to reach anyway.
     """
-    global _local_folder
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="shelfline-")
-    return _local_folder
+    return (folder or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/shelfline-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -61,13 +51,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_path(spark)}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a file scan with few partitions, dealt out to all cores.
-
-    For costly work per row only. Input with a partition per core or more, as any
-    large one has, stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -14,12 +14,14 @@ import __spark_entry__ as entry
 from conftest import plan
 from compare import canonical, tables
 
+from shelfline.plans import oracle, registry
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables not there")
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.build()) == set(oracle.build())
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +29,13 @@ def duck():
     return tables(DATA)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.build()))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+    df = registry.build()[name](spark, DATA)
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInArrow"):
         assert operator not in plan(df), operator
     got = df.toPandas()
-    want = duck.execute(entry.oracle_sql()[name]).fetchdf()
+    want = duck.execute(oracle.build()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 

@@ -119,7 +119,6 @@ class Session:
 
 
 def test_shared_folder():
-    assert session.shared_dir(Session(spark_checkpoint_dir="hdfs://a/b/", spark_master="yarn")) == "hdfs://a/b"
-    with pytest.raises(ValueError):
-        session.shared_dir(Session(spark_master="yarn"))
-    assert session.shared_dir(Session(spark_master="local[2]")) == session.shared_dir(Session(spark_master="local[2]"))
+    assert session.shared_dir(Session(spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    beside = Session(spark_sql_warehouse_dir="hdfs://a/warehouse/")
+    assert session.shared_dir(beside) == "hdfs://a/warehouse/shelfline-scratch"
