@@ -7,7 +7,7 @@ equal names with no dictionary to share, and what happens inside a substring
 does not depend on where it stands: each symbol carries the range of words that
 decided it.
 
-A window of ``length`` words is filed under the smallest of the symbols decided
+A window of ``length`` words is filed under the longest of the symbols decided
 wholly inside it (or, where there is none, under its own hash), so equal windows
 are filed alike. Neighbouring windows filed under one symbol form a span. Spark
 then works on spans, one for some twenty words:
@@ -49,15 +49,15 @@ from shelfline.llm.common import (
 #: Words of a window.
 LENGTH = 50
 #: Rounds of pairing; a symbol stands for (4/3)**rounds words on average.
-ROUNDS = 4
+ROUNDS = 6
 
 _U = np.uint64
 _WORDS = Powers(0xA0761D6478BD642F)
 _OWN = Powers(0xE7037ED1A0B428DB)
 
 
-def rewrite(codes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first word that decided each, word after the last that did) of texts in a row.
+def rewrite(codes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, words of each, first word that decided it, word after the last that did) of texts in a row.
 
     ``codes`` are the words' hashes, ``first`` the place of each text's first word and
     the end. A text's edge decides like a word outside it.
@@ -66,7 +66,7 @@ def rewrite(codes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     names, low, high = codes, np.arange(count), np.arange(1, count + 1)
     if not count:
-        return names, low, high
+        return names, low, low, high
     joined = (names[1:] == names[:-1]) & (text[1:] == text[:-1])
     begins = np.flatnonzero(np.concatenate(([True], ~joined)))
     size = np.diff(np.append(begins, count))
@@ -92,9 +92,11 @@ def rewrite(codes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple
         following[:-1] = names[1:]
         following[-1] = 0
         new = np.where(pair, mix(names * _U(0xC2B2AE3D27D4EB4F) + following * _U(0x165667B19E3779F9) + _U(step)), names)
+        words = size.copy()
+        words[:-1] += np.where(pair[:-1], size[1:], 0)
         kept = ~second
-        names, low, high, text = new[kept], new_low[kept], new_high[kept], text[kept]
-    return names, low, high
+        names, size, low, high, text = new[kept], words[kept], new_low[kept], new_high[kept], text[kept]
+    return names, size, low, high
 
 
 def spans(
@@ -109,13 +111,14 @@ def spans(
     if not len(at):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none.astype(np.uint64)
-    names, low, high = rewrite(codes, first, rounds)
+    names, words, low, high = rewrite(codes, first, rounds)
     # Both bounds rise along the text, so the symbols decided inside a window lie in a row.
     before = np.cumsum(np.bincount(np.clip(low, -1, count) + 1, minlength=count + 2))
     within = np.cumsum(np.bincount(np.clip(high, 0, count + 1), minlength=count + 2))
     left, right = before[at], within[at + length]
     found = right > left
-    rank = mix(names ^ _U(0x2545F4914F6CDD1D))
+    # The longest symbol goes first: short ones stand for words that occur everywhere.
+    rank = mix(names ^ _U(0x2545F4914F6CDD1D)) >> _U(6) | (_U(63) - np.minimum(words, 63).astype(np.uint64)) << _U(58)
     reach = int((right - left).max(initial=1))
     table = [np.arange(len(names))]
     while 1 << len(table) <= reach:
