@@ -10,12 +10,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.session import stage
 
-__all__ = ["column", "cut", "docs_in", "exact_words", "mix", "row_counter", "ship", "stage", "word_spans", "hash_words"]
+__all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_counter", "ship", "stage", "word_spans", "hash_words"]
 
 #: Text bytes worked on at once in a task; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
@@ -199,3 +199,22 @@ def likely_in(df: DataFrame, key: str, wanted: DataFrame, negate: bool = False)
         .filter(~F.coalesce(is_set, F.lit(False)) if negate else is_set)
         .drop("_part", "_bits", "_byte", "_shift")
     )
+
+
+# ---- places in an order ---------------------------------------------------------------------------
+
+
+def placed(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """``df``, staged, with each row's place from 0 in the given order.
+
+    Rows are dealt out in ranges and numbered within; only the ranges' sizes, a row per
+    partition, are added up in one place.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + F.expr("_at & 8589934591")).drop("_part", "_start", "_at")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import neardup, repeats, tokens
+from shelfline.llm import mixing, neardup, repeats, tokens
 from shelfline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +41,7 @@ def build() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL}
 
 
 def oracle() -> dict[str, str]:
