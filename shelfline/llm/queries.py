@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import mixing, neardup, repeats, tokens
-from shelfline.session import scratch_path
+from shelfline.llm import mixing, neardup, packing, quality, repeats, tokens
+from shelfline.session import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = stage(quality.describe(_table(spark, sf_dir, "documents")), "described")
+    return quality.score(described, quality.fit(described, _table(spark, sf_dir, "labels")))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, with_ids=False)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
