@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import mixing, neardup, packing, quality, repeats, tokens
+from shelfline.llm import ann, mixing, neardup, packing, quality, repeats, tokens, topk
 from shelfline.session import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = stage(quality.describe(_table(spark, sf_dir, "documents")), "described")
     return quality.score(described, quality.fit(described, _table(spark, sf_dir, "labels")))
@@ -43,6 +47,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,7 +59,7 @@ def build() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
-_ORACLES: dict[str, str] = {"op9_mix_sources": mixing.SQL}
+_ORACLES: dict[str, str] = {"op2_top_k": topk.SQL, "op9_mix_sources": mixing.SQL}
 
 
 def oracle() -> dict[str, str]:
