@@ -333,16 +333,18 @@ def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, Dat
         .filter("first < last")
         .select("symbol", "first", (F.col("low") == F.col("high")).alias("alike"))
     )
+    # Written tables come to the joins through a shuffle of their own, so that a hot symbol's rows can be split there.
+    symbols = stage(symbols, "symbols")
     shared = stage(found.join(symbols, "symbol"), "shared")
 
     mixed = shared.filter("not alike").drop("first")
-    kinds = mixed.groupBy("symbol", "content").agg(F.min("doc_id").alias("first"))
+    kinds = stage(mixed.groupBy("symbol", "content").agg(F.min("doc_id").alias("first")), "kinds")
     mixed = mixed.join(kinds, ["symbol", "content"])
     heads = mixed.filter("doc_id = first").groupBy("doc_id", "text_key")
     heads = stage(heads.agg(F.collect_list(F.struct("symbol", "at", "n")).alias("spans")), "heads")
     windows = likely_in(docs, "doc_id", heads).join(heads, "doc_id")
     windows = stage(windows.mapInArrow(_windows(length), "symbol long, content long, doc_id long, text_key long, at int"), "windows")
-    firsts = windows.groupBy("symbol", "content").agg(F.min("doc_id").alias("first"))
+    firsts = stage(windows.groupBy("symbol", "content").agg(F.min("doc_id").alias("first")), "firsts")
     later = windows.join(firsts, ["symbol", "content"]).filter("doc_id > first")
 
     place = ["doc_id", "text_key", "at", "n"]
