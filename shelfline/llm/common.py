@@ -91,9 +91,9 @@ _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, number of words before each text and at the end)."""
-    gap = _IS_SEPARATOR[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, number of words before each text and at the end); ``separators`` flags bytes."""
+    gap = separators[data]
     opens = np.empty(len(data), bool)
     if len(data):
         opens[0] = True

@@ -218,9 +218,8 @@ def near_duplicates(
     none and is linked with nothing. Texts are linked if 100 * common >= ``percent`` * united.
     component_id is the smallest id that links reach, ``kept`` whether it is the row's own.
     A NULL text counts as empty. A row with a NULL id may link others; its component_id is the
-    smallest other id there, or NULL, and it is never kept, unless alone it would vanish:
-    then it is kept with component_id NULL. Rows with one id and different texts are separate
-    texts. Other columns are not looked at; an empty table gives an empty result.
+    smallest id there, or NULL, and then it counts as kept. Rows with one id and different texts
+    are separate texts. Other columns are not looked at; an empty table gives an empty result.
     """
     ship(documents.sparkSession)
     docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
@@ -273,3 +272,17 @@ def _result(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``documents`` without those whose component has a smaller id; all columns stay.
+
+    Rows that share an id are one document, which goes if any of its texts has a component with a
+    smaller id. Rows without words stay, and so do rows with a NULL id.
+    """
+    found = near_duplicates(documents, id_col, text_col, **options)
+    gone = found.filter("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = stage(gone, "gone")
+    # Only rows that may go are moved.
+    asked = likely_in(documents, id_col, gone).join(gone, id_col, "left_anti").select(*documents.columns)
+    return likely_in(documents, id_col, gone, negate=True).select(*documents.columns).unionByName(asked)

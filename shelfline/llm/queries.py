@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import ann, mixing, neardup, packing, quality, repeats, tokens, topk
+from shelfline.llm import ann, chat, licenses, mixing, neardup, packing, quality, repeats, tokens, topk
 from shelfline.session import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(described, quality.fit(described, _table(spark, sf_dir, "labels")))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, with_ids=False)
@@ -43,6 +47,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ def build() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
-_ORACLES: dict[str, str] = {"op2_top_k": topk.SQL, "op9_mix_sources": mixing.SQL}
+_ORACLES: dict[str, str] = {"op2_top_k": topk.SQL, "op4_chat": chat.SQL, "op9_mix_sources": mixing.SQL}
 
 
 def oracle() -> dict[str, str]:
