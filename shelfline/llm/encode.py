@@ -8,12 +8,39 @@ met lately; a text for which the cut at blanks could differ is encoded whole.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Words a worker keeps at most, in two generations; about 160 MB.
-CACHED_WORDS = 800_000
+#: Words a worker keeps at most, in two generations; about 80 MB.
+CACHED_WORDS = 400_000
+
+#: A word of Latin letters and the marks after it: two units for both files' patterns, which
+#: can go straight to the merges. An apostrophe may open a unit of its own, so it is no such mark.
+_SIMPLE = re.compile(r"([\n\0]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+#: Byte-level files write bytes as characters: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+_BLANK, _NEWLINE = " ".translate(_BYTE_CHARS), "\n".translate(_BYTE_CHARS)
+
+
+def _chars(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
+class _Words(dict):
+    """Ids of words; a word asked for and not there is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.unknown.add(word)
 
 
 class Encoder:
@@ -29,10 +56,11 @@ class Encoder:
             raise ValueError("ids need more than 16 bits")
         # A byte-level pattern takes the blank before a word as the word's own; the other one drops white space.
         self.glued = self.tokenizer.normalizer is None
-        self.words: dict[str, bytes | int] = {}
-        self.older: dict[str, bytes | int] = {}
+        # Bytes of ids, or 0 for a word that must not be cut off.
+        self.words, self.older = _Words(), _Words()
         # Many words go in one call, a special token between them.
         self.joined = Tokenizer.from_file(path)
+        self.units: dict[str, list[int]] = {}
         self.between, self.between_id = max(
             ((t.content, i) for i, t in self.joined.get_added_tokens_decoder().items()), key=lambda x: x[1]
         )
@@ -40,9 +68,32 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _merged(self, unit: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(unit)]
+
+    def _unit(self, marks: str) -> list[int]:
+        if marks not in self.units:
+            if len(self.units) > 10_000:
+                self.units.clear()
+            self.units[marks] = self._merged(marks)
+        return self.units[marks]
+
     def _learn(self, words: list[str]) -> None:
         asked, plain = [], []
         for word in words:
+            parts = _SIMPLE(word)
+            if parts and (self.glued or not parts[1]):
+                edge, letters, marks = parts.groups()
+                if self.glued:
+                    ids = self._merged(("" if edge else _BLANK) + _chars(letters))
+                    if edge == "\n":
+                        ids = self._unit(_NEWLINE) + ids
+                else:
+                    ids = self._merged(_chars(letters.lower()))
+                if marks:
+                    ids = ids + self._unit(marks)
+                self.words[word] = struct.pack(f"<{len(ids)}H", *ids)
+                continue
             text = word
             if self.glued:
                 bare = word[1:] if word[:1] in ("\n", "\0") else word
@@ -79,14 +130,14 @@ class Encoder:
         for first in range(0, len(texts), 256):
             block = texts[first : first + 256]
             if 2 * len(self.words) > CACHED_WORDS:
-                self.older, self.words = self.words, {}
-            get = self.words.get
+                self.older, self.words = self.words, _Words()
+            get, unknown = self.words.__getitem__, self.words.unknown
             pieces = [self._pieces(t) for t in block]
             found = [list(map(get, ps)) for ps in pieces]
-            unknown = {p for ps, fs in zip(pieces, found, strict=True) if None in fs for p, f in zip(ps, fs, strict=True) if f is None}
             known = unknown & self.older.keys()
             self.words.update({word: self.older[word] for word in known})
             self._learn(list(unknown - known))
+            unknown.clear()
             for text, ps, fs in zip(block, pieces, found, strict=True):
                 try:
                     out.append(b"".join(map(get, ps) if None in fs else fs))

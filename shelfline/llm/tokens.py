@@ -61,7 +61,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + _U(level + 1) * _U(0x9E3779B97F4A7C15)) % _U(size)).astype(np.int64)
+        return (mix(keys + _U((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % _U(size)).astype(np.int64)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key; of a key that was not built in, any value or -1."""
