@@ -124,7 +124,7 @@ def _vectors(table: int, names: np.ndarray, ids: np.ndarray, rows: np.ndarray) -
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket as matrices of one bucket each."""
+    """Rows sorted by bucket as matrices of one bucket and one width each."""
     held, key = [], None
 
     def flush() -> tuple:
@@ -137,7 +137,8 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = column(batch, "vector")
         flat, ends = np.asarray(vectors.flatten(), np.float64), np.cumsum(vectors.value_lengths().to_numpy())
         for i, here in enumerate(zip(tables, buckets, strict=True)):
-            if held and (here != key or len(held) == ROWS):
+            width = ends[i] - (ends[i - 1] if i else 0)
+            if held and (here != key or len(held) == ROWS or width != len(held[0][1])):
                 out.append(flush())
                 held = []
             key = here

@@ -136,10 +136,12 @@ class Scanner:
             for w in seeds:
                 for i in (i for i, x in enumerate(template) if x == w):
                     for p in places.get(w, ()):
-                        begin, end = max(0, int(p) - i - slack), min(len(words), int(p) + size - i + slack)
-                        pairs = align(template, words[begin:end].tolist())
-                        if len(pairs) >= least:
-                            hits.add((len(pairs), begin + pairs[0][1], begin + pairs[-1][1] + 1))
+                        # Words around a copy may repeat its anchors, so its own length is tried too.
+                        for more in (0, slack):
+                            begin, end = max(0, int(p) - i - more), min(len(words), int(p) + size - i + more)
+                            pairs = align(template, words[begin:end].tolist())
+                            if len(pairs) >= least:
+                                hits.add((len(pairs), begin + pairs[0][1], begin + pairs[-1][1] + 1))
             taken: list[tuple[int, int]] = []
             for matched, begin, end in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
                 if all(end <= a or begin >= z for a, z in taken):

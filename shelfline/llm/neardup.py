@@ -281,8 +281,9 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smaller id. Rows without words stay, and so do rows with a NULL id.
     """
     found = near_duplicates(documents, id_col, text_col, **options)
-    gone = found.filter("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = stage(gone, "gone")
+    gone = stage(found.filter("doc_id > component_id").select("doc_id").distinct(), "gone")
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     # Only rows that may go are moved.
-    asked = likely_in(documents, id_col, gone).join(gone, id_col, "left_anti").select(*documents.columns)
-    return likely_in(documents, id_col, gone, negate=True).select(*documents.columns).unionByName(asked)
+    asked = likely_in(rows, "doc_id", gone).join(gone, "doc_id", "left_anti").select("row")
+    kept = likely_in(rows, "doc_id", gone, negate=True).select("row").unionByName(asked)
+    return kept.select(*[F.col(f"row.`{c}`") for c in documents.columns])

@@ -1,0 +1,63 @@
+"""The classifier against a direct computation, and its accuracy on rows it has not seen."""
+
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from llm_rows import clashing, documents, empty  # noqa: F401
+
+from shelfline.llm import quality
+
+DATA = "/root/testdata/sf0.01"
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(scores))
+    rank[order] = np.arange(1, len(scores) + 1)
+    ones = labels == 1
+    return (rank[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables not there")
+def test_held_out_rows(spark):
+    described = quality.describe(spark.read.parquet(f"{DATA}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = {r.doc_id: r for r in quality.score(described, quality.fit(described, labels)).collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows.values())
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
+    held = [(rows[x.doc_id].score, x.quality) for x in labels.collect() if rows[x.doc_id].held_out]
+    scores, truth = (np.array(c) for c in zip(*held, strict=True))
+    assert auc(scores, truth) > 0.98
+    assert ((scores >= 0.5) == truth).mean() > 0.95
+
+
+def test_scores_equal_the_textbook_formula(spark):
+    rng = np.random.default_rng(0)
+    size = len(quality.STATISTICS)
+    rows = np.concatenate((rng.normal(0, 1, (300, size)), rng.normal(0.5, 2, (200, size))))
+    labels = np.repeat([1, 0], [300, 200])
+    sums = np.stack([np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel())) for x in (rows[labels == 0], rows[labels == 1])])
+    got = quality.Model(sums).score(rows)
+    parts = [rows[labels == k] for k in (0, 1)]
+    cov = [np.cov(x.T, bias=True) for x in parts]
+    pooled = (200 * cov[0] + 300 * cov[1]) / 500
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(size)
+    logs = []
+    for x, c in zip(parts, cov, strict=True):
+        s, d = 0.5 * c + 0.5 * pooled, rows - x.mean(0)
+        logs.append(np.log(len(x)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    assert np.allclose(got, 1 / (1 + np.exp((logs[0] - logs[1]) / size)))
+
+
+def test_messy_rows(spark, documents, clashing, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 1), (5, None, 0), (None, 1, 0), (9, 7, 0), (11, 0, 0)], "doc_id long, quality int, toxic int")
+    described = quality.describe(clashing)
+    found = quality.score(described, quality.fit(described, labels)).collect()
+    assert len(found) == clashing.count() and all(0 <= r.score <= 1 for r in found)
+    model = quality.fit(described, labels.limit(0))
+    assert {r.score for r in quality.score(described, model).collect()} == {0.5}
+    assert quality.score(quality.describe(empty), model).count() == 0
+    kept = quality.keep_good(clashing, model)
+    assert kept.columns == clashing.columns and kept.count() == clashing.count()
