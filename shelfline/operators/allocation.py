@@ -17,30 +17,25 @@ from the start.
 Taking off an accepted order that comes later than an undecided one is safe: it
 was accepted with the earlier one already counted. The earliest undecided order
 is always decided, so the rounds end; a round that rejects an order leaves
-less demand, and one that accepts leaves fewer lines. Once at most
-``tail_lines`` lines are undecided, one task replays them in sequence, as a long
-chain of dependent orders would otherwise cost a round per link.
+less demand, and one that accepts leaves fewer lines. A chain of orders of which
+each depends on the one before takes a round per link.
+
+Lines are written once in blocks by product and sequence; a round reads the
+undecided ones and writes them back with its verdicts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import groupby
-from operator import itemgetter
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.order import line_amount
-from shelfline.operators.running import HOT_ROWS, HotKeys, find_hot, running
+from shelfline.operators.running import blocked, over_blocks
 from shelfline.session import stage
 
-# Undecided lines that one task may replay, a few megabytes and about a second of work.
-TAIL_LINES = 100_000
-
 
 @dataclass
 class Allocation:
@@ -52,33 +47,23 @@ class Allocation:
     rounds: int
 
 
-def confirm_orders(
-    lines: DataFrame,
-    producto: DataFrame,
-    *,
-    hot_rows: int = HOT_ROWS,
-    tail_lines: int = TAIL_LINES,
-) -> Allocation:
+def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
     """Allocate stock to the orders in ``lines``, in (ts, id_solicitud) sequence.
 
     ``lines`` has id_solicitud, ts, id_producto, cantidad and any further
-    columns. Repeated products of an order add up. An order with a quantity
-    below 1 or an unknown product is rejected whole.
+    columns. Repeated products of an order add up, and the earliest ts of an
+    order's lines is the order's. An order with a quantity below 1 or an unknown
+    product is rejected whole.
     """
     stocks = producto.select("id_producto", F.col("stock_actual").alias("free"))
     needs = stage(_needs(lines, stocks), "needs")
-    orders = needs.groupBy("id_solicitud").agg(
-        F.max("unfit").alias("unfit"), F.count(F.lit(1)).alias("lines")
-    )
-    unfit = orders.filter("unfit").select("id_solicitud")
-    wide_orders = (orders.agg(F.max("lines")).first()[0] or 0) > hot_rows
-    rejected = [unfit]
-    fit = needs.drop("unfit").join(unfit, "id_solicitud", "left_anti")
-    undecided = _contended(fit)
-    hot = find_hot(needs, ["id_producto"], hot_rows)
+    orders = needs.groupBy("id_solicitud").agg(F.max("unfit").alias("_unfit"), F.min("ts").alias("ts"))
+    rejected = [orders.filter("_unfit").select("id_solicitud")]
+    fit = needs.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud")
+    undecided = blocked(_contended(fit), ["id_producto"], ["ts", "id_solicitud"])
     rounds = 0
     while True:
-        decided = stage(_decide(undecided, hot, wide_orders), f"round_{rounds}")
+        decided = stage(_decide(undecided), f"round_{rounds}")
         left, done, denied = decided.agg(
             F.count(F.lit(1)), F.count("accepted"), F.count_if(~F.col("accepted"))
         ).first()
@@ -90,9 +75,6 @@ def confirm_orders(
         if done == left:
             break
         undecided = _carry_over(decided)
-        if left - done <= tail_lines:
-            rejected.append(_replay(undecided))
-            break
     refused = stage(reduce(DataFrame.unionByName, rejected), "rejected")
     accepted = lines.join(refused, "id_solicitud", "left_anti")
     return Allocation(accepted, refused, take_stock(producto, accepted), rounds)
@@ -170,25 +152,16 @@ def _contended(lines: DataFrame) -> DataFrame:
     return lines.join(short, "id_producto", "left_semi")
 
 
-def _decide(lines: DataFrame, hot: HotKeys, wide_orders: bool) -> DataFrame:
+def _decide(lines: DataFrame) -> DataFrame:
     """The lines with their order's verdict: true, false or NULL for not yet."""
-    ranked = running(
-        lines, ["id_producto"], ["ts", "id_solicitud"], {"_upto": ("sum", "q")}, hot=hot
-    ).select(
+    ranked = over_blocks(lines, ["id_producto"], ["ts", "id_solicitud"], {"_upto": ("sum", "q")}).select(
         *lines.columns,
-        (F.col("_upto") <= F.col("free")).alias("fits"),
-        (F.col("q") > F.col("free")).alias("lacks"),
+        (F.col("_upto") <= F.col("free")).alias("_fits"),
+        (F.col("q") > F.col("free")).alias("_lacks"),
     )
-    if wide_orders:
-        # An order too long for one task: its verdict is summed up and joined back.
-        verdict = F.when(F.min("fits"), F.lit(True)).when(F.max("lacks"), F.lit(False))
-        verdicts = ranked.groupBy("id_solicitud").agg(verdict.alias("accepted"))
-        return lines.join(verdicts, "id_solicitud")
-    order = Window.partitionBy("id_solicitud")
-    verdict = F.when(F.min("fits").over(order), F.lit(True)).when(
-        F.max("lacks").over(order), F.lit(False)
-    )
-    return ranked.withColumn("accepted", verdict).drop("fits", "lacks")
+    verdict = F.when(F.min("_fits"), F.lit(True)).when(F.max("_lacks"), F.lit(False))
+    verdicts = ranked.groupBy("id_solicitud").agg(verdict.alias("accepted"))
+    return ranked.drop("_fits", "_lacks").join(verdicts, "id_solicitud")
 
 
 def _carry_over(decided: DataFrame) -> DataFrame:
@@ -203,36 +176,3 @@ def _carry_over(decided: DataFrame) -> DataFrame:
         .withColumn("free", F.col("free") - F.coalesce("_taken", F.lit(0)))
         .drop("_taken")
     )
-
-
-def _replay(lines: DataFrame) -> DataFrame:
-    """Ids of the rejected orders among few lines, by going through them in sequence."""
-    ordered = (
-        lines.select("ts", "id_solicitud", "id_producto", "q", "free")
-        .repartition(1)
-        .sortWithinPartitions("ts", "id_solicitud")
-        .select("id_solicitud", "id_producto", "q", "free")
-    )
-    return ordered.mapInArrow(_replayer(), ordered.select("id_solicitud").schema)
-
-
-def _replayer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The replay as an inner function, which executors get without this package."""
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        free: dict[int, int] = {}
-        refused = []
-        for order, cart in groupby(rows, key=itemgetter(0)):
-            wanted = []
-            for _, product, quantity, start in cart:
-                free.setdefault(product, start)
-                wanted.append((product, quantity))
-            if all(quantity <= free[product] for product, quantity in wanted):
-                for product, quantity in wanted:
-                    free[product] -= quantity
-            else:
-                refused.append(order)
-        yield pa.RecordBatch.from_pydict({"id_solicitud": pa.array(refused, pa.int64())})
-
-    return replay

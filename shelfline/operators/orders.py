@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from shelfline.functions.order import line_amount, status_class
 from shelfline.functions.product import description_fields, product_code
 from shelfline.functions.text import contains_lower, or_default, padded
-from shelfline.operators.running import find_hot, running
 
 Tables = Mapping[str, DataFrame]
 
-LIST_NAMES = 10_000
-
 
 def with_customer(orders: DataFrame, t: Tables, *columns: str) -> DataFrame:
     """Orders joined to their customer's person; orders without one drop out."""
@@ -87,54 +84,43 @@ def order_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     ).join(products, "id_producto")
 
 
-def order_items(lines: DataFrame, producto: DataFrame, list_names: int = LIST_NAMES) -> DataFrame:
-    """Per order: its product names in one text and its item count.
+def order_items(lines: DataFrame, producto: DataFrame) -> DataFrame:
+    """The product names of each order, a row per name, with its lines and pieces.
 
-    A text holds at most ``list_names`` names. A longer order goes on in rows
-    with ``parte`` 1, 2, ... so that no task has to hold one order's whole list;
-    ``total_items`` counts the whole order on each of them.
+    A name is listed however many lines an order has, so nothing is cut; lines of
+    unknown products have no name and no row.
     """
-    rows = lines.filter(F.col("id_solicitud").isNotNull())
-    named = rows.join(
-        producto.select("id_producto", "nombre_producto"), "id_producto", "left"
-    )
-    text = F.expr("listagg(nombre_producto, ', ') WITHIN GROUP (ORDER BY nombre_producto)")
-    items = F.sum(F.col("cantidad").cast("long")).alias("total_items")
-    long_orders = find_hot(rows, ["id_solicitud"], list_names)
-    if not long_orders.rows:
-        return named.groupBy("id_solicitud").agg(text.alias("productos"), items).select(
-            "id_solicitud", F.lit(0).alias("parte"), "productos", "total_items"
-        )
-    totals = rows.groupBy("id_solicitud").agg(items)
-    ordinary = (
-        named.join(long_orders.keys, "id_solicitud", "left_anti")
-        .withColumn("parte", F.lit(0).cast("int"))
-        .select("id_solicitud", "parte", "nombre_producto")
-    )
-    # Rows with equal (order, name, tie) are interchangeable in the text.
-    tie = "id_detalle" if "id_detalle" in lines.columns else "id_producto"
-    ranked = running(
-        named.join(long_orders.keys, "id_solicitud", "left_semi").withColumn("_one", F.lit(1)),
-        ["id_solicitud"],
-        ["nombre_producto", tie],
-        {"_position": ("sum", "_one")},
+    named = _per_product(lines).join(producto.select("id_producto", "nombre_producto"), "id_producto")
+    return (
+        named.filter(F.col("nombre_producto").isNotNull())
+        .groupBy("id_solicitud", "nombre_producto")
+        .agg(F.sum("lineas").alias("lineas"), F.sum("cantidad").alias("cantidad"))
     )
-    long = ranked.select(
-        "id_solicitud",
-        F.floor((F.col("_position") - 1) / list_names).cast("int").alias("parte"),
-        "nombre_producto",
+
+
+def _per_product(lines: DataFrame) -> DataFrame:
+    """Lines and pieces per order and product."""
+    return (
+        lines.filter(F.col("id_solicitud").isNotNull())
+        .groupBy("id_solicitud", "id_producto")
+        .agg(F.count(F.lit(1)).alias("lineas"), F.sum(F.col("cantidad").cast("long")).alias("cantidad"))
     )
-    texts = ordinary.unionByName(long).groupBy("id_solicitud", "parte").agg(text.alias("productos"))
-    return texts.join(totals, "id_solicitud")
 
 
-def order_board(t: Tables, list_names: int = LIST_NAMES) -> DataFrame:
-    """Orders with contact data and product list, newest first.
+def order_board(t: Tables) -> DataFrame:
+    """Orders with contact data, number of product names and of pieces, newest first.
 
     Lines are summed before any other join, and a person with several users
-    shows the first user's mail, so neither repeats nor inflates an order.
+    shows the first user's mail, so neither repeats nor inflates an order. The
+    names themselves are rows of ``order_items``.
     """
-    items = order_items(t["detalle_solicitud"], t["producto"], list_names)
+    names = t["producto"].select("id_producto", F.col("nombre_producto").isNotNull().alias("_named"))
+    items = (
+        _per_product(t["detalle_solicitud"])
+        .join(names, "id_producto", "left")
+        .groupBy("id_solicitud")
+        .agg(F.sum(F.when(F.col("_named"), F.col("lineas"))).alias("productos"), F.sum("cantidad").alias("total_items"))
+    )
     mails = t["usuario"].groupBy("id_persona").agg(F.min_by("correo", "id_usuario").alias("correo"))
     board = (
         with_customer(
@@ -149,15 +135,14 @@ def order_board(t: Tables, list_names: int = LIST_NAMES) -> DataFrame:
     )
     return board.select(
         "id_solicitud",
-        F.coalesce("parte", F.lit(0)).alias("parte"),
         F.col("nombre").alias("cliente"),
         or_default("telefono", "N/A").alias("telefono"),
         "direccion",
         or_default("correo", "N/A").alias("correo"),
         "estado",
-        or_default("productos", "Sin productos").alias("productos"),
+        F.coalesce("productos", F.lit(0)).alias("productos"),
         F.coalesce("total_items", F.lit(0)).alias("total_items"),
-    ).orderBy(F.desc("id_solicitud"), "parte")
+    ).orderBy(F.desc("id_solicitud"))
 
 
 def cart_totals(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.text import clean_input, key
 from shelfline.operators.allocation import confirm_orders
 from shelfline.operators.orders import Tables
-from shelfline.operators.running import HOT_ROWS, highest, number_rows
+from shelfline.operators.running import highest, number_rows
 from shelfline.session import stage
 
 STAFF_ROLE, STAFF_POST, ADMIN_ROLE = "Empleado", "Operador", "Administrador"
@@ -40,9 +40,7 @@ class Resolved:
     new_cliente: DataFrame
 
 
-def resolve_customers(
-    feed: DataFrame, persona: DataFrame, cliente: DataFrame, *, hot_rows: int = HOT_ROWS
-) -> Resolved:
+def resolve_customers(feed: DataFrame, persona: DataFrame, cliente: DataFrame) -> Resolved:
     """Find or create the person and customer of each order.
 
     ``feed`` has id_solicitud, ts, cedula, nombre, direccion, telefono and any
@@ -70,16 +68,11 @@ def resolve_customers(
         firsts.join(known, "_key", "left").select("_data.*", "_at.*", "id_persona", "id_cliente"),
         "asked",
     )
-    persons_wanted, clients_wanted = asked.agg(
-        F.count_if(F.col("id_persona").isNull()), F.count_if(F.col("id_cliente").isNull())
-    ).first()
     created = number_rows(
         asked.filter(F.col("id_persona").isNull()).drop("id_persona"),
         ["ts", "id_solicitud"],
         "id_persona",
         highest(persona, "id_persona"),
-        persons_wanted,
-        hot_rows,
     )
     with_person = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
     joined = number_rows(
@@ -87,8 +80,6 @@ def resolve_customers(
         ["ts", "id_solicitud"],
         "id_cliente",
         highest(cliente, "id_cliente"),
-        clients_wanted,
-        hot_rows,
     )
     ids = with_person.filter(F.col("id_cliente").isNotNull()).unionByName(joined)
     resolved = cleaned.withColumn("_key", key("cedula")).join(
@@ -114,9 +105,7 @@ class StaffChange:
 STAFF_VARIANTS = ("managed", "anonymous", "direct")
 
 
-def register_staff(
-    feed: DataFrame, t: Tables, variant: str = "managed", *, hot_rows: int = HOT_ROWS
-) -> StaffChange:
+def register_staff(feed: DataFrame, t: Tables, variant: str = "managed") -> StaffChange:
     """Register a batch of staff in ``seq`` sequence; mails are unique.
 
     ``feed`` has seq, ts, cedula, nombre, email, clave_hash and
@@ -151,13 +140,13 @@ def register_staff(
     )
     candidates = checked.filter("motivo IS NULL").drop("motivo")
     if variant == "direct":
-        accepted = _first_free(candidates, t["persona"], hot_rows)
+        accepted = _first_free(candidates, t["persona"])
     else:
         firsts = candidates.groupBy(key("email").alias("_mail")).agg(F.min("seq").alias("seq"))
         accepted = candidates.join(firsts.select("seq"), "seq", "left_semi")
     accepted = stage(accepted, "accepted")
     refused = candidates.join(accepted.select("seq"), "seq", "left_anti")
-    persona, usuario = _new_users(accepted, t, hot_rows)
+    persona, usuario = _new_users(accepted, t)
     empleado = t["empleado"].limit(0)
     if variant == "managed":
         # Users and employees are numbered in the same sequence.
@@ -173,7 +162,7 @@ def register_staff(
     return StaffChange(persona, usuario, empleado, rejects)
 
 
-def _first_free(candidates: DataFrame, persona: DataFrame, hot_rows: int) -> DataFrame:
+def _first_free(candidates: DataFrame, persona: DataFrame) -> DataFrame:
     """Rows whose mail and document number no earlier accepted row has used.
 
     Each row asks for one unit of its mail and one of its document number, and
@@ -189,11 +178,8 @@ def _first_free(candidates: DataFrame, persona: DataFrame, hot_rows: int) -> Dat
         ).alias("_name"),
         F.lit(1).alias("cantidad"),
     )
-    names = stage(
-        asks.groupBy(key("_name").alias("_key")).agg(F.min("_name").alias("_name")).select("_name"),
-        "names",
-    )
-    units = number_rows(names, ["_name"], "id_producto", 0, names.count(), hot_rows)
+    names = asks.groupBy(key("_name").alias("_key")).agg(F.min("_name").alias("_name")).select("_name")
+    units = number_rows(names, ["_name"], "id_producto", 0)
     taken = persona.select(key(F.concat(F.lit("c"), F.col("cedula"))).alias("_key"), F.lit(0).alias("_free"))
     keyed = units.withColumn("_key", key("_name"))
     stock = keyed.join(taken, "_key", "left").select(
@@ -202,27 +188,23 @@ def _first_free(candidates: DataFrame, persona: DataFrame, hot_rows: int) -> Dat
     lines = asks.withColumn("_key", key("_name")).join(
         keyed.select("_key", "id_producto"), "_key"
     ).select("id_solicitud", "ts", "id_producto", "cantidad")
-    served = confirm_orders(lines, stock, hot_rows=hot_rows)
+    served = confirm_orders(lines, stock)
     return candidates.join(
         served.rejected.withColumnRenamed("id_solicitud", "seq"), "seq", "left_anti"
     )
 
 
-def _new_users(accepted: DataFrame, t: Tables, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _new_users(accepted: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     known = t["persona"].select(key("cedula").alias("_key"), "id_persona")
     firsts = accepted.groupBy(key("cedula").alias("_key")).agg(
         F.min_by(F.struct("seq", "cedula", "nombre"), "seq").alias("_data")
     )
     asked = stage(firsts.join(known, "_key", "left").select("_data.*", "id_persona"), "people")
     wanted = asked.filter(F.col("id_persona").isNull()).drop("id_persona")
-    created = number_rows(
-        wanted, ["seq"], "id_persona", highest(t["persona"], "id_persona"), wanted.count(), hot_rows
-    )
+    created = number_rows(wanted, ["seq"], "id_persona", highest(t["persona"], "id_persona"))
     people = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
     numbered = (
-        number_rows(
-            accepted, ["seq"], "id_usuario", highest(t["usuario"], "id_usuario"), accepted.count(), hot_rows
-        )
+        number_rows(accepted, ["seq"], "id_usuario", highest(t["usuario"], "id_usuario"))
         .withColumn("_key", key("cedula"))
         .join(people.select(key("cedula").alias("_key"), "id_persona"), "_key")
         .drop("_key")

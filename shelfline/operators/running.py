@@ -1,25 +1,25 @@
-"""Running sums and maxima that stay distributed when one key holds most rows.
-
-A window function reads each key's rows in one task. That is fine for ordinary
-keys and hopeless for a product ordered a billion times, so keys above
-``hot_rows`` take another way: their rows are range-partitioned by key and
-order into blocks, each block is reduced to one row, the block totals are
-accumulated, and every row adds its block's start value to a window inside the
-block. The two ways give the same values.
+"""Running sums and maxima, and numbering, spread over tasks whatever the keys are.
+
+Rows are range-partitioned by key and order into blocks and written once, which
+fixes the block of each row. Every block is reduced to a row per key, the block
+totals are accumulated, and a row adds its block's start to a window inside the
+block. A key that holds most rows runs through many blocks. There is one way for
+all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.session import stage
 
-HOT_ROWS = 1_000_000
-
 _REDUCE = {"sum": F.sum, "max": F.max}
+#: Name of the block column that ``blocked`` adds.
+BLOCK = "_block"
 
 
 def running(
@@ -29,60 +29,62 @@ def running(
     totals: Mapping[str, tuple[str, str]],
     *,
     inclusive: bool = True,
-    hot_rows: int = HOT_ROWS,
-    hot: "HotKeys | None" = None,
 ) -> DataFrame:
     """``df`` with a running value per entry of ``totals``.
 
     ``totals`` maps a new column to ("sum" | "max", source column). ``order``
     must make a total order inside a key, up to rows equal in every used column.
     With ``inclusive=False`` the row itself is left out and the first row gets
-    NULL. ``hot`` passes hot keys already found, where a caller repeats the call
-    over shrinking input.
+    NULL.
     """
-    hot = hot or find_hot(df, keys, hot_rows)
-    if not hot.rows:
-        return _by_window(df, keys, order, totals, inclusive)
-    if not keys:
-        return _by_blocks(df, keys, order, totals, inclusive, hot.blocks)
-    cold = _by_window(df.join(hot.keys, list(keys), "left_anti"), keys, order, totals, inclusive)
-    dense = _by_blocks(
-        df.join(hot.keys, list(keys), "left_semi"), keys, order, totals, inclusive, hot.blocks
-    )
-    return cold.unionByName(
-        dense.withColumns({name: F.col(name).cast(cold.schema[name].dataType) for name in totals})
-    )
-
-
-class HotKeys:
-    """Keys with more than ``hot_rows`` rows; there are at most N / hot_rows."""
-
-    def __init__(self, keys: DataFrame, rows: int, hot_rows: int):
-        self.keys = keys
-        self.rows = rows
-        self.blocks = rows // hot_rows + 2
-
-
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = counted.filter(F.col("_rows") > hot_rows)
-    rows = large.agg(F.sum("_rows")).first()[0] or 0
-    if rows and keys:
-        large = stage(large, "hot_keys")
-    return HotKeys(large.select(*keys), rows, hot_rows)
-
-
-def number_rows(
-    df: DataFrame, order: Sequence[str], name: str, start: int, rows: int, hot_rows: int = HOT_ROWS
+    return over_blocks(blocked(df, keys, order), keys, order, totals, inclusive=inclusive).drop(BLOCK)
+
+
+def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` written in blocks that follow each other by key and order."""
+    # Range bounds come from a sample, so the block of a row is fixed by writing it down once.
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    return stage(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+
+
+def over_blocks(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    totals: Mapping[str, tuple[str, str]],
+    *,
+    inclusive: bool = True,
 ) -> DataFrame:
+    """Running values over rows that ``blocked`` gave, or a part of them."""
+    sums = rows.groupBy(*keys, BLOCK).agg(*[_REDUCE[how](col).alias(name) for name, (how, col) in totals.items()])
+    before = _frame(keys, [BLOCK], inclusive=False)
+    starts = [_REDUCE[how](name).over(before).alias(f"_start_{name}") for name, (how, _) in totals.items()]
+    names = [f"_key_{i}" for i in range(len(keys))]
+    # A block goes on with one key at most, so no more rows are left than there are blocks.
+    carried = sums.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(BLOCK).alias("_of"), *starts)
+    carried = carried.filter(reduce(Column.__or__, [F.col(f"_start_{name}").isNotNull() for name in totals]))
+    frame = _frame([*keys, BLOCK], order, inclusive)
+    inside = rows.withColumns({name: _REDUCE[how](col).over(frame) for name, (how, col) in totals.items()})
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    joined = inside.join(F.broadcast(carried), reduce(Column.__and__, same, F.col(BLOCK) == F.col("_of")), "left")
+    return joined.withColumns(
+        {name: _added(how, F.col(f"_start_{name}"), F.col(name)) for name, (how, _) in totals.items()}
+    ).drop("_of", *names, *[f"_start_{name}" for name in totals])
+
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int) -> DataFrame:
     """Consecutive ids ``start + 1, start + 2, ...`` in the given order.
 
-    ``rows`` is the number of rows in ``df``: up to ``hot_rows`` of them are
-    numbered by one window, more are numbered block by block.
+    Each block numbers its rows; only the blocks' sizes are added up in one place.
     """
-    whole = HotKeys(df, rows if rows > hot_rows else 0, hot_rows)
-    ranked = running(df.withColumn("_one", F.lit(1)), [], order, {name: ("sum", "_one")}, hot=whole)
-    return ranked.withColumn(name, F.col(name) + F.lit(start).cast("long")).drop("_one")
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    ranged = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias(BLOCK)).agg(F.count(F.lit(1)).alias("_rows"))
+    before = _frame([], [BLOCK], inclusive=False)
+    starts = sizes.select(BLOCK, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    number = F.expr("_at & 8589934591") + F.col("_before") + F.lit(start + 1).cast("long")
+    return ranged.withColumn(BLOCK, part).join(F.broadcast(starts), BLOCK).withColumn(name, number).drop(BLOCK, "_at", "_before")
 
 
 def highest(df: DataFrame, column: str) -> int:
@@ -95,31 +97,6 @@ def _frame(keys: Sequence[str], order: Sequence[str | Column], inclusive: bool):
     return spec.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
-def _by_window(df, keys, order, totals, inclusive):
-    frame = _frame(keys, order, inclusive)
-    return df.withColumns({name: _REDUCE[how](col).over(frame) for name, (how, col) in totals.items()})
-
-
-def _by_blocks(df, keys, order, totals, inclusive, blocks):
-    # Range bounds come from a sample, so the block of a row is fixed by writing it down once.
-    blocked = stage(
-        df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id()),
-        "blocks",
-    )
-    cut = [*keys, "_block"]
-    sums = blocked.groupBy(*cut).agg(
-        *[_REDUCE[how](col).alias(name) for name, (how, col) in totals.items()]
-    )
-    before = _frame(keys, ["_block"], inclusive=False)
-    starts = sums.select(
-        *cut, *[_REDUCE[how](name).over(before).alias(f"_start_{name}") for name, (how, _) in totals.items()]
-    )
-    inside = _by_window(blocked, cut, order, totals, inclusive).join(starts, cut)
-    return inside.withColumns(
-        {name: _added(how, F.col(f"_start_{name}"), F.col(name)) for name, (how, _) in totals.items()}
-    ).drop("_block", *[f"_start_{name}" for name in totals])
-
-
 def _added(how: str, start: Column, value: Column) -> Column:
     if how == "sum":
         return F.coalesce(start + value, start, value)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.order import PAGE_TRANSITIONS, stored_status
 from shelfline.operators.allocation import change_stock
-from shelfline.operators.running import HOT_ROWS, running
+from shelfline.operators.running import running
 from shelfline.schema import ORDER_STATES
 
 MODES = ("reference", "strict")
@@ -50,7 +50,7 @@ def screen_changes(changes: DataFrame, orders: DataFrame) -> tuple[DataFrame, Da
     )
 
 
-def status_transitions(usable: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def status_transitions(usable: DataFrame) -> DataFrame:
     """Each change with the status it replaces, in (ts, event_id) sequence.
 
     ``devuelve`` marks the changes that give stock back: those into
@@ -62,7 +62,6 @@ def status_transitions(usable: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFr
         ["ts", "event_id"],
         {"_before": ("max", "_at")},
         inclusive=False,
-        hot_rows=hot_rows,
     )
     previous = F.when(F.col("_before").isNull(), F.col("actual")).otherwise(F.col("_before.estado"))
     return stepped.withColumn("previo", previous).select(
@@ -129,8 +128,6 @@ def apply_status(
     lines: DataFrame,
     producto: DataFrame,
     mode: str = "reference",
-    *,
-    hot_rows: int = HOT_ROWS,
 ) -> StatusResult:
     """Apply a batch of status changes to orders and stock.
 
@@ -142,7 +139,7 @@ def apply_status(
         raise ValueError(f"unknown mode {mode!r}")
     usable, rejects = screen_changes(changes, orders)
     if mode == "reference":
-        steps = status_transitions(usable, hot_rows=hot_rows)
+        steps = status_transitions(usable)
     else:
         steps = page_transitions(usable)
         refused = usable.drop("actual").join(steps.select("event_id"), "event_id", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.product import description_json
 from shelfline.operators.allocation import change_stock
 from shelfline.operators.orders import Tables
-from shelfline.operators.running import HOT_ROWS, find_hot, highest, number_rows, running
+from shelfline.operators.running import highest, number_rows, running
 from shelfline.schema import LOW_STOCK, MONEY
 
 
@@ -55,14 +55,12 @@ def cancel_orders(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def upsert_products(
-    feed: DataFrame, producto: DataFrame, *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def upsert_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
     """New products appended, known ones changed in name, description and price.
 
     ``feed`` has id_producto (NULL for a new product), codigo, nombre,
-    marca_repuesto, marca_carro, transmision, compra, precio, stock and seq, the
-    sequence number of the row. The last change of a product wins. A change of an
+    marca_repuesto, marca_carro, transmision, compra, precio, stock, seq, the
+    sequence number of the row, and may have imagen, kept for new products. The last change of a product wins. A change of an
     unknown product does nothing. New products number on from the highest id.
     """
     text = description_json(
@@ -82,9 +80,7 @@ def upsert_products(
         "precio": F.when(given, F.col("_new._price")).otherwise(F.col("precio")),
     }
     new = rows.filter(F.col("id_producto").isNull()).drop("id_producto")
-    fresh = number_rows(
-        new, ["seq"], "id_producto", highest(producto, "id_producto"), new.count(), hot_rows
-    )
+    fresh = number_rows(new, ["seq"], "id_producto", highest(producto, "id_producto"))
     code = F.coalesce(F.nullif(F.col("codigo"), F.lit("")), F.concat(F.lit("PROD-"), F.col("id_producto")))
     created = fresh.select(
         "id_producto",
@@ -93,6 +89,7 @@ def upsert_products(
         F.col("_text").alias("descripcion"),
         F.col("_price").alias("precio"),
         F.col("stock").cast("int").alias("stock_actual"),
+        *([F.col("imagen")] if "imagen" in feed.columns else []),
     )
     return (
         changed.withColumns(replaced)
@@ -142,9 +139,7 @@ def movements(sales: DataFrame, receipts: DataFrame, returns: DataFrame) -> Data
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-def stock_ledger(
-    moves: DataFrame, opening: DataFrame | None = None, *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def stock_ledger(moves: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Movements with the balance after each, from ``opening`` (default 0).
 
     The sequence is (ts, tipo, ref). Movements of one product with the same
@@ -152,9 +147,7 @@ def stock_ledger(
     """
     known = moves.filter(F.col("id_producto").isNotNull())
     merged = known.groupBy("id_producto", "ts", "tipo", "ref").agg(F.sum("cantidad").alias("cantidad"))
-    # Counted before merging: cheaper, and never below the merged count.
-    hot = find_hot(known, ["id_producto"], hot_rows)
-    ledger = running(merged, ["id_producto"], ["ts", "tipo", "ref"], {"saldo": ("sum", "cantidad")}, hot=hot)
+    ledger = running(merged, ["id_producto"], ["ts", "tipo", "ref"], {"saldo": ("sum", "cantidad")})
     if opening is None:
         return ledger
     start = opening.select("id_producto", F.col("stock_actual").cast("long").alias("_start"))

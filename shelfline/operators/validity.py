@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.operators.running import HOT_ROWS, running
+from shelfline.operators.running import running
 
 # Kinds of rows in the code feed.
 ISSUED, TRIED, CONSUMED = "emitido", "intento", "consumido"
@@ -18,9 +18,7 @@ def still_open(issued: Column, tried: Column, minutes: int = TTL_MINUTES) -> Col
     return expiry > F.date_trunc("second", tried)
 
 
-def code_validity(
-    feed: DataFrame, minutes: int = TTL_MINUTES, *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def code_validity(feed: DataFrame, minutes: int = TTL_MINUTES) -> DataFrame:
     """Each attempt with the code it meets and whether that code is valid.
 
     ``feed`` has id_usuario, ts, event_id and tipo. A new code replaces the old
@@ -37,7 +35,6 @@ def code_validity(
         ["id_usuario"],
         ["ts", "event_id"],
         {"_last_issue": ("max", "_issue"), "_last_use": ("max", "_use")},
-        hot_rows=hot_rows,
     )
     current = F.when(
         F.col("_last_use").isNull() | (F.col("_last_issue") > F.col("_last_use")),

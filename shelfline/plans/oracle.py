@@ -78,9 +78,8 @@ SELECT id_solicitud, estado, CAST(total AS DOUBLE) AS total,
   strftime(fecha_solicitud, '%Y-%m-%d %H:%M') AS fecha, nombre AS cliente
 FROM solicitud JOIN cliente USING (id_cliente) JOIN persona USING (id_persona)""",
     "items": """
-SELECT id_solicitud, string_agg(nombre_producto, ', ' ORDER BY nombre_producto) AS productos,
-  CAST(sum(cantidad) AS BIGINT) AS total_items
-FROM detalle_solicitud LEFT JOIN producto USING (id_producto) GROUP BY id_solicitud""",
+SELECT d.id_solicitud, count(p.nombre_producto) AS productos, CAST(sum(d.cantidad) AS BIGINT) AS total_items
+FROM detalle_solicitud d LEFT JOIN producto p ON p.id_producto = d.id_producto GROUP BY d.id_solicitud""",
     "pedidas": """
 SELECT event_id, CAST(10000000 + user_id * 11 AS VARCHAR)
   || CASE WHEN event_type = 'click' THEN ' ' ELSE '' END AS cedula
@@ -229,13 +228,15 @@ SELECT id_solicitud, nombre AS cliente, CAST(total AS DOUBLE) AS total, fecha_so
 FROM solicitud JOIN cliente USING (id_cliente) JOIN persona USING (id_persona)
 ORDER BY id_solicitud DESC LIMIT 5""",
     "order_board": """
-SELECT s.id_solicitud, 0 AS parte, p.nombre AS cliente, coalesce(p.telefono, 'N/A') AS telefono, p.direccion,
-  coalesce(u.correo, 'N/A') AS correo, s.estado, coalesce(i.productos, 'Sin productos') AS productos,
+SELECT s.id_solicitud, p.nombre AS cliente, coalesce(p.telefono, 'N/A') AS telefono, p.direccion,
+  coalesce(u.correo, 'N/A') AS correo, s.estado, coalesce(i.productos, 0) AS productos,
   coalesce(i.total_items, 0) AS total_items
 FROM solicitud s JOIN cliente c ON c.id_cliente = s.id_cliente JOIN persona p ON p.id_persona = c.id_persona
 LEFT JOIN usuario u ON u.id_persona = p.id_persona LEFT JOIN items i ON i.id_solicitud = s.id_solicitud
 ORDER BY s.id_solicitud DESC""",
-    "order_items": "SELECT id_solicitud, 0 AS parte, productos, total_items FROM items",
+    "order_items": """
+SELECT id_solicitud, nombre_producto, count(*) AS lineas, CAST(sum(cantidad) AS BIGINT) AS cantidad
+FROM detalle_solicitud JOIN producto USING (id_producto) WHERE nombre_producto IS NOT NULL GROUP BY ALL""",
     "cart_totals": """
 SELECT id_solicitud, CAST(sum(cantidad * precio_unitario) AS DOUBLE) AS total
 FROM detalle_con_precio GROUP BY id_solicitud""",

@@ -32,6 +32,15 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def split(spark):
+    """Small tables keep all their partitions, so that running values cross blocks."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
 def money(text: str | None) -> Decimal | None:
     return None if text is None else Decimal(text)
 

@@ -1,4 +1,4 @@
-"""Running values by window and by blocks give the same result as a plain loop."""
+"""Running values over blocks give the same result as a plain loop."""
 
 import random
 
@@ -6,19 +6,19 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from shelfline.operators.running import find_hot, number_rows, running
+from shelfline.operators.running import BLOCK, blocked, number_rows, running
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-@pytest.mark.parametrize("hot_rows", [10_000, 40, 3])
-def test_running_sum_and_max(spark, inclusive, hot_rows):
-    rng = random.Random(hot_rows)
-    data = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(5), n, rng.randrange(100)) for n in range(400)]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_running_sum_and_max(spark, split, inclusive, seed):
+    rng = random.Random(seed)
+    data = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(5), n, rng.randrange(100)) for n in range(400)]
     df = spark.createDataFrame(data, "k int, ts int, id int, v int").repartition(7)
     got = {
         r["id"]: (r["total"], r["top"])
         for r in running(df, ["k"], ["ts", "id"], {"total": ("sum", "v"), "top": ("max", "v")},
-                         inclusive=inclusive, hot_rows=hot_rows).collect()
+                         inclusive=inclusive).collect()
     }
     want, seen = {}, {}
     for k, _, n, v in sorted(data, key=lambda r: (r[1], r[2])):
@@ -29,25 +29,22 @@ def test_running_sum_and_max(spark, inclusive, hot_rows):
     assert got == want
 
 
-def test_one_key_with_most_rows_is_split(spark):
+def test_one_key_with_most_rows_is_split(spark, split):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.col("id").alias("ts"), F.lit(1).alias("v"))
-    hot = find_hot(df, ["k"], 100)
-    assert (hot.rows, hot.blocks) == (2000, 22)
-    assert rows(hot.keys) == [(-1,)]
-    got = running(df, ["k"], ["ts"], {"n": ("sum", "v")}, hot_rows=100).filter("k = -1")
+    assert blocked(df, ["k"], ["ts"]).filter("k = -1").select(BLOCK).distinct().count() > 1
+    got = running(df, ["k"], ["ts"], {"n": ("sum", "v")}).filter("k = -1")
     assert sorted(r[0] for r in rows(got, "n")) == list(range(1, 2001))
 
 
-def test_struct_maximum_gives_the_row_before(spark):
+def test_struct_maximum_gives_the_row_before(spark, split):
     df = spark.createDataFrame([(1, n, f"s{n}") for n in range(50)], "k int, ts int, s string").withColumn(
         "at", F.struct("ts", "s"))
-    got = running(df, ["k"], ["ts"], {"before": ("max", "at")}, inclusive=False, hot_rows=5)
+    got = running(df, ["k"], ["ts"], {"before": ("max", "at")}, inclusive=False)
     assert dict(rows(got, "ts", "before.s")) == {n: f"s{n - 1}" if n else None for n in range(50)}
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 10])
-def test_numbering(spark, hot_rows):
+def test_numbering(spark, split):
     df = spark.createDataFrame([(n,) for n in range(100)], "seq int").repartition(5)
-    got = number_rows(df, ["seq"], "id", 7, df.count(), hot_rows)
+    got = number_rows(df, ["seq"], "id", 7)
     assert dict(rows(got, "seq", "id")) == {n: n + 8 for n in range(100)}
