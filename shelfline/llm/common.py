@@ -18,7 +18,10 @@ from shelfline.session import stage
 __all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_counter", "ship", "stage", "word_spans", "hash_words"]
 
 #: Text bytes worked on at once in a task; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+#: Bytes of a batch between Spark and a Python worker; both sides hold a few of them per task.
+BATCH_BYTES = 16 << 20
 
 #: The separators between words: blank, tab, line feed, vertical tab, form feed, return.
 SEPARATORS = b" \t\n\v\f\r"
@@ -29,7 +32,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, as `--py-files` would."""
+    """Give the executors this package, once per application, as `--py-files` would; bound batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
