@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +25,6 @@ HTML_ENTITIES = (
 # Characters cut from both ends of submitted text.
 TRIMMED = " \t\n\r\0\x0b"
 
-# Accented Latin letters and the plain letters they search as.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
-
 # Month labels of the sales chart.
 MONTH_LABELS = ("Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "Oct", "Nov", "Dic")
 
@@ -47,12 +47,34 @@ def matches(column: str | Column, term: str, mode: str = "literal") -> Column:
     if mode == "literal":
         return F.contains(F.collate(column, SEARCH_COLLATION), F.lit(term))
     if mode == "like":
-        return F.like(fold(column), F.concat(F.lit("%"), fold(F.lit(term)), F.lit("%")))
+        return _like(F.collate(column, SEARCH_COLLATION), term)
     raise ValueError(f"unknown search mode {mode!r}")
 
 
-def fold(column: str | Column) -> Column:
-    return F.translate(F.lower(column), ACCENTED, PLAIN)
+def _like(text: Column, term: str) -> Column:
+    """Whether the parts of the term between ``%`` come one after another, as the collation compares.
+
+    The first place where a part fits is enough for the parts after it. In a part
+    ``_`` stands for one character, so its letters are compared place by place.
+    """
+    start, found = F.lit(1), text.isNotNull()
+    for part in filter(None, term.split("%")):
+        if "_" in part:
+            last = F.length(text) - len(part) + 1
+            places = F.when(last >= start, F.sequence(start, last))
+            place = F.coalesce(F.try_element_at(F.filter(places, _fitting(text, part)), F.lit(1)), F.lit(0))
+        else:
+            place = F.call_function("locate", F.lit(part), text, start)
+        found, start = found & (place > 0), place + len(part)
+    return found
+
+
+def _fitting(text: Column, part: str) -> Callable[[Column], Column]:
+    """Whether the letters of the part stand at a place of the text, its ``_`` skipped."""
+    runs = [(m.start(), m.group()) for m in re.finditer("[^_]+", part)]
+    return lambda place: reduce(
+        Column.__and__, [F.substring(text, place + o, F.lit(len(r))) == F.lit(r) for o, r in runs], F.lit(True)
+    )
 
 
 def escape_html(column: str | Column) -> Column:

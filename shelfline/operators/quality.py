@@ -87,6 +87,9 @@ def order_rules() -> dict[str, Column]:
         | (is_digits(phone) & (F.length(phone) <= PHONE_DIGITS)),
         "producto": F.col("id_producto").isNotNull(),
         "cantidad": quantity >= 1,
+        "pedido": F.col("id_solicitud").isNotNull(),
+        "fecha": F.col("ts").isNotNull(),
+        "precio": F.col("precio_unitario") >= 0,
     }
 
 

@@ -105,39 +105,22 @@ GROUP BY ALL""",
 SELECT m.*, CAST(sum(cantidad) OVER (PARTITION BY id_producto ORDER BY ts, tipo, ref) AS BIGINT)
   + coalesce(p.stock_actual, 0) AS saldo
 FROM movimientos m LEFT JOIN (SELECT id_producto AS pid, stock_actual FROM producto) p ON pid = id_producto""",
-    "personal": """
-SELECT event_id AS seq, ts,
-  CASE WHEN event_type <> 'view' THEN CAST(10000000 + user_id % 120 * 20 AS VARCHAR)
-    ELSE left(sha256(event_id || '|' || 'u' || user_id || '@example.org'), 13) END AS cedula,
-  'Persona ' || user_id AS nombre,
-  CASE WHEN event_type = 'click' THEN upper('u' || user_id || '@example.org')
-    ELSE 'u' || user_id || '@example.org' END AS email
-FROM events WHERE event_type NOT IN ('error', 'signup')""",
-    "personal_nuevo": """
-SELECT * FROM personal
-WHERE lower(email) NOT IN (SELECT 'u' || s_suppkey || '@example.org' FROM supplier)
-QUALIFY row_number() OVER (PARTITION BY lower(email) ORDER BY seq) = 1""",
-    "personas_creadas": """
-SELECT cedula, nombre, (SELECT max(id_persona) FROM persona) + row_number() OVER (ORDER BY seq) AS id_persona
-FROM (SELECT * FROM personal_nuevo WHERE cedula NOT IN (SELECT cedula FROM persona)
-  QUALIFY row_number() OVER (PARTITION BY cedula ORDER BY seq) = 1)""",
     "pedidos": """
-SELECT o_orderkey AS id_solicitud, o_orderdate AS ts, CAST(10000000 + o_custkey AS VARCHAR) AS cedula,
+SELECT o_orderkey AS id_solicitud, o_orderdate AS ts,
+  CAST(CASE WHEN o_custkey % 5 = 0 THEN 50000000 ELSE 10000000 END + o_custkey AS VARCHAR) AS cedula,
   '&lt;' || o_orderpriority || '&gt; &amp; &#039;co&#039;' AS nombre,
-  '&quot;' || o_orderstatus || '&quot;' AS direccion, o_custkey, c_acctbal >= 0 AS conocida,
-  c_acctbal >= 0 AND c_mktsegment = 'BUILDING' AS compra_antes
-FROM orders JOIN customer ON c_custkey = o_custkey""",
+  '&quot;' || o_orderstatus || '&quot;' AS direccion, o_custkey, o_custkey % 5 <> 0 AS conocida FROM orders""",
     "primeros": """
 SELECT * FROM pedidos QUALIFY row_number() OVER (PARTITION BY cedula ORDER BY ts, id_solicitud) = 1""",
     "personas_resueltas": """
-SELECT cedula, nombre, direccion, ts, id_solicitud, conocida, compra_antes, CASE WHEN conocida THEN o_custkey ELSE
-  (SELECT max(c_custkey) FROM customer WHERE c_acctbal >= 0)
+SELECT cedula, nombre, direccion, ts, id_solicitud, conocida, CASE WHEN conocida THEN o_custkey ELSE
+  (SELECT max(c_custkey) FROM customer)
   + sum(CASE WHEN conocida THEN 0 ELSE 1 END) OVER (ORDER BY ts, id_solicitud) END AS id_persona
 FROM primeros""",
     "clientes_resueltos": """
-SELECT *, CASE WHEN compra_antes THEN id_persona ELSE
-  (SELECT max(c_custkey) FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING')
-  + sum(CASE WHEN compra_antes THEN 0 ELSE 1 END) OVER (ORDER BY ts, id_solicitud) END AS id_cliente
+SELECT *, CASE WHEN conocida THEN id_persona ELSE
+  (SELECT max(c_custkey) FROM customer)
+  + sum(CASE WHEN conocida THEN 0 ELSE 1 END) OVER (ORDER BY ts, id_solicitud) END AS id_cliente
 FROM personas_resueltas""",
     "bajas": "SELECT s_suppkey AS id_usuario, s_suppkey * 10 AS id_persona FROM supplier WHERE s_acctbal < 0",
     "pasos_1": """
@@ -146,14 +129,36 @@ SELECT id, actual, min(CASE WHEN actual = 'Pendiente' AND nuevo IN ('Aprobada',
 FROM (SELECT t.*, s.estado AS actual FROM transiciones t JOIN solicitud s ON s.id_solicitud = t.id)
 GROUP BY id, actual""",
     "cambios_producto": """
-SELECT event_id AS seq, CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS id_producto,
+SELECT event_id AS seq, CASE WHEN event_type <> 'signup' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS id_producto,
   'nombre ' || user_id AS nombre,
   '{"marca_repuesto":"Marca","marca_vehiculo":"","transmision":"Automática","precio_compra":"' || user_id
     || '","codigo":"' || CASE WHEN event_type = 'signup' THEN 'N-' || event_id ELSE '' END || '"}' AS texto,
   CAST(value AS DECIMAL(12,2)) AS precio, CAST(floor(value) AS INTEGER) % 10 AS stock
-FROM events WHERE event_type IN ('view', 'signup')""",
+FROM events""",
 }
 
+# The staff feed under each rule: who may ask, which document number counts, who comes first.
+_MADE_UP = "left(sha256(event_id || '|' || email), 13)"
+_NUMBER = f"CASE WHEN event_type <> 'view' THEN CAST(10000000 + user_id * 20 AS VARCHAR) ELSE {_MADE_UP} END"
+for _variant, _number, _asks, _free in (
+    ("managed", _NUMBER, "event_type IN ('error', 'signup')", "true"),
+    ("anonymous", _MADE_UP, "event_type IN ('error', 'signup')", "true"),
+    ("direct", _NUMBER, "false", "cedula NOT IN (SELECT cedula FROM persona)"),
+):
+    VIEWS[f"personal_{_variant}"] = f"""
+SELECT *, motivo IS NULL AND {_free} AS libre FROM (
+  SELECT event_id AS seq, ts, {_number} AS cedula, 'Persona ' || user_id AS nombre, email,
+    CASE WHEN {_asks} THEN 'permiso'
+      WHEN lower(email) IN (SELECT 'u' || s_suppkey || '@example.org' FROM supplier) THEN 'correo' END AS motivo
+  FROM (SELECT *, CASE WHEN event_type = 'click' THEN upper('u' || user_id || '@example.org')
+    ELSE 'u' || user_id || '@example.org' END AS email FROM events))"""
+    VIEWS[f"altas_{_variant}"] = f"""
+SELECT * FROM personal_{_variant} WHERE libre QUALIFY row_number() OVER (PARTITION BY lower(email) ORDER BY seq) = 1"""
+    VIEWS[f"personas_{_variant}"] = f"""
+SELECT cedula, nombre, (SELECT max(id_persona) FROM persona) + row_number() OVER (ORDER BY seq) AS id_persona
+FROM (SELECT * FROM altas_{_variant} WHERE cedula NOT IN (SELECT cedula FROM persona)
+  QUALIFY row_number() OVER (PARTITION BY cedula ORDER BY seq) = 1)"""
+
 # One element per order in sequence, each with its summed lines.
 VIEWS["carritos"] = """
 SELECT list({'libre': CAST([] AS BIGINT[]), 'aceptadas': [id_solicitud], 'lineas': lineas} ORDER BY ts, id_solicitud) AS pasos
@@ -247,8 +252,8 @@ FROM detalle_solicitud JOIN producto USING (id_producto) GROUP BY id_solicitud,
     "price_orders": """
 SELECT d.id_producto, d.id_solicitud, d.cantidad, CAST(p.precio AS DOUBLE) AS precio,
   CAST(p.precio * d.cantidad AS DOUBLE) AS total, p.id_producto IS NOT NULL AS conocido
-FROM detalle_solicitud d LEFT JOIN (SELECT * FROM producto WHERE stock_actual > 0) p
-  ON p.id_producto = d.id_producto""",
+FROM (SELECT id_solicitud, cantidad, CASE WHEN id_solicitud % 7 = 0 THEN -id_producto - 1 ELSE id_producto END AS id_producto
+  FROM detalle_solicitud) d LEFT JOIN producto p ON p.id_producto = d.id_producto""",
     "derive_totals": """
 SELECT s.id_solicitud, s.fecha_solicitud, s.estado, CAST(coalesce(t.total, 0) AS DOUBLE) AS total, s.id_cliente
 FROM solicitud s LEFT JOIN (SELECT id_solicitud, sum(cantidad * precio_unitario) AS total
@@ -283,23 +288,24 @@ FROM usuario u JOIN persona p ON p.id_persona = u.id_persona""",
     "set_roles": """
 SELECT id_usuario, correo, CASE WHEN s_acctbal < 0 THEN 'Administrador' ELSE rol END AS rol, id_persona
 FROM usuario JOIN supplier ON s_suppkey = id_usuario""",
-    "remove_users": """
-SELECT tabla, count(*) AS filas, CAST(sum(id) AS BIGINT) AS suma_ids FROM (
-  SELECT 'persona' AS tabla, id_persona AS id FROM persona WHERE id_persona NOT IN (SELECT id_persona FROM bajas)
-  UNION ALL SELECT 'usuario', id_usuario FROM usuario WHERE id_persona NOT IN (SELECT id_persona FROM bajas)
-  UNION ALL SELECT 'empleado', id_usuario FROM empleado WHERE id_usuario NOT IN (SELECT id_usuario FROM bajas)
-  UNION ALL SELECT 'cliente', id_cliente FROM cliente WHERE id_persona NOT IN (SELECT id_persona FROM bajas)
-  UNION ALL SELECT 'solicitud', id_solicitud FROM solicitud WHERE id_cliente NOT IN (SELECT id_persona FROM bajas)
-  UNION ALL SELECT 'detalle_solicitud', id_solicitud FROM detalle_solicitud JOIN solicitud USING (id_solicitud)
-    WHERE id_cliente NOT IN (SELECT id_persona FROM bajas))
-GROUP BY tabla""",
-    "register_staff": """
-SELECT (SELECT max(id_usuario) FROM usuario) + row_number() OVER (ORDER BY n.seq) AS id_usuario, n.email AS correo,
-  'Empleado' AS rol, n.ts AS fecha_registro, coalesce(c.id_persona, p.id_persona) AS id_persona,
-  (SELECT max(id_empleado) FROM empleado) + row_number() OVER (ORDER BY n.seq) AS id_empleado,
-  'Operador' AS cargo, c.cedula, c.nombre
-FROM personal_nuevo n LEFT JOIN personas_creadas c ON c.cedula = n.cedula
-LEFT JOIN persona p ON p.cedula = n.cedula""",
+    "remove_persons_persona": """
+SELECT * FROM persona WHERE id_persona NOT IN (SELECT id_persona FROM bajas)""",
+    "remove_persons_usuario": """
+SELECT * FROM usuario WHERE id_persona NOT IN (SELECT id_persona FROM bajas)""",
+    "remove_persons_empleado": """
+SELECT * FROM empleado WHERE id_usuario NOT IN (SELECT id_usuario FROM bajas)""",
+    "remove_persons_cliente": """
+SELECT * FROM cliente WHERE id_persona NOT IN (SELECT id_persona FROM bajas)""",
+    "remove_persons_solicitud": """
+SELECT id_solicitud, fecha_solicitud, estado, CAST(total AS DOUBLE) AS total, id_cliente FROM solicitud
+WHERE id_cliente NOT IN (SELECT id_persona FROM bajas)""",
+    "remove_persons_detalle_solicitud": """
+SELECT id_solicitud, id_producto, cantidad, CAST(subtotal AS DOUBLE) AS subtotal FROM detalle_solicitud
+WHERE id_solicitud NOT IN (SELECT id_solicitud FROM solicitud WHERE id_cliente IN (SELECT id_persona FROM bajas))""",
+    "remove_users_usuario": """
+SELECT * FROM usuario WHERE id_usuario NOT IN (SELECT id_usuario FROM bajas)""",
+    "remove_users_empleado": """
+SELECT * FROM empleado WHERE id_usuario NOT IN (SELECT id_usuario FROM bajas)""",
     "resolve_customers": """
 SELECT CAST(c.id_persona AS BIGINT) AS id_persona, CAST(c.id_cliente AS BIGINT) AS id_cliente,
   o.id_solicitud, o.cedula, CASE WHEN NOT c.conocida THEN c.cedula END AS cedula_nueva,
@@ -328,8 +334,12 @@ FROM detalle_solicitud JOIN producto USING (id_producto) GROUP BY marca_carro OR
 SELECT l_orderkey AS id_solicitud, l_linenumber AS linea, count(*) AS veces
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "orphans": """
-SELECT id_solicitud, id_producto, cantidad, CAST(subtotal AS DOUBLE) AS subtotal FROM detalle_solicitud
-WHERE id_producto NOT IN (SELECT id_producto FROM producto WHERE stock_actual > 0)""",
+SELECT l_orderkey AS id_solicitud, l_linenumber AS linea, l_partkey + 1000000 AS id_producto FROM lineitem
+WHERE l_linenumber = 3 AND l_partkey + 1000000 NOT IN (SELECT id_producto FROM producto)""",
+    "unique_text_violations": """
+SELECT CASE WHEN event_type IN ('click', 'view') THEN 'user' || user_id ELSE 'user' || user_id || event_type END AS correo,
+  count(*) AS veces
+FROM events GROUP BY 1 HAVING count(*) > 1""",
     "reconcile_totals": """
 SELECT id_solicitud, CAST(total AS DOUBLE) AS total, CAST(suma AS DOUBLE) AS suma_lineas,
   CAST(total - suma AS DOUBLE) AS diferencia,
@@ -349,7 +359,9 @@ WHERE estado NOT IN ('Pendiente', 'Aprobada', 'Rechazada', 'Entregada')""",
     "validate_orders": """
 SELECT event_id, concat_ws(',', CASE WHEN event_type = 'signup' THEN 'cedula' END,
   CASE WHEN event_type = 'error' THEN 'nombre' END, CASE WHEN event_type = 'view' THEN 'telefono' END,
-  CASE WHEN CAST(floor(value) AS INTEGER) % 10 = 0 THEN 'cantidad' END) AS motivos
+  CASE WHEN CAST(floor(value) AS INTEGER) % 10 = 0 THEN 'cantidad' END,
+  CASE WHEN event_type = 'purchase' THEN 'pedido' END, CASE WHEN event_id % 50 = 0 THEN 'fecha' END,
+  CASE WHEN event_type = 'click' AND value > 0 THEN 'precio' END) AS motivos
 FROM events""",
     "escape_html": """
 SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '"', '&quot;'), '''', '&#039;'),
@@ -357,6 +369,22 @@ SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '"'
     "escape_documents": """
 SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '''', '&#039;'),
   '<', '&lt;'), '>', '&gt;') AS texto FROM documents""",
+    "validate_products": """
+SELECT CASE WHEN event_type = 'view' THEN event_id END AS id_producto, 'C-' || event_id AS codigo,
+  CASE WHEN event_type <> 'error' THEN 'pieza ' || event_type ELSE ' ' END AS nombre,
+  CASE WHEN event_type <> 'click' THEN CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) END AS precio,
+  CAST(floor(value) AS INTEGER) % 10 AS stock,
+  CASE event_type WHEN 'error' THEN 'nombre' WHEN 'click' THEN 'precio' WHEN 'purchase' THEN 'marca_repuesto' ELSE '' END AS motivos
+FROM events""",
+    "json_round_trip": """
+SELECT id_producto, nombre_producto, CAST(precio AS DOUBLE) AS precio, descripcion, id_categoria FROM producto""",
+    "report_round_trip": """
+SELECT id_producto, nombre_producto, marca_repuesto AS marca, stock_actual, CAST(precio AS DOUBLE) AS precio,
+  CAST(precio * stock_actual AS DOUBLE) AS valor
+FROM producto WHERE stock_actual < 5""",
+    "table_round_trip": """
+SELECT id_usuario, correo, rol, id_persona, CAST(NULL AS VARCHAR) AS codigo_recuperacion,
+  CAST(NULL AS VARCHAR) AS expiracion_codigo FROM usuario""",
     "parse_orders": """
 SELECT l_orderkey AS id_solicitud, l_shipdate AS ts, 0 AS linea, l_partkey AS id_producto,
   CAST(l_quantity AS INTEGER) AS cantidad,
@@ -364,12 +392,22 @@ SELECT l_orderkey AS id_solicitud, l_shipdate AS ts, 0 AS linea, l_partkey AS id
 FROM lineitem WHERE l_returnflag <> 'R'
 UNION ALL SELECT l_orderkey, l_shipdate, 1, l_suppkey, l_linenumber,
   CAST(CAST(l_tax AS DECIMAL(12,2)) AS DOUBLE) FROM lineitem WHERE l_returnflag <> 'R'""",
-    "parse_order_rejects": "SELECT count(*) AS rechazados FROM lineitem WHERE l_returnflag = 'R'",
+    "parse_order_headers": """
+SELECT l_orderkey AS id_solicitud, l_shipdate AS ts, '1' AS cedula, CAST(NULL AS VARCHAR) AS nombre,
+  CAST(NULL AS VARCHAR) AS direccion, CAST(NULL AS VARCHAR) AS telefono
+FROM lineitem WHERE l_returnflag <> 'R'""",
+    "parse_order_rejects": """
+SELECT '{"order_id":' || l_orderkey || ',"ts":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '","cedula":"1","carrito":[]}' AS value
+FROM lineitem WHERE l_returnflag = 'R'""",
     "confirm_orders": """
 SELECT id_solicitud, fecha_solicitud, 'Pendiente' AS estado, CAST(sum(cantidad * precio_unitario) AS DOUBLE) AS total,
   id_cliente
 FROM detalle_con_precio JOIN solicitud USING (id_solicitud)
 WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1) GROUP BY ALL""",
+    "confirm_order_lines": """
+SELECT id_solicitud, id_producto, cantidad, CAST(precio_unitario AS DOUBLE) AS precio_unitario,
+  CAST(cantidad * precio_unitario AS DOUBLE) AS subtotal
+FROM detalle_con_precio WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1)""",
     "confirm_orders_stock": """
 SELECT generate_subscripts(f.libre, 1) - 1 AS id_producto, CAST(unnest(f.libre) AS INTEGER) AS stock_actual
 FROM reparto_20""",
@@ -391,6 +429,16 @@ FROM producto p LEFT JOIN (SELECT id_producto, sum(cantidad) AS cantidad
     "final_status": """
 SELECT s.id_solicitud, coalesce(t.nuevo, s.estado) AS estado FROM solicitud s LEFT JOIN
   (SELECT id, arg_max(nuevo, ts) AS nuevo FROM transiciones GROUP BY id) t ON t.id = s.id_solicitud""",
+    "status_rejects": """
+SELECT event_id, ts, id, CASE estado WHEN 'En Proceso' THEN 'Aprobada' WHEN 'Completada' THEN 'Entregada' ELSE estado END AS estado, 'solicitud' AS motivo FROM cambios_estado
+WHERE id NOT IN (SELECT id_solicitud FROM solicitud)""",
+    "strict_status_rejects": """
+SELECT event_id, ts, id, CASE estado WHEN 'En Proceso' THEN 'Aprobada' WHEN 'Completada' THEN 'Entregada' ELSE estado END AS estado,
+  CASE WHEN id IN (SELECT id_solicitud FROM solicitud) THEN 'transicion' ELSE 'solicitud' END AS motivo
+FROM cambios_estado WHERE event_id NOT IN (
+  SELECT paso.event_id FROM pasos_1 WHERE paso IS NOT NULL
+  UNION ALL SELECT arg_min(t.event_id, t.ts) FROM transiciones t JOIN pasos_1 p ON p.id = t.id
+  WHERE t.nuevo = 'Entregada' AND (p.actual = 'Aprobada' OR (p.paso.nuevo = 'Aprobada' AND t.ts > p.paso.ts)) GROUP BY t.id)""",
     "strict_status": """
 SELECT paso.event_id AS event_id, paso.ts AS ts, id, 'Pendiente' AS previo, paso.nuevo AS nuevo,
   paso.nuevo = 'Rechazada' AS devuelve FROM pasos_1 WHERE paso IS NOT NULL
@@ -399,36 +447,36 @@ FROM transiciones t JOIN pasos_1 p ON p.id = t.id
 WHERE t.nuevo = 'Entregada' AND (p.actual = 'Aprobada' OR (p.paso.nuevo = 'Aprobada' AND t.ts > p.paso.ts))
 GROUP BY t.id""",
     "cancel_orders": """
-SELECT p.id_producto, CAST(p.stock_actual + coalesce(r.cantidad, 0) AS INTEGER) AS stock_actual,
-  coalesce(k.lineas, 0) AS lineas
+SELECT p.id_producto, CAST(p.stock_actual + coalesce(r.cantidad, 0) AS INTEGER) AS stock_actual
 FROM producto p
 LEFT JOIN (SELECT id_producto, sum(cantidad) AS cantidad FROM detalle_solicitud JOIN vencidas USING (id_solicitud)
-  WHERE estado <> 'Rechazada' GROUP BY id_producto) r ON r.id_producto = p.id_producto
-LEFT JOIN (SELECT id_producto, count(*) AS lineas FROM detalle_solicitud
-  WHERE id_solicitud NOT IN (SELECT id_solicitud FROM vencidas) GROUP BY id_producto) k
-  ON k.id_producto = p.id_producto""",
+  WHERE estado <> 'Rechazada' GROUP BY id_producto) r ON r.id_producto = p.id_producto""",
+    "cancel_orders_lines": """
+SELECT id_solicitud, id_producto, cantidad, CAST(subtotal AS DOUBLE) AS subtotal FROM detalle_solicitud
+WHERE id_solicitud NOT IN (SELECT id_solicitud FROM vencidas)""",
     "cancel_orders_left": """
 SELECT id_solicitud, fecha_solicitud, estado, CAST(total AS DOUBLE) AS total, id_cliente FROM solicitud
 WHERE id_solicitud NOT IN (SELECT id_solicitud FROM vencidas)""",
     "upsert_products": """
 SELECT p.id_producto, p.codigo, coalesce(c.nombre, p.nombre_producto) AS nombre_producto,
   CASE WHEN c.seq IS NULL THEN p.descripcion ELSE c.texto END AS descripcion,
-  CAST(coalesce(c.precio, p.precio) AS DOUBLE) AS precio, p.stock_actual
+  CAST(coalesce(c.precio, p.precio) AS DOUBLE) AS precio, p.stock_actual, p.marca_repuesto, p.imagen
 FROM producto p LEFT JOIN (SELECT * FROM cambios_producto WHERE id_producto IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id_producto ORDER BY seq DESC) = 1) c ON c.id_producto = p.id_producto
 UNION ALL SELECT (SELECT max(id_producto) FROM producto) + row_number() OVER (ORDER BY seq),
-  'N-' || seq, nombre, texto, CAST(precio AS DOUBLE), stock
+  'N-' || seq, nombre, texto, CAST(precio AS DOUBLE), stock, NULL, 'foto-' || seq || '.jpg'
 FROM cambios_producto WHERE id_producto IS NULL""",
     "delete_products": """
-SELECT p.id_producto, d.lineas FROM producto p LEFT JOIN (SELECT id_producto, count(*) AS lineas
-  FROM detalle_solicitud GROUP BY id_producto) d ON d.id_producto = p.id_producto WHERE p.stock_actual <> 0""",
+SELECT id_producto FROM producto WHERE stock_actual <> 0""",
+    "delete_products_lines": """
+SELECT id_solicitud, id_producto, cantidad, CAST(subtotal AS DOUBLE) AS subtotal FROM detalle_solicitud
+WHERE id_producto NOT IN (SELECT id_producto FROM producto WHERE stock_actual = 0)""",
     "remove_categories": """
 SELECT p.id_producto, CASE WHEN c.nombre_categoria LIKE 'A%' THEN NULL ELSE p.id_categoria END AS id_categoria
 FROM producto p LEFT JOIN categoria c USING (id_categoria)""",
     "stock_ledger": "SELECT id_producto, ts, tipo, ref, cantidad, saldo FROM libro",
     "low_stock_crossings": """
-SELECT id_producto, count(*) AS alertas, min(ts) AS primera, min(saldo) AS minimo FROM libro
-WHERE saldo - cantidad >= 5 AND saldo < 5 GROUP BY id_producto""",
+SELECT id_producto, ts, tipo, ref, cantidad, saldo FROM libro WHERE saldo - cantidad >= 5 AND saldo < 5""",
     "code_validity": """
 SELECT a.event_id, a.id_usuario, a.ts,
   CASE WHEN c.ts IS NULL OR c.ts < i.ts THEN i.ts END AS emitido_en,
@@ -458,6 +506,22 @@ ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'emitido') i ON i.id_usuario
 ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'consumido') c ON c.id_usuario = a.id_usuario AND c.ts <= a.ts""",
 }
 
+for _variant in ("managed", "anonymous", "direct"):
+    _employee = (
+        "(SELECT max(id_empleado) FROM empleado) + row_number() OVER (ORDER BY n.seq), 'Operador'"
+        if _variant == "managed"
+        else "CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)"
+    )
+    _SQL["register_staff" if _variant == "managed" else f"register_staff_{_variant}"] = f"""
+SELECT id_usuario, correo, rol, fecha_registro, id_persona, id_empleado, cargo, cedula, nombre, seq, motivo FROM (
+  SELECT (SELECT max(id_usuario) FROM usuario) + row_number() OVER (ORDER BY n.seq), n.email, 'Empleado', n.ts,
+    coalesce(c.id_persona, p.id_persona), {_employee}, c.cedula, c.nombre, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  FROM altas_{_variant} n LEFT JOIN personas_{_variant} c ON c.cedula = n.cedula
+  LEFT JOIN persona p ON p.cedula = n.cedula)
+  AS a(id_usuario, correo, rol, fecha_registro, id_persona, id_empleado, cargo, cedula, nombre, seq, motivo)
+UNION ALL SELECT NULL, email, NULL, NULL, NULL, NULL, NULL, cedula, nombre, seq, coalesce(motivo, 'repetido')
+FROM personal_{_variant} WHERE seq NOT IN (SELECT seq FROM altas_{_variant})"""
+
 _NAMES = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
 
 

@@ -28,9 +28,9 @@ from shelfline.operators import (
     validity,
 )
 from shelfline.plans.standin import StandIn
-from shelfline.schema import ORDER_STATES, PRIMARY_KEYS
+from shelfline.schema import ORDER_STATES, SCHEMAS, conform, ensure_columns, load_tables
 from shelfline.session import scratch_path
-from shelfline.sources import feeds
+from shelfline.sources import feeds, sinks
 from shelfline.streaming.alerts import ledger_store, take_movements
 from shelfline.streaming.codes import code_store, take_codes
 from shelfline.streaming.runner import run, run_to_end
@@ -165,9 +165,10 @@ def _merge_lines(t: StandIn) -> DataFrame:
 
 @_query("price_orders")
 def _price_orders(t: StandIn) -> DataFrame:
-    """Lines priced against the products in stock; the others are unknown."""
-    lines = t["detalle_solicitud"].select("id_solicitud", "id_producto", "cantidad")
-    known, unknown = orders.price_orders(lines, t["producto"].filter("stock_actual > 0"))
+    """All lines priced; a line in seven names a product that nobody has."""
+    product = F.when(F.col("id_solicitud") % 7 == 0, -F.col("id_producto") - 1).otherwise(F.col("id_producto"))
+    lines = t["detalle_solicitud"].select("id_solicitud", product.alias("id_producto"), "cantidad")
+    known, unknown = orders.price_orders(lines, t["producto"])
     return known.withColumn("conocido", F.lit(True)).unionByName(
         unknown.withColumn("conocido", F.lit(False)), allowMissingColumns=True
     )
@@ -241,24 +242,19 @@ def _set_roles(t: StandIn) -> DataFrame:
     return people.set_roles(changes, t["usuario"], "Administrador")
 
 
-@_query("remove_users")
-def _remove_users(t: StandIn) -> DataFrame:
-    """Rows left per table after removing the users in debt and their persons."""
-    ids = t.raw("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("id_usuario"))
-    left = people.remove_users(ids, t, with_person=True)
-    id_columns = {**PRIMARY_KEYS, "empleado": "id_usuario", "detalle_solicitud": "id_solicitud"}
-    counts = [
-        df.agg(
-            F.lit(name).alias("tabla"),
-            F.count(F.lit(1)).alias("filas"),
-            F.sum(id_columns[name]).alias("suma_ids"),
-        )
-        for name, df in left.items()
-    ]
-    result = counts[0]
-    for more in counts[1:]:
-        result = result.unionByName(more)
-    return result
+def _users_in_debt(t: StandIn) -> DataFrame:
+    return t.raw("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("id_usuario"))
+
+
+def _removal(table: str, with_person: bool) -> Callable[[StandIn], DataFrame]:
+    """Rows left of a table after removing the users in debt."""
+    return lambda t: people.remove_users(_users_in_debt(t), t, with_person)[table]
+
+
+for _table in ("persona", "usuario", "empleado", "cliente", "solicitud", "detalle_solicitud"):
+    _query(f"remove_persons_{_table}")(_removal(_table, True))
+for _table in ("usuario", "empleado"):
+    _query(f"remove_users_{_table}")(_removal(_table, False))
 
 
 def _staff_feed(t: StandIn) -> DataFrame:
@@ -267,7 +263,7 @@ def _staff_feed(t: StandIn) -> DataFrame:
     return t.raw("events").select(
         F.col("event_id").alias("seq"),
         "ts",
-        F.when(kind != "view", (F.col("user_id") % 120 * 20 + 10000000).cast("string")).alias("cedula"),
+        F.when(kind != "view", (F.col("user_id") * 20 + 10000000).cast("string")).alias("cedula"),
         F.concat(F.lit("Persona "), F.col("user_id").cast("string")).alias("nombre"),
         F.when(kind == "click", F.upper(mail)).otherwise(mail).alias("email"),
         F.lit("hash").alias("clave_hash"),
@@ -280,21 +276,29 @@ def _staff_tables(t: StandIn) -> Mapping[str, DataFrame]:
     return ChainMap({"usuario": t["usuario"].withColumn("correo", mail)}, t)
 
 
-@_query("register_staff")
-def _register_staff(t: StandIn) -> DataFrame:
-    change = people.register_staff(_staff_feed(t), _staff_tables(t))
+def _staff_rows(change: people.StaffChange) -> DataFrame:
+    """Accepted rows with the ids they got, and rejected ones with the reason."""
     created = change.persona.select("id_persona", "cedula", "nombre")
-    return (
-        change.usuario.join(change.empleado, "id_usuario")
+    accepted = (
+        change.usuario.join(change.empleado, "id_usuario", "left")
         .join(created, "id_persona", "left")
         .select(
             "id_usuario", "correo", "rol", "fecha_registro", "id_persona", "id_empleado", "cargo", "cedula", "nombre"
         )
     )
+    rejected = change.rejects.select("seq", F.col("email").alias("correo"), "cedula", "nombre", "motivo")
+    return accepted.unionByName(rejected, allowMissingColumns=True)
+
+
+for _variant in people.STAFF_VARIANTS:
+    _query("register_staff" if _variant == "managed" else f"register_staff_{_variant}")(
+        lambda t, variant=_variant: _staff_rows(people.register_staff(_staff_feed(t), _staff_tables(t), variant))
+    )
 
 
 def _order_persons_feed(t: StandIn) -> DataFrame:
-    number = (F.col("o_custkey") + 10000000).cast("string")
+    stranger = F.when(F.col("o_custkey") % 5 == 0, 50000000).otherwise(10000000)
+    number = (F.col("o_custkey") + stranger).cast("string")
     return t.raw("orders").select(
         F.col("o_orderkey").alias("id_solicitud"),
         F.col("o_orderdate").alias("ts"),
@@ -306,15 +310,8 @@ def _order_persons_feed(t: StandIn) -> DataFrame:
 
 
 def _known_people(t: StandIn) -> tuple[DataFrame, DataFrame]:
-    """Persons are the customers out of debt, customers those of one market."""
-    balance = t.raw("customer").filter("c_acctbal >= 0")
-    persona = t["persona"].join(
-        balance.select(F.col("c_custkey").alias("id_persona")), "id_persona", "left_semi"
-    )
-    cliente = balance.filter("c_mktsegment = 'BUILDING'").select(
-        F.col("c_custkey").alias("id_cliente"), F.col("c_custkey").alias("id_persona")
-    )
-    return persona, cliente
+    """All customers, each a person; the feed asks for some numbers that nobody has."""
+    return t["persona"], t["cliente"]
 
 
 @_query("resolve_customers")
@@ -367,11 +364,27 @@ def _unique_violations(t: StandIn) -> DataFrame:
     return quality.unique_violations(lines, ["id_solicitud", "linea"])
 
 
+@_query("unique_text_violations")
+def _unique_text_violations(t: StandIn) -> DataFrame:
+    """Mail names that are the same but for case, accents and trailing blanks."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    mail = (
+        F.when(kind == "click", F.concat(F.lit("ÚSER"), user, F.lit("  ")))
+        .when(kind == "view", F.concat(F.lit("usér"), user))
+        .otherwise(F.concat(F.lit("User"), user, kind))
+    )
+    found = quality.unique_violations(t.raw("events").select(mail.alias("correo")), ["correo"])
+    return found.select(F.translate(F.lower(F.rtrim("correo")), "úé", "ue").alias("correo"), "veces")
+
+
 @_query("orphans")
 def _orphans(t: StandIn) -> DataFrame:
-    """Order lines of products that are out of stock."""
-    stocked = t["producto"].filter("stock_actual > 0")
-    return quality.orphans(t["detalle_solicitud"], "id_producto", stocked, "id_producto")
+    """Order lines whose supplier number is no product number."""
+    lines = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("id_solicitud"), F.col("l_linenumber").alias("linea"),
+        F.when(F.col("l_linenumber") == 3, F.col("l_partkey") + 1000000).when(F.col("l_linenumber") != 5, F.col("l_partkey")).alias("id_producto"),
+    )
+    return quality.orphans(lines, "id_producto", t["producto"], "id_producto")
 
 
 @_query("reconcile_totals")
@@ -401,6 +414,9 @@ def _unchecked_feed(t: StandIn) -> DataFrame:
         .alias("telefono"),
         F.get_json_object("props", "$.k").cast("long").alias("id_producto"),
         (F.floor("value").cast("int") % 10).cast("string").alias("cantidad"),
+        F.when(kind != "purchase", F.col("event_id")).alias("id_solicitud"),
+        F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("ts"),
+        F.when(kind == "click", -F.col("value")).otherwise(F.col("value")).alias("precio_unitario"),
     )
 
 
@@ -423,7 +439,63 @@ def _escape_documents(t: StandIn) -> DataFrame:
     return t.raw("documents").select("doc_id", text.escape_html("text").alias("texto"))
 
 
-# Feeds and changes
+# Feeds, sinks and tables
+
+
+@_query("validate_products")
+def _validate_products(t: StandIn) -> DataFrame:
+    """Product documents read, with the rules each one fails."""
+    kind = F.col("event_type")
+    document = F.to_json(
+        F.struct(
+            F.when(kind == "view", F.col("event_id")).alias("id_producto"),
+            F.concat(F.lit("C-"), F.col("event_id").cast("string")).alias("codigo"),
+            F.when(kind != "error", F.concat(F.lit("pieza "), kind)).otherwise(" ").alias("nombre"),
+            F.when(kind != "purchase", F.lit("Marca")).alias("marca_repuesto"),
+            F.lit("Auto").alias("marca_carro"),
+            F.col("user_id").cast("string").alias("compra"),
+            F.when(kind != "click", F.col("value").cast("decimal(12,2)").cast("string")).otherwise("caro").alias("precio"),
+            (F.floor("value").cast("int") % 10).cast("string").alias("stock"),
+        )
+    )
+    read = feeds.parse_products(t.raw("events").select(document.alias("value")))
+    valid, rejects = quality.validate_products(read)
+    columns = ["id_producto", "codigo", "nombre", "precio", "stock"]
+    return valid.select(*columns, F.lit("").alias("motivos")).unionByName(
+        rejects.select(*columns, F.array_join("motivos", ",").alias("motivos"))
+    )
+
+
+@_query("json_round_trip")
+def _json_round_trip(t: StandIn) -> DataFrame:
+    folder = scratch_path(t.spark)
+    products = t["producto"].select("id_producto", "nombre_producto", "precio", "descripcion", "id_categoria")
+    sinks.write_json(products, folder)
+    return t.spark.read.schema(products.schema).json(folder)
+
+
+@_query("report_round_trip")
+def _report_round_trip(t: StandIn) -> DataFrame:
+    folder = scratch_path(t.spark)
+    report = catalog.inventory_report(t["producto"], kind="bajo-stock")
+    sinks.export_report(report, folder, "bajo-stock", AS_OF, drop=["nivel"])
+    left = report.drop("nivel")
+    return t.spark.read.schema(left.schema).option("header", True).csv(f"{folder}/*")
+
+
+@_query("table_round_trip")
+def _table_round_trip(t: StandIn) -> DataFrame:
+    """Users written as a table, loaded by schema, with the columns added later."""
+    folder = scratch_path(t.spark)
+    types = {f.name: f.dataType for f in SCHEMAS["usuario"].fields}
+    conform(ensure_columns(t["usuario"], types), SCHEMAS["usuario"]).write.parquet(f"{folder}/usuario")
+    users = load_tables(t.spark, folder, ["usuario"])["usuario"]
+    return ensure_columns(users, {"codigo_recuperacion": "string", "expiracion_codigo": "timestamp_ntz"}).select(
+        "id_usuario", "correo", "rol", "id_persona", "codigo_recuperacion", F.col("expiracion_codigo").cast("string").alias("expiracion_codigo")
+    )
+
+
+# Changes
 
 
 def _order_documents(t: StandIn) -> DataFrame:
@@ -457,9 +529,14 @@ def _parse_orders(t: StandIn) -> DataFrame:
     return feeds.parse_orders(_order_documents(t))[1]
 
 
+@_query("parse_order_headers")
+def _parse_order_headers(t: StandIn) -> DataFrame:
+    return feeds.parse_orders(_order_documents(t))[0]
+
+
 @_query("parse_order_rejects")
 def _parse_order_rejects(t: StandIn) -> DataFrame:
-    return feeds.parse_orders(_order_documents(t))[2].agg(F.count(F.lit(1)).alias("rechazados"))
+    return feeds.parse_orders(_order_documents(t))[2]
 
 
 def _order_feed(t: StandIn) -> DataFrame:
@@ -474,6 +551,13 @@ def _confirm_orders(t: StandIn) -> DataFrame:
     return allocation.append_orders(result.accepted)[0]
 
 
+@_query("confirm_order_lines")
+def _confirm_order_lines(t: StandIn) -> DataFrame:
+    """Lines of the orders that get their stock."""
+    result = allocation.confirm_orders(_order_feed(t), t["producto"])
+    return allocation.append_orders(result.accepted)[1]
+
+
 @_query("confirm_orders_stock")
 def _confirm_orders_stock(t: StandIn) -> DataFrame:
     """Stock left when every product starts with twenty times its stock."""
@@ -515,6 +599,16 @@ def _final_status(t: StandIn) -> DataFrame:
     return _status_result(t, "reference").solicitud.select("id_solicitud", "estado")
 
 
+@_query("status_rejects")
+def _status_rejects(t: StandIn) -> DataFrame:
+    return _status_result(t, "reference").rejects
+
+
+@_query("strict_status_rejects")
+def _strict_status_rejects(t: StandIn) -> DataFrame:
+    return _status_result(t, "strict").rejects
+
+
 @_query("strict_status")
 def _strict_status(t: StandIn) -> DataFrame:
     return _status_result(t, "strict").steps
@@ -529,11 +623,12 @@ def _stale_orders(t: StandIn) -> DataFrame:
 
 @_query("cancel_orders")
 def _cancel_orders(t: StandIn) -> DataFrame:
-    after = stock.cancel_orders(_stale_orders(t), t)
-    left = after["detalle_solicitud"].groupBy("id_producto").agg(F.count(F.lit(1)).alias("lineas"))
-    return after["producto"].join(left, "id_producto", "left").select(
-        "id_producto", "stock_actual", F.coalesce("lineas", F.lit(0)).alias("lineas")
-    )
+    return stock.cancel_orders(_stale_orders(t), t)["producto"].select("id_producto", "stock_actual")
+
+
+@_query("cancel_orders_lines")
+def _cancel_orders_lines(t: StandIn) -> DataFrame:
+    return stock.cancel_orders(_stale_orders(t), t)["detalle_solicitud"]
 
 
 @_query("cancel_orders_left")
@@ -543,11 +638,11 @@ def _cancel_orders_left(t: StandIn) -> DataFrame:
 
 @_query("upsert_products")
 def _upsert_products(t: StandIn) -> DataFrame:
-    """Views change the product they name; sign-ups add a product."""
+    """Sign-ups add a product; all other events change the one they name."""
     kind = F.col("event_type")
-    feed = t.raw("events").filter(kind.isin("view", "signup")).select(
+    feed = t.raw("events").select(
         F.col("event_id").alias("seq"),
-        F.when(kind == "view", F.get_json_object("props", "$.k").cast("long")).alias("id_producto"),
+        F.when(kind != "signup", F.get_json_object("props", "$.k").cast("long")).alias("id_producto"),
         F.when(kind == "signup", F.concat(F.lit("N-"), F.col("event_id").cast("string"))).alias("codigo"),
         F.concat(F.lit("nombre "), F.col("user_id").cast("string")).alias("nombre"),
         F.lit("Marca").alias("marca_repuesto"),
@@ -556,9 +651,10 @@ def _upsert_products(t: StandIn) -> DataFrame:
         F.col("user_id").alias("compra"),
         F.col("value").cast("decimal(12,2)").alias("precio"),
         (F.floor("value").cast("int") % 10).alias("stock"),
+        F.concat(F.lit("foto-"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("imagen"),
     )
     return stock.upsert_products(feed, t["producto"]).select(
-        "id_producto", "codigo", "nombre_producto", "descripcion", "precio", "stock_actual"
+        "id_producto", "codigo", "nombre_producto", "descripcion", "precio", "stock_actual", "marca_repuesto", "imagen"
     )
 
 
@@ -568,10 +664,12 @@ def _empty_products(t: StandIn) -> DataFrame:
 
 @_query("delete_products")
 def _delete_products(t: StandIn) -> DataFrame:
-    """Products left with the number of their lines."""
-    after = stock.delete_products(_empty_products(t), t)
-    lines = after["detalle_solicitud"].groupBy("id_producto").agg(F.count(F.lit(1)).alias("lineas"))
-    return after["producto"].select("id_producto").join(lines, "id_producto", "full")
+    return stock.delete_products(_empty_products(t), t)["producto"].select("id_producto")
+
+
+@_query("delete_products_lines")
+def _delete_products_lines(t: StandIn) -> DataFrame:
+    return stock.delete_products(_empty_products(t), t)["detalle_solicitud"]
 
 
 @_query("remove_categories")
@@ -603,11 +701,8 @@ def _stock_ledger(t: StandIn) -> DataFrame:
 
 @_query("low_stock_crossings")
 def _low_stock_crossings(t: StandIn) -> DataFrame:
-    """Movements that take a product below the low-stock mark, per product."""
-    crossed = stock.low_stock_crossings(stock.stock_ledger(_movements(t), t["producto"]))
-    return crossed.groupBy("id_producto").agg(
-        F.count(F.lit(1)).alias("alertas"), F.min("ts").alias("primera"), F.min("saldo").alias("minimo")
-    )
+    """Movements that take a product below the low-stock mark."""
+    return stock.low_stock_crossings(stock.stock_ledger(_movements(t), t["producto"]))
 
 
 @_query("code_validity")
