@@ -484,20 +484,22 @@ SELECT a.event_id, a.id_usuario, a.ts,
 FROM (SELECT * FROM codigos WHERE tipo = 'intento') a
 ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'emitido') i ON i.id_usuario = a.id_usuario AND i.ts <= a.ts
 ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'consumido') c ON c.id_usuario = a.id_usuario AND c.ts <= a.ts""",
-    # A window is written once the newest order is ten days past its end.
     "stream_daily_sales": """
 SELECT date_trunc('day', fecha_solicitud) AS desde, date_trunc('day', fecha_solicitud) + INTERVAL 1 DAY AS hasta,
   count(*) AS pedidos, CAST(sum(total) AS DOUBLE) AS ventas
 FROM solicitud WHERE estado = 'Entregada'
-GROUP BY 1, 2 HAVING date_trunc('day', fecha_solicitud) + INTERVAL 1 DAY
-  <= (SELECT max(fecha_solicitud) FROM solicitud WHERE estado = 'Entregada') - INTERVAL 10 DAY""",
+GROUP BY 1, 2""",
     "stream_low_stock": """
-SELECT id_producto, ts, 'venta' AS tipo, ref, -q AS cantidad, saldo FROM (
-  SELECT id_producto, ts, ref, q, CAST(inicio - sum(q) OVER (PARTITION BY id_producto ORDER BY ts, ref) AS BIGINT) AS saldo
-  FROM (SELECT l_partkey AS id_producto, l_shipdate AS ts, l_orderkey AS ref, CAST(sum(l_quantity) AS BIGINT) AS q
-    FROM lineitem GROUP BY ALL)
+SELECT id_producto, ts, cantidad, saldo FROM (
+  SELECT id_producto, ts, cantidad, CAST(inicio + sum(cantidad) OVER (PARTITION BY id_producto ORDER BY ts) AS BIGINT) AS saldo
+  FROM (SELECT id_producto, date_trunc('minute', ts) AS ts, CAST(sum(cantidad) AS BIGINT) AS cantidad FROM movimientos GROUP BY ALL)
   JOIN (SELECT id_producto, stock_actual * 20 AS inicio FROM producto) USING (id_producto))
-WHERE saldo + q >= 5 AND saldo < 5""",
+WHERE saldo - cantidad >= 5 AND saldo < 5""",
+    "stream_order_intake": """
+SELECT id_solicitud, fecha_solicitud, 'Pendiente' AS estado, CAST(sum(cantidad * precio_unitario) AS DOUBLE) AS total,
+  id_cliente
+FROM detalle_con_precio JOIN solicitud USING (id_solicitud)
+WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1) GROUP BY ALL""",
     "stream_code_validity": """
 SELECT a.event_id, a.id_usuario, a.ts,
   coalesce((c.ts IS NULL OR c.ts < i.ts) AND date_trunc('second', i.ts) + INTERVAL 15 MINUTE > date_trunc('second', a.ts), false) AS valido

@@ -31,11 +31,11 @@ from shelfline.plans.standin import StandIn
 from shelfline.schema import ORDER_STATES, SCHEMAS, conform, ensure_columns, load_tables
 from shelfline.session import scratch_path
 from shelfline.sources import feeds, sinks
-from shelfline.streaming.alerts import ledger_store, take_movements
-from shelfline.streaming.codes import code_store, take_codes
-from shelfline.streaming.runner import run, run_to_end
+from shelfline.streaming import intake
+from shelfline.streaming.alerts import minute_sums, stream_alerts
+from shelfline.streaming.codes import stream_validity
+from shelfline.streaming.runner import in_batches, relay, run_to_end, update_to_end
 from shelfline.streaming.sales import windowed_sales
-from shelfline.streaming.store import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -715,28 +715,50 @@ def _code_validity(t: StandIn) -> DataFrame:
 
 @_query("stream_daily_sales")
 def _stream_daily_sales(t: StandIn) -> DataFrame:
-    return run_to_end(windowed_sales(t.streamed()["solicitud"]), "sales")
+    arriving = in_batches(t["solicitud"], "fecha_solicitud", 3)
+    return update_to_end(windowed_sales(arriving), ["desde", "hasta"], "sales")
 
 
 @_query("stream_low_stock")
 def _stream_low_stock(t: StandIn) -> DataFrame:
-    sold = t.streamed().raw("lineitem").select(
-        F.col("l_partkey").alias("id_producto"),
-        F.col("l_shipdate").alias("ts"),
-        F.lit("venta").alias("tipo"),
-        F.col("l_orderkey").alias("ref"),
-        (-F.col("l_quantity").cast("long")).alias("cantidad"),
+    """Sales, receipts and returns against twenty times the stock; a last row moves the watermark on."""
+    moves = _movements(t).select("id_producto", "ts", "cantidad")
+    closing = moves.agg(F.expr("max(ts) + INTERVAL 2 DAYS").alias("ts")).select(
+        F.lit(None).cast("long").alias("id_producto"), "ts", F.lit(0).cast("long").alias("cantidad")
     )
-    opening = t["producto"].select(
-        "id_producto", (F.col("stock_actual") * 20).alias("stock_actual")
-    )
-    store = ledger_store(TableStore(t.spark, scratch_path(t.spark)), opening)
-    run(sold, store, "sales", take_movements, scratch_path(t.spark)).awaitTermination()
-    return store.rows("alerta")
+    opening = t["producto"].withColumn("stock_actual", F.col("stock_actual") * 20)
+    minutes = relay(minute_sums(in_batches(moves, "ts", 3, closing)), "minutes")
+    return run_to_end(stream_alerts(minutes, opening), "alerts")
 
 
 @_query("stream_code_validity")
 def _stream_code_validity(t: StandIn) -> DataFrame:
-    store = code_store(TableStore(t.spark, scratch_path(t.spark)))
-    run(t.streamed()["codigos"], store, "codes", take_codes, scratch_path(t.spark)).awaitTermination()
-    return store.rows("respuesta")
+    feed = t["codigos"]
+    closing = [
+        feed.agg(F.expr(f"max(ts) + INTERVAL {days} DAYS").alias("ts")).select(
+            F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("id_usuario"),
+            F.explode(F.array(F.lit("emitido"), F.lit("intento"))).alias("tipo"),
+        )
+        for days in (2, 4)
+    ]
+    answers = run_to_end(stream_validity(in_batches(feed, "ts", 3, *closing)), "codes")
+    return answers.filter("event_id >= 0")
+
+
+@_query("stream_order_intake")
+def _stream_order_intake(t: StandIn) -> DataFrame:
+    """Orders stored after all order documents came in, three batches and an empty one."""
+    item = F.struct("id_producto", F.col("cantidad").alias("cant"), F.col("precio_unitario").alias("precio"))
+    carts = t["detalle_con_precio"].groupBy("id_solicitud").agg(F.collect_list(item).alias("carrito"))
+    number = (F.col("id_cliente") + 10000000).cast("string")
+    document = F.struct(
+        F.col("id_solicitud").alias("order_id"),
+        F.date_format("fecha_solicitud", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
+        number.alias("cedula"), F.concat(F.lit("Cliente "), number).alias("nombre"), "carrito",
+    )
+    documents = t["solicitud"].join(carts, "id_solicitud").select(F.to_json(document).alias("value"), "fecha_solicitud")
+    base = {**t, "solicitud": t["solicitud"].limit(0), "detalle_solicitud": t["detalle_con_precio"].limit(0)}
+    log = intake.intake_log(t.spark, scratch_path(t.spark), base)
+    arriving = in_batches(documents, "fecha_solicitud", 3)
+    intake.run(arriving, log, intake.take_orders, scratch_path(t.spark)).awaitTermination()
+    return log.logged("solicitud")

@@ -31,15 +31,16 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return split_orders(read_orders(raw))
 
 
-def read_orders(raw: DataFrame) -> DataFrame:
-    """The texts with the order document read from each, NULL where it is none."""
-    return raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc"))
+def read_orders(raw: DataFrame, *keep: str) -> DataFrame:
+    """The texts with the order document read from each, NULL where it is none, and columns to keep."""
+    return raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc"), *keep)
 
 
-def split_orders(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_orders(read: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, lines, broken texts) of documents read; headers and lines have the columns kept."""
     filled = F.coalesce(F.size("doc.carrito"), F.lit(0)) > 0
     headers = (
-        read.filter(filled).select("doc.*").withColumnRenamed("order_id", "id_solicitud").drop("carrito")
+        read.filter(filled).select("doc.*", *keep).withColumnRenamed("order_id", "id_solicitud").drop("carrito")
     )
     # The outer form keeps the cart filter above the reading of the document,
     # which an inner explode would repeat below itself.
@@ -47,6 +48,7 @@ def split_orders(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("doc.order_id").alias("id_solicitud"),
         F.col("doc.ts").alias("ts"),
         F.posexplode_outer("doc.carrito").alias("linea", "_item"),
+        *keep,
     ).filter(F.col("linea").isNotNull())
     lines = items.select(
         "id_solicitud",
@@ -55,6 +57,7 @@ def split_orders(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         _number("_item.id_producto", "bigint").alias("id_producto"),
         _number("_item.cant", "int").alias("cantidad"),
         _number("_item.precio", "decimal(12,2)").alias("precio_unitario"),
+        *keep,
     )
     return headers, lines, read.filter(~filled).select("value")
 

@@ -1,40 +1,65 @@
-"""The stock ledger and low-stock alerts, as movements arrive.
+"""Low-stock alerts as movements arrive.
 
-Each micro-batch is booked by the batch ledger from the balances before it. A
-product with very many movements is split like any hot key, every crossing of
-the low-stock mark is seen, and no row passes through Python.
+Movements are summed per product and minute first, so that a product with very
+many of them is one row a minute. The balance of each product is keyed state,
+carried on from minute to minute in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from shelfline.schema import LOW_STOCK
+from shelfline.streaming.runner import require_utc
+
+ALERT = "id_producto long, ts timestamp, cantidad long, saldo long"
+
 
-from shelfline.operators.allocation import change_stock
-from shelfline.operators.stock import low_stock_crossings, stock_ledger
-from shelfline.session import stage
-from shelfline.streaming.store import Change, TableStore
+def _book(low: int):
+    """The crossing rule as an inner function, which executors get without this package."""
 
-LEDGER = "id_producto bigint, ts timestamp_ntz, tipo string, ref bigint, cantidad bigint, saldo bigint"
+    def book(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        minutes = pd.concat(list(parts)).sort_values("ts")
+        start = state.get[0] if state.exists else int(minutes["opening"].iloc[0])
+        balance = start + minutes["cantidad"].cumsum()
+        before = balance - minutes["cantidad"]
+        state.update((int(balance.iloc[-1]),))
+        crossed = minutes.assign(id_producto=key[0], saldo=balance)[(before >= low) & (balance < low)]
+        yield crossed[["id_producto", "ts", "cantidad", "saldo"]]
 
+    return book
 
-def ledger_store(store: TableStore, producto: DataFrame) -> TableStore:
-    """Start a store for the movement stream from the products' stock."""
-    empty = store.spark.createDataFrame([], LEDGER)
-    store.create(append={"movimiento": empty, "alerta": empty}, replace={"producto": producto})
-    return store
+
+def minute_sums(moves: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Movements (id_producto, ts, signed cantidad) summed per product and minute.
+
+    A minute comes out once the watermark has passed it, so minutes come in
+    sequence; movements later than the watermark are dropped.
+    """
+    require_utc(moves.sparkSession)
+    return (
+        moves.withColumn("at", F.col("ts").cast("timestamp"))
+        .withWatermark("at", delay)
+        .groupBy(F.window("at", "1 minute").alias("_minute"), "id_producto")
+        .agg(F.sum("cantidad").alias("cantidad"))
+        .select("id_producto", F.col("_minute.start").alias("ts"), "cantidad")
+    )
 
 
-def take_movements(batch: DataFrame, store: TableStore) -> Change:
-    """Movements (id_producto, ts, tipo, ref, signed cantidad): ledger, alerts, stock.
+def stream_alerts(minutes: DataFrame, producto: DataFrame, low: int = LOW_STOCK) -> DataFrame:
+    """Minutes that take a product from enough stock to low stock: id_producto, ts, cantidad, saldo.
 
-    Movements of unknown products are left out.
+    ``minutes`` is a stream of ``minute_sums`` in sequence, written by a query of its
+    own; movements of unknown products are left out.
     """
-    products = store.latest("producto")
-    feed = stage(batch.join(products, "id_producto", "left_semi"), "movements")
-    ledger = stage(stock_ledger(feed, products), "ledger")
-    changes = feed.groupBy("id_producto").agg(F.sum("cantidad").alias("cambio"))
-    return Change(
-        append={"movimiento": ledger, "alerta": low_stock_crossings(ledger)},
-        replace={"producto": change_stock(products, changes)},
+    require_utc(minutes.sparkSession)
+    opening = producto.select("id_producto", F.col("stock_actual").cast("long").alias("opening"))
+    alerts = minutes.join(opening, "id_producto").groupBy("id_producto").applyInPandasWithState(
+        _book(low), ALERT, "saldo long", "append", GroupStateTimeout.NoTimeout
     )
+    return alerts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -1,9 +1,9 @@
 """Validity of recovery codes, answered as attempts arrive.
 
-Each micro-batch is answered by the batch operator over its own rows and the
-codes still open from before, so a user with very many events is split like any
-hot key and no row passes through Python. Carried over is at most one code per
-user, and only while it can still be valid. Batches come in time order.
+An attempt is joined with the codes issued and consumed by the same user in the
+minutes a code lives, and the latest of each decide. Both sides have a watermark:
+an attempt is answered once it has passed the attempt, and rows later than the
+watermark are dropped, as everywhere in Structured Streaming.
 """
 
 from __future__ import annotations
@@ -11,39 +11,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.operators.validity import CONSUMED, ISSUED, code_validity, still_open
-from shelfline.session import stage
-from shelfline.streaming.store import Change, TableStore
-
-OPEN_CODES = "id_usuario bigint, event_id bigint, ts timestamp_ntz"
-ANSWERS = "event_id bigint, id_usuario bigint, ts timestamp_ntz, valido boolean"
-
-
-def code_store(store: TableStore) -> TableStore:
-    """Start a store for the code stream: no open codes, no answers."""
-    spark = store.spark
-    store.create(
-        append={"respuesta": spark.createDataFrame([], ANSWERS)},
-        replace={"codigo_abierto": spark.createDataFrame([], OPEN_CODES)},
+from shelfline.operators.validity import CONSUMED, ISSUED, TRIED, TTL_MINUTES, still_open
+from shelfline.streaming.runner import require_utc
+
+
+def stream_validity(feed: DataFrame, minutes: int = TTL_MINUTES, delay: str = "10 minutes") -> DataFrame:
+    """event_id, id_usuario, ts and valido for every attempt of the stream.
+
+    ``feed`` has id_usuario, ts, event_id and tipo; rows count in (ts, event_id)
+    sequence. A code or its use before the life of a code cannot matter: an older
+    code is expired, and an older use precedes every code that is not.
+    """
+    require_utc(feed.sparkSession)
+    timed = feed.withColumn("at", F.col("ts").cast("timestamp"))
+    tried = timed.filter(F.col("tipo") == TRIED).select("event_id", "id_usuario", "at").withWatermark("at", delay)
+    marks = timed.filter(F.col("tipo").isin(ISSUED, CONSUMED)).select(
+        F.col("event_id").alias("mark_id"), F.col("id_usuario").alias("mark_user"), "tipo", F.col("at").alias("mark_at")
+    ).withWatermark("mark_at", delay)
+    met = tried.join(
+        marks,
+        F.expr(
+            f"id_usuario = mark_user AND mark_at <= at AND mark_at >= at - INTERVAL {minutes * 60 + 1} SECONDS "
+            "AND (mark_at < at OR mark_id < event_id)"
+        ),
+        "left",
     )
-    return store
-
-
-def take_codes(batch: DataFrame, store: TableStore) -> Change:
-    """Code events (id_usuario, ts, event_id, tipo): answer attempts, keep open codes."""
-    feed = stage(batch.select("id_usuario", "event_id", "ts", "tipo"), "codes")
-    rows = store.latest("codigo_abierto").withColumn("tipo", F.lit(ISSUED)).unionByName(feed)
-    answers = code_validity(rows).select("event_id", "id_usuario", "ts", "valido")
-    at = F.struct("ts", "event_id")
-    last = rows.groupBy("id_usuario").agg(
-        F.max(F.when(F.col("tipo") == ISSUED, at)).alias("_issue"),
-        F.max(F.when(F.col("tipo") == CONSUMED, at)).alias("_use"),
+    mark = F.struct("mark_at", "mark_id")
+    last = met.groupBy("at", "event_id", "id_usuario").agg(
+        F.max(F.when(F.col("tipo") == ISSUED, mark)).alias("issue"), F.max(F.when(F.col("tipo") == CONSUMED, mark)).alias("use")
     )
-    newest = feed.agg(F.max("ts")).first()[0]
-    open_now = last.filter(
-        F.coalesce(F.col("_issue") > F.col("_use"), F.col("_issue").isNotNull())
-    ).select("id_usuario", "_issue.event_id", "_issue.ts")
-    return Change(
-        append={"respuesta": answers},
-        replace={"codigo_abierto": open_now.filter(still_open(F.col("ts"), F.lit(newest)))},
+    current = F.when(F.col("use").isNull() | (F.col("issue") > F.col("use")), F.col("issue.mark_at"))
+    return last.select(
+        "event_id",
+        "id_usuario",
+        F.col("at").cast("timestamp_ntz").alias("ts"),
+        F.coalesce(still_open(current, F.col("at"), minutes), F.lit(False)).alias("valido"),
     )

@@ -1,31 +1,52 @@
-"""Order, receipt, status and cancellation streams over a table store.
+"""Order, receipt, status and cancellation streams over a log of batches.
 
-Each stream is the batch operator applied to a micro-batch. Orders, lines,
-persons and customers are appended; the stock table, one row per product, is
-replaced; statuses are a log whose last entry counts.
+Each stream is the batch operator applied to a micro-batch and to the tables as
+they stood before it. A batch writes its own rows only: orders, lines, persons,
+customers, rejects, status steps and changes of stock. The present stock is the
+products' base and the sum of the changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from shelfline.operators.allocation import append_orders, confirm_orders
+from shelfline.operators.allocation import append_orders, change_stock, confirm_orders
 from shelfline.operators.people import resolve_customers
 from shelfline.operators.quality import validate_orders
 from shelfline.operators.status import apply_status
-from shelfline.operators.stock import apply_receipts, cancel_orders
+from shelfline.operators.stock import apply_receipts
 from shelfline.session import stage
 from shelfline.sources.feeds import read_orders, split_orders
-from shelfline.streaming.store import Change, TableStore
+from shelfline.streaming.log import BatchLog
+
+STOCK_CHANGES = "id_producto long, cambio long"
+STATUS_LOG = "id_solicitud long, estado string, ts timestamp_ntz, event_id long, anulada boolean"
+REJECTS = "pedido string, motivo string"
+
+
+def intake_log(spark: SparkSession, root: str, t: dict[str, DataFrame]) -> BatchLog:
+    """A log over the retail tables producto, persona, cliente, solicitud and detalle_solicitud."""
+    tables = {name: t[name] for name in ("producto", "persona", "cliente", "solicitud", "detalle_solicitud")}
+    for name, schema in (("cambio_stock", STOCK_CHANGES), ("estado", STATUS_LOG), ("rechazo", REJECTS)):
+        tables[name] = spark.createDataFrame([], schema)
+    return BatchLog(spark, root, tables).create()
+
 
+def current_products(log: BatchLog, batch_id: int | None = None) -> DataFrame:
+    changes = log.logged("cambio_stock", batch_id).groupBy("id_producto").agg(F.sum("cambio").alias("cambio"))
+    return change_stock(log.tables["producto"], changes)
 
-def current_orders(store: TableStore) -> DataFrame:
+
+def current_orders(log: BatchLog, batch_id: int | None = None) -> DataFrame:
     """Orders that are not cancelled, with the last status logged for each."""
-    last = store.rows("estado").groupBy("id_solicitud").agg(
+    last = log.logged("estado", batch_id).groupBy("id_solicitud").agg(
         F.max_by(F.struct("estado", "anulada"), F.struct("ts", "event_id")).alias("_last")
     )
-    orders = store.rows("solicitud")
+    orders = log.rows("solicitud", batch_id)
     return (
         orders.join(last, "id_solicitud", "left")
         .filter(~F.coalesce("_last.anulada", F.lit(False)))
@@ -34,97 +55,95 @@ def current_orders(store: TableStore) -> DataFrame:
     )
 
 
-def take_orders(batch: DataFrame, store: TableStore) -> Change:
+def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     """Order documents in ``value``: check, allocate stock, find customers, append.
 
-    A refused order leaves no trace but its reject row: its customer is not
-    created either.
+    One document counts per order id: the earliest, unless the id is stored already;
+    every other one is a reject. A refused order leaves no trace but its reject
+    row, which has all reasons of all its lines; its customer is not created either.
     """
-    headers, lines, broken = split_orders(stage(read_orders(batch), "documents"))
-    _, bad = validate_orders(lines.join(headers.drop("ts"), "id_solicitud"))
-    bad_ids = bad.groupBy("id_solicitud").agg(F.first("motivos").alias("motivos"))
-    valid = lines.join(bad_ids, "id_solicitud", "left_anti")
-    result = confirm_orders(valid, store.latest("producto"))
-    accepted = result.accepted
-    taken = headers.join(accepted.select("id_solicitud").distinct(), "id_solicitud", "left_semi")
-    people = resolve_customers(taken, store.rows("persona"), store.rows("cliente"))
-    orders, order_lines = append_orders(
-        accepted.join(people.feed.select("id_solicitud", "id_cliente"), "id_solicitud")
-    )
+    numbered = batch.select("value").withColumn("_doc", F.monotonically_increasing_id())
+    documents = stage(read_orders(numbered, "_doc"), "documents")
+    headers, lines, broken = split_orders(documents, "_doc")
+    stored = log.rows("solicitud", batch_id).select("id_solicitud").withColumn("_stored", F.lit(True))
+    known = headers.filter("id_solicitud IS NOT NULL AND ts IS NOT NULL")
+    earliest = known.groupBy("id_solicitud").agg(F.min(F.struct("ts", "_doc")).alias("_first"))
+    known = known.join(earliest, "id_solicitud").join(stored, "id_solicitud", "left")
+    chosen = (F.col("_doc") == F.col("_first._doc")) & F.col("_stored").isNull()
+    fresh = stage(known.filter(chosen).drop("_first", "_stored"), "fresh")
+    repeated = known.filter(~chosen).select("_doc", F.lit("repetido").alias("motivo"))
+    nameless = headers.filter("id_solicitud IS NULL").select("_doc", F.lit("pedido").alias("motivo"))
+    undated = headers.filter("ts IS NULL").select("_doc", F.lit("fecha").alias("motivo"))
+
+    carts = lines.drop("id_solicitud", "ts").join(fresh, "_doc")
+    bad = validate_orders(carts)[1].select("_doc", F.explode("motivos").alias("motivo")).distinct()
+    bad = stage(bad, "bad")
+    result = confirm_orders(carts.join(bad, "_doc", "left_anti"), current_products(log, batch_id))
+    taken = fresh.join(result.accepted.select("_doc").distinct(), "_doc", "left_semi")
+    people = resolve_customers(taken, log.rows("persona", batch_id), log.rows("cliente", batch_id))
+    owners = stage(people.feed.select("id_solicitud", "id_cliente"), "owners")
+    orders, order_lines = append_orders(result.accepted.join(owners, "id_solicitud"))
+
+    reasons = bad.unionByName(repeated).unionByName(nameless).unionByName(undated).distinct()
+    # There are no more reasons than rules, so a list of them is short.
+    reasons = reasons.groupBy("_doc").agg(F.concat_ws(",", F.sort_array(F.collect_set("motivo"))).alias("motivo"))
+    named = headers.select("_doc", F.col("id_solicitud").cast("string").alias("pedido"))
+    short = result.rejected.select(F.col("id_solicitud").cast("string").alias("pedido"), F.lit("stock").alias("motivo"))
     rejects = (
-        bad_ids.select(F.col("id_solicitud").cast("string").alias("pedido"), F.concat_ws(",", "motivos").alias("motivo"))
-        .unionByName(
-            result.rejected.select(
-                F.col("id_solicitud").cast("string").alias("pedido"), F.lit("stock").alias("motivo")
-            )
-        )
+        named.join(reasons, "_doc").select("pedido", "motivo")
+        .unionByName(short)
         .unionByName(broken.select(F.col("value").alias("pedido"), F.lit("documento").alias("motivo")))
     )
-    return Change(
-        append={
-            "solicitud": orders,
-            "detalle_solicitud": order_lines,
-            "persona": people.new_persona,
-            "cliente": people.new_cliente,
-            "rechazo": rejects,
-        },
-        replace={"producto": result.producto},
-    )
+    sold = result.accepted.groupBy("id_producto").agg((-F.sum(F.col("cantidad").cast("long"))).alias("cambio"))
+    for name, rows in (
+        ("solicitud", orders), ("detalle_solicitud", _whole_lines(order_lines, log)), ("persona", people.new_persona),
+        ("cliente", people.new_cliente), ("rechazo", rejects), ("cambio_stock", sold),
+    ):
+        log.write(name, batch_id, rows)
+
 
+def _whole_lines(lines: DataFrame, log: BatchLog) -> DataFrame:
+    missing = [f for f in log.tables["detalle_solicitud"].schema.fields if f.name not in lines.columns]
+    return lines.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else lines
 
-def take_receipts(batch: DataFrame, store: TableStore) -> Change:
+
+def take_receipts(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     """Stock receipts: book them on the stock, keep the rejected ones."""
-    feed = stage(batch, "receipts")
-    changed, _, rejects = apply_receipts(feed, store.latest("producto"))
-    refused = rejects.select(F.col("id_producto").cast("string").alias("pedido"), "motivo")
-    return Change(append={"rechazo": refused}, replace={"producto": changed})
+    _, booked, rejects = apply_receipts(stage(batch, "receipts"), log.tables["producto"])
+    sums = booked.groupBy("id_producto").agg(F.sum(F.col("cantidad").cast("long")).alias("cambio"))
+    log.write("cambio_stock", batch_id, sums)
+    log.write("rechazo", batch_id, rejects.select(F.col("id_producto").cast("string").alias("pedido"), "motivo"))
 
 
-def take_status(batch: DataFrame, store: TableStore) -> Change:
+def take_status(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     """Status changes: log the steps and give stock back on rejection."""
-    feed = stage(batch, "status")
-    result = apply_status(
-        feed, current_orders(store), store.rows("detalle_solicitud"), store.latest("producto")
-    )
-    log = result.steps.select(
-        F.col("id").alias("id_solicitud"),
-        F.col("nuevo").alias("estado"),
-        "ts",
-        "event_id",
-        F.lit(False).alias("anulada"),
+    lines, products = log.rows("detalle_solicitud", batch_id), log.tables["producto"].select("id_producto", F.lit(0).cast("long").alias("stock_actual"))
+    result = apply_status(stage(batch, "status"), current_orders(log, batch_id), lines, products)
+    steps = result.steps.select(
+        F.col("id").alias("id_solicitud"), F.col("nuevo").alias("estado"), "ts", "event_id", F.lit(False).alias("anulada")
     )
-    refused = result.rejects.select(F.col("id").cast("string").alias("pedido"), "motivo")
-    return Change(append={"estado": log, "rechazo": refused}, replace={"producto": result.producto})
+    returned = result.producto.select("id_producto", F.col("stock_actual").alias("cambio")).filter("cambio <> 0")
+    log.write("estado", batch_id, steps)
+    log.write("cambio_stock", batch_id, returned)
+    log.write("rechazo", batch_id, result.rejects.select(F.col("id").cast("string").alias("pedido"), "motivo"))
 
 
-def take_cancellations(batch: DataFrame, store: TableStore) -> Change:
+def take_cancellations(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     """Cancellations (id_solicitud, ts, event_id): give stock back, mark the orders gone."""
     feed = stage(batch, "cancellations")
-    orders = current_orders(store)
-    after = cancel_orders(
-        feed,
-        {
-            "solicitud": orders,
-            "detalle_solicitud": store.rows("detalle_solicitud"),
-            "producto": store.latest("producto"),
-        },
-    )
-    log = feed.join(orders.select("id_solicitud", "estado"), "id_solicitud").select(
-        "id_solicitud", "estado", "ts", "event_id", F.lit(True).alias("anulada")
-    )
-    return Change(append={"estado": log}, replace={"producto": after["producto"]})
+    orders = current_orders(log, batch_id).join(feed.select("id_solicitud").distinct(), "id_solicitud", "left_semi")
+    returning = orders.filter(~F.col("estado").eqNullSafe("Rechazada")).select("id_solicitud")
+    returned = log.rows("detalle_solicitud", batch_id).join(returning, "id_solicitud", "left_semi")
+    log.write("cambio_stock", batch_id, returned.groupBy("id_producto").agg(F.sum(F.col("cantidad").cast("long")).alias("cambio")))
+    marks = feed.join(orders.select("id_solicitud", "estado"), "id_solicitud")
+    log.write("estado", batch_id, marks.withColumn("anulada", F.lit(True)))
 
 
-def status_log(orders: DataFrame) -> DataFrame:
-    """An empty status log that fits the given orders."""
-    return orders.select(
-        "id_solicitud",
-        "estado",
-        F.col("fecha_solicitud").alias("ts"),
-        F.lit(0).cast("long").alias("event_id"),
-        F.lit(False).alias("anulada"),
-    ).limit(0)
-
-
-def reject_log(orders: DataFrame) -> DataFrame:
-    return orders.select(F.lit("").alias("pedido"), F.lit("").alias("motivo")).limit(0)
+def run(stream: DataFrame, log: BatchLog, take: Callable[[DataFrame, int, BatchLog], None], checkpoint: str) -> StreamingQuery:
+    """Start ``take(batch, batch_id, log)`` on every micro-batch that is available now."""
+    return (
+        stream.writeStream.foreachBatch(lambda batch, batch_id: take(batch, batch_id, log))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -2,45 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from shelfline.session import scratch_path
-from shelfline.streaming.store import Change, TableStore
 
 
-def run(
-    stream: DataFrame,
-    store: TableStore,
-    source: str,
-    change: Callable[[DataFrame, TableStore], Change],
-    checkpoint: str,
-) -> StreamingQuery:
-    """Start ``change(batch, store)`` on every micro-batch that is available now."""
+def require_utc(spark: SparkSession) -> None:
+    """Watermarks and windows count instants, the tables hold wall-clock times: both agree in UTC only."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        raise ValueError(f"the session time zone is {zone}; streams over timestamps need UTC")
+
+
+def run_to_end(stream: DataFrame, label: str) -> DataFrame:
+    """Run an append stream over all input there is and return what it wrote."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(_written(stream, label))
+
+
+def relay(stream: DataFrame, label: str) -> DataFrame:
+    """Run an append stream over all input there is; a stream over what it wrote, for the next query."""
+    return stream.sparkSession.readStream.schema(stream.schema).parquet(_written(stream, label))
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        store.apply(source, batch_id, lambda current: change(batch, current))
 
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
+def _written(stream: DataFrame, label: str) -> str:
+    folder = scratch_path(stream.sparkSession)
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .start()
+        .start(f"{folder}/{label}")
     )
+    query.awaitTermination()
+    return f"{folder}/{label}"
 
 
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append stream over all input there is and return what it wrote."""
+def update_to_end(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run an update stream over all input there is and return the last row of each key.
+
+    A batch writes its changed rows to a folder of its own, again if it runs again.
+    """
     spark = stream.sparkSession
     folder = scratch_path(spark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{label}/batch={batch_id}")
+
     query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .start(f"{folder}/{label}")
+        .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{label}")
+    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/{label}")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return written.withColumn("_age", newest).filter("_age = 1").drop("_age", "batch")
+
+
+def in_batches(df: DataFrame, order: str, batches: int, *closing: DataFrame) -> DataFrame:
+    """A stream that brings ``df`` in ranges of ``order``, one file a batch, with an empty one between.
+
+    ``closing`` rows come last, a batch each, to move the watermark past everything before them.
+    """
+    spark = df.sparkSession
+    folder = scratch_path(spark)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    cuts = [low + (high - low) * k / batches for k in range(1, batches)] if low is not None else []
+    part = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    frames = [df.filter(part == k) for k in range(len(cuts) + 1)]
+    frames.insert(1, df.limit(0))
+    for k, frame in enumerate([*frames, *closing]):
+        frame.coalesce(1).write.parquet(f"{folder}/part={k:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.streaming.runner import require_utc
+
 
 def windowed_sales(orders: DataFrame, width: str = "1 day", delay: str = "10 days") -> DataFrame:
-    """Order count and delivered total per window, written once a window is closed.
+    """Order count and delivered total per window, as they change.
 
-    A window closes when the newest order is ``delay`` past its end; later orders
-    for it are dropped and counted in the query progress.
+    Meant for the update mode: a window comes out whenever orders for it arrive, its
+    last row has its sums. An order more than ``delay`` behind the newest one may be
+    dropped; the query's progress counts such rows.
     """
+    require_utc(orders.sparkSession)
     return (
         orders.filter(F.col("estado") == "Entregada")
         .withColumn("ts", F.col("fecha_solicitud").cast("timestamp"))

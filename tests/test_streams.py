@@ -9,72 +9,28 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shelfline.operators import stock, validity
-from shelfline.schema import SCHEMAS
 from shelfline.streaming import alerts, codes, intake, sales
-from shelfline.streaming.runner import run as run_store
-from shelfline.streaming.runner import run_to_end
-from shelfline.streaming.store import Change, TableStore
+from shelfline.streaming.runner import in_batches, relay, require_utc, run_to_end, update_to_end
 
 START = datetime(2026, 1, 1)
 
 
-def write_parts(folder, df, column, bounds):
-    """One file per range of the column, in order."""
-    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        part = df.filter((F.col(column) >= low) & (F.col(column) < high)).coalesce(1)
-        part.write.mode("append").parquet(f"{folder}/part={n}")
-
-
-def stream_of(spark, folder, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
-
-
-def test_store_commits_once(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
-    store.create(append={"log": spark.createDataFrame([(1,)], "n int")}, replace={"state": spark.createDataFrame([(5,)], "s int")})
-    step = lambda current: Change(
-        {"log": spark.createDataFrame([(2,)], "n int")},
-        {"state": current.latest("state").withColumn("s", F.col("s") + 1)})
-    assert store.apply("feed", 0, step) is True
-    assert store.apply("feed", 0, step) is False
-    assert sorted(rows(store.rows("log"))) == [(1,), (2,)] and rows(store.latest("state")) == [(6,)]
-
-    def dies(current):
-        spark.createDataFrame([(99,)], "n int").write.parquet(f"{store.root}/log/version=2")
-        raise RuntimeError("lost")
-
-    with pytest.raises(RuntimeError):
-        store.apply("feed", 1, dies)
-    assert sorted(rows(store.rows("log"))) == [(1,), (2,)]
-    assert store.apply("feed", 1, step) is True
-    assert sorted(rows(store.rows("log"))) == [(1,), (2,), (2,)] and rows(store.latest("state")) == [(7,)]
-
-
-def new_store(spark, seed, folder):
-    store = TableStore(spark, folder)
-    store.create(
-        append={
-            "persona": seed["persona"], "cliente": seed["cliente"], "solicitud": seed["solicitud"],
-            "detalle_solicitud": seed["detalle_solicitud"].drop("id_detalle"),
-            "estado": intake.status_log(seed["solicitud"]), "rechazo": intake.reject_log(seed["solicitud"]),
-        },
-        replace={"producto": seed["producto"]},
-    )
-    return store
-
-
 def order(number, minute, cedula, *cart):
     return json.dumps({
         "order_id": number, "ts": (START + timedelta(minutes=minute)).isoformat(), "cedula": cedula, "nombre": f"N{number}",
         "carrito": [{"id_producto": p, "cant": q, "precio": "2.00"} for p, q in cart]})
 
 
-def stock_of(store):
-    return dict(rows(store.latest("producto"), "id_producto", "stock_actual"))
+def stock_of(log):
+    return dict(rows(intake.current_products(log), "id_producto", "stock_actual"))
+
+
+def seed_log(spark, seed, folder):
+    return intake.intake_log(spark, folder, seed)
 
 
-def test_order_life_over_the_store(spark, seed, tmp_path):
-    store = new_store(spark, seed, str(tmp_path / "store"))
+def test_order_life(spark, seed, tmp_path):
+    log = seed_log(spark, seed, str(tmp_path / "log"))
     feed = tmp_path / "orders"
     feed.mkdir()
     (feed / "a.json").write_text("\n".join([
@@ -85,99 +41,128 @@ def test_order_life_over_the_store(spark, seed, tmp_path):
         "nonsense",
     ]))
     documents = spark.readStream.text(str(feed))
-    start = lambda: run_store(documents, store, "orders", intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
+
+    def start():
+        intake.run(documents, log, intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
+
     start()
     start()  # a restart finds nothing new
-    assert stock_of(store) == {1: 24, 2: 12, 3: 199, 4: 60, 5: 0}
-    assert sorted(rows(store.rows("rechazo"))) == [("11", "stock"), ("13", "cedula"), ("nonsense", "documento")]
-    new = sorted(rows(intake.current_orders(store).filter("id_solicitud >= 10"), "id_solicitud", "estado", "total", "id_cliente"))
+    assert stock_of(log) == {1: 24, 2: 12, 3: 199, 4: 60, 5: 0}
+    assert sorted(rows(log.rows("rechazo"))) == [("11", "stock"), ("13", "cedula"), ("nonsense", "documento")]
+    new = sorted(rows(intake.current_orders(log).filter("id_solicitud >= 10"), "id_solicitud", "estado", "total", "id_cliente"))
     assert new == [(10, "Pendiente", D("12.00"), 4), (12, "Pendiente", D("8.00"), 6)]
     # The refused order did not create its customer; the later one of the same number did.
-    assert rows(store.rows("persona").filter("id_persona > 8"), "id_persona", "cedula", "nombre") == [(9, "900", "N12")]
+    assert rows(log.rows("persona").filter("id_persona > 8"), "id_persona", "cedula", "nombre") == [(9, "900", "N12")]
 
     (feed / "b.json").write_text(order(14, 9, "900", (4, 60)))
     start()
-    assert stock_of(store)[4] == 0
-    assert rows(store.rows("solicitud").filter("id_solicitud = 14"), "id_cliente") == [(6,)]
+    assert stock_of(log)[4] == 0
+    assert rows(log.rows("solicitud").filter("id_solicitud = 14"), "id_cliente") == [(6,)]
 
     changes = spark.createDataFrame(
         [(1, START, 10, "Rechazada"), (2, START, 12, "En Proceso"), (3, START, 77, "Aprobada")],
         "event_id long, ts timestamp_ntz, id long, estado string")
-    changes.coalesce(1).write.parquet(str(tmp_path / "status"))
-    run_store(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "status")), store, "status",
-               intake.take_status, str(tmp_path / "ck_status")).awaitTermination()
-    assert stock_of(store)[5] == 6
-    states = dict(rows(intake.current_orders(store), "id_solicitud", "estado"))
+    intake.take_status(changes, 0, log.stream("status").create())
+    assert stock_of(log)[5] == 6
+    states = dict(rows(intake.current_orders(log), "id_solicitud", "estado"))
     assert (states[10], states[12], states[2]) == ("Rechazada", "Aprobada", "Entregada")
 
     receipts = spark.createDataFrame([(5, 4), (5, 0)], "id_producto long, cantidad int")
-    receipts.coalesce(1).write.parquet(str(tmp_path / "receipts"))
-    run_store(spark.readStream.schema(receipts.schema).parquet(str(tmp_path / "receipts")), store, "receipts",
-               intake.take_receipts, str(tmp_path / "ck_receipts")).awaitTermination()
-    assert stock_of(store)[5] == 10
+    for _ in range(2):  # a batch that runs again overwrites its own rows
+        intake.take_receipts(receipts, 0, log.stream("receipts"))
+    assert stock_of(log)[5] == 10
 
     gone = spark.createDataFrame([(12, START + timedelta(days=1), 9), (10, START + timedelta(days=1), 10)],
                                  "id_solicitud long, ts timestamp_ntz, event_id long")
-    gone.coalesce(1).write.parquet(str(tmp_path / "gone"))
-    run_store(spark.readStream.schema(gone.schema).parquet(str(tmp_path / "gone")), store, "gone",
-               intake.take_cancellations, str(tmp_path / "ck_gone")).awaitTermination()
+    intake.take_cancellations(gone, 0, log.stream("gone"))
     # Order 12 gives its four back, the rejected order 10 does not do so again.
-    assert stock_of(store)[5] == 14
-    assert {10, 12}.isdisjoint(r[0] for r in rows(intake.current_orders(store), "id_solicitud"))
-
-
-def test_windowed_sales_drop_late_orders(spark, tmp_path):
+    assert stock_of(log)[5] == 14
+    assert {10, 12}.isdisjoint(r[0] for r in rows(intake.current_orders(log), "id_solicitud"))
+
+
+def test_odd_documents_take_no_stock(spark, seed, tmp_path):
+    log = seed_log(spark, seed, str(tmp_path / "log"))
+    unpriced = json.loads(order(24, 5, "700", (3, 1), (2, -1)))
+    del unpriced["carrito"][0]["precio"]
+    batch = [
+        order(None, 1, "700", (3, 5)),
+        order(20, 2, "700", (3, 3)), order(20, 2, "700", (3, 3)), order(20, 3, "700", (3, 9)),
+        json.dumps({**json.loads(order(21, 1, "700", (3, 5))), "ts": None}),
+        order(2, 1, "700", (3, 5)),  # stored already
+        json.dumps(unpriced),
+    ]
+    df = spark.createDataFrame([(v,) for v in batch], "value string")
+    for batch_id in (0, 0, 1):  # run again, then sent again
+        intake.take_orders(df, batch_id, log)
+    taken = 199 - stock_of(log)[3]
+    pieces = log.logged("detalle_solicitud").agg(F.sum("cantidad")).first()[0]
+    assert taken == pieces == 3
+    assert rows(log.logged("solicitud"), "id_solicitud", "total") == [(20, D("6.00"))]
+    first = spark.read.parquet(f"{log.root}/rechazo/source=orders/batch=0")
+    assert sorted(rows(first), key=str) == sorted(
+        [("2", "repetido"), ("20", "repetido"), ("20", "repetido"), ("21", "fecha"), ("24", "cantidad,precio"), (None, "pedido")], key=str)
+    again = spark.read.parquet(f"{log.root}/rechazo/source=orders/batch=1")
+    assert rows(again.filter("pedido = '20'"), "motivo") == [("repetido",)] * 3
+
+
+def test_an_empty_batch_changes_nothing(spark, seed, tmp_path):
+    log = seed_log(spark, seed, str(tmp_path / "log"))
+    before = stock_of(log)
+    intake.take_orders(spark.createDataFrame([], "value string"), 0, log)
+    assert stock_of(log) == before and log.logged("solicitud").count() == log.logged("rechazo").count() == 0
+
+
+def test_windowed_sales_come_out_for_all_days(spark):
     data = [(n, START + timedelta(hours=n), "Entregada" if n % 2 else "Pendiente", D(n)) for n in range(240)]
     schema = "id_solicitud long, fecha_solicitud timestamp_ntz, estado string, total decimal(12,2)"
     orders = spark.createDataFrame(data, schema)
-    folder = str(tmp_path / "orders")
-    write_parts(folder, orders, "id_solicitud", [0, 100, 240])
     late = spark.createDataFrame([(999, START, "Entregada", D(1000))], schema)
-    late.coalesce(1).write.parquet(f"{folder}/part=2")
-    got = dict(rows(run_to_end(sales.windowed_sales(stream_of(spark, folder, schema), "1 day", "1 day"), "sales"), "desde", "ventas"))
+    arriving = in_batches(orders, "fecha_solicitud", 3, late)
+    got = dict(rows(update_to_end(sales.windowed_sales(arriving, "1 day", "1 day"), ["desde", "hasta"], "sales"), "desde", "ventas"))
     want = {}
-    for n, ts, state, total in data:
+    for _, ts, state, total in data:
         if state == "Entregada":
             day = datetime(ts.year, ts.month, ts.day)
             want[day] = want.get(day, 0) + total
-    last = START + timedelta(hours=239) - timedelta(days=1)
-    assert got == {day: total for day, total in want.items() if day + timedelta(days=1) <= last}
+    assert got == want
 
 
-def test_ledger_stream_equals_batch(spark, tmp_path):
+def test_alert_stream_equals_batch(spark):
     data = [(n % 3, START + timedelta(minutes=n), "venta" if n % 4 else "recepcion", n, -(n % 5) if n % 4 else n % 7) for n in range(240)]
-    schema = "id_producto long, ts timestamp_ntz, tipo string, ref long, cantidad long"
-    moves = spark.createDataFrame(data, schema)
-    folder = str(tmp_path / "moves")
-    write_parts(folder, moves, "ref", [0, 100, 170, 240])
+    moves = spark.createDataFrame(data, "id_producto long, ts timestamp_ntz, tipo string, ref long, cantidad long")
     opening = spark.createDataFrame([(0, 30), (1, 9)], "id_producto long, stock_actual int")
-    store = alerts.ledger_store(TableStore(spark, str(tmp_path / "store")), opening)
-    for _ in range(2):
-        run_store(stream_of(spark, folder, schema), store, "moves", alerts.take_movements, str(tmp_path / "ck")).awaitTermination()
+    closing = spark.createDataFrame([(None, START + timedelta(days=2), 0)], "id_producto long, ts timestamp_ntz, cantidad long")
+    dropped = spark.createDataFrame([(0, START, -1000)], closing.schema)
+    arriving = in_batches(moves.select("id_producto", "ts", "cantidad"), "ts", 3, closing, dropped)
+    got = run_to_end(alerts.stream_alerts(relay(alerts.minute_sums(arriving, "10 minutes"), "minutes"), opening), "alerts")
     known = stock.stock_ledger(moves.filter("id_producto < 2"), opening)
-    columns = ("id_producto", "ref", "saldo")
-    assert sorted(rows(store.rows("movimiento"), *columns)) == sorted(rows(known, *columns))
-    crossings = sorted(rows(stock.low_stock_crossings(known), *columns))
-    assert sorted(rows(store.rows("alerta"), *columns)) == crossings and crossings
-    last = {p: (30, 9)[p] + sum(q for product, _, _, _, q in data if product == p) for p in (0, 1)}
-    assert dict(rows(store.latest("producto"))) == last
+    columns = ("id_producto", "ts", "cantidad", "saldo")
+    want = sorted(rows(stock.low_stock_crossings(known), *columns))
+    assert sorted(rows(got, *columns)) == want and want
 
 
-def test_code_stream_equals_batch(spark, tmp_path):
+def test_code_stream_equals_batch(spark):
     kinds = [validity.ISSUED, validity.TRIED, validity.CONSUMED, validity.TRIED]
     data = [(n, (n * 7) % 5, START + timedelta(seconds=97 * n, microseconds=n * 1111), kinds[(n * n // 3) % 4]) for n in range(300)]
+    # A code issued before an empty batch, and an attempt that another user's event has passed already.
+    data += [(900, 7, START, validity.ISSUED), (901, 8, START + timedelta(minutes=6), validity.CONSUMED), (902, 7, START + timedelta(minutes=5), validity.TRIED)]
     schema = "event_id long, id_usuario long, ts timestamp_ntz, tipo string"
     feed = spark.createDataFrame(data, schema)
-    folder = str(tmp_path / "codes")
-    write_parts(folder, feed, "event_id", [0, 90, 180, 300])
-    store = codes.code_store(TableStore(spark, str(tmp_path / "store")))
-    for _ in range(2):  # the second start finds nothing new
-        run_store(stream_of(spark, folder, schema), store, "codes", codes.take_codes, str(tmp_path / "ck")).awaitTermination()
-    got = rows(store.rows("respuesta"), "event_id", "valido")
+    end = START + timedelta(days=2)
+    closing = [
+        spark.createDataFrame([(-1, -1, end + timedelta(days=d), k) for k in (validity.ISSUED, validity.TRIED)], schema) for d in (0, 2)
+    ]
+    late = spark.createDataFrame([(999, 7, START, validity.TRIED)], schema)
+    got = run_to_end(codes.stream_validity(in_batches(feed, "event_id", 3, *closing, late), delay="2 days"), "codes")
     want = dict(rows(validity.code_validity(feed), "event_id", "valido"))
-    assert len(got) == len(want) and dict(got) == want
-    assert any(want.values()) and not all(want.values())
-    assert store.version() == 3
-    # At most one open code per user, none older than its lifetime.
-    still = rows(store.latest("codigo_abierto"), "id_usuario", "ts")
-    assert len(still) <= 5 and all(ts > START + timedelta(seconds=97 * 299 - 901) for _, ts in still)
+    assert dict(rows(got.filter("event_id >= 0"), "event_id", "valido")) == want
+    assert want[902] and any(want.values()) and not all(want.values())
+
+
+def test_streams_need_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Caracas")
+    try:
+        with pytest.raises(ValueError):
+            require_utc(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
