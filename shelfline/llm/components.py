@@ -16,8 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     one row of a minimum and the split side of a join, never a gathered list.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    before = None
-    while True:
+    while not _is_settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hung = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -25,9 +24,12 @@ def components(links: DataFrame) -> DataFrame:
         root = hung.groupBy("u").agg(F.min("v").alias("m"))
         rest = hung.join(root, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(rest.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(edges.agg(F.count("u"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, and that one on none."""
+    several = edges.groupBy("u").agg(F.count("v").alias("n")).filter("n > 1")
+    hanging = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return several.isEmpty() and hanging.isEmpty()

@@ -2,15 +2,16 @@
 
 1. A task turns each text into its set of word shingles, a 128-bit print of the set and a
    signature of MinHash values. Texts with equal sets become one node.
-2. Bands of the signature file the nodes into buckets. A node is first compared with the
-   smallest node it shares a bucket with, then with the smallest of each bucket, and last,
-   where a bucket still holds several components, with every member of another component
-   that its size allows. Members known to be connected are never paired, so a group of
-   thousands of copies costs one comparison each.
-3. A candidate pair's signatures are compared batch by batch. As soon as the posterior
+2. Bands of the signature file the nodes into buckets. Nodes that buckets connect are a family;
+   whatever pair shares a bucket is in one family. Buckets only hand on their smallest node, so
+   a bucket of any size gives one row per member.
+3. Families are cut into groups of sizes that can be similar at all, and these into blocks of
+   bounded rows and bytes. Every pair of blocks of a group is a unit, worked on in one go as matrices.
+4. In a unit the signatures of all pairs are compared batch by batch. As soon as the posterior
    probability that the similarity reaches the threshold falls below ``miss``, the pair goes.
-4. Survivors are confirmed on their full shingle sets.
-5. Confirmed links are merged to components.
+5. Survivors are confirmed on their full shingle sets, the likeliest first; nodes that links of
+   the unit already connect need no further check. A unit writes links only, never its pairs.
+6. Links are merged to components.
 
 A pair exactly at the threshold shares no band with probability (1 - 0.85**6)**40 = 6e-9.
 """
@@ -37,6 +38,8 @@ PERCENT = 85
 BATCH = 40
 #: Posterior probability of a wanted pair below which comparing stops.
 MISS = 1e-7
+#: Rows and bytes of a block; a unit holds two.
+UNIT_ROWS, UNIT_BYTES = 1500, 4 << 20
 
 _U = np.uint64
 _WORDS = Powers(0x8CB92BA72F3D8DD7)
@@ -115,9 +118,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(key.ravel().view(np.int64)),
                 pa.array(np.repeat(np.asarray(column(batch, "node")), BANDS)),
-                pa.array(np.repeat(np.asarray(column(batch, "n_shingles")), BANDS)),
             ],
-            names=["bucket", "node", "n_shingles"],
+            names=["bucket", "node"],
         )
 
 
@@ -139,73 +141,132 @@ def least_matches(percent: int, miss: float, values: int = VALUES, batch: int =
     return out
 
 
-def _prune(percent: int, miss: float):
-    steps = least_matches(percent, miss)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = _values(column(batch, "signature_a")), _values(column(batch, "signature_b"))
-            alive, same, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in steps:
-                same = same + (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
-                stay = same >= least
-                alive, same, done = alive[stay], same[stay], n
-            yield pa.RecordBatch.from_arrays([column(batch, c).take(pa.array(alive)) for c in "ab"], names=["a", "b"])
-
-    return run
-
-
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures and full sets of the texts that stand for nodes, once each."""
+    done: set[int] = set()
     for batch in batches:
-        nodes = column(batch, "node")
+        nodes, units = column(batch, "node"), column(batch, "units")
         one_of, two_of = np.asarray(column(batch, "one")), np.asarray(column(batch, "two"))
         for start, stop, values, at, one, two in _sets_of(column(batch, "text")):
-            own = np.flatnonzero((one == one_of[start:stop]) & (two == two_of[start:stop]))
+            own = np.flatnonzero((one == one_of[start:stop]) & (two == two_of[start:stop]) & (np.diff(at) > 0))
+            own = [i for i in own if (n := nodes[start + int(i)].as_py()) not in done and not done.add(n)]
+            if not own:
+                continue
+            sets = [values[at[i] : at[i + 1]] for i in own]
+            begins = np.cumsum([0] + [len(x) for x in sets])[:-1]
+            rows = signatures(np.concatenate(sets), begins)
+            take = pa.array([start + int(i) for i in own])
             yield pa.RecordBatch.from_arrays(
-                [nodes[start:stop].take(pa.array(own)), pa.array([values[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())],
-                names=["node", "shingles"],
+                [
+                    nodes.take(take),
+                    units.take(take),
+                    pa.array([r.tobytes() for r in rows], pa.binary()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                names=["node", "units", "signature", "shingles"],
             )
 
 
-def _confirm(percent: int):
+class _Unit:
+    """The links of one unit."""
+
+    def __init__(self, percent: int, steps: list[tuple[int, int]]):
+        self.percent, self.steps = percent, steps
+
+    def links(self, nodes: list[int], blocks: list[int], signatures_of: list[bytes], sets_of: list[bytes]) -> list[tuple[int, int]]:
+        keep = {n: k for k, n in enumerate(nodes)}.values()
+        nodes, blocks = [nodes[k] for k in keep], np.array([blocks[k] for k in keep])
+        rows = np.frombuffer(b"".join(signatures_of[k] for k in keep), np.uint32).reshape(len(nodes), VALUES)
+        sets = [np.frombuffer(sets_of[k], np.uint64) for k in keep]
+        sizes = np.array([len(x) for x in sets])
+        across = len(set(blocks.tolist())) > 1
+        first, second, score = [], [], []
+        for i in range(len(nodes)):
+            fits = np.minimum(sizes[i], sizes[i + 1 :]) * 100 >= np.maximum(sizes[i], sizes[i + 1 :]) * self.percent
+            if across:
+                fits &= blocks[i + 1 :] != blocks[i]
+            alive, same, done = np.flatnonzero(fits) + i + 1, 0, 0
+            for n, least in self.steps:
+                if not len(alive):
+                    break
+                same = same + (rows[alive, done:n] == rows[i, done:n]).sum(axis=1)
+                stay = same >= least
+                alive, same, done = alive[stay], same[stay], n
+            if len(alive):
+                first.append(np.full(len(alive), i, np.int32))
+                second.append(alive.astype(np.int32))
+                score.append(same.astype(np.int32))
+        return self._confirmed(nodes, sets, first, second, score) if first else []
+
+    def _confirmed(self, nodes, sets, first, second, score) -> list[tuple[int, int]]:
+        order = np.argsort(-np.concatenate(score), kind="stable")
+        root, out = list(range(len(nodes))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(np.concatenate(first)[order].tolist(), np.concatenate(second)[order].tolist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b:
+                both = np.sort(np.concatenate((sets[i], sets[j])))
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= self.percent * (len(both) - common):
+                    root[a] = b
+                    out.append((nodes[i], nodes[j]))
+        return out
+
+
+def _links(percent: int, miss: float):
+    steps = least_matches(percent, miss)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, key = _Unit(percent, steps), [], None
+
+        def flush() -> pa.RecordBatch:
+            found = unit.links(*map(list, zip(*held, strict=True))) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            linked = []
-            for left, right in zip(column(batch, "shingles_a"), column(batch, "shingles_b"), strict=True):
-                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((a, b)))
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(linked, pa.bool_())) for c in "ab"], names=["a", "b"])
+            keys = zip(*(column(batch, c).to_pylist() for c in ("family", "sizes", "low", "high")), strict=True)
+            rows = zip(*(column(batch, c).to_pylist() for c in ("node", "block", "signature", "shingles")), strict=True)
+            for here, row in zip(keys, rows, strict=True):
+                if here != key:
+                    if held:
+                        yield flush()
+                    held, key = [], here
+                held.append(row)
+        if held:
+            yield flush()
 
     return run
 
 
-class _Verifier:
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, miss: float):
-        self.docs, self.classes, self.percent, self.miss = docs, classes, percent, miss
+def _units(nodes: DataFrame, percent: int) -> DataFrame:
+    """node and units, the list of units each node takes part in, of (node, family, n_shingles).
 
-    def links(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) that the full sets confirm, staged."""
-        alive = self._both(pairs, self.classes.select("node", "signature"), "signature").mapInArrow(
-            _prune(self.percent, self.miss), "a long, b long"
-        )
-        alive = stage(alive, f"{label}_alive")
-        asked = alive.select(F.col("a").alias("node")).unionByName(alive.select(F.col("b").alias("node"))).distinct()
-        asked = stage(self.classes.join(asked, "node").select("node", "doc_id", "one", "two"), f"{label}_asked")
-        named = asked.withColumnRenamed("doc_id", "_id")
-        texts = likely_in(self.docs, "doc_id", asked).join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
-        sets = texts.mapInArrow(_full_sets, "node long, shingles binary").dropDuplicates(["node"])
-        linked = self._both(alive, stage(sets, f"{label}_sets"), "shingles").mapInArrow(_confirm(self.percent), "a long, b long")
-        return stage(linked, f"{label}_links")
-
-    @staticmethod
-    def _both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-        a = of.select(F.col("node").alias("a"), F.col(value).alias(f"{value}_a"))
-        b = of.select(F.col("node").alias("b"), F.col(value).alias(f"{value}_b"))
-        return pairs.join(a, "a").join(b, "b")
+    Sizes are grouped by powers of four, with a group of their own for those near enough to
+    a border to match across it.
+    """
+    place = F.floor(F.log("n_shingles") / F.log(F.lit(4.0)) + 1e-9)
+    above, below = F.pow(F.lit(4.0), place + 1), F.pow(F.lit(4.0), place)
+    groups = F.array(
+        2 * place,
+        F.when(F.col("n_shingles") * 100 >= above * percent, 2 * place + 1),
+        F.when(F.col("n_shingles") * percent <= below * 100, 2 * place - 1),
+    )
+    grouped = nodes.withColumn("sizes", F.explode(groups)).filter("sizes is not null")
+    blocks = F.ceil(F.greatest(F.col("rows") / UNIT_ROWS, F.col("bytes") / UNIT_BYTES)).cast("int")
+    sizes = grouped.groupBy("family", "sizes").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("n_shingles") * 8 + VALUES * 4).alias("bytes")
+    )
+    sizes = sizes.filter("rows > 1").select("family", "sizes", blocks.alias("blocks"))
+    placed = grouped.join(sizes, ["family", "sizes"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.struct("family", "sizes", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+    return placed.groupBy("node").agg(F.collect_list(unit).alias("units"))
 
 
 def near_duplicates(
@@ -227,39 +288,25 @@ def near_duplicates(
     classes = sets.filter("n_shingles > 0").groupBy("one", "two", "n_shingles")
     classes = stage(row_counter(classes.agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")), "node"), "classes")
 
-    bands = stage(classes.select("node", "n_shingles", "signature").mapInArrow(_bands, "bucket long, node long, n_shingles long"), "bands")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
-    members = stage(bands.join(shared.drop("last"), "bucket"), "members")
-    verifier = _Verifier(docs, classes, percent, miss)
-
-    def fits(one: str, two: str):
-        return F.least(one, two) * 100 >= F.greatest(one, two) * percent
-
-    near = members.filter("node > head").groupBy("node").agg(F.min("head").alias("head"))
-    first = near.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = verifier.links(first, "first")
-    rooted = _rooted(members, components(links))
-    heads = rooted.filter("node = head").select("bucket", F.col("root").alias("head_root"))
-    second = rooted.join(heads, "bucket").filter("node > head and root != head_root")
-    second = second.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stage(second.join(first, ["a", "b"], "left_anti"), "tested")
-    links = links.unionByName(verifier.links(tested, "second"))
-
-    rooted = _rooted(members, components(links))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rooted = rooted.join(split.select("bucket"), "bucket").select("bucket", "node", "n_shingles", "root")
-    other = rooted.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n_shingles", "root")])
-    third = rooted.join(other, "bucket").filter((F.col("root") != F.col("other_root")) & (F.col("node") < F.col("other_node")))
-    third = third.filter(fits("n_shingles", "other_n_shingles")).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-    third = third.join(first.unionByName(tested), ["a", "b"], "left_anti")
-    links = links.unionByName(verifier.links(stage(third, "third"), "third"))
-
-    return _result(sets, classes, components(links))
-
-
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Bucket members with the root of their component."""
-    return stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    bands = stage(classes.select("node", "signature").mapInArrow(_bands, "bucket long, node long"), "bands")
+    heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
+    heads = stage(heads.select("bucket", "head"), "heads")
+    star = bands.join(heads, "bucket").filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    families = components(star).withColumnRenamed("root", "family")
+
+    plain = classes.select("node", "doc_id", "one", "two", "n_shingles")
+    members = stage(families.join(plain, "node"), "members")
+    units = _units(members.select("node", "family", "n_shingles"), percent)
+    asked = stage(members.join(units, "node").select("node", F.col("doc_id").alias("_id"), "one", "two", "units"), "asked")
+    ids = asked.select(F.col("_id").alias("doc_id"))
+    texts = likely_in(docs, "doc_id", ids).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
+    unit = "struct<family: long, sizes: long, low: int, high: int, block: int>"
+    payload = texts.mapInArrow(_payload, f"node long, units array<{unit}>, signature binary, shingles binary")
+    payload = payload.withColumn("unit", F.explode("units")).select("unit.*", "node", "signature", "shingles")
+    key = ["family", "sizes", "low", "high"]
+    worked = payload.repartition(*key).sortWithinPartitions(*key).mapInArrow(_links(percent, miss), "a long, b long")
+    roots = components(worked)
+    return _result(sets, classes, roots)
 
 
 def _result(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:

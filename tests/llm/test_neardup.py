@@ -46,7 +46,7 @@ def test_messy_rows(documents, clashing, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_drifting_copies_and_a_large_group(spark):
+def test_drifting_copies_and_a_large_group(spark, monkeypatch):
     """Copies of copies, each a little further off, so that links reach where similarity does not."""
     rng, rows, text = random.Random(5), [], prose(9, 200).split(" ")
     for i in range(80):
@@ -60,7 +60,20 @@ def test_drifting_copies_and_a_large_group(spark):
             words[rng.randrange(100)] = f"v{i}{k}"
         rows.append((2000 + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert ordered(neardup.near_duplicates(df)) == plain(rows)
+    want = plain(rows)
+    assert ordered(neardup.near_duplicates(df)) == want
+    monkeypatch.setattr(neardup, "UNIT_ROWS", 20)  # the group is many blocks
+    assert ordered(neardup.near_duplicates(df)) == want
+
+
+def test_sizes_that_can_match_share_a_unit(spark):
+    sizes = [1, 2, 3, 4, 5, 13, 14, 15, 16, 17, 18, 19, 55, 63, 64, 70, 75, 76, 250, 256, 300, 301]
+    nodes = spark.createDataFrame([(n, 0, n) for n in sizes], "node long, family long, n_shingles long")
+    groups = {r.node: {u.sizes for u in r.units} for r in neardup._units(nodes, 85).collect()}
+    for a in sizes:
+        for b in sizes:
+            if a < b and 100 * a >= 85 * b:
+                assert groups[a] & groups[b], (a, b)
 
 
 def test_one_of_each_group_stays(documents, clashing):
