@@ -97,6 +97,11 @@ def digits_only(column: str | Column) -> Column:
     return F.regexp_replace(column, "[^0-9]", "")
 
 
+def phone_input(column: str | Column, digits: int = 15) -> Column:
+    """What a phone field takes of a text: its digits, the first 15 of them."""
+    return F.left(digits_only(column), F.lit(digits))
+
+
 def is_digits(column: str | Column) -> Column:
     return F.rlike(column, F.lit(r"\A[0-9]+\z"))
 

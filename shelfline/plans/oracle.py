@@ -202,6 +202,11 @@ SELECT id_producto, nombre_producto, marca_repuesto AS marca, stock_actual, CAST
   CASE WHEN stock_actual < 5 THEN 'stock-alert' ELSE 'stock-ok' END AS nivel,
   CAST(precio * stock_actual AS DOUBLE) AS valor
 FROM producto WHERE contains(lower(marca_repuesto), 'brand#1') ORDER BY stock_actual, id_producto""",
+    "full_inventory_report": """
+SELECT id_producto, nombre_producto, marca_repuesto AS marca, stock_actual, CAST(precio AS DOUBLE) AS precio,
+  CASE WHEN stock_actual < 5 THEN 'stock-alert' ELSE 'stock-ok' END AS nivel,
+  CAST(precio * stock_actual AS DOUBLE) AS valor
+FROM producto ORDER BY stock_actual, id_producto""",
     "low_stock_report": """
 SELECT id_producto, nombre_producto, marca_repuesto AS marca, stock_actual, CAST(precio AS DOUBLE) AS precio,
   'stock-alert' AS nivel, CAST(precio * stock_actual AS DOUBLE) AS valor
@@ -228,6 +233,11 @@ ORDER BY id_solicitud DESC""",
 SELECT id_producto, id_solicitud, cantidad, CAST(precio_unitario AS DOUBLE) AS precio_unitario,
   CAST(subtotal AS DOUBLE) AS subtotal, i.nombre_producto, i.codigo
 FROM detalle_con_precio JOIN inventario i USING (id_producto)""",
+    "order_lines_of": """
+SELECT id_producto, id_solicitud, cantidad, CAST(precio_unitario AS DOUBLE) AS precio_unitario,
+  CAST(subtotal AS DOUBLE) AS subtotal, i.nombre_producto, i.codigo
+FROM detalle_con_precio JOIN inventario i USING (id_producto)
+WHERE id_solicitud IN (SELECT id_solicitud FROM solicitud WHERE estado = 'Aprobada')""",
     "latest_orders": """
 SELECT id_solicitud, nombre AS cliente, CAST(total AS DOUBLE) AS total, fecha_solicitud AS fecha
 FROM solicitud JOIN cliente USING (id_cliente) JOIN persona USING (id_persona)
@@ -317,6 +327,7 @@ SELECT (SELECT count(*) FROM producto) AS productos,
   (SELECT count(*) FROM solicitud WHERE estado = 'Pendiente') AS pendientes,
   CAST(coalesce((SELECT sum(total) FROM solicitud WHERE estado = 'Entregada'), 0) AS DOUBLE) AS ventas,
   format('{:,.2f}', CAST((SELECT sum(total) FROM solicitud WHERE estado = 'Entregada') AS DOUBLE)) AS ventas_texto""",
+    # The month labels.
     "monthly_sales": """
 SELECT CAST(month(fecha_solicitud) AS INTEGER) AS mes,
   (['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic'])[month(fecha_solicitud)] AS etiqueta,
@@ -362,6 +373,10 @@ SELECT event_id, concat_ws(',', CASE WHEN event_type = 'signup' THEN 'cedula' EN
   CASE WHEN CAST(floor(value) AS INTEGER) % 10 = 0 THEN 'cantidad' END,
   CASE WHEN event_type = 'purchase' THEN 'pedido' END, CASE WHEN event_id % 50 = 0 THEN 'fecha' END,
   CASE WHEN event_type = 'click' AND value > 0 THEN 'precio' END) AS motivos
+FROM events""",
+    "phone_numbers": """
+SELECT event_id, CASE event_type WHEN 'click' THEN left('0412' || (user_id + 10000000), 15)
+  WHEN 'view' THEN left((user_id + 10000000) || '' || (user_id + 10000000), 15) END AS telefono
 FROM events""",
     "escape_html": """
 SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '"', '&quot;'), '''', '&#039;'),

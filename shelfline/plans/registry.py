@@ -100,6 +100,11 @@ def _inventory_report(t: StandIn) -> DataFrame:
     return catalog.inventory_report(t["producto"], brand="BRAND#1")
 
 
+@_query("full_inventory_report")
+def _full_inventory_report(t: StandIn) -> DataFrame:
+    return catalog.inventory_report(t["producto"])
+
+
 @_query("low_stock_report")
 def _low_stock_report(t: StandIn) -> DataFrame:
     return catalog.inventory_report(t["producto"], kind="bajo-stock")
@@ -138,6 +143,13 @@ def _order_lines(t: StandIn) -> DataFrame:
     return orders.order_lines(ChainMap({"detalle_solicitud": t["detalle_con_precio"]}, t))
 
 
+@_query("order_lines_of")
+def _order_lines_of(t: StandIn) -> DataFrame:
+    """Lines of the approved orders."""
+    approved = t["solicitud"].filter("estado = 'Aprobada'").select("id_solicitud")
+    return orders.order_lines(ChainMap({"detalle_solicitud": t["detalle_con_precio"]}, t), approved)
+
+
 @_query("latest_orders")
 def _latest_orders(t: StandIn) -> DataFrame:
     return orders.latest_orders(t)
@@ -429,6 +441,11 @@ def _validate_orders(t: StandIn) -> DataFrame:
     )
 
 
+@_query("phone_numbers")
+def _phone_numbers(t: StandIn) -> DataFrame:
+    return _unchecked_feed(t).select("event_id", text.phone_input("telefono").alias("telefono"))
+
+
 @_query("escape_html")
 def _escape_html(t: StandIn) -> DataFrame:
     return t.raw("pages").select("page_id", text.escape_html("html").alias("texto"))

@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
+from shelfline.session import stage
+
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per row, NULL fields kept."""
@@ -21,8 +23,9 @@ def export_report(
     ``drop`` leaves out columns that only serve the page. A report without rows
     is refused.
     """
-    if df.isEmpty():
+    rows = stage(df.drop(*drop), "report")
+    if rows.isEmpty():
         raise ValueError("no rows to export")
     path = f"{directory.rstrip('/')}/Reportes_{kind}_{as_of.isoformat()}"
-    df.drop(*drop).write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).csv(path)
     return path

@@ -31,5 +31,21 @@ def test_sums_shrink_before_the_shuffle_and_the_join(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double>" in text
 
 
+@pytest.mark.parametrize(
+    "name, keys",
+    [
+        ("order_list", [("id_solicitud", True)]), ("order_board", [("id_solicitud", True)]), ("inventory", [("id_producto", True)]),
+        ("latest_orders", [("id_solicitud", True)]), ("stock_by_category", [("cantidad", True)]),
+        ("frequent_customers", [("total_gastado", True), ("id_cliente", False)]), ("revenue_by_car", [("ingresos", True)]),
+        ("inventory_report", [("stock_actual", False), ("id_producto", False)]), ("monthly_sales", [("mes", False)]),
+        ("customer_history", [("fecha_solicitud", True)]),
+    ],
+)
+def test_rows_come_in_their_order(spark, name, keys):
+    found = entry.queries()[name](spark, DATA).toPandas()[[k for k, _ in keys]]
+    again = found.sort_values([k for k, _ in keys], ascending=[not down for _, down in keys], kind="stable")
+    assert len(found) and list(found.itertuples(index=False)) == list(again.itertuples(index=False))
+
+
 def test_documents_are_read_once(spark):
     assert plan(entry.queries()["parse_orders"](spark, DATA)).count("from_json(") == 1

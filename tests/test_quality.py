@@ -42,14 +42,19 @@ def test_order_rules(spark):
         ],
         "n int, cedula string, nombre string, telefono string, id_producto long, cantidad string",
     )
+    feed = feed.withColumns({
+        "id_solicitud": F.when(F.col("n") != 5, F.col("n")),
+        "ts": F.when(F.col("n") != 4, F.lit("2026-01-01").cast("timestamp_ntz")),
+        "precio_unitario": F.when(F.col("n") == 2, -1).when(F.col("n") != 6, 0),
+    })
     valid, rejects = quality.validate_orders(feed)
     assert rows(valid, "n") == [(1,)]
     assert dict(rows(rejects, "n", "motivos")) == {
-        2: ["cedula", "nombre", "telefono", "producto", "cantidad"],
+        2: ["cedula", "nombre", "telefono", "producto", "cantidad", "precio"],
         3: ["cedula", "nombre", "cantidad"],
-        4: ["telefono", "cantidad"],
-        5: ["cantidad"],
-        6: ["cedula", "cantidad"],
+        4: ["telefono", "cantidad", "fecha"],
+        5: ["cantidad", "pedido"],
+        6: ["cedula", "cantidad", "precio"],
     }
 
 
@@ -79,8 +84,25 @@ def test_formats(spark):
     assert one(spark, text.two_decimals(F.lit("1234.125").cast("decimal(12,3)"))) == "1234.13"
     assert [one(spark, text.padded(F.lit(n), 4)) for n in (7, 12345)] == ["0007", "12345"]
     assert one(spark, text.digits_only(F.lit("0412-12 3"))) == "0412123"
+    assert one(spark, text.phone_input(F.lit("+58 (412) 123-45-67-89-01-23"))) == "584121234567890"
+    # The entities and month labels of the pages.
     assert one(spark, text.escape_html(F.lit("""<a href="x">&'</a>"""))) == (
         "&lt;a href=&quot;x&quot;&gt;&amp;&#039;&lt;/a&gt;")
     assert one(spark, text.clean_input(F.lit("\t <b> \n"))) == "&lt;b&gt;"
     assert [r[0] for r in spark.range(1, 13).select(F.col("id").cast("int").alias("m")).select(text.month_label("m")).collect()] == [
         "Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "Oct", "Nov", "Dic"]
+
+
+def test_wildcards_compare_as_the_collation_does(spark):
+    df = spark.createDataFrame([("Łukasz Nowak",), ("Ştefan Őri",), ("ab1x3cd",), (None,), ("",), ("árbol",)], "t string")
+
+    def found(term):
+        return [r[0] for r in df.filter(text.matches("t", term, "like")).collect()]
+
+    for term, want in {
+        "őri": ["Ştefan Őri"], "stefan%ori": ["Ştefan Őri"], "ori%stefan": [], "1_3": ["ab1x3cd"], "1__3": [],
+        "_B1": ["ab1x3cd"], "ARBOL": ["árbol"], "lukasz%k": ["Łukasz Nowak"], "a%b_l": ["árbol"],
+    }.items():
+        assert found(term) == want, term
+        if "%" not in term and "_" not in term:
+            assert found(term) == [r[0] for r in df.filter(text.matches("t", term)).collect()]
