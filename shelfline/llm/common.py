@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.session import stage
+from shelfline.session import scratch_path, stage
 
 __all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_counter", "ship", "stage", "word_spans", "hash_words"]
 
@@ -42,9 +41,13 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as archive:
         for path in sorted(package.rglob("*.py")):
             archive.write(path, path.relative_to(package.parent))
-    target = Path(tempfile.mkdtemp()) / f"{package.name}_llm.zip"
-    target.write_bytes(data.getvalue())
-    context.addPyFile(str(target))
+    # The shared folder takes it, like everything else that executors read.
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark)}/{package.name}_llm.zip")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = files.create(path)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    context.addPyFile(files.makeQualified(path).toString())
     _shipped.add(context.applicationId)
 
 
