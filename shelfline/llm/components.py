@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hung = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = hung.filter("u > v").distinct()
+        hung = hung.filter("u > v")
         root = hung.groupBy("u").agg(F.min("v").alias("m"))
         rest = hung.join(root, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(rest.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _is_settled(edges: DataFrame) -> bool:
     """Whether every node hangs on one other, and that one on none."""
-    several = edges.groupBy("u").agg(F.count("v").alias("n")).filter("n > 1")
-    hanging = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-    return several.isEmpty() and hanging.isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    per_node = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return per_node.filter("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
