@@ -60,7 +60,7 @@ class Encoder:
         self.words, self.older = _Words(), _Words()
         # Many words go in one call, a special token between them.
         self.joined = Tokenizer.from_file(path)
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}
         self.between, self.between_id = max(
             ((t.content, i) for i, t in self.joined.get_added_tokens_decoder().items()), key=lambda x: x[1]
         )
@@ -68,10 +68,11 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _merged(self, unit: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(unit)]
+    def _merged(self, unit: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(unit)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _unit(self, marks: str) -> list[int]:
+    def _unit(self, marks: str) -> bytes:
         if marks not in self.units:
             if len(self.units) > 10_000:
                 self.units.clear()
@@ -84,15 +85,15 @@ class Encoder:
             parts = _SIMPLE(word)
             if parts and (self.glued or not parts[1]):
                 edge, letters, marks = parts.groups()
-                if self.glued:
-                    ids = self._merged(("" if edge else _BLANK) + _chars(letters))
-                    if edge == "\n":
-                        ids = self._unit(_NEWLINE) + ids
-                else:
-                    ids = self._merged(_chars(letters.lower()))
-                if marks:
-                    ids = ids + self._unit(marks)
-                self.words[word] = struct.pack(f"<{len(ids)}H", *ids)
+                if edge:
+                    found = (self._unit(_NEWLINE) if edge == "\n" else b"") + self._merged(_chars(letters))
+                else:  # the bare word may be known, or be asked for later
+                    letters = letters if self.glued else letters.lower()
+                    found = self.words.get(letters) or self.older.get(letters)
+                    if not found:
+                        found = self._merged((_BLANK if self.glued else "") + _chars(letters))
+                    self.words[letters] = found
+                self.words[word] = found + self._unit(marks) if marks else found
                 continue
             text = word
             if self.glued:
@@ -119,11 +120,16 @@ class Encoder:
             start = end + 2
 
     def _pieces(self, text: str) -> list[str]:
+        """Pieces that are encoded alone, each with a blank before it unless "\\n" or, for no text at all, "\\0" leads."""
         if not text:
             return []
-        if not self.glued:
-            return text.replace("\n", " ").split(" ")
-        return f"\0{text}".replace("\n", " \n").split(" ")
+        if self.glued:
+            if "\0" in text:
+                return ["\0"]  # has no safe edges: the text is encoded whole
+            return f"\0{text}".replace("\n", " \n").split(" ")
+        if "Σ" not in text and "İ" not in text:  # of these Python has lower forms of its own
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
