@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Powers, Rolling, column, row_counter, ship, stage
+from shelfline.llm.common import Powers, Rolling, column, row_counter, ship, stage, tidy
 from shelfline.llm.topk import usable
 
 TABLES, HASHES, PROBES = 8, 8, 60
@@ -203,11 +203,11 @@ def _met(candidates: DataFrame, asked: DataFrame, count: int) -> DataFrame:
 
     def cut(rows: DataFrame, label: str) -> DataFrame:
         order = ["table", "bucket", "id"]
-        return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_matrices, _PACKED), label)
+        return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_matrices), _PACKED), label)
 
     asked = cut(asked, "probes").select("table", "bucket", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
     pairs = asked.join(cut(candidates, "buckets"), ["table", "bucket"])
-    met = pairs.mapInArrow(_compare(count), "query_id long, id long, score double")
+    met = pairs.mapInArrow(tidy(_compare(count)), "query_id long, id long, score double")
     return met.groupBy("query_id", "id").agg(F.min("score").alias("score"))
 
 
@@ -236,12 +236,12 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     asked = rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = stage(asked, "queries")
 
-    moments = distinct.select("id", "vector").mapInArrow(_moments, "place long, n double, sum double, squares double")
+    moments = distinct.select("id", "vector").mapInArrow(tidy(_moments), "place long, n double, sum double, squares double")
     moments = moments.groupBy("place").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares"))
     spread = moments.agg(F.sum(F.expr("squares / n - sum / n * sum / n"))).first()[0]
     scale = float(max(spread or 0.0, 0.0)) ** 0.5
     plain = distinct.select("id", "vector")
-    found = _met(plain.mapInArrow(_bucketed(scale, False), _BUCKETED), asked.mapInArrow(_bucketed(scale, True), _BUCKETED), k + 1)
+    found = _met(plain.mapInArrow(tidy(_bucketed(scale, False)), _BUCKETED), asked.mapInArrow(tidy(_bucketed(scale, True)), _BUCKETED), k + 1)
     found = stage(found, "found")
     enough = stage(_ranked(found, distinct, k), "ranked")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from shelfline.session import scratch_path, stage
 
-__all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_counter", "ship", "stage", "word_spans", "hash_words"]
+__all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_counter", "ship", "stage", "tidy", "word_spans", "hash_words"]
 
 #: Text bytes worked on at once in a task; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes of a batch between Spark and a Python worker; both sides hold a few of them per task.
 BATCH_BYTES = 16 << 20
@@ -51,6 +52,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory it no longer uses back at its end, for workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def cut(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as new=old, so that any others cannot clash with ours."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

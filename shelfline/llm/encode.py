@@ -58,11 +58,10 @@ class Encoder:
         self.glued = self.tokenizer.normalizer is None
         # Bytes of ids, or 0 for a word that must not be cut off.
         self.words, self.older = _Words(), _Words()
-        # Many words go in one call, a special token between them.
-        self.joined = Tokenizer.from_file(path)
         self.units: dict[str, bytes] = {}
+        # Many words go in one call, a special token between them.
         self.between, self.between_id = max(
-            ((t.content, i) for i, t in self.joined.get_added_tokens_decoder().items()), key=lambda x: x[1]
+            ((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda x: x[1]
         )
 
     def whole(self, text: str) -> bytes:
@@ -109,7 +108,9 @@ class Encoder:
                 plain.append(text)
         if not asked:
             return
-        found = self.joined.encode_batch_fast([self.between.join(plain)], add_special_tokens=False)[0].ids
+        self.tokenizer.encode_special_tokens = False
+        found = self.tokenizer.encode_batch_fast([self.between.join(plain)], add_special_tokens=False)[0].ids
+        self.tokenizer.encode_special_tokens = True
         ids = np.array(found, "<u2")
         cuts = np.flatnonzero(ids == self.between_id)
         data = ids.tobytes()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import cut, column, docs_in, hash_words, ship, word_spans
+from shelfline.llm.common import cut, column, docs_in, hash_words, ship, word_spans, tidy
 
 #: Notices as authors put them into files.
 TEMPLATES = {
@@ -192,4 +192,4 @@ def scan(
     docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     if not scanner.templates:
         docs = docs.limit(0)
-    return docs.mapInArrow(_scan(scanner), "doc_id long, license string, coverage double, first_word long, end_word long")
+    return docs.mapInArrow(tidy(_scan(scanner)), "doc_id long, license string, coverage double, first_word long, end_word long")

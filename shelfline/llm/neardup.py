@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, likely_in, mix, row_counter, ship, stage, word_spans
+from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, likely_in, mix, row_counter, ship, stage, word_spans, tidy
 from shelfline.llm.components import components
 
 SHINGLE = 5
@@ -284,11 +284,11 @@ def near_duplicates(
     """
     ship(documents.sparkSession)
     docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    sets = stage(docs.mapInArrow(_print, "doc_id long, n_shingles long, one long, two long, signature binary"), "sets")
+    sets = stage(docs.mapInArrow(tidy(_print), "doc_id long, n_shingles long, one long, two long, signature binary"), "sets")
     classes = sets.filter("n_shingles > 0").groupBy("one", "two", "n_shingles")
     classes = stage(row_counter(classes.agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")), "node"), "classes")
 
-    bands = stage(classes.select("node", "signature").mapInArrow(_bands, "bucket long, node long"), "bands")
+    bands = stage(classes.select("node", "signature").mapInArrow(tidy(_bands), "bucket long, node long"), "bands")
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
     heads = stage(heads.select("bucket", "head"), "heads")
     star = bands.join(heads, "bucket").filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -301,10 +301,10 @@ def near_duplicates(
     ids = asked.select(F.col("_id").alias("doc_id"))
     texts = likely_in(docs, "doc_id", ids).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
     unit = "struct<family: long, sizes: long, low: int, high: int, block: int>"
-    payload = texts.mapInArrow(_payload, f"node long, units array<{unit}>, signature binary, shingles binary")
+    payload = texts.mapInArrow(tidy(_payload), f"node long, units array<{unit}>, signature binary, shingles binary")
     payload = payload.withColumn("unit", F.explode("units")).select("unit.*", "node", "signature", "shingles")
     key = ["family", "sizes", "low", "high"]
-    worked = payload.repartition(*key).sortWithinPartitions(*key).mapInArrow(_links(percent, miss), "a long, b long")
+    worked = payload.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_links(percent, miss)), "a long, b long")
     roots = components(worked)
     return _result(sets, classes, roots)
 

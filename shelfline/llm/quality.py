@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, ship, word_spans
+from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, ship, word_spans, tidy
 
 #: Statistics of a text, in this order.
 STATISTICS = (
@@ -183,7 +183,7 @@ def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id and the statistics of every text, NULL as an empty one."""
     ship(documents.sparkSession)
     docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(_describe, "doc_id long, statistics array<double>")
+    return docs.mapInArrow(tidy(_describe), "doc_id long, statistics array<double>")
 
 
 def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
@@ -194,7 +194,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     """
     labels = cut(labels, doc_id=id_col, quality=label_col).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     labels = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    sums = described.join(labels, "doc_id").select("quality", "statistics").mapInArrow(_sums, "label long, place long, value double")
+    sums = described.join(labels, "doc_id").select("quality", "statistics").mapInArrow(tidy(_sums), "label long, place long, value double")
     total = np.zeros((2, 1 + len(STATISTICS) + len(STATISTICS) ** 2))
     for label, place, value in sums.groupBy("label", "place").agg(F.sum("value")).collect():
         total[label, place] = value
@@ -212,7 +212,7 @@ def score(described: DataFrame, model: Model) -> DataFrame:
             scores = model.score(_matrix(column(batch, "statistics")))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    scored = described.mapInArrow(run, "doc_id long, score double")
+    scored = described.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -226,4 +226,4 @@ def keep_good(documents: DataFrame, model: Model, text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([column(batch, "row")[start:stop].filter(good)], names=["row"])
 
     rows = documents.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    return rows.mapInArrow(run, rows.select("row").schema).select(*[F.col(f"row.`{c}`") for c in documents.columns])
+    return rows.mapInArrow(tidy(run), rows.select("row").schema).select(*[F.col(f"row.`{c}`") for c in documents.columns])

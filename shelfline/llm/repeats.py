@@ -43,6 +43,7 @@ from shelfline.llm.common import (
     mix,
     ship,
     stage,
+    tidy,
     word_spans,
 )
 
@@ -294,7 +295,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = _docs(documents, id_col, text_col)
     parsed, ranges = _repeated(docs, length, rounds)
     changed = likely_in(docs, "doc_id", ranges).join(ranges, "doc_id")
-    changed = changed.mapInArrow(_digests(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    changed = changed.mapInArrow(tidy(_digests(length)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     same = parsed.join(ranges.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
     return same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(changed)
 
@@ -313,7 +314,7 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"),
     )
     touched = likely_in(packed, "doc_id", per_id).join(per_id, "doc_id", "left")
-    touched = touched.mapInArrow(_texts(length), packed.select("rest", "text").schema)
+    touched = touched.mapInArrow(tidy(_texts(length)), packed.select("rest", "text").schema)
     out = likely_in(packed, "doc_id", per_id, negate=True).select("rest", "text").unionByName(touched)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in documents.columns])
 
@@ -325,7 +326,7 @@ def _docs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(a row per text, the ranges of windows to remove per text), both staged."""
     ship(docs.sparkSession)
-    parsed = stage(docs.mapInArrow(_find_spans(length, rounds), SPANS), "spans")
+    parsed = stage(docs.mapInArrow(tidy(_find_spans(length, rounds)), SPANS), "spans")
     found = parsed.filter(F.size("spans") > 0).select("doc_id", "text_key", F.inline("spans"))
     symbols = (
         found.groupBy("symbol")
@@ -343,7 +344,7 @@ def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, Dat
     heads = mixed.filter("doc_id = first").groupBy("doc_id", "text_key")
     heads = stage(heads.agg(F.collect_list(F.struct("symbol", "at", "n")).alias("spans")), "heads")
     windows = likely_in(docs, "doc_id", heads).join(heads, "doc_id")
-    windows = stage(windows.mapInArrow(_windows(length), "symbol long, content long, doc_id long, text_key long, at int"), "windows")
+    windows = stage(windows.mapInArrow(tidy(_windows(length)), "symbol long, content long, doc_id long, text_key long, at int"), "windows")
     firsts = stage(windows.groupBy("symbol", "content").agg(F.min("doc_id").alias("first")), "firsts")
     later = windows.join(firsts, ["symbol", "content"]).filter("doc_id > first")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import column, cut, docs_in, mix, ship
+from shelfline.llm.common import column, cut, docs_in, mix, ship, tidy
 from shelfline.llm.encode import encoder
 
 #: A block is closed at so many ids or documents.
@@ -183,7 +183,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     docs = docs.withColumns({"_print": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
     order = ["doc_id", "_print", "_place"]
     placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    placed.mapInArrow(_blocks(tokenizer, end_id), BLOCK).write.parquet(path)
+    placed.mapInArrow(tidy(_blocks(tokenizer, end_id)), BLOCK).write.parquet(path)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +223,7 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All documents through each block's index: doc_id, start, n_tokens, ids (4 bytes each)."""
     ship(spark)
-    return blocks(spark, path).join(F.broadcast(shard_starts(spark, path)), "shard").mapInArrow(_read, DOCUMENTS)
+    return blocks(spark, path).join(F.broadcast(shard_starts(spark, path)), "shard").mapInArrow(tidy(_read), DOCUMENTS)
 
 
 def _route(bounds: list[tuple[int, int, int]]):
@@ -265,8 +265,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str) -> Dat
     per_shard = table.filter("first_key is not null").groupBy("shard").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
     bounds = [tuple(r) for r in per_shard.orderBy("shard").collect()]
     wanted = keys.select(F.col(f"`{key_col}`").cast("long").alias("key")).filter("key is not null").distinct()
-    asked = wanted.mapInArrow(_route(bounds), "key long, shard long")
+    asked = wanted.mapInArrow(tidy(_route(bounds)), "key long, shard long")
     directory = table.select("shard", "block", "first_key", "last_key")
     asked = asked.join(directory, "shard").filter("key between first_key and last_key")
     asked = asked.groupBy("shard", "block").agg(F.collect_list("key").alias("wanted"))
-    return table.join(asked, ["shard", "block"]).join(F.broadcast(shard_starts(spark, path)), "shard").mapInArrow(_lookup, DOCUMENTS)
+    return table.join(asked, ["shard", "block"]).join(F.broadcast(shard_starts(spark, path)), "shard").mapInArrow(tidy(_lookup), DOCUMENTS)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import column, ship, stage
+from shelfline.llm.common import column, ship, stage, tidy
 
 SCALE = 1024
 #: Queries of a block, candidates of a tile, blocks or tiles of a group, lists merged at once.
@@ -169,11 +169,11 @@ def top_k(
     whole = F.transform(F.col(f"`{vector_col}`"), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = vectors.filter(usable(F.col(f"`{vector_col}`"))).select(F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("vector"))
     rows = rows.filter("id is not null")
-    tiles = stage(rows.mapInArrow(packed(TILE), _PACKED), "tiles")
+    tiles = stage(rows.mapInArrow(tidy(packed(TILE)), _PACKED), "tiles")
     asked = rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = stage(asked.mapInArrow(packed(BLOCK), _PACKED), "blocks")
+    blocks = stage(asked.mapInArrow(tidy(packed(BLOCK)), _PACKED), "blocks")
     pairs, groups = cells(blocks, tiles, ["part", "block_part", "width", "query_ids", "query_values", "ids", "values"])
-    lists = pairs.mapInArrow(_cells(k), "query_id long, vec_id long, score long, part long")
+    lists = pairs.mapInArrow(tidy(_cells(k)), "query_id long, vec_id long, score long, part long")
     order = [F.col("score").desc(), F.col("vec_id")]
     return merged(lists, k, order, groups).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
