@@ -82,6 +82,22 @@ def test_stages(spark, folder, tmp_path):
 
 
 
+def test_copies_between_80_and_85_go(spark, folder):
+    rows = []
+    for i in range(6):
+        words = prose(400 + i, 300).split()
+        rows.append((2 * i, " ".join(words), "en", "a", 1))
+        rows.append((2 * i + 1, " ".join(words[: 244 + 2 * i]), "en", "a", 1))  # 81 to 85 % of the shingles
+    scattered = prose(500, 300).split()
+    rows.append((50, " ".join(scattered), "en", "a", 1))
+    rows.append((51, " ".join(w if k % 50 != 25 else f"other{k}" for k, w in enumerate(scattered)), "en", "a", 1))
+    gone = {r[0] for r in test_neardup.plain(rows, 80) if r[2] < r[0]}
+    assert gone == {1, 3, 5, 7, 9, 11, 51} and len(gone) > sum(r[2] < r[0] for r in test_neardup.plain(rows, 85))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()}
+    assert found == {r[0] for r in rows} - gone
+
+
 def test_run_and_names(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     numbers = sorted(int(n.split("_")[0][2:]) for n in queries.build())
