@@ -6,8 +6,9 @@ that differ by one step in up to three values, in the order of estimated success
 the squared distances to the crossed bounds, the likelier a neighbour lies behind them. The
 candidates of all tables are ranked again by exact distance.
 
-Equal vectors count as one and keep their smallest ids, so a vector that a third of the rows
-share is one candidate. Buckets are sorted in ranges and cut into matrices, so a bucket of any
+Of equal vectors only as many take part as an answer can hold, those with the smallest ids, so a
+vector that a third of the rows share is a few candidates. All lists on the way hold the nearest
+ids, each with its nearest vector, and are cut by distance, then id. Buckets are sorted in ranges and cut into matrices, so a bucket of any
 size is spread over tasks and every row of it is compared. A query that finds fewer
 than it asks for is compared with all rows.
 """
@@ -22,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Powers, Rolling, column, row_counter, ship, stage, tidy
+from shelfline.llm.common import Powers, Rolling, column, ship, stage, tidy
 from shelfline.llm.topk import usable
 
 TABLES, HASHES, PROBES = 8, 8, 60
 #: Bucket width as a multiple of the vectors' root mean squared distance from their mean.
 WIDTH = 2.5
 STEPS = 3
-#: Rows of a matrix; queries a task merges before it writes; candidates kept for the exact rank.
-ROWS, HELD, SLACK = 512, 20_000, 8
+#: Rows of a matrix; queries a task merges before it writes.
+ROWS, HELD = 512, 20_000
 SEED = 7
 
 _CODES = Powers(0xB492B66FBE98F273)
@@ -154,19 +155,29 @@ def _matrix_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["table", "bucket", "ids", "vectors"])
 
 
-def nearest(query: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, distances) of the ``count`` nearest rows; products preselect, differences decide."""
-    near = (rows * rows).sum(axis=1) - 2 * (rows @ query)
-    places = np.arange(len(rows))
-    if len(rows) > count + SLACK:
-        places = np.argpartition(near, count + SLACK)[: count + SLACK]
-    distance = np.sqrt(((rows[places] - query) ** 2).sum(axis=1))
-    order = np.lexsort((places, distance))[:count]
-    return places[order], distance[order]
+def nearest(query: np.ndarray, ids: np.ndarray, rows: np.ndarray, squares: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the ``count`` nearest ids, ties to the smaller; products preselect, differences decide.
+
+    ``ids`` are sorted; one in several rows counts once, with its nearest. ``squares`` are the rows' squared lengths.
+    """
+    near = squares - 2 * (rows @ query)
+    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    if len(begins) > count:
+        best = near if len(begins) == len(ids) else np.minimum.reduceat(near, begins)
+        # Rows as near as the last place, and those that products cannot tell from it.
+        error = 16 * (len(query) + 4) * np.finfo(float).eps * (squares.max() + query @ query)
+        places = np.flatnonzero(~(near > np.partition(best, count - 1)[count - 1] + error))
+        ids, rows = ids[places], rows[places]
+    distance = np.sqrt(((rows - query) ** 2).sum(axis=1))
+    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    if len(begins) < len(ids):
+        ids, distance = ids[begins], np.minimum.reduceat(distance, begins)
+    order = np.lexsort((ids, distance))[:count]
+    return ids[order], distance[order]
 
 
 def _compare(count: int):
-    """The nearest distinct vectors each query met in a task."""
+    """The nearest ids each query met in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[int, float]] = {}
@@ -184,10 +195,14 @@ def _compare(count: int):
                 rows = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
                 if queries.shape[1] != rows.shape[1]:
                     continue
+                order = np.argsort(ids, kind="stable")
+                ids, rows = ids[order], rows[order]
+                squares = (rows * rows).sum(axis=1)
                 for key, query in zip(asked.tolist(), queries, strict=True):
-                    places, distance = nearest(query, rows, count)
                     found = held.setdefault(key, {})
-                    found.update(zip(ids[places].tolist(), distance.tolist(), strict=True))
+                    for i, d in zip(*(x.tolist() for x in nearest(query, ids, rows, squares, count)), strict=True):
+                        if i not in found or d < found[i]:
+                            found[i] = d
                     if len(found) > 8 * count:
                         held[key] = dict(sorted(found.items(), key=lambda x: (x[1], x[0]))[:count])
             if len(held) > HELD:
@@ -202,7 +217,7 @@ def _met(candidates: DataFrame, asked: DataFrame, count: int) -> DataFrame:
     """(query_id, id, score): the nearest of each query among the buckets it visits."""
 
     def cut(rows: DataFrame, label: str) -> DataFrame:
-        order = ["table", "bucket", "id"]
+        order = ["table", "bucket", "id", F.xxhash64("vector")]  # an id may have many vectors
         return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_matrices), _PACKED), label)
 
     asked = cut(asked, "probes").select("table", "bucket", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
@@ -228,38 +243,32 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") + 0.0).alias("vector"))
     rows = stage(rows.filter("id is not null"), "vectors")
 
-    # One row per distinct vector, with its smallest ids: k besides the query's own are enough.
+    # The smallest ids of each distinct vector: k besides the query's own are enough.
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    firsts = rows.distinct().withColumn("place", place).filter(F.col("place") <= k + 1)
-    same = firsts.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    distinct = stage(row_counter(same, "id"), "distinct")
+    firsts = stage(rows.distinct().withColumn("place", place).filter(F.col("place") <= k + 1), "firsts")
     asked = rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = stage(asked, "queries")
 
-    moments = distinct.select("id", "vector").mapInArrow(tidy(_moments), "place long, n double, sum double, squares double")
+    moments = firsts.filter("place = 1").select("id", "vector").mapInArrow(tidy(_moments), "place long, n double, sum double, squares double")
     moments = moments.groupBy("place").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares"))
     spread = moments.agg(F.sum(F.expr("squares / n - sum / n * sum / n"))).first()[0]
     scale = float(max(spread or 0.0, 0.0)) ** 0.5
-    plain = distinct.select("id", "vector")
+    plain = firsts.select("id", "vector")
     found = _met(plain.mapInArrow(tidy(_bucketed(scale, False)), _BUCKETED), asked.mapInArrow(tidy(_bucketed(scale, True)), _BUCKETED), k + 1)
     found = stage(found, "found")
-    enough = stage(_ranked(found, distinct, k), "ranked")
+    enough = stage(_ranked(found, k), "ranked")
 
     # Whoever found too few visits everything, dealt into buckets of a table of their own.
     few = asked.join(enough.filter(F.col("rank") == k), F.col("id") == F.col("query_id"), "left_anti")
-    parts = max(1, -(-distinct.count() // (4 * ROWS)))
-    dealt = plain.select(F.lit(TABLES).alias("table"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("bucket"), "id", "vector")
+    parts = max(1, -(-firsts.count() // (4 * ROWS)))
+    dealt = plain.select(F.lit(TABLES).alias("table"), F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).alias("bucket"), "id", "vector")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("bucket")
     again = _met(dealt, few.select(F.lit(TABLES).alias("table"), everywhere, "id", "vector"), k + 1)
-    rest = _ranked(again, distinct, k)
+    rest = _ranked(again, k)
     return enough.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 
 
-def _ranked(found: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
-    # The nearest k + 1 distinct vectors hold the nearest k rows, for one may be the query's own.
-    window = Window.partitionBy("query_id").orderBy("score", "id")
-    near = found.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k + 1)
-    rows = near.join(distinct.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id"))
-    rows = rows.filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rows = found.filter("id != query_id").select("query_id", F.col("id").alias("vec_id"), "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -81,6 +81,23 @@ def test_neighbours_on_odd_rows(odd):
     assert ann.neighbours(odd.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_equally_far_neighbours_and_ids_with_many_vectors(spark):
+    """Far more ties than places, and ids whose own vectors fill all places; outliers put the rest into one bucket."""
+    hot = [[float(x == y) for y in range(90)] for x in range(90)]
+    rows = [((i * 37) % 90 + 300, v) for i, v in enumerate(hot)]
+    rows += [(7, [2.0 + i / 64, *v[1:]]) for i, v in enumerate(hot[:40])] + [(500, [1.0, *v[1:]]) for v in hot[40:60]]
+    rows += [(8, [1e7] * 90), (9, [-1e7] * 90)]
+    want = brute(rows, lambda a, b: float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), 10_000)
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), F.col("id") % 100 == 0).collect()
+    assert set(want) == {300, 500}
+    for q, found in want.items():
+        unique = {}
+        for d, i in found:
+            unique.setdefault(i, d)
+        best = sorted((d, i) for i, d in unique.items())[:10]
+        assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables not there")
 def test_recall(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
