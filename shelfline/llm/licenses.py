@@ -8,6 +8,11 @@ share of the template's words that got a partner is its coverage.
 A copy with the wanted coverage lacks a known number of template words at most. So one of the
 rarest template words of the text, one more than that number, is in every copy, and only the
 stretches around their places are aligned. A text without enough template words is passed over.
+
+Templates of which one shows in a whole copy of the other without standing there word for word
+(versions of a license, a license with and without a clause) are rivals. Of overlapping copies of
+rivals the one with most words stays. SPDX lines are not aligned but read: the longest known
+names in a row, with operators between them.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.llm import notices
 from shelfline.llm.common import cut, column, docs_in, hash_words, ship, word_spans, tidy
 
-#: Notices as authors put them into files.
+#: Notices as authors put them into files. ``notices`` has more, and whole texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -39,6 +45,8 @@ TEMPLATES = {
     ),
     "reserved": "All rights reserved.",
 }
+#: Words from which a window is first looked through for enough template words.
+LONG = 64
 #: Least coverage that counts as found.
 COVERAGE = 0.9
 
@@ -105,6 +113,33 @@ class Scanner:
         self.known = np.unique(np.concatenate(list(coded.values()))) if coded else np.zeros(0, np.uint64)
         self.templates = {name: np.searchsorted(self.known, codes).tolist() for name, codes in coded.items()}
         self.least = {name: int(np.ceil(coverage * len(t) - 1e-9)) for name, t in self.templates.items()}
+        #: Words after "SPDX-License-Identifier" and the template.
+        self.spdx = {tuple(t[3:]): name for name, t in self.templates.items() if name.startswith("spdx:")}
+        self.prefix = next((t[:3] for name, t in self.templates.items() if name.startswith("spdx:")), [])
+        data = np.frombuffer(b"or and with", np.uint8)
+        either = self.numbers(data, np.array([0, len(data)]))[0].tolist() if coded else [-1] * 3
+        self.joins, self.exception = {x for x in either if x >= 0}, either[2]
+        #: Distinct words of each aligned template and how often it has them; all of them in a row.
+        self.words = {name: np.unique(t, return_counts=True) for name, t in self.templates.items() if not name.startswith("spdx:")}
+        self.all_words = np.concatenate([np.zeros(0, np.int64), *[w for w, _ in self.words.values()]])
+        self.all_times = np.concatenate([np.zeros(0, np.int64), *[n for _, n in self.words.values()]])
+        sizes = np.array([len(w) for w, _ in self.words.values()], np.int64)
+        self.begins, self.leasts = np.cumsum(sizes) - sizes, np.array([self.least[name] for name in self.words], np.int64)
+        self.rivals = {(a, b) for a in self.words for b in self.words if a != b and self._shows(a, b)}
+        self.rivals |= {(b, a) for a, b in self.rivals}
+
+    def _shows(self, name: str, other: str) -> bool:
+        """Whether a whole copy of ``other`` counts as one of ``name``, but not word for word."""
+        a, b = self.templates[name], self.templates[other]
+        words, times = self.words[name]
+        if len(a) > len(b) * 2 or np.minimum(self._counts(np.array(b))[words], times).sum() < self.least[name]:
+            return False
+        if any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1)):
+            return False
+        return len(align(a, b)) >= self.least[name]
+
+    def _counts(self, words: np.ndarray) -> np.ndarray:
+        return np.bincount(words[words >= 0], minlength=len(self.known))
 
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each word, -1 for one that no template has; first word of each text and the end)."""
@@ -115,31 +150,42 @@ class Scanner:
 
     def find(self, words: np.ndarray) -> list[tuple[str, int, int, int]]:
         """(template, matched words, first word, word after the last) of all copies in a text."""
-        out = []
-        counts = np.bincount(words[words >= 0], minlength=len(self.known))
-        for name, template in self.templates.items():
+        counts = self._counts(words)
+        out = self._spdx_lines(words) if self.spdx and counts[self.prefix].all() else []
+        # Words of the templates that copies may have, counted with their repeats.
+        held = np.add.reduceat(np.minimum(counts[self.all_words], self.all_times), self.begins) if self.words else np.zeros(0, np.int64)
+        names = list(self.words)
+        for name in (names[i] for i in np.flatnonzero(held >= self.leasts)):
+            template = self.templates[name]
             size, least = len(template), self.least[name]
-            distinct = sorted(set(template), key=lambda w: (counts[w], w))
-            # Words of the template that a copy may lack, counted with their repeats.
-            if sum(min(counts[w], template.count(w)) for w in distinct) < least:
-                continue
-            places = {w: np.flatnonzero(words == w) for w in distinct if counts[w]}
+            own, times = self.words[name]
+            order = np.lexsort((own, counts[own]))
             lacking = size - least
             seeds, missing = [], 0
-            for w in distinct:
+            for w, n in zip(own[order].tolist(), times[order].tolist(), strict=True):
                 if missing > lacking:
                     break
-                missing += template.count(w)
+                missing += n
                 seeds.append(w)
+            places = {w: np.flatnonzero(words == w) for w in seeds if counts[w]}
+            of_word: dict[int, list[int]] = {}
+            for i, w in enumerate(template):
+                of_word.setdefault(w, []).append(i)
             slack = size // 4 + 2
-            hits = set()
+            hits, tried = set(), set()
             for w in seeds:
-                for i in (i for i, x in enumerate(template) if x == w):
+                for i in of_word[w]:
                     for p in places.get(w, ()):
                         # Words around a copy may repeat its anchors, so its own length is tried too.
                         for more in (0, slack):
                             begin, end = max(0, int(p) - i - more), min(len(words), int(p) + size - i + more)
-                            pairs = align(template, words[begin:end].tolist())
+                            if (begin, end) in tried:
+                                continue
+                            tried.add((begin, end))
+                            near = words[begin:end]
+                            if size >= LONG and np.minimum(self._counts(near)[own], times).sum() < least:
+                                continue
+                            pairs = align(template, near.tolist())
                             if len(pairs) >= least:
                                 hits.add((len(pairs), begin + pairs[0][1], begin + pairs[-1][1] + 1))
             taken: list[tuple[int, int]] = []
@@ -147,8 +193,43 @@ class Scanner:
                 if all(end <= a or begin >= z for a, z in taken):
                     taken.append((begin, end))
                     out.append((name, matched, begin, end))
+        return self._best(out) if len(out) > 1 else out
+
+    def _spdx_lines(self, words: np.ndarray) -> list[tuple[str, int, int, int]]:
+        out, longest = [], max(len(x) for x in self.spdx)
+        for begin in np.flatnonzero(words == self.prefix[0]).tolist():
+            if words[begin : begin + 3].tolist() != self.prefix:
+                continue
+            place = begin + 3
+            while True:
+                here = words[place : place + longest].tolist()
+                size = next((n for n in range(len(here), 0, -1) if tuple(here[:n]) in self.spdx), 0)
+                if size:
+                    out.append((self.spdx[tuple(here[:size])], 3 + size, begin, place + size))
+                    place += size
+                else:
+                    place += next((i for i, w in enumerate(here) if w in self.joins), 0)  # an unknown name
+                join = int(words[place]) if place < len(words) else -1
+                if join not in self.joins:
+                    break
+                place += 1
+                if join == self.exception:  # its name has no template
+                    rest = words[place : place + 10].tolist()
+                    place += next((i + 1 for i, w in enumerate(rest) if w in self.joins), len(rest))
         return out
 
+    def _best(self, found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+        """``found`` without copies that overlap a better one of a rival."""
+        if not any((a, b) in self.rivals for a in {f[0] for f in found} for b in {f[0] for f in found}):
+            return found
+        kept: list[tuple[str, int, int, int]] = []
+        for copy in sorted(found, key=lambda f: (-f[1], len(self.templates[f[0]]), f[3] - f[2], f)):
+            name, _, begin, end = copy
+            if all((name, other) not in self.rivals or end <= a or begin >= z for other, _, a, z in kept):
+                kept.append(copy)
+        stay = set(kept)
+        return [f for f in found if f in stay]
+
 
 def _scan(scanner: Scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,25 +251,32 @@ def _scan(scanner: Scanner):
     return run
 
 
+def known() -> dict[str, str]:
+    """All templates of common licenses."""
+    return notices.notices() | notices.texts() | TEMPLATES
+
+
 def scan(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     *,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str] | None = None,
     coverage: float = COVERAGE,
 ) -> DataFrame:
     """doc_id, license, coverage, first_word and end_word of every copy of a template.
 
     Copies have at least ``coverage`` of the template's words in an aligned stretch of at most the
     template's length and half as much again; of copies of one template that overlap the one with
-    most words stays, then the shorter, then the earlier. Places count the text's words from
+    most words stays, then the shorter, then the earlier. Of overlapping copies of rivals the one
+    with most words stays, then that of the shorter template. Without ``templates`` those of
+    common licenses are looked for: TEMPLATES, and notices, SPDX lines and whole texts of ``notices``. Places count the text's words from
     0, end_word is the one after the last. A NULL or empty text has no copies; repeated rows give
     their copies each, a NULL id as it is. An empty table or no templates give an empty result;
     other columns are not looked at.
     """
     ship(documents.sparkSession)
-    scanner = Scanner(templates, coverage)
+    scanner = Scanner(known() if templates is None else templates, coverage)
     docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     if not scanner.templates:
         docs = docs.limit(0)

@@ -1,11 +1,13 @@
 """Snapshot collapse and license scan against plain loops."""
 
+import pickle
 import random
+import re
 
 from llm_rows import clashing, documents, empty, ordered  # noqa: F401
 from pyspark.sql import functions as F
 
-from shelfline.llm import chat, licenses
+from shelfline.llm import chat, licenses, notices
 
 
 def plain(rows):
@@ -63,6 +65,34 @@ def test_copies_are_found(documents, clashing, empty, spark):
     assert licenses.scan(empty).count() == 0 and licenses.scan(documents, templates={}).count() == 0
 
 
+def test_common_licenses(spark):
+    """Whole texts, notices and lines; of versions of a license only the right one."""
+    texts, said = notices.texts(), notices.notices()
+    gpl = texts["gpl-3.0-text"].replace("free", "libre").splitlines()
+    rows = [
+        ("gpl-3.0-text", "\n".join(f" * {line}" for k, line in enumerate(gpl) if k % 50)),
+        *[(name, f"Copyright 2020 A. Nobody\n{text}\nmore words") for name, text in texts.items()],
+        *[(name, f"before {text} after") for name, text in said.items()],
+        *[(name, f"before {text} after") for name, text in licenses.TEMPLATES.items()],
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(docs.repartition(8)).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    plain_words = lambda text: f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+    spelled = {name: plain_words(text) for name, text in licenses.known().items()}
+    for i, (name, text) in enumerate(rows):
+        assert name in found[i], name
+        # What a text holds word for word is there too, but nothing that is only alike.
+        inside = {n for n, words in spelled.items() if words in plain_words(text) and ("spdx" not in n or n == name)}
+        assert found[i] <= inside | {name} | ({"apache-2.0-notice"} if "apache" in name else set()), (name, found[i])
+    either = "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0 OR GPL-2.0-or-later AND Apache-2.0) MIT-0"
+    got = licenses.scan(spark.createDataFrame([(1, either), (2, "All rights of the GPL are free text")], docs.schema)).collect()
+    want = [(1, f"spdx:{name}") for name in ("Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "MIT")]
+    assert sorted((r.doc_id, r.license) for r in got) == want
+    assert len(pickle.dumps(licenses.Scanner(licenses.known(), 0.9))) < 1 << 20  # goes to each task
+
+
 def test_seeds_miss_no_copy():
     """With and without the choice of rare words the same texts have copies."""
     rng = random.Random(8)
