@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import ann, chat, licenses, mixing, neardup, packing, quality, repeats, tokens, topk
+from shelfline.llm import ann, chat, licenses, mixing, neardup, packing, quality, ranked, repeats, tokens, topk
 from shelfline.session import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +71,7 @@ def build() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
-_ORACLES: dict[str, str] = {"op2_top_k": topk.SQL, "op4_chat": chat.SQL, "op9_mix_sources": mixing.SQL}
+_ORACLES: dict[str, str] = {"op2_top_k": topk.SQL, "op4_chat": chat.SQL, "op9_mix_sources": mixing.SQL, "op11_ranked_search": ranked.SQL}
 
 
 def oracle() -> dict[str, str]:
