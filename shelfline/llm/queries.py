@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import ann, chat, licenses, mixing, neardup, packing, quality, ranked, repeats, tokens, topk, whitening
+from shelfline.llm import ann, chat, language, licenses, mixing, neardup, packing, quality, ranked, repeats, tokens, topk, whitening
 from shelfline.session import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    marks = language.landmarks(documents)
+    described = stage(language.describe(documents, marks), "kernels")
+    return language.predict(described, language.fit(described, marks))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
