@@ -108,17 +108,26 @@ def product_rules() -> dict[str, Column]:
     }
 
 
-def _split(feed: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    checked = feed.withColumn("motivos", _failed(rules))
+def check_orders(feed: DataFrame) -> DataFrame:
+    """All rows with the names of the rules they fail in ``motivos``."""
+    return feed.withColumn("motivos", _failed(order_rules()))
+
+
+def check_products(feed: DataFrame) -> DataFrame:
+    """All rows with the names of the rules they fail in ``motivos``."""
+    return feed.withColumn("motivos", _failed(product_rules()))
+
+
+def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid = F.size("motivos") == 0
     return checked.filter(valid).drop("motivos"), checked.filter(~valid)
 
 
 def validate_orders(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with the names of the failed rules)."""
-    return _split(feed, order_rules())
+    return _split(check_orders(feed))
 
 
 def validate_products(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with the names of the failed rules)."""
-    return _split(feed, product_rules())
+    return _split(check_products(feed))

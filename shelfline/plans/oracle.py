@@ -410,6 +410,10 @@ UNION ALL SELECT l_orderkey, l_shipdate, 1, l_suppkey, l_linenumber,
     "parse_order_headers": """
 SELECT l_orderkey AS id_solicitud, l_shipdate AS ts, '1' AS cedula, CAST(NULL AS VARCHAR) AS nombre,
   CAST(NULL AS VARCHAR) AS direccion, CAST(NULL AS VARCHAR) AS telefono
+FROM lineitem WHERE l_returnflag <> 'R'""",
+    "document_totals": """
+SELECT l_orderkey AS id_solicitud, l_shipdate AS ts, 2 AS lineas, CAST(l_quantity AS INTEGER)::BIGINT + l_linenumber AS piezas,
+  CAST(CAST(l_quantity AS INTEGER) * CAST(l_extendedprice AS DECIMAL(12,2)) + l_linenumber * CAST(l_tax AS DECIMAL(12,2)) AS DOUBLE) AS total
 FROM lineitem WHERE l_returnflag <> 'R'""",
     "parse_order_rejects": """
 SELECT '{"order_id":' || l_orderkey || ',"ts":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '","cedula":"1","carrito":[]}' AS value
@@ -445,8 +449,16 @@ FROM producto p LEFT JOIN (SELECT id_producto, sum(cantidad) AS cantidad
 SELECT s.id_solicitud, coalesce(t.nuevo, s.estado) AS estado FROM solicitud s LEFT JOIN
   (SELECT id, arg_max(nuevo, ts) AS nuevo FROM transiciones GROUP BY id) t ON t.id = s.id_solicitud""",
     "status_rejects": """
-SELECT event_id, ts, id, CASE estado WHEN 'En Proceso' THEN 'Aprobada' WHEN 'Completada' THEN 'Entregada' ELSE estado END AS estado, 'solicitud' AS motivo FROM cambios_estado
-WHERE id NOT IN (SELECT id_solicitud FROM solicitud)""",
+SELECT * FROM (SELECT event_id, ts, id, estado,
+    CASE WHEN id IS NULL OR coalesce(estado, '') = '' THEN 'datos'
+      WHEN estado NOT IN ('Pendiente', 'Aprobada', 'Rechazada', 'Entregada') THEN 'estado'
+      WHEN id NOT IN (SELECT id_solicitud FROM solicitud) THEN 'solicitud' END AS motivo
+  FROM (SELECT event_id, ts,
+      CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 11 = 0 THEN -id - 1 ELSE id END AS id,
+      CASE WHEN event_id % 13 = 0 THEN 'Anulada' WHEN event_id % 19 = 0 THEN ''
+        WHEN estado = 'En Proceso' THEN 'Aprobada' WHEN estado = 'Completada' THEN 'Entregada' ELSE estado END AS estado
+    FROM cambios_estado))
+WHERE motivo IS NOT NULL""",
     "strict_status_rejects": """
 SELECT event_id, ts, id, CASE estado WHEN 'En Proceso' THEN 'Aprobada' WHEN 'Completada' THEN 'Entregada' ELSE estado END AS estado,
   CASE WHEN id IN (SELECT id_solicitud FROM solicitud) THEN 'transicion' ELSE 'solicitud' END AS motivo

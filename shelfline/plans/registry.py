@@ -435,10 +435,7 @@ def _unchecked_feed(t: StandIn) -> DataFrame:
 @_query("validate_orders")
 def _validate_orders(t: StandIn) -> DataFrame:
     """Every row with the rules it fails."""
-    valid, rejects = quality.validate_orders(_unchecked_feed(t))
-    return valid.select("event_id", F.lit("").alias("motivos")).unionByName(
-        rejects.select("event_id", F.array_join("motivos", ",").alias("motivos"))
-    )
+    return quality.check_orders(_unchecked_feed(t)).select("event_id", F.array_join("motivos", ",").alias("motivos"))
 
 
 @_query("phone_numbers")
@@ -476,10 +473,8 @@ def _validate_products(t: StandIn) -> DataFrame:
         )
     )
     read = feeds.parse_products(t.raw("events").select(document.alias("value")))
-    valid, rejects = quality.validate_products(read)
-    columns = ["id_producto", "codigo", "nombre", "precio", "stock"]
-    return valid.select(*columns, F.lit("").alias("motivos")).unionByName(
-        rejects.select(*columns, F.array_join("motivos", ",").alias("motivos"))
+    return quality.check_products(read).select(
+        "id_producto", "codigo", "nombre", "precio", "stock", F.array_join("motivos", ",").alias("motivos")
     )
 
 
@@ -556,6 +551,11 @@ def _parse_order_rejects(t: StandIn) -> DataFrame:
     return feeds.parse_orders(_order_documents(t))[2]
 
 
+@_query("document_totals")
+def _document_totals(t: StandIn) -> DataFrame:
+    return feeds.document_totals(feeds.read_orders(_order_documents(t)))
+
+
 def _order_feed(t: StandIn) -> DataFrame:
     dates = t["solicitud"].select("id_solicitud", F.col("fecha_solicitud").alias("ts"), "id_cliente")
     return t["detalle_con_precio"].drop("subtotal").join(dates, "id_solicitud")
@@ -618,7 +618,16 @@ def _final_status(t: StandIn) -> DataFrame:
 
 @_query("status_rejects")
 def _status_rejects(t: StandIn) -> DataFrame:
-    return _status_result(t, "reference").rejects
+    """Changes of which some lack an order, name one that is not there or a status that is not on the list."""
+    number = F.col("event_id")
+    feed = t["cambios_estado"].select(
+        "event_id",
+        "ts",
+        F.when(number % 11 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
+        F.when(number % 13 == 0, "Anulada").when(number % 19 == 0, "").otherwise(F.col("estado")).alias("estado"),
+    )
+    feed = feed.withColumn("id", F.when(number % 17 != 0, F.col("id")))
+    return status.apply_status(feed, t["solicitud"], t["detalle_solicitud"], t["producto"]).rejects
 
 
 @_query("strict_status_rejects")

@@ -31,23 +31,29 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return split_orders(read_orders(raw))
 
 
+def _opened(raw: DataFrame, schema: str, *keep: str) -> DataFrame:
+    """The documents' fields beside the columns to keep, NULL where a text is no document.
+
+    A generator reads the document once: filters and columns made of its fields stay above
+    it, where Spark would repeat the reading for each of them. Its outer form keeps every text.
+    """
+    return raw.select(*keep, F.inline_outer(F.array(F.from_json("value", schema, STRICT_JSON))))
+
+
 def read_orders(raw: DataFrame, *keep: str) -> DataFrame:
-    """The texts with the order document read from each, NULL where it is none, and columns to keep."""
-    return raw.select("value", F.from_json("value", ORDER_SCHEMA, STRICT_JSON).alias("doc"), *keep)
+    """The texts with the fields of the order document read from each, and columns to keep."""
+    return _opened(raw, ORDER_SCHEMA, "value", *keep)
 
 
 def split_orders(read: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(headers, lines, broken texts) of documents read; headers and lines have the columns kept."""
-    filled = F.coalesce(F.size("doc.carrito"), F.lit(0)) > 0
-    headers = (
-        read.filter(filled).select("doc.*", *keep).withColumnRenamed("order_id", "id_solicitud").drop("carrito")
-    )
-    # The outer form keeps the cart filter above the reading of the document,
-    # which an inner explode would repeat below itself.
+    filled = F.coalesce(F.size("carrito"), F.lit(0)) > 0
+    headers = read.filter(filled).withColumnRenamed("order_id", "id_solicitud").drop("carrito", "value")
+    # The outer form keeps the cart filter above, which an inner explode would repeat below itself.
     items = read.select(
-        F.col("doc.order_id").alias("id_solicitud"),
-        F.col("doc.ts").alias("ts"),
-        F.posexplode_outer("doc.carrito").alias("linea", "_item"),
+        F.col("order_id").alias("id_solicitud"),
+        "ts",
+        F.posexplode_outer("carrito").alias("linea", "_item"),
         *keep,
     ).filter(F.col("linea").isNotNull())
     lines = items.select(
@@ -62,13 +68,29 @@ def split_orders(read: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, Dat
     return headers, lines, read.filter(~filled).select("value")
 
 
+def document_totals(read: DataFrame) -> DataFrame:
+    """id_solicitud, ts, lineas, piezas and total of each order document, added up inside its cart.
+
+    ``read`` comes from ``read_orders``. Items without a usable quantity or price add nothing;
+    a text without a cart has no row. Nothing is exploded or shuffled.
+    """
+    quantity, price = (lambda item: _number(item["cant"], "int")), (lambda item: _number(item["precio"], "decimal(12,2)"))
+    nothing = F.lit(0).cast("decimal(24,2)")
+    amount = F.aggregate("carrito", nothing, lambda sum_, item: (sum_ + F.coalesce(quantity(item) * price(item), nothing)).cast("decimal(24,2)"))
+    pieces = F.aggregate("carrito", F.lit(0).cast("long"), lambda sum_, item: sum_ + F.coalesce(quantity(item), F.lit(0)))
+    carts = read.filter(F.coalesce(F.size("carrito"), F.lit(0)) > 0)
+    return carts.select(
+        F.col("order_id").alias("id_solicitud"), "ts", F.size("carrito").alias("lineas"), pieces.alias("piezas"), amount.alias("total")
+    )
+
+
 def parse_products(raw: DataFrame) -> DataFrame:
     """Product feed rows, with the description they are stored under.
 
     Missing brands, car, gearbox and code become empty text and a missing
     purchase price becomes 0; a missing name, price or stock stays NULL.
     """
-    doc = raw.select(F.from_json("value", PRODUCT_SCHEMA, STRICT_JSON).alias("_doc")).select("_doc.*")
+    doc = _opened(raw, PRODUCT_SCHEMA)
     blank = F.lit("")
     texts = ("codigo", "marca_repuesto", "marca_carro", "transmision")
     described = description_json(
@@ -85,5 +107,5 @@ def parse_products(raw: DataFrame) -> DataFrame:
     )
 
 
-def _number(column: str, dtype: str) -> Column:
+def _number(column: str | Column, dtype: str) -> Column:
     return F.trim(column).try_cast(dtype)

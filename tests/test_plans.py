@@ -47,5 +47,10 @@ def test_rows_come_in_their_order(spark, name, keys):
     assert len(found) and list(found.itertuples(index=False)) == list(again.itertuples(index=False))
 
 
-def test_documents_are_read_once(spark):
-    assert plan(entry.queries()["parse_orders"](spark, DATA)).count("from_json(") == 1
+@pytest.mark.parametrize("name", ["parse_orders", "parse_order_headers", "parse_order_rejects", "validate_products", "document_totals"])
+def test_documents_are_read_once(spark, name):
+    assert plan(entry.queries()[name](spark, DATA)).count("from_json(") == 1
+
+
+def test_totals_inside_a_document_move_nothing(spark):
+    assert "Exchange" not in plan(entry.queries()["document_totals"](spark, DATA))

@@ -26,6 +26,17 @@ def test_parse_orders(spark):
     assert rejects.count() == 5
 
 
+def test_document_totals(spark):
+    documents = [
+        {"order_id": 1, "ts": "2026-01-01T10:00:00", "carrito": [{"cant": "2", "precio": "1.50"}, {"cant": "x", "precio": 9}, {"cant": 3, "precio": None}, None]},
+        {"order_id": 2, "carrito": []},
+        {"order_id": 3, "carrito": [{"cant": 2000000000, "precio": "9999999999.99"}, {"cant": 2000000000, "precio": "9999999999.99"}]},
+    ]
+    read = feeds.read_orders(spark.createDataFrame([(json.dumps(d),) for d in documents] + [("no json",), (None,)], "value string"))
+    assert sorted(rows(feeds.document_totals(read), "id_solicitud", "lineas", "piezas", "total")) == [
+        (1, 4, 5, D("3.00")), (3, 2, 4_000_000_000, D("39999999999960000000.00"))]
+
+
 def test_parse_products(spark):
     texts = [('{"codigo":"C","nombre":"N","precio":"2.5","stock":3,"compra":1}',), ('{"id_producto":"7","nombre":"M"}',)]
     got = rows(feeds.parse_products(spark.createDataFrame(texts, "value string")))
