@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.product import description_json
@@ -55,6 +55,11 @@ def cancel_orders(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def product_text() -> Column:
+    """The description that a row of a product feed is stored under."""
+    return description_json(F.col("marca_repuesto"), F.col("marca_carro"), F.col("transmision"), F.col("compra"), F.col("codigo"))
+
+
 def upsert_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
     """New products appended, known ones changed in name, description and price.
 
@@ -63,10 +68,7 @@ def upsert_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
     sequence number of the row, and may have imagen, kept for new products. The last change of a product wins. A change of an
     unknown product does nothing. New products number on from the highest id.
     """
-    text = description_json(
-        F.col("marca_repuesto"), F.col("marca_carro"), F.col("transmision"), F.col("compra"), F.col("codigo")
-    )
-    rows = feed.withColumns({"_text": text, "_price": F.col("precio").cast(MONEY)})
+    rows = feed.withColumns({"_text": product_text(), "_price": F.col("precio").cast(MONEY)})
     changes = (
         rows.filter(F.col("id_producto").isNotNull())
         .groupBy("id_producto")
@@ -79,10 +81,20 @@ def upsert_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
         "descripcion": F.when(given, F.col("_new._text")).otherwise(F.col("descripcion")),
         "precio": F.when(given, F.col("_new._price")).otherwise(F.col("precio")),
     }
+    return (
+        changed.withColumns(replaced)
+        .select(producto.columns)
+        .unionByName(new_products(feed, producto), allowMissingColumns=True)
+    )
+
+
+def new_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
+    """The products that the rows of ``feed`` without an id add, numbered on from the highest id in ``seq`` sequence."""
+    rows = feed.withColumns({"_text": product_text(), "_price": F.col("precio").cast(MONEY)})
     new = rows.filter(F.col("id_producto").isNull()).drop("id_producto")
     fresh = number_rows(new, ["seq"], "id_producto", highest(producto, "id_producto"))
     code = F.coalesce(F.nullif(F.col("codigo"), F.lit("")), F.concat(F.lit("PROD-"), F.col("id_producto")))
-    created = fresh.select(
+    return fresh.select(
         "id_producto",
         code.alias("codigo"),
         F.col("nombre").alias("nombre_producto"),
@@ -91,12 +103,6 @@ def upsert_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
         F.col("stock").cast("int").alias("stock_actual"),
         *([F.col("imagen")] if "imagen" in feed.columns else []),
     )
-    return (
-        changed.withColumns(replaced)
-        .select(producto.columns)
-        .unionByName(created, allowMissingColumns=True)
-    )
-
 
 def delete_products(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
     """Delete products and their order lines; order totals stay as they are."""

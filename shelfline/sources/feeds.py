@@ -45,6 +45,11 @@ def read_orders(raw: DataFrame, *keep: str) -> DataFrame:
     return _opened(raw, ORDER_SCHEMA, "value", *keep)
 
 
+def order_keys(raw: DataFrame) -> DataFrame:
+    """order_id and ts of each order document, without its other fields."""
+    return _opened(raw, "order_id bigint, ts timestamp_ntz")
+
+
 def split_orders(read: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(headers, lines, broken texts) of documents read; headers and lines have the columns kept."""
     filled = F.coalesce(F.size("carrito"), F.lit(0)) > 0

@@ -1,9 +1,10 @@
-"""Order, receipt, status and cancellation streams over a log of batches.
+"""Order, receipt and product streams over a log of batches.
 
 Each stream is the batch operator applied to a micro-batch and to the tables as
 they stood before it. A batch writes its own rows only: orders, lines, persons,
-customers, rejects, status steps and changes of stock. The present stock is the
-products' base and the sum of the changes.
+customers, rejects, new products, versions of products and changes of stock. The present
+products are the base and the new ones, with the newest version of each and the sum of
+the changes. Commands on orders that are stored have a stream of their own, ``life``.
 """
 
 from __future__ import annotations
@@ -17,34 +18,50 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfline.operators.allocation import append_orders, change_stock, confirm_orders
 from shelfline.operators.people import resolve_customers
 from shelfline.operators.quality import validate_orders
-from shelfline.operators.status import apply_status
-from shelfline.operators.stock import apply_receipts
+from shelfline.operators.stock import apply_receipts, new_products, product_text
 from shelfline.session import stage
-from shelfline.sources.feeds import read_orders, split_orders
+from shelfline.sources.feeds import order_keys, read_orders, split_orders
 from shelfline.streaming.log import BatchLog
+from shelfline.streaming.runner import require_utc
 
 STOCK_CHANGES = "id_producto long, cambio long"
 STATUS_LOG = "id_solicitud long, estado string, ts timestamp_ntz, event_id long, anulada boolean"
 REJECTS = "pedido string, motivo string"
+VERSIONS = "id_producto long, ts timestamp_ntz, seq long, nombre_producto string, descripcion string, precio decimal(12,2)"
+#: What a batch of order documents holds: a document in ``value``, or in ``nuevo`` an id met for the first time.
+DOCUMENTS = "value string, nuevo long"
 
 
 def intake_log(spark: SparkSession, root: str, t: dict[str, DataFrame]) -> BatchLog:
     """A log over the retail tables producto, persona, cliente, solicitud and detalle_solicitud."""
     tables = {name: t[name] for name in ("producto", "persona", "cliente", "solicitud", "detalle_solicitud")}
-    for name, schema in (("cambio_stock", STOCK_CHANGES), ("estado", STATUS_LOG), ("rechazo", REJECTS)):
+    for name, schema in (("cambio_stock", STOCK_CHANGES), ("estado", STATUS_LOG), ("rechazo", REJECTS), ("version", VERSIONS)):
         tables[name] = spark.createDataFrame([], schema)
+    tables["producto_nuevo"] = t["producto"].limit(0)
     return BatchLog(spark, root, tables).create()
 
 
+def products_ever(log: BatchLog, batch_id: int | None = None) -> DataFrame:
+    """The base and the new products, as they were at first."""
+    return log.tables["producto"].unionByName(log.logged("producto_nuevo", batch_id))
+
+
 def current_products(log: BatchLog, batch_id: int | None = None) -> DataFrame:
+    """All products with their newest version, by (ts, seq), and their present stock."""
+    products = products_ever(log, batch_id)
     changes = log.logged("cambio_stock", batch_id).groupBy("id_producto").agg(F.sum("cambio").alias("cambio"))
-    return change_stock(log.tables["producto"], changes)
+    attributes = [c for c in ("nombre_producto", "descripcion", "precio") if c in products.columns]
+    newest = log.logged("version", batch_id).groupBy("id_producto").agg(F.max_by(F.struct(*attributes), F.struct("ts", "seq")).alias("_new"))
+    versioned = products.join(newest, "id_producto", "left")
+    given = F.col("_new").isNotNull()
+    replaced = {c: F.when(given, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in attributes}
+    return change_stock(versioned.select(*[replaced.get(c, F.col(c)) for c in products.columns]), changes)
 
 
 def current_orders(log: BatchLog, batch_id: int | None = None) -> DataFrame:
-    """Orders that are not cancelled, with the last status logged for each."""
+    """Orders that are not cancelled, with the last status logged for each; a cancellation is final."""
     last = log.logged("estado", batch_id).groupBy("id_solicitud").agg(
-        F.max_by(F.struct("estado", "anulada"), F.struct("ts", "event_id")).alias("_last")
+        F.struct(F.max_by("estado", F.struct("ts", "event_id")).alias("estado"), F.max("anulada").alias("anulada")).alias("_last")
     )
     orders = log.rows("solicitud", batch_id)
     return (
@@ -56,21 +73,24 @@ def current_orders(log: BatchLog, batch_id: int | None = None) -> DataFrame:
 
 
 def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
-    """Order documents in ``value``: check, allocate stock, find customers, append.
+    """A batch of DOCUMENTS: check the orders, allocate stock, find customers, append.
 
-    One document counts per order id: the earliest, unless the id is stored already;
-    every other one is a reject. A refused order leaves no trace but its reject
-    row, which has all reasons of all its lines; its customer is not created either.
+    One document counts per order id: the earliest of the batch, if the batch brings the id as
+    a new one and the base table does not have it; every other one is a reject. A refused order leaves
+    no trace but its reject row, which has all reasons of all its lines; its customer is not created
+    either.
     """
-    numbered = batch.select("value").withColumn("_doc", F.monotonically_increasing_id())
-    documents = stage(read_orders(numbered, "_doc"), "documents")
+    whole = stage(batch.select("value", "nuevo").withColumn("_doc", F.monotonically_increasing_id()), "batch")
+    documents = stage(read_orders(whole.filter("nuevo IS NULL").drop("nuevo"), "_doc"), "documents")
     headers, lines, broken = split_orders(documents, "_doc")
-    stored = log.rows("solicitud", batch_id).select("id_solicitud").withColumn("_stored", F.lit(True))
+    base = log.tables["solicitud"].select("id_solicitud")
+    new = whole.select(F.col("nuevo").alias("id_solicitud")).filter("id_solicitud IS NOT NULL").join(base, "id_solicitud", "left_anti")
+    new = new.distinct().withColumn("_new", F.lit(True))
     known = headers.filter("id_solicitud IS NOT NULL AND ts IS NOT NULL")
     earliest = known.groupBy("id_solicitud").agg(F.min(F.struct("ts", "_doc")).alias("_first"))
-    known = known.join(earliest, "id_solicitud").join(stored, "id_solicitud", "left")
-    chosen = (F.col("_doc") == F.col("_first._doc")) & F.col("_stored").isNull()
-    fresh = stage(known.filter(chosen).drop("_first", "_stored"), "fresh")
+    known = known.join(earliest, "id_solicitud").join(new, "id_solicitud", "left")
+    chosen = (F.col("_doc") == F.col("_first._doc")) & F.col("_new").isNotNull()
+    fresh = stage(known.filter(chosen).drop("_first", "_new"), "fresh")
     repeated = known.filter(~chosen).select("_doc", F.lit("repetido").alias("motivo"))
     nameless = headers.filter("id_solicitud IS NULL").select("_doc", F.lit("pedido").alias("motivo"))
     undated = headers.filter("ts IS NULL").select("_doc", F.lit("fecha").alias("motivo"))
@@ -96,15 +116,26 @@ def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     )
     sold = result.accepted.groupBy("id_producto").agg((-F.sum(F.col("cantidad").cast("long"))).alias("cambio"))
     for name, rows in (
-        ("solicitud", orders), ("detalle_solicitud", _whole_lines(order_lines, log)), ("persona", people.new_persona),
+        ("solicitud", orders), ("detalle_solicitud", order_lines), ("persona", people.new_persona),
         ("cliente", people.new_cliente), ("rechazo", rejects), ("cambio_stock", sold),
     ):
         log.write(name, batch_id, rows)
 
 
-def _whole_lines(lines: DataFrame, log: BatchLog) -> DataFrame:
-    missing = [f for f in log.tables["detalle_solicitud"].schema.fields if f.name not in lines.columns]
-    return lines.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else lines
+def take_products(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
+    """Product feed rows as ``upsert_products`` takes them, with ``ts``: log new products and new versions of known ones.
+
+    Stock is not touched by a change: versions have a log of their own beside that of the sums.
+    A change of a product that is not known when its batch comes does nothing.
+    """
+    feed = stage(batch, "products")
+    known = products_ever(log, batch_id)
+    changes = feed.filter("id_producto IS NOT NULL").join(known.select("id_producto"), "id_producto", "left_semi")
+    versions = changes.select(
+        "id_producto", "ts", "seq", F.col("nombre").alias("nombre_producto"), product_text().alias("descripcion"), "precio"
+    )
+    log.write("producto_nuevo", batch_id, new_products(feed, known))
+    log.write("version", batch_id, versions)
 
 
 def take_receipts(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
@@ -115,28 +146,20 @@ def take_receipts(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     log.write("rechazo", batch_id, rejects.select(F.col("id_producto").cast("string").alias("pedido"), "motivo"))
 
 
-def take_status(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
-    """Status changes: log the steps and give stock back on rejection."""
-    lines, products = log.rows("detalle_solicitud", batch_id), log.tables["producto"].select("id_producto", F.lit(0).cast("long").alias("stock_actual"))
-    result = apply_status(stage(batch, "status"), current_orders(log, batch_id), lines, products)
-    steps = result.steps.select(
-        F.col("id").alias("id_solicitud"), F.col("nuevo").alias("estado"), "ts", "event_id", F.lit(False).alias("anulada")
+def once(documents: DataFrame, delay: str = "30 days") -> DataFrame:
+    """A stream of DOCUMENTS: the documents of ``value`` and, in the same batch, the ids met for the first time.
+
+    Which ids were met is kept as Spark's own state, so that no batch looks at the orders stored before. An id is remembered
+    until documents dated ``delay`` after its first one have come, and a document more than that behind the newest one
+    is not looked at any more: neither brings a new id, so both are rejects like any repeat. An id that comes back
+    with a date more than ``delay`` after its first counts as a new order.
+    """
+    require_utc(documents.sparkSession)
+    keys = order_keys(documents).filter("order_id IS NOT NULL AND ts IS NOT NULL").withColumn("at", F.col("ts").cast("timestamp"))
+    ids = keys.withWatermark("at", delay).dropDuplicatesWithinWatermark(["order_id"])
+    return documents.select("value", F.lit(None).cast("long").alias("nuevo")).unionByName(
+        ids.select(F.lit(None).cast("string").alias("value"), F.col("order_id").alias("nuevo"))
     )
-    returned = result.producto.select("id_producto", F.col("stock_actual").alias("cambio")).filter("cambio <> 0")
-    log.write("estado", batch_id, steps)
-    log.write("cambio_stock", batch_id, returned)
-    log.write("rechazo", batch_id, result.rejects.select(F.col("id").cast("string").alias("pedido"), "motivo"))
-
-
-def take_cancellations(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
-    """Cancellations (id_solicitud, ts, event_id): give stock back, mark the orders gone."""
-    feed = stage(batch, "cancellations")
-    orders = current_orders(log, batch_id).join(feed.select("id_solicitud").distinct(), "id_solicitud", "left_semi")
-    returning = orders.filter(~F.col("estado").eqNullSafe("Rechazada")).select("id_solicitud")
-    returned = log.rows("detalle_solicitud", batch_id).join(returning, "id_solicitud", "left_semi")
-    log.write("cambio_stock", batch_id, returned.groupBy("id_producto").agg(F.sum(F.col("cantidad").cast("long")).alias("cambio")))
-    marks = feed.join(orders.select("id_solicitud", "estado"), "id_solicitud")
-    log.write("estado", batch_id, marks.withColumn("anulada", F.lit(True)))
 
 
 def run(stream: DataFrame, log: BatchLog, take: Callable[[DataFrame, int, BatchLog], None], checkpoint: str) -> StreamingQuery:

@@ -32,7 +32,9 @@ class BatchLog:
         return BatchLog(self.spark, self.root, self.tables, source)
 
     def write(self, name: str, batch_id: int, rows: DataFrame) -> None:
-        conform(rows, self.tables[name].schema).write.mode("overwrite").parquet(self._folder(name, batch_id))
+        schema = self.tables[name].schema
+        rows = rows.withColumns({f.name: F.lit(None) for f in schema.fields if f.name not in rows.columns})
+        conform(rows, schema).write.mode("overwrite").parquet(self._folder(name, batch_id))
 
     def logged(self, name: str, batch_id: int | None = None) -> DataFrame:
         """Rows written so far; with ``batch_id`` without those of that batch and later ones."""

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from shelfline.session import scratch_path
 
+#: Rows of a file that a stream reads as one piece.
+ROWS_A_FILE = 50_000
+
 
 def require_utc(spark: SparkSession) -> None:
     """Watermarks and windows count instants, the tables hold wall-clock times: both agree in UTC only."""
@@ -39,9 +45,15 @@ def _written(stream: DataFrame, label: str) -> str:
 
 
 def update_to_end(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run an update stream over all input there is and return the last row of each key.
+    """Run an update stream over all input there is and return the last row of each key."""
+    return updated(stream, keys, label)[0]
+
 
-    A batch writes its changed rows to a folder of its own, again if it runs again.
+def updated(stream: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, list[StreamingQueryProgress]]:
+    """The last row of each key of an update stream, and the progress of its batches.
+
+    A batch writes its changed rows to a folder of its own, again if it runs again. Spark keeps the progress of
+    the last ``spark.sql.streaming.numRecentProgressUpdates`` batches.
     """
     spark = stream.sparkSession
     folder = scratch_path(spark)
@@ -59,21 +71,40 @@ def update_to_end(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     query.awaitTermination()
     written = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/{label}")
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
-    return written.withColumn("_age", newest).filter("_age = 1").drop("_age", "batch")
+    return written.withColumn("_age", newest).filter("_age = 1").drop("_age", "batch"), query.recentProgress
+
+
+def dropped_rows(progress: Iterable[StreamingQueryProgress]) -> int:
+    """Rows that keyed state refused for being later than the watermark.
+
+    Before an aggregation Spark adds up a task's rows of a key, which count as one row here.
+    """
+    return sum(state.numRowsDroppedByWatermark for p in progress for state in p.stateOperators)
+
+
+def observed(progress: Iterable[StreamingQueryProgress], name: str, metric: str) -> int:
+    """A counted metric, observed in every batch, added up."""
+    return sum(p.observedMetrics[name][metric] or 0 for p in progress if name in p.observedMetrics)
 
 
 def in_batches(df: DataFrame, order: str, batches: int, *closing: DataFrame) -> DataFrame:
-    """A stream that brings ``df`` in ranges of ``order``, one file a batch, with an empty one between.
+    """A stream that brings ``df`` in ranges of ``order``, a range a batch, with an empty one between.
 
     ``closing`` rows come last, a batch each, to move the watermark past everything before them.
+    Every batch is the same number of files, by the rows of the largest, so Spark tasks share it.
     """
     spark = df.sparkSession
     folder = scratch_path(spark)
     low, high = df.agg(F.min(order), F.max(order)).first()
     cuts = [low + (high - low) * k / batches for k in range(1, batches)] if low is not None else []
     part = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    largest = df.groupBy(part.alias("_part")).count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-largest // ROWS_A_FILE))
     frames = [df.filter(part == k) for k in range(len(cuts) + 1)]
     frames.insert(1, df.limit(0))
     for k, frame in enumerate([*frames, *closing]):
-        frame.coalesce(1).write.parquet(f"{folder}/part={k:03d}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+        path = f"{folder}/part={k:03d}"
+        frame.repartition(files).write.parquet(path)
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(path).inputFiles())):  # empty partitions leave no file
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")

@@ -1,6 +1,7 @@
 """Streams over split files equal the batch operators and survive a restart."""
 
 import json
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal as D
 
@@ -8,9 +9,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from shelfline.functions.order import PAGE_TRANSITIONS
 from shelfline.operators import stock, validity
-from shelfline.streaming import alerts, codes, intake, sales
-from shelfline.streaming.runner import in_batches, relay, require_utc, run_to_end, update_to_end
+from shelfline.streaming import alerts, codes, intake, life, runner, sales
+from shelfline.streaming.runner import dropped_rows, in_batches, relay, require_utc, run_to_end
 
 START = datetime(2026, 1, 1)
 
@@ -43,7 +45,7 @@ def test_order_life(spark, seed, tmp_path):
     documents = spark.readStream.text(str(feed))
 
     def start():
-        intake.run(documents, log, intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
+        intake.run(intake.once(documents), log, intake.take_orders, str(tmp_path / "ck_orders")).awaitTermination()
 
     start()
     start()  # a restart finds nothing new
@@ -59,25 +61,105 @@ def test_order_life(spark, seed, tmp_path):
     assert stock_of(log)[4] == 0
     assert rows(log.rows("solicitud").filter("id_solicitud = 14"), "id_cliente") == [(6,)]
 
-    changes = spark.createDataFrame(
-        [(1, START, 10, "Rechazada"), (2, START, 12, "En Proceso"), (3, START, 77, "Aprobada")],
-        "event_id long, ts timestamp_ntz, id long, estado string")
-    intake.take_status(changes, 0, log.stream("status").create())
-    assert stock_of(log)[5] == 6
-    states = dict(rows(intake.current_orders(log), "id_solicitud", "estado"))
-    assert (states[10], states[12], states[2]) == ("Rechazada", "Aprobada", "Entregada")
-
-    receipts = spark.createDataFrame([(5, 4), (5, 0)], "id_producto long, cantidad int")
-    for _ in range(2):  # a batch that runs again overwrites its own rows
-        intake.take_receipts(receipts, 0, log.stream("receipts"))
-    assert stock_of(log)[5] == 10
-
-    gone = spark.createDataFrame([(12, START + timedelta(days=1), 9), (10, START + timedelta(days=1), 10)],
-                                 "id_solicitud long, ts timestamp_ntz, event_id long")
-    intake.take_cancellations(gone, 0, log.stream("gone"))
-    # Order 12 gives its four back, the rejected order 10 does not do so again.
-    assert stock_of(log)[5] == 14
+    def after(minutes, event_id, kind, number, state=None, pieces=None):
+        return (event_id, START + timedelta(minutes=minutes), kind, number, state, pieces)
+
+    sent = commands(
+        spark,
+        [after(20, 1, life.STATUS, 10, "Rechazada"), after(20, 2, life.STATUS, 12, "En Proceso"), after(21, 3, life.STATUS, 77, "Aprobada"),
+         after(22, 4, life.RECEIPT, 5, pieces=4), after(23, 5, life.RECEIPT, 5, pieces=0), after(24, 6, "otra", 1)],
+        # Order 12 gives its four back, the rejected order 10 does not do so again; nothing follows a cancellation.
+        [after(60, 9, life.CANCEL, 12), after(61, 10, life.CANCEL, 10), after(62, 11, life.CANCEL, 12), after(70, 12, life.STATUS, 12, "Rechazada")],
+    )
+    for _ in range(2):  # a restart finds nothing new
+        life.run_commands(sent, log.stream("life").create(), str(tmp_path / "ck_life"), delay="1 hour").awaitTermination()
+    assert stock_of(log)[5] == 6 + 4 + 4
     assert {10, 12}.isdisjoint(r[0] for r in rows(intake.current_orders(log), "id_solicitud"))
+    assert dict(rows(intake.current_orders(log), "id_solicitud", "estado"))[2] == "Entregada"
+    refused = spark.read.parquet(f"{log.root}/rechazo/source=life")
+    assert sorted(rows(refused.filter("pedido <> '-1'"), "pedido", "motivo")) == [
+        ("1", "tipo"), ("12", "solicitud"), ("12", "solicitud"), ("5", "cantidad"), ("77", "solicitud")]
+
+
+def commands(spark, *batches):
+    """A stream of commands, a batch each, and two that move the watermark past them."""
+    end = max(r[1] for batch in batches for r in batch) + timedelta(days=30)
+    closing = [[(-1, end + timedelta(days=d), life.STATUS, -1, "Aprobada", None)] for d in (0, 1)]
+    numbered = [(k, *row) for k, batch in enumerate([*batches, *closing]) for row in batch]
+    df = spark.createDataFrame(numbered, "batch long, " + life.COMMAND)
+    return in_batches(df, "batch", len(batches) + 2).drop("batch")
+
+
+def replayed(stocks, orders, lines, sent, strict):
+    """The commands one after the other: (stock, statuses of living orders, steps, rejects)."""
+    stocks, states = dict(stocks), dict(orders)
+    steps, refused = [], []
+    for event_id, ts, kind, number, state, pieces in sorted(sent, key=lambda r: (r[1], r[0])):
+        state = {"En Proceso": "Aprobada", "Completada": "Entregada"}.get(state, state)
+        if kind == life.RECEIPT:
+            stocks[number] += pieces
+            continue
+        before = states.get(number)
+        if before is None or (kind == life.STATUS and strict and (before, state) not in PAGE_TRANSITIONS):
+            refused.append((event_id, "solicitud" if before is None else "transicion"))
+            continue
+        back = before != "Rechazada" and (kind == life.CANCEL or state == "Rechazada")
+        steps.append((event_id, before, back))
+        for product, quantity in lines.get(number, []) if back else []:
+            stocks[product] += quantity
+        if kind == life.CANCEL:
+            del states[number]
+        else:
+            states[number] = state
+    return stocks, states, sorted(steps), sorted(refused)
+
+
+@pytest.mark.parametrize("mode", ["reference", "strict"])
+def test_commands_equal_a_replay_in_any_order_of_arrival(spark, seed, tmp_path, mode):
+    """Late and repeated changes and cancellations over three batches; stock and pieces in living lines stay what they were."""
+    rng = random.Random(5)
+    orders = [(n, START, rng.choice(["Pendiente", "Aprobada", "Rechazada"]), D(1), 1) for n in range(1, 25)]
+    lines = {n: [(1 + n % 5, 1 + n % 3), (1 + (n + 2) % 5, 2)] for n in range(1, 25)}
+    t = {
+        **seed,
+        "solicitud": spark.createDataFrame(orders, seed["solicitud"].schema),
+        "detalle_solicitud": spark.createDataFrame(
+            [(10 * n + k, n, p, q, D(1), D(q)) for n, cart in lines.items() for k, (p, q) in enumerate(cart)], seed["detalle_solicitud"].schema),
+    }
+    kinds = [life.STATUS] * 6 + [life.CANCEL, life.RECEIPT]
+    sent = []
+    for event_id in range(260):
+        kind = rng.choice(kinds)
+        state = rng.choice(["Aprobada", "En Proceso", "Rechazada", "Completada"]) if kind == life.STATUS else None
+        number = rng.randint(1, 5) if kind == life.RECEIPT else rng.randint(1, 26)
+        sent.append((event_id, START + timedelta(minutes=rng.randint(0, 400), microseconds=rng.randint(0, 2) * 333), kind, number, state, 3 if kind == life.RECEIPT else None))
+    arrival = sorted(sent, key=lambda r: r[1] + timedelta(minutes=rng.randint(0, 500)))
+    batches = [arrival[k::3] if k == 9 else arrival[k * 90 : (k + 1) * 90] for k in range(3)]
+    log = intake.intake_log(spark, str(tmp_path / "log"), t).stream("life").create()
+    life.run_commands(commands(spark, *batches), log, str(tmp_path / "ck"), mode, "1 day").awaitTermination()
+    stocks = dict(rows(seed["producto"], "id_producto", "stock_actual"))
+    want, states, _, refused = replayed(stocks, {o[0]: o[2] for o in orders}, lines, sent, mode == "strict")
+    assert stock_of(log) == want
+    assert dict(rows(intake.current_orders(log), "id_solicitud", "estado")) == states
+    found = rows(log.logged("rechazo").filter("pedido <> '-1'"), "motivo")
+    assert sorted(r[0] for r in found) == sorted(reason for _, reason in refused)
+    if mode == "strict":  # in which no order can give its stock back twice
+        def held(living):
+            return sum(q for n, state in living.items() if state != "Rechazada" for _, q in lines[n])
+        received = sum(r[5] for r in sent if r[2] == life.RECEIPT)
+        assert sum(stock_of(log).values()) + held(states) == sum(stocks.values()) + received + held({o[0]: o[2] for o in orders})
+
+
+def test_commands_beyond_the_watermark_are_counted(spark, seed, tmp_path):
+    """A change that comes after the watermark has passed it changes nothing, and the progress has its number."""
+    log = intake.intake_log(spark, str(tmp_path / "log"), seed).stream("life").create()
+    first = [(1, START + timedelta(days=9), life.STATUS, 2, "Aprobada", None)]
+    second = [(2, START + timedelta(days=20), life.STATUS, 2, "Rechazada", None)]
+    late = [(3, START, life.STATUS, 2, "Aprobada", None), (4, START, life.CANCEL, 2, None, None)]
+    query = life.run_commands(commands(spark, first, second, late), log, str(tmp_path / "ck"), delay="1 hour")
+    query.awaitTermination()
+    assert dict(rows(intake.current_orders(log), "id_solicitud", "estado"))[2] == "Rechazada"
+    assert dropped_rows(query.recentProgress) == 2
 
 
 def test_odd_documents_take_no_stock(spark, seed, tmp_path):
@@ -91,9 +173,11 @@ def test_odd_documents_take_no_stock(spark, seed, tmp_path):
         order(2, 1, "700", (3, 5)),  # stored already
         json.dumps(unpriced),
     ]
-    df = spark.createDataFrame([(v,) for v in batch], "value string")
-    for batch_id in (0, 0, 1):  # run again, then sent again
-        intake.take_orders(df, batch_id, log)
+    def documents(*new):
+        return spark.createDataFrame([(v, None) for v in batch] + [(None, n) for n in new], intake.DOCUMENTS)
+
+    for batch_id, new in ((0, (2, 20, 24)), (0, (2, 20, 24)), (1, ())):  # run again, then sent again
+        intake.take_orders(documents(*new), batch_id, log)
     taken = 199 - stock_of(log)[3]
     pieces = log.logged("detalle_solicitud").agg(F.sum("cantidad")).first()[0]
     assert taken == pieces == 3
@@ -108,17 +192,74 @@ def test_odd_documents_take_no_stock(spark, seed, tmp_path):
 def test_an_empty_batch_changes_nothing(spark, seed, tmp_path):
     log = seed_log(spark, seed, str(tmp_path / "log"))
     before = stock_of(log)
-    intake.take_orders(spark.createDataFrame([], "value string"), 0, log)
+    intake.take_orders(spark.createDataFrame([], intake.DOCUMENTS), 0, log)
     assert stock_of(log) == before and log.logged("solicitud").count() == log.logged("rechazo").count() == 0
 
 
+def test_ids_met_in_earlier_batches_are_repeats(spark, seed, tmp_path):
+    """Ids live in Spark's state, for as long as documents may still repeat them; then a late one is refused."""
+    log = intake.intake_log(spark, str(tmp_path / "log"), seed)
+    feed = tmp_path / "orders"
+    feed.mkdir()
+
+    def send(name, *documents):
+        (feed / name).write_text("\n".join(documents))
+        stream = intake.once(spark.readStream.text(str(feed)), "1 day")
+        intake.run(stream, log, intake.take_orders, str(tmp_path / "ck")).awaitTermination()
+
+    day = 24 * 60
+    send("a.json", order(30, 1, "700", (3, 1)), order(2, 1, "700", (3, 1)))
+    send("b.json", order(30, 2, "700", (3, 5)), order(31, 2 * day, "700", (3, 2)))
+    send("c.json", order(31, 2 * day + 5, "700", (3, 5)), order(32, 5, "700", (3, 5)), order(33, 2 * day, "700", (3, 4)))
+    assert sorted(rows(log.logged("solicitud"), "id_solicitud")) == [(30,), (31,), (33,)]
+    assert 199 - stock_of(log)[3] == 1 + 2 + 4
+    assert sorted(rows(log.logged("rechazo"))) == [("2", "repetido"), ("30", "repetido"), ("31", "repetido"), ("32", "repetido")]
+
+
+def test_product_stream_equals_batch(spark, seed, tmp_path):
+    """New products and changes in three batches, changes out of sequence; stock is left as it is."""
+    feed = []
+    for seq in range(60):
+        number = None if seq % 7 == 0 else 1 + seq % 6  # 6 is not there at first
+        feed.append((seq, START + timedelta(minutes=seq), number, f"C{seq}" if seq % 2 else None, f"nombre {seq}", "M", "A", "T", "1", D(seq), seq % 9))
+    schema = ("seq long, ts timestamp_ntz, id_producto long, codigo string, nombre string, marca_repuesto string, marca_carro string, "
+              "transmision string, compra string, precio decimal(12,2), stock int")
+    df = spark.createDataFrame(feed, schema)
+    log = intake.intake_log(spark, str(tmp_path / "log"), seed)
+    order_of = F.when(F.col("id_producto").isNull() | (F.col("id_producto") == 6), F.col("seq")).otherwise((F.col("seq") * 17) % 60)
+    arriving = in_batches(df.withColumn("at", order_of), "at", 3).drop("at")
+    for _ in range(2):
+        intake.run(arriving, log, intake.take_products, str(tmp_path / "ck")).awaitTermination()
+    want = stock.upsert_products(df.filter("id_producto IS NULL OR id_producto <> 6"), seed["producto"])
+    columns = ("id_producto", "codigo", "nombre_producto", "descripcion", "precio", "stock_actual")
+    got = intake.current_products(log)
+    known = rows(want.filter("id_producto <> 6"), *columns)
+    assert sorted(rows(got.filter("id_producto <> 6"), *columns), key=str) == sorted(known, key=str)
+    # The product made from seq 0 is number 6, and changes that came in later batches count.
+    assert rows(got.filter("id_producto = 6"), "nombre_producto", "stock_actual") == [("nombre 59", 0)]
+
+
+def test_batches_come_in_as_many_files_as_their_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(runner, "ROWS_A_FILE", 20)
+    df = spark.range(100).withColumn("at", F.when(F.col("id") < 90, F.col("id") % 30).otherwise(F.lit(60)))
+    seen = []
+    query = in_batches(df, "at", 2, df.limit(1)).writeStream.foreachBatch(lambda b, k: seen.append((b.count(), b.rdd.getNumPartitions()))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [n for n, _ in seen] == [90, 0, 10, 1] and seen[0][1] > 1
+
+
 def test_windowed_sales_come_out_for_all_days(spark):
     data = [(n, START + timedelta(hours=n), "Entregada" if n % 2 else "Pendiente", D(n)) for n in range(240)]
     schema = "id_solicitud long, fecha_solicitud timestamp_ntz, estado string, total decimal(12,2)"
     orders = spark.createDataFrame(data, schema)
-    late = spark.createDataFrame([(999, START, "Entregada", D(1000))], schema)
+    # Three too late, two of them for one window; an order without a date and one not delivered do not count.
+    late = spark.createDataFrame(
+        [(999, START, "Entregada", D(1000)), (998, START, "Entregada", D(1)), (997, START + timedelta(days=1), "Entregada", D(1)),
+         (996, None, "Entregada", D(1)), (995, START, "Pendiente", D(1))], schema)
     arriving = in_batches(orders, "fecha_solicitud", 3, late)
-    got = dict(rows(update_to_end(sales.windowed_sales(arriving, "1 day", "1 day"), ["desde", "hasta"], "sales"), "desde", "ventas"))
+    windows, missed = sales.sales_to_end(arriving, "1 day", "1 day")
+    got = dict(rows(windows, "desde", "ventas"))
+    assert missed == 3
     want = {}
     for _, ts, state, total in data:
         if state == "Entregada":
