@@ -21,7 +21,7 @@ __all__ = ["column", "cut", "docs_in", "exact_words", "mix", "placed", "row_coun
 SLICE_BYTES = 1 << 19
 
 #: Bytes of a batch between Spark and a Python worker; both sides hold a few of them per task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: The separators between words: blank, tab, line feed, vertical tab, form feed, return.
 SEPARATORS = b" \t\n\v\f\r"
@@ -57,6 +57,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        for powers in Powers.known:
+            powers.forget()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
@@ -154,8 +156,14 @@ _LOWER_CODES[65:91] = _BYTE_CODES[97:123]
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
 
+    known: list[Powers] = []
+
     def __init__(self, base: int):
         self.base, self.back = base, pow(base, -1, 1 << 64)
+        self.forget()
+        self.known.append(self)
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, count: int) -> tuple[np.ndarray, np.ndarray]:

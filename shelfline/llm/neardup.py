@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, likely_in, mix, row_counter, ship, stage, word_spans, tidy
@@ -96,8 +96,8 @@ def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = signatures(values, at[:-1][full])
                 found[full] = [r.tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [ids[start:stop], pa.array(np.diff(at)), pa.array(one), pa.array(two), pa.array(found, pa.binary())],
-                names=["doc_id", "n_shingles", "one", "two", "signature"],
+                [ids[start:stop], column(batch, "mark")[start:stop], pa.array(np.diff(at)), pa.array(one), pa.array(two), pa.array(found, pa.binary())],
+                names=["doc_id", "mark", "n_shingles", "one", "two", "signature"],
             )
 
 
@@ -283,11 +283,29 @@ def near_duplicates(
     smallest id there, or NULL, and then it counts as kept. Rows with one id and different texts
     are separate texts. Other columns are not looked at; an empty table gives an empty result.
     """
+    sets, rooted = _rooted(documents, id_col, text_col, percent, miss)
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_set = rooted.join(smallest, "root").select("one", "two", "n_shingles", "component_id")
+    out = sets.select("doc_id", "one", "two", "n_shingles").join(of_set, ["one", "two", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
+
+
+def _first() -> Column:
+    """The first row of a group: the smallest id, NULL after all others, then the smallest mark of the text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+
+
+def _rooted(documents: DataFrame, id_col: str, text_col: str, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """(a row per document with its set, a row per distinct set with the smallest set that links reach)."""
     ship(documents.sparkSession)
-    docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    sets = stage(docs.mapInArrow(tidy(_print), "doc_id long, n_shingles long, one long, two long, signature binary"), "sets")
+    docs = cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    sets = stage(docs.mapInArrow(tidy(_print), "doc_id long, mark long, n_shingles long, one long, two long, signature binary"), "sets")
     classes = sets.filter("n_shingles > 0").groupBy("one", "two", "n_shingles")
-    classes = stage(row_counter(classes.agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")), "node"), "classes")
+    classes = classes.agg(_first(), F.max("signature").alias("signature"))
+    classes = stage(row_counter(classes.select("one", "two", "n_shingles", "first.doc_id", "first.mark", "signature"), "node"), "classes")
 
     bands = stage(classes.select("node", "signature").mapInArrow(tidy(_bands), "bucket long, node long"), "bands")
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
@@ -295,43 +313,48 @@ def near_duplicates(
     star = bands.join(heads, "bucket").filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     families = components(star).withColumnRenamed("root", "family")
 
-    plain = classes.select("node", "doc_id", "one", "two", "n_shingles")
+    plain = classes.select("node", "doc_id", "mark", "one", "two", "n_shingles")
     members = stage(families.join(plain, "node"), "members")
     units = _units(members.select("node", "family", "n_shingles"), percent)
-    asked = stage(members.join(units, "node").select("node", F.col("doc_id").alias("_id"), "one", "two", "units"), "asked")
-    ids = asked.select(F.col("_id").alias("doc_id"))
-    texts = likely_in(docs, "doc_id", ids).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
+    asked = members.join(units, "node").select("node", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "one", "two", "units")
+    asked = stage(asked, "asked")
+    # A text is asked for by its id and its mark, or the rows of one id, or of none, would all meet.
+    texts = likely_in(docs, "mark", asked.select(F.col("_mark").alias("mark")))
+    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     unit = "struct<family: long, sizes: long, low: int, high: int, block: int>"
     payload = texts.mapInArrow(tidy(_payload), f"node long, units array<{unit}>, signature binary, shingles binary")
     payload = payload.withColumn("unit", F.explode("units")).select("unit.*", "node", "signature", "shingles")
     key = ["family", "sizes", "low", "high"]
     worked = payload.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_links(percent, miss)), "a long, b long")
-    roots = components(worked)
-    return _result(sets, classes, roots)
+    rooted = classes.select("node", "one", "two", "n_shingles", "doc_id").join(components(worked), "node", "left")
+    return sets, rooted.withColumn("root", F.coalesce("root", "node"))
 
 
-def _result(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    rooted = classes.select("node", "one", "two", "n_shingles", "doc_id").join(roots, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = rooted.join(smallest, "root").select("one", "two", "n_shingles", "component_id")
-    out = sets.select("doc_id", "one", "two", "n_shingles").join(of_set, ["one", "two", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
-
-
-def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``documents`` without those whose component has a smaller id; all columns stay.
+def keep_one(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, miss: float = MISS
+) -> DataFrame:
+    """``documents`` with one row of each component; all columns stay.
 
-    Rows that share an id are one document, which goes if any of its texts has a component with a
-    smaller id. Rows without words stay, and so do rows with a NULL id.
+    The row with the smallest id stays, one without an id only where none has one; of several texts under that id one
+    stays, and of several rows with one id and text any one. Rows without words all stay.
     """
-    found = near_duplicates(documents, id_col, text_col, **options)
-    gone = stage(found.filter("doc_id > component_id").select("doc_id").distinct(), "gone")
-    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    # Only rows that may go are moved.
-    asked = likely_in(rows, "doc_id", gone).join(gone, "doc_id", "left_anti").select("row")
-    kept = likely_in(rows, "doc_id", gone, negate=True).select("row").unionByName(asked)
+    sets, rooted = _rooted(documents, id_col, text_col, percent, miss)
+    of_set = rooted.select("one", "two", "n_shingles", "root")
+    rows = sets.select("doc_id", "mark", "one", "two", "n_shingles").join(of_set, ["one", "two", "n_shingles"])
+    rows = stage(rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")), "rows")
+    first = rows.groupBy("root").agg(_first())
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    told = rows.join(first, "root").select("doc_id", "mark", other.alias("goes"), "copies").filter("goes or copies > 1")
+    told = stage(told.select(F.xxhash64("doc_id", "mark").alias("which"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "goes"), "told")
+    own = documents.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("mark"),
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+    ).withColumn("which", F.xxhash64("doc_id", "mark"))
+    # Only rows that may go, or are there several times, are moved.
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    asked = likely_in(own, "which", told).join(told.drop("which"), met, "left")
+    single = asked.filter("goes is null").select("row")
+    several = asked.filter("not goes").groupBy("doc_id", "mark").agg(F.any_value("row").alias("row")).select("row")
+    kept = likely_in(own, "which", told, negate=True).select("row").unionByName(single).unionByName(several)
     return kept.select(*[F.col(f"row.`{c}`") for c in documents.columns])

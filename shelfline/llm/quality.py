@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, ship, word_spans, tidy
+from shelfline.llm.common import Powers, Rolling, column, cut, docs_in, hash_words, likely_in, ship, word_spans, tidy
 
 #: Statistics of a text, in this order.
 STATISTICS = (
@@ -186,6 +186,12 @@ def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.mapInArrow(tidy(_describe), "doc_id long, statistics array<double>")
 
 
+def labelled(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` that may have a label, by a filter of fixed size; ``fit`` takes those that have one."""
+    ids = cut(labels, _labelled=label_id).select(F.col("_labelled").cast("long"))
+    return likely_in(documents.withColumn("_labelled", F.col(f"`{id_col}`").cast("long")), "_labelled", ids).drop("_labelled")
+
+
 def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Learn from the labels 0 and 1 of rows that are not held out.
 

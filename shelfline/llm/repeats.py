@@ -156,7 +156,7 @@ def _coded(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield start, stop, codes, first, Rolling(codes, _OWN).of(first[:-1], first[1:]).view(np.int64)
 
 
-SPANS = "doc_id long, text_key long, n_words long, kept_sha256 string, spans array<struct<symbol: long, at: int, n: int, content: long>>"
+SPANS = "doc_id long, mark long, text_key long, n_words long, kept_sha256 string, spans array<struct<symbol: long, at: int, n: int, content: long>>"
 
 
 def _find_spans(length: int, rounds: int):
@@ -184,12 +184,13 @@ def _find_spans(length: int, rounds: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[start:stop],
+                        column(batch, "mark")[start:stop],
                         pa.array(keys),
                         pa.array(np.diff(first).astype(np.int64)),
                         pa.array(shas),
                         pa.ListArray.from_arrays(at, values),
                     ],
-                    names=["doc_id", "text_key", "n_words", "kept_sha256", "spans"],
+                    names=["doc_id", "mark", "text_key", "n_words", "kept_sha256", "spans"],
                 )
 
     return run
@@ -261,17 +262,15 @@ def _texts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges, texts = column(batch, "ranges"), column(batch, "text")
+            wanted, ranges, texts = (column(batch, c) for c in ("text_key", "ranges", "text"))
             out: list[str | None] = texts.to_pylist()
             for start, stop, data, offsets in docs_in(texts):
                 begins, ends, first = word_spans(data, offsets)
                 keys = Rolling(hash_words(data, begins, ends), _OWN).of(first[:-1], first[1:]).view(np.int64)
                 for i in range(start, stop):
-                    mine = [r for r in ranges[i].as_py() or () if r["text_key"] == keys[i - start]]
-                    if not mine:
+                    if wanted[i].as_py() != keys[i - start]:  # none, or another text under the id
                         continue
-                    at = np.array([x["at"] for x in mine[0]["ranges"]], np.int64)
-                    number = np.array([x["n"] for x in mine[0]["ranges"]], np.int64)
+                    at, number = (np.asarray(x) for x in ranges[i].values.flatten())
                     _, stay = _kept(out[i], at, number, length)
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], stay.astype(np.int8), [0]))))
                     k, whole = first[i - start], data.tobytes()
@@ -294,7 +293,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = _docs(documents, id_col, text_col)
     parsed, ranges = _repeated(docs, length, rounds)
-    changed = likely_in(docs, "doc_id", ranges).join(ranges, "doc_id")
+    changed = likely_in(docs, "doc_id", ranges).join(_marked(parsed, ranges), ["doc_id", "mark"])
     changed = changed.mapInArrow(tidy(_digests(length)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     same = parsed.join(ranges.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
     return same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(changed)
@@ -306,21 +305,28 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     Separators between kept words stay, one blank stands for what is gone. Rules as in
     ``remove_repeats``.
     """
-    _, ranges = _repeated(_docs(documents, id_col, text_col), length, rounds)
-    per_id = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "ranges")).alias("ranges"))
+    parsed, ranges = _repeated(_docs(documents, id_col, text_col), length, rounds)
     packed = documents.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").alias("text"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("mark"),
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("rest"),
     )
-    touched = likely_in(packed, "doc_id", per_id).join(per_id, "doc_id", "left")
+    touched = likely_in(packed, "doc_id", ranges).join(_marked(parsed, ranges), ["doc_id", "mark"], "left")
     touched = touched.mapInArrow(tidy(_texts(length)), packed.select("rest", "text").schema)
-    out = likely_in(packed, "doc_id", per_id, negate=True).select("rest", "text").unionByName(touched)
+    out = likely_in(packed, "doc_id", ranges, negate=True).select("rest", "text").unionByName(touched)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in documents.columns])
 
 
 def _docs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    """doc_id, text and a mark of the text, so that the rows of one id are told apart in joins."""
+    return cut(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+
+
+def _marked(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted``, of (doc_id, text_key), with the mark of each text that has the key."""
+    marks = likely_in(parsed.select("doc_id", "text_key", "mark"), "doc_id", wanted).distinct()
+    return wanted.join(marks, ["doc_id", "text_key"])
 
 
 def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -341,9 +347,10 @@ def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, Dat
     mixed = shared.filter("not alike").drop("first")
     kinds = stage(mixed.groupBy("symbol", "content").agg(F.min("doc_id").alias("first")), "kinds")
     mixed = mixed.join(kinds, ["symbol", "content"])
-    heads = mixed.filter("doc_id = first").groupBy("doc_id", "text_key")
-    heads = stage(heads.agg(F.collect_list(F.struct("symbol", "at", "n")).alias("spans")), "heads")
-    windows = likely_in(docs, "doc_id", heads).join(heads, "doc_id")
+    # Equal rows of one id have equal spans: a list holds those of one text, however many rows have it.
+    heads = mixed.filter("doc_id = first").groupBy("doc_id", "text_key", "symbol", "at").agg(F.max("n").alias("n"))
+    heads = stage(heads.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("symbol", "at", "n")).alias("spans")), "heads")
+    windows = likely_in(docs, "doc_id", heads).join(_marked(parsed, heads), ["doc_id", "mark"])
     windows = stage(windows.mapInArrow(tidy(_windows(length)), "symbol long, content long, doc_id long, text_key long, at int"), "windows")
     firsts = stage(windows.groupBy("symbol", "content").agg(F.min("doc_id").alias("first")), "firsts")
     later = windows.join(firsts, ["symbol", "content"]).filter("doc_id > first")
@@ -352,5 +359,6 @@ def _repeated(docs: DataFrame, length: int, rounds: int) -> tuple[DataFrame, Dat
     gone = shared.filter("alike and doc_id > first").select(place)
     gone = gone.unionByName(mixed.filter("doc_id > first").select(place))
     gone = gone.unionByName(later.select("doc_id", "text_key", "at", F.lit(1).alias("n")))
+    gone = gone.groupBy("doc_id", "text_key", "at").agg(F.max("n").alias("n"))
     ranges = gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
     return parsed, stage(ranges, "ranges")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from llm_rows import clashing, documents, empty, ordered, plan, prose  # noqa: F401
 
@@ -18,7 +19,8 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def plain(rows, percent=85):
+def linked(rows, percent=85):
+    """(set, number of its component) of each row."""
     sets = [shingles(text) for _, text, *_ in rows]
     root = list(range(len(rows)))
 
@@ -31,14 +33,33 @@ def plain(rows, percent=85):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    return [(s, find(i)) for i, s in enumerate(sets)]
+
+
+def plain(rows, percent=85):
+    found = linked(rows, percent)
     least = {}
-    for i, (doc_id, *_) in enumerate(rows):
+    for (doc_id, *_), (_, root) in zip(rows, found, strict=True):
         if doc_id is not None:
-            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
-    out = [(r[0], len(sets[i]), least.get(find(i)), r[0] == least.get(find(i))) for i, r in enumerate(rows)]
+            least[root] = min(least.get(root, doc_id), doc_id)
+    out = [(r[0], len(s), least.get(root), r[0] == least.get(root)) for r, (s, root) in zip(rows, found, strict=True)]
     return sorted(out, key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
 
 
+def kept(rows, percent=85):
+    """How often each id stays if one row of each component does, and all without words."""
+    stay, groups = Counter(), {}
+    for (doc_id, *_), (own, root) in zip(rows, linked(rows, percent), strict=True):
+        if own:
+            groups.setdefault(root, []).append((doc_id is None, doc_id or 0))
+        else:
+            stay[doc_id] += 1
+    for ids in groups.values():
+        none, doc_id = min(ids)
+        stay[None if none else doc_id] += 1
+    return stay
+
+
 def test_messy_rows(documents, clashing, empty):
     want = plain([tuple(r) for r in documents.collect()])
     assert ordered(neardup.near_duplicates(documents)) == want
@@ -79,8 +100,34 @@ def test_sizes_that_can_match_share_a_unit(spark):
 def test_one_of_each_group_stays(documents, clashing):
     out = neardup.keep_one(clashing)
     assert out.columns == clashing.columns
-    # 3 is near 1, 8 equals 7; 10's first text holds 1's but is not near it.
-    assert sorted(r.doc_id for r in out.select("doc_id").collect() if r.doc_id is not None) == [1, 4, 5, 6, 7, 9, 10, 10, 11, 12, 13]
+    want = kept([tuple(r) for r in documents.collect()])
+    assert Counter(r.doc_id for r in out.select("doc_id").collect()) == want
+    # 3, the second row of 2 and a copy without an id are near 1, 8 equals 7; 10's first text holds 1's but is not near it.
+    assert want == Counter([1, 4, 5, 6, 7, 9, 10, 10, 11, 12, 13, None])
+
+
+def test_repeated_and_missing_ids_stay_linear(spark):
+    """20 000 equal rows of one id and 5000 different texts without one: no more rows on the way than there are."""
+    base, other = prose(20, 60), prose(21, 120)
+    near = " ".join(w if k != 30 else "x" for k, w in enumerate(other.split()))
+    rows = [(7, base)] * 20_000 + [(None, prose(10_000 + i, 8)) for i in range(5000)] + [(1, other), (None, near), (8, base), (8, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    made, real = [], neardup.components
+
+    def counted(links):
+        found = real(links)
+        made.append(links.count())
+        return found
+
+    neardup.components = counted
+    try:
+        out = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect())
+    finally:
+        neardup.components = real
+    assert out[7, 7] == 20_000 and out[8, 7] == out[8, 8] == out[1, 1] == out[None, 1] == 1
+    assert max(made) < 100
+    left = Counter(r.doc_id for r in neardup.keep_one(docs).collect())
+    assert left == Counter({7: 1, None: 5000, 1: 1, 8: 1})
 
 
 def test_pruning_is_by_posterior():

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from llm_rows import clashing, documents, empty, ordered  # noqa: F401
+from llm_rows import clashing, documents, empty, ordered, prose  # noqa: F401
+from pyspark.sql import functions as F
 
 from shelfline.llm import repeats
 
@@ -74,3 +76,38 @@ def test_texts_keep_rows_and_columns(documents, clashing, empty):
     want = {r[3] for r in plain([tuple(r) for r in documents.collect()], 50)}
     assert {hashlib.sha256(t.encode()).hexdigest() for _, t in words} == want
     assert repeats.remove_repeats(empty).count() == 0 and repeats.drop_repeats(empty).count() == 0
+
+
+def test_equal_rows_of_one_id_stay_linear(spark, monkeypatch):
+    """20 000 equal rows of an id that hold another's passages: lists are as long as one text asks for."""
+    shared, alike = prose(30, 70), prose(31, 60)
+    text = f"{prose(32, 20)} {shared} {prose(33, 30)} {alike}"
+    rows = [(1, f"{shared} {prose(34, 40)}"), (2, f"{prose(35, 9)} {alike}"), (0, f"x {shared} y")] + [(5, text)] * 20_000
+    rows += [(5, f"{prose(100 + i, 12)}  {alike}") for i in range(200)]
+    longest, real = [], repeats.stage
+
+    def staged(df, label):
+        out = real(df, label)
+        for name in {"spans", "ranges"} & set(out.columns):
+            longest.append(out.agg(F.max(F.size(name))).first()[0] or 0)
+        if label in ("windows", "ranges"):
+            longest.append(out.count() // 25_000)
+        return out
+
+    monkeypatch.setattr(repeats, "stage", staged)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter(tuple(r) for r in repeats.remove_repeats(df).collect())
+    first = {}
+    for doc_id, t in set(rows):
+        own = t.split()
+        for a in range(len(own) - 49):
+            window = tuple(own[a : a + 50])
+            first[window] = min(first.get(window, doc_id), doc_id)
+    want = Counter()
+    for (doc_id, t), times in Counter(rows).items():
+        own = t.split()
+        stay = [not any(first[tuple(own[b : b + 50])] < doc_id for b in range(max(0, a - 49), min(a, len(own) - 50) + 1)) for a in range(len(own))]
+        left = [w for w, s in zip(own, stay, strict=True) if s]
+        want[doc_id, len(own), len(own) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()] += times
+    assert got == want and max(longest) < 200
+    assert repeats.drop_repeats(df).count() == len(rows)
