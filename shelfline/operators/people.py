@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.text import clean_input, key
-from shelfline.operators.allocation import confirm_orders
+from shelfline.operators.cascade import remove_rows
 from shelfline.operators.orders import Tables
-from shelfline.operators.running import highest, number_rows
+from shelfline.operators.running import highest_of, number_each
 from shelfline.session import stage
 
 STAFF_ROLE, STAFF_POST, ADMIN_ROLE = "Empleado", "Operador", "Administrador"
@@ -63,32 +64,18 @@ def resolve_customers(feed: DataFrame, persona: DataFrame, cliente: DataFrame) -
         F.min(F.struct("ts", "id_solicitud")).alias("_at"),
     )
     known = persona.select(key("cedula").alias("_key"), "id_persona").join(cliente, "id_persona", "left")
-    # Read several times below; the collated key is rebuilt after the write.
-    asked = stage(
-        firsts.join(known, "_key", "left").select("_data.*", "_at.*", "id_persona", "id_cliente"),
-        "asked",
-    )
-    created = number_rows(
-        asked.filter(F.col("id_persona").isNull()).drop("id_persona"),
-        ["ts", "id_solicitud"],
-        "id_persona",
-        highest(persona, "id_persona"),
-    )
-    with_person = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
-    joined = number_rows(
-        with_person.filter(F.col("id_cliente").isNull()).drop("id_cliente"),
-        ["ts", "id_solicitud"],
-        "id_cliente",
-        highest(cliente, "id_cliente"),
-    )
-    ids = with_person.filter(F.col("id_cliente").isNotNull()).unionByName(joined)
+    asked = firsts.join(known, "_key", "left").select("_data.*", "_at.*", "id_persona", "id_cliente")
+    # Persons and customers are numbered on the same written rows; the collated key is rebuilt after the write.
+    asked = stage(asked.withColumns({"_person": F.col("id_persona").isNull(), "_client": F.col("id_cliente").isNull()}), "asked")
+    top_person, top_client = highest_of((persona, "id_persona"), (cliente, "id_cliente"))
+    ids = number_each(asked, ["ts", "id_solicitud"], {"id_persona": ("_person", top_person), "id_cliente": ("_client", top_client)})
     resolved = cleaned.withColumn("_key", key("cedula")).join(
         ids.select(key("cedula").alias("_key"), "id_cliente"), "_key"
     )
     return Resolved(
         resolved.drop("_key"),
-        created.select("id_persona", "cedula", "nombre", "direccion", "telefono"),
-        joined.select("id_cliente", "id_persona"),
+        ids.filter("_person").select("id_persona", "cedula", "nombre", "direccion", "telefono"),
+        ids.filter("_client").select("id_cliente", "id_persona"),
     )
 
 
@@ -150,7 +137,8 @@ def register_staff(feed: DataFrame, t: Tables, variant: str = "managed") -> Staf
     empleado = t["empleado"].limit(0)
     if variant == "managed":
         # Users and employees are numbered in the same sequence.
-        shift = highest(t["empleado"], "id_empleado") - highest(t["usuario"], "id_usuario")
+        top_post, top_user = highest_of((t["empleado"], "id_empleado"), (t["usuario"], "id_usuario"))
+        shift = top_post - top_user
         empleado = usuario.select(
             (F.col("id_usuario") + shift).alias("id_empleado"),
             F.lit(STAFF_POST).alias("cargo"),
@@ -165,64 +153,46 @@ def register_staff(feed: DataFrame, t: Tables, variant: str = "managed") -> Staf
 def _first_free(candidates: DataFrame, persona: DataFrame) -> DataFrame:
     """Rows whose mail and document number no earlier accepted row has used.
 
-    Each row asks for one unit of its mail and one of its document number, and
-    each of these exists once: the all-or-nothing allocation of stock.
+    Rows with a number that a person has are out. In each round a row that is first among the undecided for its
+    mail and for its number is accepted, for no earlier one can take either any more, and all others with one of
+    these mails or numbers are out. The first undecided row is always decided, so the rounds end.
     """
-    asks = candidates.select(
-        F.col("seq").alias("id_solicitud"),
-        F.lit(0).alias("ts"),
-        F.explode(
-            F.array(
-                F.concat(F.lit("m"), F.col("email")), F.concat(F.lit("c"), F.col("cedula"))
-            )
-        ).alias("_name"),
-        F.lit(1).alias("cantidad"),
-    )
-    names = asks.groupBy(key("_name").alias("_key")).agg(F.min("_name").alias("_name")).select("_name")
-    units = number_rows(names, ["_name"], "id_producto", 0)
-    taken = persona.select(key(F.concat(F.lit("c"), F.col("cedula"))).alias("_key"), F.lit(0).alias("_free"))
-    keyed = units.withColumn("_key", key("_name"))
-    stock = keyed.join(taken, "_key", "left").select(
-        "id_producto", F.coalesce("_free", F.lit(1)).alias("stock_actual")
-    )
-    lines = asks.withColumn("_key", key("_name")).join(
-        keyed.select("_key", "id_producto"), "_key"
-    ).select("id_solicitud", "ts", "id_producto", "cantidad")
-    served = confirm_orders(lines, stock)
-    return candidates.join(
-        served.rejected.withColumnRenamed("id_solicitud", "seq"), "seq", "left_anti"
-    )
+    taken = persona.select(key("cedula").alias("_c"))
+    undecided = stage(candidates.join(taken, key("cedula") == F.col("_c"), "left_anti").select("seq", "email", "cedula"), "undecided")
+    accepted = []
+    while not undecided.isEmpty():
+        keyed = undecided.select("seq", key("email").alias("_m"), key("cedula").alias("_c"))
+        mails = keyed.groupBy("_m").agg(F.min("seq").alias("seq"))
+        numbers = keyed.groupBy("_c").agg(F.min("seq").alias("seq"))
+        first = mails.join(numbers, "seq").select("seq")
+        accepted.append(stage(undecided.join(first, "seq", "left_semi"), "first"))
+        ends = accepted[-1].select(key("email").alias("_m"), key("cedula").alias("_c"))
+        left = undecided.join(ends.select("_m"), key("email") == F.col("_m"), "left_anti")
+        undecided = stage(left.join(ends.select("_c"), key("cedula") == F.col("_c"), "left_anti"), "undecided")
+    if not accepted:
+        return candidates.limit(0)
+    return candidates.join(reduce(DataFrame.unionByName, accepted).select("seq"), "seq", "left_semi")
 
 
 def _new_users(accepted: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     known = t["persona"].select(key("cedula").alias("_key"), "id_persona")
-    firsts = accepted.groupBy(key("cedula").alias("_key")).agg(
-        F.min_by(F.struct("seq", "cedula", "nombre"), "seq").alias("_data")
-    )
-    asked = stage(firsts.join(known, "_key", "left").select("_data.*", "id_persona"), "people")
-    wanted = asked.filter(F.col("id_persona").isNull()).drop("id_persona")
-    created = number_rows(wanted, ["seq"], "id_persona", highest(t["persona"], "id_persona"))
-    people = asked.filter(F.col("id_persona").isNotNull()).unionByName(created)
-    numbered = (
-        number_rows(accepted, ["seq"], "id_usuario", highest(t["usuario"], "id_usuario"))
-        .withColumn("_key", key("cedula"))
-        .join(people.select(key("cedula").alias("_key"), "id_persona"), "_key")
-        .drop("_key")
-    )
-    persona = created.select(
-        "id_persona",
-        "cedula",
-        "nombre",
-        F.lit(None).cast("string").alias("direccion"),
-        F.lit(None).cast("string").alias("telefono"),
-    )
-    usuario = numbered.select(
+    firsts = accepted.groupBy(key("cedula").alias("_key")).agg(F.min("seq").alias("_first"))
+    marked = accepted.withColumn("_key", key("cedula")).join(firsts, "_key").join(known, "_key", "left").drop("_key")
+    marked = marked.withColumns({"_user": F.lit(True), "_person": F.col("id_persona").isNull() & (F.col("seq") == F.col("_first"))})
+    top_user, top_person = highest_of((t["usuario"], "id_usuario"), (t["persona"], "id_persona"))
+    numbered = number_each(marked, ["seq"], {"id_usuario": ("_user", top_user), "id_persona": ("_person", top_person)})
+    created = numbered.filter("_person")
+    others = created.select(F.col("_first").alias("_of"), F.col("id_persona").alias("_id"))
+    usuario = numbered.join(others, F.col("_first") == F.col("_of"), "left").select(
         "id_usuario",
         F.col("email").alias("correo"),
         F.col("clave_hash").alias("contraseña"),
         F.lit(STAFF_ROLE).alias("rol"),
         F.col("ts").alias("fecha_registro"),
-        "id_persona",
+        F.coalesce("id_persona", "_id").alias("id_persona"),
+    )
+    persona = created.select(
+        "id_persona", "cedula", "nombre", F.lit(None).cast("string").alias("direccion"), F.lit(None).cast("string").alias("telefono")
     )
     return persona, usuario
 
@@ -234,24 +204,10 @@ def remove_users(ids: DataFrame, t: Tables, with_person: bool = False) -> dict[s
     customer's orders and their lines, and any other users of that person.
     Stock does not come back on this way.
     """
-    wanted = ids.select("id_usuario").distinct()
     if not with_person:
-        return {
-            name: t[name].join(wanted, "id_usuario", "left_anti") for name in ("usuario", "empleado")
-        }
-    people = t["usuario"].join(wanted, "id_usuario", "left_semi").select("id_persona").distinct()
-    gone_users = t["usuario"].join(people, "id_persona", "left_semi").select("id_usuario")
-    gone_clients = t["cliente"].join(people, "id_persona", "left_semi").select("id_cliente")
-    gone_orders = t["solicitud"].join(gone_clients, "id_cliente", "left_semi").select("id_solicitud")
-    gone = {
-        "persona": people,
-        "usuario": gone_users,
-        "empleado": gone_users,
-        "cliente": gone_clients,
-        "solicitud": gone_orders,
-        "detalle_solicitud": gone_orders,
-    }
-    return {name: t[name].join(keys, keys.columns, "left_anti") for name, keys in gone.items()}
+        return remove_rows("usuario", ids, t)
+    people = t["usuario"].join(ids.select("id_usuario").distinct(), "id_usuario", "left_semi").select("id_persona")
+    return remove_rows("persona", people, t)
 
 
 def set_roles(changes: DataFrame, usuario: DataFrame, role: str = STAFF_ROLE) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline.functions.text import is_digits, key, trimmed
+from shelfline.schema import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
 
 PHONE_DIGITS = 15
 
@@ -70,6 +72,51 @@ def domain_violations(df: DataFrame, column: str, values: Sequence[str]) -> Data
     return df.filter(~F.col(column).isin(*values))
 
 
+CHECKED = "tabla string, regla string, columna string, filas long, fallos long"
+
+
+def _row_rules(name: str, columns: Sequence[str]) -> list[tuple[str, str, Column]]:
+    """(rule, column, whether a row breaks it) for the rules that a row alone can break."""
+    required = [("nulo", f.name, F.col(f.name).isNull()) for f in SCHEMAS[name].fields if not f.nullable and f.name in columns]
+    lists = [("dominio", c, ~F.col(c).isin(*values)) for (table, c), values in DOMAINS.items() if table == name and c in columns]
+    return required + lists
+
+
+def write_checked(df: DataFrame, name: str, path: str) -> list[tuple[str, str, str, int, int]]:
+    """Write a table; its rows, and those that break each NULL and list rule, counted on the way by the same scan."""
+    rules = _row_rules(name, df.columns)
+    seen = Observation()
+    counts = [F.count_if(broken).alias(f"_{i}") for i, (*_, broken) in enumerate(rules)]
+    df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts).write.parquet(path)
+    found = seen.get
+    return [(name, rule, column, found["_rows"], found[f"_{i}"]) for i, (rule, column, _) in enumerate(rules)]
+
+
+def check_tables(t: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """CHECKED: a row per rule of the model, with the rows of its table and those that break it.
+
+    Every table is written to ``folder``, counting what single rows can tell; unique keys and references are then
+    counted on the written columns. Text keys are compared as natural keys; NULL is no key.
+    """
+    spark = next(iter(t.values())).sparkSession
+    rows, sizes, kept = [], {}, {}
+    for name, df in t.items():
+        path = f"{folder}/{name}"
+        rows += (own := write_checked(df, name, path))
+        kept[name] = spark.read.schema(df.schema).parquet(path)
+        sizes[name] = own[0][3]
+    several = []
+    for name, df in kept.items():
+        for column in dict.fromkeys(c for c in (PRIMARY_KEYS[name], UNIQUE_KEYS.get(name)) if c in df.columns):
+            broken = unique_violations(df, [column]).agg(F.coalesce(F.sum("veces"), F.lit(0)).alias("fallos"))
+            several.append(broken.select(F.lit(name), F.lit("unico"), F.lit(column), F.lit(sizes[name]).cast("long"), "fallos"))
+    for fk in FOREIGN_KEYS:
+        if fk.child in kept and fk.parent in kept:
+            broken = orphans(kept[fk.child], fk.column, kept[fk.parent], PRIMARY_KEYS[fk.parent]).agg(F.count(F.lit(1)).alias("fallos"))
+            several.append(broken.select(F.lit(fk.child), F.lit("referencia"), F.lit(fk.column), F.lit(sizes[fk.child]).cast("long"), "fallos"))
+    return reduce(DataFrame.union, several, spark.createDataFrame(rows, CHECKED))
+
+
 def _failed(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row fails, in the order given."""
     marks = [F.when(~F.coalesce(passed, F.lit(False)), F.lit(name)) for name, passed in rules.items()]

@@ -87,6 +87,33 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int) -> D
     return ranged.withColumn(BLOCK, part).join(F.broadcast(starts), BLOCK).withColumn(name, number).drop(BLOCK, "_at", "_before")
 
 
+def number_each(df: DataFrame, order: Sequence[str], ids: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """``df``, written once, with several columns of consecutive ids.
+
+    ``ids`` maps a column to (flag column, start): rows with the flag get ``start + 1, start + 2, ...`` in the given
+    order, all others keep what the column has.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    ranged = stage(ranged.withColumn(BLOCK, F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy(BLOCK).agg(*[F.count_if(flag).alias(f"_rows_{name}") for name, (flag, _) in ids.items()])
+    before = _frame([], [BLOCK], inclusive=False)
+    starts = sizes.select(BLOCK, *[F.coalesce(F.sum(f"_rows_{n}").over(before), F.lit(0)).alias(f"_rows_{n}") for n in ids])
+    inside = _frame([BLOCK], order, inclusive=True)
+    placed = ranged.withColumns({f"_place_{n}": F.count_if(flag).over(inside) for n, (flag, _) in ids.items()}).join(F.broadcast(starts), BLOCK)
+    numbered = {
+        n: F.when(F.col(flag), F.lit(start).cast("long") + F.col(f"_rows_{n}") + F.col(f"_place_{n}")).otherwise(F.col(n) if n in df.columns else F.lit(None))
+        for n, (flag, start) in ids.items()
+    }
+    return placed.withColumns(numbered).drop(BLOCK, *[f"_{kind}_{n}" for kind in ("rows", "place") for n in ids])
+
+
+def highest_of(*columns: tuple[DataFrame, str]) -> list[int]:
+    """The highest id in use of each (table, column), 0 for an empty table, in one job."""
+    tops = [df.agg(F.max(column).alias("top")).select(F.lit(i).alias("i"), "top") for i, (df, column) in enumerate(columns)]
+    found = {row.i: row.top or 0 for row in reduce(DataFrame.unionByName, tops).collect()}
+    return [found[i] for i in range(len(columns))]
+
+
 def highest(df: DataFrame, column: str) -> int:
     """The highest id in use, 0 for an empty table."""
     return df.agg(F.max(column)).first()[0] or 0

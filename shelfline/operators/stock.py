@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.product import description_json
 from shelfline.operators.allocation import change_stock
+from shelfline.operators.cascade import remove_rows
 from shelfline.operators.orders import Tables
 from shelfline.operators.running import highest, number_rows, running
 from shelfline.schema import LOW_STOCK, MONEY
@@ -48,11 +49,7 @@ def cancel_orders(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
         .groupBy("id_producto")
         .agg(F.sum(F.col("cantidad").cast("long")).alias("cambio"))
     )
-    return {
-        "producto": change_stock(t["producto"], returned),
-        "solicitud": t["solicitud"].join(wanted, "id_solicitud", "left_anti"),
-        "detalle_solicitud": t["detalle_solicitud"].join(wanted, "id_solicitud", "left_anti"),
-    }
+    return {"producto": change_stock(t["producto"], returned), **remove_rows("solicitud", wanted, t)}
 
 
 def product_text() -> Column:
@@ -106,24 +103,12 @@ def new_products(feed: DataFrame, producto: DataFrame) -> DataFrame:
 
 def delete_products(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
     """Delete products and their order lines; order totals stay as they are."""
-    gone = ids.select("id_producto").distinct()
-    return {
-        name: t[name].join(gone, "id_producto", "left_anti")
-        for name in ("producto", "detalle_solicitud")
-    }
+    return remove_rows("producto", ids, t)
 
 
 def remove_categories(ids: DataFrame, t: Tables) -> dict[str, DataFrame]:
     """Delete categories; their products stay, without a category."""
-    gone = ids.select("id_categoria", F.lit(True).alias("_gone")).distinct()
-    kept = F.when(F.col("_gone").isNull(), F.col("id_categoria"))
-    return {
-        "categoria": t["categoria"].join(gone, "id_categoria", "left_anti"),
-        "producto": t["producto"]
-        .join(gone, "id_categoria", "left")
-        .withColumn("id_categoria", kept)
-        .select(t["producto"].columns),
-    }
+    return remove_rows("categoria", ids, t)
 
 
 def movements(sales: DataFrame, receipts: DataFrame, returns: DataFrame) -> DataFrame:

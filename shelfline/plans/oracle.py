@@ -90,6 +90,24 @@ FROM (SELECT event_id, ts, id, s.estado AS actual,
     CASE c.estado WHEN 'En Proceso' THEN 'Aprobada' WHEN 'Completada' THEN 'Entregada' ELSE c.estado END AS nuevo
   FROM cambios_estado c JOIN solicitud s ON s.id_solicitud = c.id)
 WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)""",
+    "comandos": """
+SELECT event_id, ts, CASE WHEN event_id % 501 = 0 THEN 'anular' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'recepcion' ELSE 'estado' END AS tipo,
+  user_id AS id, CASE event_type WHEN 'signup' THEN 'Pendiente' WHEN 'error' THEN 'Rechazada' WHEN 'purchase' THEN 'Entregada' ELSE 'Aprobada' END AS estado,
+  CAST(floor(value) AS INTEGER) % 10 AS cantidad
+FROM events""",
+    "anuladas": """
+SELECT id, min({'ts': ts, 'event_id': event_id}) AS fin FROM comandos WHERE tipo = 'anular' AND id IN (SELECT id_solicitud FROM solicitud) GROUP BY id""",
+    "pasos_vivos": """
+SELECT event_id, ts, id, tipo, nuevo, coalesce(lag(nuevo) OVER (PARTITION BY id ORDER BY ts, event_id), actual) AS previo FROM (
+  SELECT c.event_id, c.ts, c.id, c.tipo, c.estado AS nuevo, s.estado AS actual
+  FROM comandos c JOIN solicitud s ON s.id_solicitud = c.id LEFT JOIN anuladas a ON a.id = c.id
+  WHERE c.tipo IN ('estado', 'anular') AND (a.fin IS NULL OR {'ts': c.ts, 'event_id': c.event_id} <= a.fin))""",
+    "faltas_persona": "SELECT * REPLACE (CASE WHEN id_persona % 13 = 0 THEN '9 ' ELSE cedula END AS cedula) FROM persona",
+    "faltas_usuario": """
+SELECT * REPLACE (CASE WHEN id_usuario % 7 = 0 THEN 'Jefe' ELSE rol END AS rol, CASE WHEN id_usuario % 11 <> 0 THEN correo END AS correo) FROM usuario""",
+    "faltas_solicitud": """
+SELECT * REPLACE (CASE WHEN id_solicitud % 10 = 0 THEN 'Anulada' ELSE estado END AS estado,
+  CASE WHEN id_solicitud % 9 <> 0 THEN id_cliente ELSE -id_solicitud END AS id_cliente) FROM solicitud""",
     "vencidas": """
 SELECT id_solicitud, estado FROM solicitud
 WHERE estado <> 'Entregada' AND fecha_solicitud < TIMESTAMP '1999-01-01'""",
@@ -527,6 +545,38 @@ SELECT id_solicitud, fecha_solicitud, 'Pendiente' AS estado, CAST(sum(cantidad *
   id_cliente
 FROM detalle_con_precio JOIN solicitud USING (id_solicitud)
 WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1) GROUP BY ALL""",
+    "stream_order_effects": """
+SELECT 'linea' AS tabla, id_solicitud AS id, id_producto, CAST(cantidad AS VARCHAR) AS valor FROM detalle_con_precio
+WHERE id_solicitud IN (SELECT unnest(f.aceptadas) FROM reparto_1)
+UNION ALL SELECT DISTINCT 'rechazo', id_solicitud, NULL, 'stock' FROM detalle_con_precio WHERE id_solicitud NOT IN (SELECT unnest(f.aceptadas) FROM reparto_1)
+UNION ALL SELECT DISTINCT 'rechazo', id_solicitud, NULL, 'repetido' FROM detalle_con_precio WHERE id_solicitud % 50 = 0
+UNION ALL SELECT 'producto', NULL, generate_subscripts(f.libre, 1) - 1, CAST(CAST(unnest(f.libre) AS INTEGER) AS VARCHAR) FROM reparto_1""",
+    "stream_status": """
+SELECT p.id_producto, CAST(p.stock_actual + coalesce(r.cantidad, 0) AS INTEGER) AS stock_actual
+FROM producto p LEFT JOIN (SELECT id_producto, sum(cantidad) AS cantidad
+  FROM transiciones t JOIN detalle_solicitud d ON d.id_solicitud = t.id
+  WHERE nuevo = 'Rechazada' AND previo <> 'Rechazada' GROUP BY id_producto) r ON r.id_producto = p.id_producto""",
+    "stream_order_life": """
+SELECT 'producto' AS tabla, p.id_producto AS id, CAST(CAST(p.stock_actual + coalesce(sum(r.cantidad), 0) AS INTEGER) AS VARCHAR) AS valor
+FROM producto p LEFT JOIN (
+  SELECT id_producto, cantidad FROM pasos_vivos t JOIN detalle_solicitud d ON d.id_solicitud = t.id
+  WHERE previo <> 'Rechazada' AND (tipo = 'anular' OR nuevo = 'Rechazada')
+  UNION ALL SELECT id, cantidad FROM comandos WHERE tipo = 'recepcion' AND cantidad > 0) r ON r.id_producto = p.id_producto
+GROUP BY p.id_producto, p.stock_actual
+UNION ALL SELECT 'solicitud', s.id_solicitud, coalesce(u.nuevo, s.estado) FROM solicitud s
+LEFT JOIN (SELECT id, arg_max(nuevo, {'ts': ts, 'event_id': event_id}) AS nuevo FROM pasos_vivos GROUP BY id) u ON u.id = s.id_solicitud
+WHERE s.id_solicitud NOT IN (SELECT id FROM anuladas)""",
+    "foreign_key_orphans": """
+SELECT 'cliente' AS tabla, 'id_persona' AS columna, 'persona' AS referencia, count(*) AS huerfanas FROM cliente WHERE id_persona NOT IN (SELECT id_persona FROM persona)
+UNION ALL SELECT 'detalle_solicitud', 'id_solicitud', 'solicitud', count(*) FROM detalle_solicitud WHERE id_solicitud NOT IN (SELECT id_solicitud FROM solicitud)
+UNION ALL SELECT 'detalle_solicitud', 'id_producto', 'producto', count(*) FROM detalle_solicitud WHERE id_producto NOT IN (SELECT id_producto FROM producto)
+UNION ALL SELECT 'empleado', 'id_usuario', 'usuario', count(*) FROM empleado WHERE id_usuario NOT IN (SELECT id_usuario FROM usuario)
+UNION ALL SELECT 'producto', 'id_categoria', 'categoria', count(*) FROM producto WHERE id_categoria NOT IN (SELECT id_categoria FROM categoria)
+UNION ALL SELECT 'solicitud', 'id_cliente', 'cliente', count(*) FROM faltas_solicitud WHERE id_cliente NOT IN (SELECT id_cliente FROM cliente)
+UNION ALL SELECT 'usuario', 'id_persona', 'persona', count(*) FROM usuario WHERE id_persona NOT IN (SELECT id_persona FROM persona)""",
+    "table_versions": """
+SELECT id_usuario, correo, rol, id_persona, CASE WHEN id_usuario % 3 = 0 THEN 'R' || id_usuario END AS codigo_recuperacion,
+  CASE WHEN id_usuario % 3 = 0 THEN '2026-01-01 00:00:00' END AS expiracion_codigo FROM usuario""",
     "stream_code_validity": """
 SELECT a.event_id, a.id_usuario, a.ts,
   coalesce((c.ts IS NULL OR c.ts < i.ts) AND date_trunc('second', i.ts) + INTERVAL 15 MINUTE > date_trunc('second', a.ts), false) AS valido
@@ -535,6 +585,48 @@ ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'emitido') i ON i.id_usuario
 ASOF LEFT JOIN (SELECT * FROM codigos WHERE tipo = 'consumido') c ON c.id_usuario = a.id_usuario AND c.ts <= a.ts""",
 }
 
+_SQL["stream_products"] = _SQL["upsert_products"]
+
+# Keys of each table, and whether it has them here: the order lines have no number of their own.
+_KEYS = {
+    "categoria": "id_categoria", "persona": "id_persona", "cliente": "id_cliente", "usuario": "id_usuario", "empleado": "id_empleado",
+    "producto": "id_producto", "solicitud": "id_solicitud", "detalle_solicitud": "NULL",
+}
+_SQL["tables_round_trip"] = "\nUNION ALL ".join(
+    f"SELECT '{_name}' AS tabla, count(*) AS filas, count(DISTINCT {_key}) AS claves, CAST(0 AS BIGINT) AS perdidas FROM {_name}" for _name, _key in _KEYS.items()
+)
+
+# Rule, table, column, and the rows that break it.
+_RULES = [
+    *[("nulo", table, column, f"count(*) - count({column})") for table, columns in (
+        ("categoria", "id_categoria nombre_categoria"), ("persona", "id_persona cedula nombre"), ("cliente", "id_cliente"),
+        ("usuario", "id_usuario correo rol id_persona"), ("empleado", "id_empleado"), ("producto", "id_producto codigo nombre_producto precio"),
+        ("solicitud", "id_solicitud fecha_solicitud"), ("detalle_solicitud", "cantidad"),
+    ) for column in columns.split()],
+    ("dominio", "solicitud", "estado", "count(*) FILTER (estado NOT IN ('Pendiente', 'Aprobada', 'Rechazada', 'Entregada'))"),
+    ("dominio", "usuario", "rol", "count(*) FILTER (rol NOT IN ('Administrador', 'Empleado', 'Cliente'))"),
+    *[("unico", table, column, None) for table, columns in (
+        ("categoria", "id_categoria"), ("persona", "id_persona cedula"), ("cliente", "id_cliente id_persona"), ("usuario", "id_usuario correo"),
+        ("empleado", "id_empleado id_usuario"), ("producto", "id_producto codigo"), ("solicitud", "id_solicitud"),
+    ) for column in columns.split()],
+    *[("referencia", table, column, f"count(*) FILTER ({column} NOT IN (SELECT {key} FROM {parent}))") for table, column, parent, key in (
+        ("cliente", "id_persona", "persona", "id_persona"), ("detalle_solicitud", "id_solicitud", "solicitud", "id_solicitud"),
+        ("detalle_solicitud", "id_producto", "producto", "id_producto"), ("empleado", "id_usuario", "usuario", "id_usuario"),
+        ("producto", "id_categoria", "categoria", "id_categoria"), ("solicitud", "id_cliente", "cliente", "id_cliente"),
+        ("usuario", "id_persona", "persona", "id_persona"),
+    )],
+]
+
+
+def _rule(rule: str, table: str, column: str, broken: str | None) -> str:
+    rows = f"faltas_{table}" if table in ("persona", "usuario", "solicitud") else table
+    if rule == "unico":
+        broken = f"(SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM {rows} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1))"
+    return f"SELECT '{table}' AS tabla, '{rule}' AS regla, '{column}' AS columna, count(*) AS filas, {broken} AS fallos FROM {rows}"
+
+
+_SQL["table_checks"] = "\nUNION ALL ".join(_rule(*rule) for rule in _RULES)
+
 for _variant in ("managed", "anonymous", "direct"):
     _employee = (
         "(SELECT max(id_empleado) FROM empleado) + row_number() OVER (ORDER BY n.seq), 'Operador'"

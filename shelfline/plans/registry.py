@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import ChainMap
 from collections.abc import Callable, Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from shelfline.functions import text
 from shelfline.operators import (
     allocation,
+    cascade,
     catalog,
     customers,
     orders,
@@ -28,12 +30,13 @@ from shelfline.operators import (
     validity,
 )
 from shelfline.plans.standin import StandIn
-from shelfline.schema import ORDER_STATES, SCHEMAS, conform, ensure_columns, load_tables
+from shelfline.schema import ORDER_STATES, PRIMARY_KEYS, RECOVERY_COLUMNS, SCHEMAS, conform, ensure_columns, load_tables, load_versions
 from shelfline.session import scratch_path
 from shelfline.sources import feeds, sinks
-from shelfline.streaming import intake
+from shelfline.streaming import intake, life
 from shelfline.streaming.alerts import minute_sums, stream_alerts
 from shelfline.streaming.codes import stream_validity
+from shelfline.streaming.log import BatchLog
 from shelfline.streaming.runner import in_batches, relay, run_to_end, update_to_end
 from shelfline.streaming.sales import windowed_sales
 
@@ -414,6 +417,32 @@ def _domain_violations(t: StandIn) -> DataFrame:
     return quality.domain_violations(t["cambios_estado"], "estado", ORDER_STATES)
 
 
+def _faulty_tables(t: StandIn) -> Mapping[str, DataFrame]:
+    """The tables with some rules broken."""
+    user, order, person = F.col("id_usuario"), F.col("id_solicitud"), F.col("id_persona")
+    return {
+        **{name: t[name] for name in SCHEMAS},
+        "persona": t["persona"].withColumn("cedula", F.when(person % 13 == 0, F.lit("9 ")).otherwise(F.col("cedula"))),
+        "usuario": t["usuario"].withColumns(
+            {"rol": F.when(user % 7 == 0, "Jefe").otherwise(F.col("rol")), "correo": F.when(user % 11 != 0, F.col("correo"))}
+        ),
+        "solicitud": t["solicitud"].withColumns(
+            {"estado": F.when(order % 10 == 0, "Anulada").otherwise(F.col("estado")), "id_cliente": F.when(order % 9 != 0, F.col("id_cliente")).otherwise(-order)}
+        ),
+    }
+
+
+@_query("table_checks")
+def _table_checks(t: StandIn) -> DataFrame:
+    """Every rule of the model with the rows that break it."""
+    return quality.check_tables(_faulty_tables(t), scratch_path(t.spark))
+
+
+@_query("foreign_key_orphans")
+def _foreign_key_orphans(t: StandIn) -> DataFrame:
+    return cascade.foreign_key_orphans(_faulty_tables(t))
+
+
 def _unchecked_feed(t: StandIn) -> DataFrame:
     kind = F.col("event_type")
     number = (F.col("user_id") + 10000000).cast("string")
@@ -507,6 +536,39 @@ def _table_round_trip(t: StandIn) -> DataFrame:
     )
 
 
+@_query("tables_round_trip")
+def _tables_round_trip(t: StandIn) -> DataFrame:
+    """All eight tables written and loaded by schema: rows, keys and rows that differ from what was written."""
+    folder = scratch_path(t.spark)
+    whole = {name: conform(ensure_columns(t[name], {f.name: f.dataType for f in schema.fields}), schema) for name, schema in SCHEMAS.items()}
+    for name, df in whole.items():
+        df.write.parquet(f"{folder}/{name}")
+    counts = []
+    for name, df in load_tables(t.spark, folder).items():
+        lost = whole[name].exceptAll(df).agg(F.count(F.lit(1)).alias("perdidas"))
+        rows = df.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct(PRIMARY_KEYS[name]).alias("claves"))
+        one = F.lit(name).alias("tabla")
+        counts.append(rows.select(one, "filas", "claves").join(lost.select(one, "perdidas"), "tabla"))
+    return reduce(DataFrame.unionByName, counts)
+
+
+@_query("table_versions")
+def _table_versions(t: StandIn) -> DataFrame:
+    """Users written before and after the table got its new columns, read as one table; adding the columns twice changes nothing."""
+    folder = scratch_path(t.spark)
+    types = {f.name: f.dataType for f in SCHEMAS["usuario"].fields}
+    users = conform(ensure_columns(t["usuario"], types), SCHEMAS["usuario"])
+    users.filter("id_usuario % 3 <> 0").write.parquet(f"{folder}/before")
+    newer = ensure_columns(ensure_columns(users, RECOVERY_COLUMNS), RECOVERY_COLUMNS).filter("id_usuario % 3 = 0")
+    newer = newer.withColumns(
+        {"codigo_recuperacion": F.concat(F.lit("R"), F.col("id_usuario")), "expiracion_codigo": F.lit("2026-01-01").cast("timestamp_ntz")}
+    )
+    newer.write.parquet(f"{folder}/after")
+    return load_versions(t.spark, f"{folder}/*", "usuario", RECOVERY_COLUMNS).select(
+        "id_usuario", "correo", "rol", "id_persona", "codigo_recuperacion", F.col("expiracion_codigo").cast("string").alias("expiracion_codigo")
+    )
+
+
 # Changes
 
 
@@ -662,11 +724,13 @@ def _cancel_orders_left(t: StandIn) -> DataFrame:
     return stock.cancel_orders(_stale_orders(t), t)["solicitud"]
 
 
-@_query("upsert_products")
-def _upsert_products(t: StandIn) -> DataFrame:
+_PRODUCT_COLUMNS = ("id_producto", "codigo", "nombre_producto", "descripcion", "precio", "stock_actual", "marca_repuesto", "imagen")
+
+
+def _product_feed(t: StandIn) -> DataFrame:
     """Sign-ups add a product; all other events change the one they name."""
     kind = F.col("event_type")
-    feed = t.raw("events").select(
+    return t.raw("events").select(
         F.col("event_id").alias("seq"),
         F.when(kind != "signup", F.get_json_object("props", "$.k").cast("long")).alias("id_producto"),
         F.when(kind == "signup", F.concat(F.lit("N-"), F.col("event_id").cast("string"))).alias("codigo"),
@@ -679,9 +743,11 @@ def _upsert_products(t: StandIn) -> DataFrame:
         (F.floor("value").cast("int") % 10).alias("stock"),
         F.concat(F.lit("foto-"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("imagen"),
     )
-    return stock.upsert_products(feed, t["producto"]).select(
-        "id_producto", "codigo", "nombre_producto", "descripcion", "precio", "stock_actual", "marca_repuesto", "imagen"
-    )
+
+
+@_query("upsert_products")
+def _upsert_products(t: StandIn) -> DataFrame:
+    return stock.upsert_products(_product_feed(t), t["producto"]).select(*_PRODUCT_COLUMNS)
 
 
 def _empty_products(t: StandIn) -> DataFrame:
@@ -771,9 +837,8 @@ def _stream_code_validity(t: StandIn) -> DataFrame:
     return answers.filter("event_id >= 0")
 
 
-@_query("stream_order_intake")
-def _stream_order_intake(t: StandIn) -> DataFrame:
-    """Orders stored after all order documents came in, three batches and an empty one."""
+def _order_intake(t: StandIn, repeats: bool = False) -> BatchLog:
+    """The log after all order documents came in, three batches and an empty one; with ``repeats`` some come again a day later."""
     item = F.struct("id_producto", F.col("cantidad").alias("cant"), F.col("precio_unitario").alias("precio"))
     carts = t["detalle_con_precio"].groupBy("id_solicitud").agg(F.collect_list(item).alias("carrito"))
     number = (F.col("id_cliente") + 10000000).cast("string")
@@ -782,9 +847,89 @@ def _stream_order_intake(t: StandIn) -> DataFrame:
         F.date_format("fecha_solicitud", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
         number.alias("cedula"), F.concat(F.lit("Cliente "), number).alias("nombre"), "carrito",
     )
-    documents = t["solicitud"].join(carts, "id_solicitud").select(F.to_json(document).alias("value"), "fecha_solicitud")
+    orders_of = t["solicitud"]
+    if repeats:
+        again = orders_of.filter("id_solicitud % 50 = 0").withColumn("fecha_solicitud", F.expr("fecha_solicitud + INTERVAL 1 DAY"))
+        orders_of = orders_of.unionByName(again)
+    documents = orders_of.join(carts, "id_solicitud").select(F.to_json(document).alias("value"), "fecha_solicitud")
     base = {**t, "solicitud": t["solicitud"].limit(0), "detalle_solicitud": t["detalle_con_precio"].limit(0)}
     log = intake.intake_log(t.spark, scratch_path(t.spark), base)
     arriving = in_batches(documents, "fecha_solicitud", 3)
-    intake.run(arriving, log, intake.take_orders, scratch_path(t.spark)).awaitTermination()
-    return log.logged("solicitud")
+    intake.run(intake.once(arriving), log, intake.take_orders, scratch_path(t.spark)).awaitTermination()
+    return log
+
+
+@_query("stream_order_intake")
+def _stream_order_intake(t: StandIn) -> DataFrame:
+    """Orders stored by the stream."""
+    return _order_intake(t).logged("solicitud")
+
+
+@_query("stream_order_effects")
+def _stream_order_effects(t: StandIn) -> DataFrame:
+    """Lines, rejects and stock that the stream leaves; every fiftieth order comes again a day later."""
+    log = _order_intake(t, repeats=True)
+    columns = ("tabla", "id", "id_producto", "valor")
+    parts = (
+        log.logged("detalle_solicitud").select(F.lit("linea"), "id_solicitud", "id_producto", F.col("cantidad").cast("string")),
+        log.logged("rechazo").select(F.lit("rechazo"), F.col("pedido").cast("long"), F.lit(None).cast("long"), "motivo"),
+        intake.current_products(log).select(F.lit("producto"), F.lit(None).cast("long"), "id_producto", F.col("stock_actual").cast("string")),
+    )
+    return reduce(DataFrame.unionByName, [part.toDF(*columns) for part in parts])
+
+
+def _closing_command(t: StandIn, days: int) -> DataFrame:
+    """A command on no order that moves the watermark on."""
+    return t.raw("events").agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("last") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"), F.lit(life.STATUS).alias("tipo"),
+        F.lit(-1).cast("long").alias("id"), F.lit("Aprobada").alias("estado"), F.lit(None).cast("int").alias("cantidad"),
+    )
+
+
+def _commands_done(t: StandIn, commands: DataFrame) -> BatchLog:
+    """The log after commands that arrive up to two days late, in three batches and an empty one."""
+    late = commands.withColumn("_arrival", F.col("ts") + F.expr("make_dt_interval(cast(event_id % 3 as int))"))
+    closing = [_closing_command(t, days).withColumn("_arrival", F.col("ts")) for days in (9, 10)]
+    log = intake.intake_log(t.spark, scratch_path(t.spark), t).stream("life").create()
+    arriving = in_batches(late, "_arrival", 3, *closing).drop("_arrival")
+    life.run_commands(arriving, log, scratch_path(t.spark), delay="3 days").awaitTermination()
+    return log
+
+
+@_query("stream_status")
+def _stream_status(t: StandIn) -> DataFrame:
+    """Stock after all status changes."""
+    commands = t["cambios_estado"].select(
+        "event_id", "ts", F.lit(life.STATUS).alias("tipo"), "id", "estado", F.lit(None).cast("int").alias("cantidad")
+    )
+    return intake.current_products(_commands_done(t, commands)).select("id_producto", "stock_actual")
+
+
+@_query("stream_order_life")
+def _stream_order_life(t: StandIn) -> DataFrame:
+    """Stock and living orders after receipts, status changes and cancellations."""
+    receipt = (F.col("event_type") == "view") & (F.col("event_id") % 2 == 0)
+    status_of = t["cambios_estado"].select("event_id", "estado")
+    commands = t.raw("events").join(status_of, "event_id").select(
+        "event_id",
+        "ts",
+        F.when(F.col("event_id") % 501 == 0, life.CANCEL).when(receipt, life.RECEIPT).otherwise(life.STATUS).alias("tipo"),
+        F.col("user_id").alias("id"),
+        "estado",
+        (F.floor("value").cast("int") % 10).alias("cantidad"),
+    )
+    log = _commands_done(t, commands)
+    stocks = intake.current_products(log).select(F.lit("producto"), "id_producto", F.col("stock_actual").cast("string"))
+    living = intake.current_orders(log).select(F.lit("solicitud"), "id_solicitud", "estado")
+    return stocks.toDF("tabla", "id", "valor").unionByName(living.toDF("tabla", "id", "valor"))
+
+
+@_query("stream_products")
+def _stream_products(t: StandIn) -> DataFrame:
+    """Products after all new ones and changes came in three batches, the changes out of sequence."""
+    feed = _product_feed(t).join(t.raw("events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+    late = F.when(F.col("id_producto").isNull(), F.col("seq")).otherwise(F.col("seq") + F.col("seq") % 3 * 1000)
+    log = intake.intake_log(t.spark, scratch_path(t.spark), t)
+    arriving = in_batches(feed.withColumn("_arrival", late), "_arrival", 3).drop("_arrival")
+    intake.run(arriving, log, intake.take_products, scratch_path(t.spark)).awaitTermination()
+    return intake.current_products(log).select(*_PRODUCT_COLUMNS)

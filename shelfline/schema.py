@@ -8,6 +8,7 @@ carry no time zone.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,17 +111,30 @@ UNIQUE_KEYS = {
     "producto": "codigo",
 }
 
-# child table, column, parent table
+# What happens to a row whose parent is removed.
+CASCADE, SET_NULL = "CASCADE", "SET NULL"
+
+
+class ForeignKey(NamedTuple):
+    child: str
+    column: str
+    parent: str
+    on_delete: str = CASCADE
+
+
 FOREIGN_KEYS = (
-    ("cliente", "id_persona", "persona"),
-    ("detalle_solicitud", "id_solicitud", "solicitud"),
-    ("detalle_solicitud", "id_producto", "producto"),
-    ("empleado", "id_usuario", "usuario"),
-    ("producto", "id_categoria", "categoria"),
-    ("solicitud", "id_cliente", "cliente"),
-    ("usuario", "id_persona", "persona"),
+    ForeignKey("cliente", "id_persona", "persona"),
+    ForeignKey("detalle_solicitud", "id_solicitud", "solicitud"),
+    ForeignKey("detalle_solicitud", "id_producto", "producto"),
+    ForeignKey("empleado", "id_usuario", "usuario"),
+    ForeignKey("producto", "id_categoria", "categoria", SET_NULL),
+    ForeignKey("solicitud", "id_cliente", "cliente"),
+    ForeignKey("usuario", "id_persona", "persona"),
 )
 
+# Columns that hold one of a list of values.
+DOMAINS = {("solicitud", "estado"): ORDER_STATES, ("usuario", "rol"): USER_ROLES}
+
 
 def load_tables(
     spark: SparkSession, directory: str, names: Iterable[str] | None = None
@@ -132,6 +146,16 @@ def load_tables(
     }
 
 
+def load_versions(spark: SparkSession, path: str, name: str, added: dict[str, T.DataType]) -> DataFrame:
+    """One table from files written before and after columns were ``added``; rows written before have NULL there.
+
+    The files' own schemas are merged, so any mixture of both will do, and none at all with the new columns.
+    """
+    schema = T.StructType(SCHEMAS[name].fields + [T.StructField(c, dtype) for c, dtype in added.items()])
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return conform(ensure_columns(rows, added), schema)
+
+
 def load_jdbc_table(
     spark: SparkSession, url: str, name: str, partitions: int, **options: str
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from shelfline.schema import FOREIGN_KEYS, ORDER_STATES, PRIMARY_KEYS, SCHEMAS,
 def test_seed_meets_its_constraints(seed):
     for table, column in [*PRIMARY_KEYS.items(), *UNIQUE_KEYS.items()]:
         assert quality.unique_violations(seed[table], [column]).isEmpty(), (table, column)
-    for child, column, parent in FOREIGN_KEYS:
+    for child, column, parent, _ in FOREIGN_KEYS:
         assert quality.orphans(seed[child], column, seed[parent], PRIMARY_KEYS[parent]).isEmpty(), child
     for table, schema in SCHEMAS.items():
         required = [f.name for f in schema.fields if not f.nullable]
