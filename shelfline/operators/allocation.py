@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.order import line_amount
 from shelfline.operators.running import blocked, over_blocks
-from shelfline.session import stage
+from shelfline.session import discard, stage
 
 
 @dataclass
@@ -61,9 +61,10 @@ def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
     rejected = [orders.filter("_unfit").select("id_solicitud")]
     fit = needs.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud")
     undecided = blocked(_contended(fit), ["id_producto"], ["ts", "id_solicitud"])
-    rounds = 0
+    written, rounds = [needs, undecided], 0
     while True:
         decided = stage(_decide(undecided), f"round_{rounds}")
+        written.append(decided)
         left, done, denied = decided.agg(
             F.count(F.lit(1)), F.count("accepted"), F.count_if(~F.col("accepted"))
         ).first()
@@ -76,6 +77,7 @@ def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
             break
         undecided = _carry_over(decided)
     refused = stage(reduce(DataFrame.unionByName, rejected), "rejected")
+    discard(*written)
     accepted = lines.join(refused, "id_solicitud", "left_anti")
     return Allocation(accepted, refused, take_stock(producto, accepted), rounds)
 
