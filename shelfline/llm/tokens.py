@@ -4,14 +4,15 @@
 
 * ``payload``: the ids of its documents in a row, raw, 2 bytes each, little-endian;
 * ``ends``: where each document ends in it (8 bytes each, in ids);
-* ``keys``, ``counts``: its distinct document ids and how many documents each has;
-* ``index``: a minimal perfect hash over the keys, ``prints`` and ``slots``: per hash value a
-  4-byte fingerprint of the key and the number of its first document in the block;
+* ``index``: a minimal perfect hash over its distinct document ids; at the place of a key's hash value
+  lie its 4-byte fingerprint in ``prints``, itself in ``keys``, the number of its first document in the
+  block in ``slots`` and how many documents it has in ``counts``;
 * ``shard``, ``block``, ``start``: its file, its place there, and the ids before it in that file.
 
-A lookup hashes the key, compares the fingerprint and cuts the payload: constant time, no search.
-The hash follows the layered scheme: keys alone in their place of a bit array take the bit, the
-others go to the next array; the value is the rank of the bit.
+A lookup hashes the key, compares fingerprint and key at that place and cuts the payload: a fixed
+number of steps, no search. The hash follows the layered scheme: keys alone in their place of a bit array take the
+bit, the others go to the next array; the value is the rank of the bit, from the stored number of
+bits before its word of 64 and the bits of that word.
 """
 
 from __future__ import annotations
@@ -39,23 +40,25 @@ BLOCK = (
 
 
 class PerfectHash:
-    """0..n-1 for n distinct 64-bit keys, without repeats."""
+    """0..n-1 for n distinct 64-bit keys, without repeats.
 
-    def __init__(self, levels: list[np.ndarray]):
+    A level is its number of places, its bits in words of 64, and the bits set before each word, all levels below included.
+    """
+
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
         self.levels = levels
-        self.ranks, base = [], 0
-        for bits in levels:
-            self.ranks.append(np.cumsum(bits) - 1 + base)
-            base += int(bits.sum())
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys.astype(np.uint64)
+        levels, left, before = [], keys.astype(np.uint64), 0
         while len(left):
             size = 2 * len(left) + 1
             place = cls._place(left, len(levels), size)
-            alone = np.bincount(place, minlength=size) == 1
-            levels.append(alone)
+            alone = np.bincount(place, minlength=-(-size // 64) * 64) == 1
+            words = np.packbits(alone, bitorder="little").view("<u8")
+            ranks = before + np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]))
+            levels.append((size, words, ranks.astype("<u4")))
+            before += int(alone.sum())
             left = left[~alone[place]]
         return cls(levels)
 
@@ -66,25 +69,27 @@ class PerfectHash:
     def of(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key; of a key that was not built in, any value or -1."""
         keys = keys.astype(np.uint64)
-        out = np.full(len(keys), -1, np.int64)
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            place = self._place(keys, level, len(bits))
-            hit = (out < 0) & bits[place]
-            out[hit] = ranks[place[hit]]
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level, (size, words, ranks) in enumerate(self.levels):
+            place = self._place(keys[left], level, size)
+            word, bit = words[place >> 6], _U(1) << (place & 63).astype(np.uint64)
+            hit = (word & bit) != 0
+            out[left[hit]] = ranks[place[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - _U(1)))
+            left = left[~hit]
         return out
 
     def dump(self) -> bytes:
-        head = struct.pack(f"<{1 + len(self.levels)}Q", len(self.levels), *map(len, self.levels))
-        return head + b"".join(np.packbits(b).tobytes() for b in self.levels)
+        head = struct.pack(f"<{1 + len(self.levels)}Q", len(self.levels), *(size for size, *_ in self.levels))
+        return head + b"".join(words.tobytes() + ranks.tobytes() for _, words, ranks in self.levels)
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
         (count,) = struct.unpack_from("<Q", data)
         sizes, at, levels = struct.unpack_from(f"<{count}Q", data, 8), 8 + 8 * count, []
         for size in sizes:
-            packed = np.frombuffer(data, np.uint8, (size + 7) // 8, at)
-            levels.append(np.unpackbits(packed, count=size).astype(bool))
-            at += len(packed)
+            n = -(-size // 64)
+            levels.append((size, np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n)))
+            at += 12 * n
         return cls(levels)
 
 
@@ -103,16 +108,18 @@ class Block:
         self.prints, self.slots = np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["slots"], "<u4")
         self.n_null = row["n_null"]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of the first document of each key, -1 where the block has none."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the keys the block has, number of the first document of each, how many it has)."""
         at = self.hash.of(keys)
-        known = at >= 0
-        known[known] = self.prints[at[known]] == _prints(keys[known])
-        out = np.full(len(keys), -1, np.int64)
-        out[known] = self.slots[at[known]]
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[self.prints[at[hit]] == _prints(keys[hit])]
         # A print of 4 bytes lets one foreign key in four billion through; the key itself decides.
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return np.where(known & (self.keys[place] == keys), out, -1) if len(self.keys) else out
+        hit = hit[self.keys[at[hit]] == keys[hit]]
+        return hit, self.slots[at[hit]].astype(np.int64), self.counts[at[hit]]
+
+    def in_order(self) -> np.ndarray:
+        """The keys as their documents lie in the block."""
+        return self.keys[np.argsort(self.slots)]
 
     def cut(self, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.where(document > 0, self.ends[np.maximum(document - 1, 0)], 0)
@@ -130,14 +137,14 @@ def _blocks(path: str, end_id: int):
             distinct, first, counts = np.unique(known, return_index=True, return_counts=True)
             index = PerfectHash.build(distinct.view(np.uint64))
             at, n_null = index.of(distinct.view(np.uint64)), len(keys) - len(known)
-            prints, slots = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
-            prints[at], slots[at] = _prints(distinct.view(np.uint64)), first + n_null
+            prints, slots, placed, times = (np.zeros(len(distinct), kind) for kind in ("<u4", "<u4", "<i8", "<i8"))
+            prints[at], slots[at], placed[at], times[at] = _prints(distinct), first + n_null, distinct, counts
             row = {
                 "shard": shard, "block": number, "start": start,
                 "first_key": int(known[0]) if len(known) else None, "last_key": int(known[-1]) if len(known) else None,
                 "n_docs": len(keys), "n_null": n_null, "n_ids": held,
                 "payload": b"".join(data), "ends": np.cumsum(sizes).astype("<i8").tobytes(),
-                "keys": distinct.tobytes(), "counts": counts.astype("<i8").tobytes(),
+                "keys": placed.tobytes(), "counts": times.tobytes(),
                 "index": index.dump(), "prints": prints.tobytes(), "slots": slots.tobytes(),
             }
             number, start = number + 1, start + held
@@ -201,11 +208,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row)
-            first = block.find(block.keys)
-            own = np.repeat(first - np.cumsum(block.counts) + block.counts, block.counts) + np.arange(block.counts.sum())
+            keys = block.in_order()
+            _, first, counts = block.find(keys)
+            own = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             document = np.concatenate((np.arange(block.n_null), own)).astype(np.int64)
             begins, ends = block.cut(document)
-            ids = pa.array([None] * block.n_null + np.repeat(block.keys, block.counts).tolist(), pa.int64())
+            ids = pa.array([None] * block.n_null + np.repeat(keys, counts).tolist(), pa.int64())
             yield _documents(ids, begins + row["start"] + row["shard_start"], block, begins, ends)
 
 
@@ -246,9 +254,8 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             block = Block(row)
             keys = np.array(row["wanted"], np.int64)
-            first = block.find(keys)
-            keys, first = keys[first >= 0], first[first >= 0]
-            count = block.counts[np.searchsorted(block.keys, keys)]
+            hit, first, count = block.find(keys)
+            keys = keys[hit]
             document = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             begins, ends = block.cut(document)
             yield _documents(pa.array(np.repeat(keys, count)), begins + row["start"] + row["shard_start"], block, begins, ends)

@@ -61,3 +61,19 @@ def test_perfect_hash():
     index = tokens.PerfectHash.load(tokens.PerfectHash.build(keys).dump())
     assert sorted(index.of(keys)) == list(range(len(np.unique(keys))))
     assert len(tokens.PerfectHash.build(keys[:0]).of(keys)) == 5000
+
+
+def test_foreign_keys_are_not_found():
+    """A block answers for its own keys only, whatever the hash gives for others; nothing is searched."""
+    keys = np.arange(0, 3000, 3, dtype="<i8")
+    index = tokens.PerfectHash.build(keys.view(np.uint64))
+    at = index.of(keys.view(np.uint64))
+    placed = {n: np.zeros(len(keys), k) for n, k in (("prints", "<u4"), ("keys", "<i8"), ("slots", "<u4"), ("counts", "<i8"))}
+    for name, values in (("prints", tokens._prints(keys)), ("keys", keys), ("slots", np.arange(len(keys))), ("counts", keys % 4 + 1)):
+        placed[name][at] = values
+    row = {n: v.tobytes() for n, v in placed.items()} | {"payload": b"", "ends": b"", "index": index.dump(), "n_null": 0}
+    block = tokens.Block(row)
+    asked = np.arange(-5, 3100, dtype="<i8")
+    hit, first, counts = block.find(asked)
+    assert asked[hit].tolist() == keys.tolist() and first.tolist() == list(range(len(keys))) and counts.tolist() == (keys % 4 + 1).tolist()
+    assert block.in_order().tolist() == keys.tolist()
