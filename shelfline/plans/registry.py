@@ -543,13 +543,13 @@ def _tables_round_trip(t: StandIn) -> DataFrame:
     whole = {name: conform(ensure_columns(t[name], {f.name: f.dataType for f in schema.fields}), schema) for name, schema in SCHEMAS.items()}
     for name, df in whole.items():
         df.write.parquet(f"{folder}/{name}")
-    counts = []
+    counts, none = [], F.lit(0).cast("long")
     for name, df in load_tables(t.spark, folder).items():
-        lost = whole[name].exceptAll(df).agg(F.count(F.lit(1)).alias("perdidas"))
-        rows = df.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct(PRIMARY_KEYS[name]).alias("claves"))
-        one = F.lit(name).alias("tabla")
-        counts.append(rows.select(one, "filas", "claves").join(lost.select(one, "perdidas"), "tabla"))
-    return reduce(DataFrame.unionByName, counts)
+        rows = df.agg(F.count(F.lit(1)).alias("filas"), F.countDistinct(PRIMARY_KEYS[name]).alias("claves")).withColumn("perdidas", none)
+        lost = whole[name].exceptAll(df).agg(none.alias("filas"), none.alias("claves"), F.count(F.lit(1)).alias("perdidas"))
+        counts += [part.select(F.lit(name).alias("tabla"), "filas", "claves", "perdidas") for part in (rows, lost)]
+    sums = [F.sum(c).alias(c) for c in ("filas", "claves", "perdidas")]
+    return reduce(DataFrame.unionByName, counts).groupBy("tabla").agg(*sums)
 
 
 @_query("table_versions")
