@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -52,11 +53,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, giving memory it no longer uses back at its end, for workers live on between tasks."""
+#: What tasks of one kind leave in a worker for the next of that kind, and how to drop it.
+LEFT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = ""):
+    """``run``, giving memory it no longer uses back at its end, for workers live on between tasks.
+
+    What earlier tasks have LEFT goes before the start, unless it is what the task ``keeps``.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, drop in LEFT.items():
+            if kind != keeps:
+                drop()
         yield from run(batches)
+        gc.collect()
         for powers in Powers.known:
             powers.forget()
         pa.default_memory_pool().release_unused()

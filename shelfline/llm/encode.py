@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words a worker keeps at most, in two generations; about 80 MB.
-CACHED_WORDS = 400_000
+from shelfline.llm.common import LEFT
+
+#: Words a worker keeps at most, in two generations; about 60 MB.
+CACHED_WORDS = 300_000
 
 #: A word of Latin letters and the marks after it: two units for both files' patterns, which
 #: can go straight to the merges. An apostrophe may open a unit of its own, so it is no such mark.
@@ -153,6 +155,11 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+#: Encoding tasks keep the encoder and its words from task to task.
+ENCODING = "encoder"
+LEFT[ENCODING] = encoder.cache_clear

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import column, cut, docs_in, mix, ship, tidy
-from shelfline.llm.encode import encoder
+from shelfline.llm.encode import ENCODING, encoder
 
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 15
@@ -190,7 +190,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     docs = docs.withColumns({"_print": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
     order = ["doc_id", "_print", "_place"]
     placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    placed.mapInArrow(tidy(_blocks(tokenizer, end_id)), BLOCK).write.parquet(path)
+    placed.mapInArrow(tidy(_blocks(tokenizer, end_id), ENCODING), BLOCK).write.parquet(path)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
