@@ -2,8 +2,8 @@
 
 Each stream is the batch operator applied to a micro-batch and to the tables as
 they stood before it. A batch writes its own rows only: orders, lines, persons,
-customers, rejects, new products, versions of products and changes of stock. The present
-products are the base and the new ones, with the newest version of each and the sum of
+customers, rejects, new products, versions of products and changes of stock; an empty batch
+writes nothing. The present products are the base and the new ones, with the newest version of each and the sum of
 the changes. Commands on orders that are stored have a stream of their own, ``life``.
 """
 
@@ -81,6 +81,8 @@ def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     either.
     """
     whole = stage(batch.select("value", "nuevo").withColumn("_doc", F.monotonically_increasing_id()), "batch")
+    if whole.isEmpty():
+        return
     documents = stage(read_orders(whole.filter("nuevo IS NULL").drop("nuevo"), "_doc"), "documents")
     headers, lines, broken = split_orders(documents, "_doc")
     base = log.tables["solicitud"].select("id_solicitud")
@@ -129,6 +131,8 @@ def take_products(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     A change of a product that is not known when its batch comes does nothing.
     """
     feed = stage(batch, "products")
+    if feed.isEmpty():
+        return
     known = products_ever(log, batch_id)
     changes = feed.filter("id_producto IS NOT NULL").join(known.select("id_producto"), "id_producto", "left_semi")
     versions = changes.select(

@@ -137,6 +137,8 @@ def run_commands(commands: DataFrame, log: BatchLog, checkpoint: str, mode: str
 
     def take(batch: DataFrame, batch_id: int) -> None:
         rows = stage(batch, "commands")
+        if rows.isEmpty():
+            return
         done = rows.filter(F.col("tipo").isin(STATUS, CANCEL) & F.col("motivo").isNull())
         log.write(
             "estado",
