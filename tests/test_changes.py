@@ -8,8 +8,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from shelfline.operators import allocation, people, status, stock, validity
-from shelfline.schema import SCHEMAS
+from shelfline.operators import allocation, cascade, people, running, status, stock, validity
+from shelfline.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, SET_NULL, ForeignKey
 
 START = datetime(2026, 1, 1)
 
@@ -193,6 +193,46 @@ def test_delete_products_and_categories(seed, spark):
     assert dict(rows(after["producto"], "id_producto", "id_categoria")) == {1: None, 2: 4, 3: 5, 4: 2, 5: None}
 
 
+def test_removal_follows_the_list_of_keys(seed, spark, monkeypatch):
+    """Every row that hangs on a removed one by CASCADE goes, whatever lies between; SET NULL goes no further."""
+    data = {name: [r.asDict() for r in df.collect()] for name, df in seed.items()}
+
+    def plain(table, ids):
+        left, gone = {n: [dict(r) for r in rs] for n, rs in data.items()}, [(table, i) for i in ids]
+        while gone:
+            name, number = gone.pop()
+            left[name] = [r for r in left[name] if r[PRIMARY_KEYS[name]] != number]
+            for fk in FOREIGN_KEYS:
+                for r in [r for r in left[fk.child] if fk.parent == name and r[fk.column] == number]:
+                    if fk.on_delete == SET_NULL:
+                        r[fk.column] = None
+                    else:
+                        gone.append((fk.child, r[PRIMARY_KEYS[fk.child]]))
+        return left
+
+    for table, ids in (("persona", [2, 4, 6, 99]), ("categoria", [3, 4]), ("producto", [2, 5]), ("solicitud", [1]), ("cliente", [1, 2]), ("usuario", [2]), ("persona", [])):
+        key = PRIMARY_KEYS[table]
+        after, want = cascade.remove_rows(table, spark.createDataFrame([(i,) for i in ids * 2], f"{key} long"), seed), plain(table, ids)
+        assert set(after) == {table, *(child for child, _ in cascade.reached(table))}
+        for name, df in after.items():
+            assert df.columns == seed[name].columns
+            assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r.values())) for r in want[name]), (table, name)
+        assert all(want[name] == data[name] for name in data if name not in after)
+    assert [child for child, _ in cascade.reached("persona")] == ["cliente", "usuario", "empleado", "solicitud", "detalle_solicitud"]
+    monkeypatch.setattr(cascade, "FOREIGN_KEYS", (*FOREIGN_KEYS, ForeignKey("solicitud", "id_solicitud", "detalle_solicitud")))
+    with pytest.raises(ValueError):
+        cascade.reached("cliente")
+
+
+def test_several_ids_are_numbered_at_once(spark, split):
+    data = [(i, i % 3 == 0, i % 2 == 0, 900 + i) for i in range(200)]
+    df = spark.createDataFrame(data, "seq long, a boolean, b boolean, y long").repartition(7)
+    got = {r.seq: r for r in running.number_each(df, ["seq"], {"x": ("a", 10), "y": ("b", 0)}).collect()}
+    assert [got[i].x for i in range(200)] == [10 + i // 3 + 1 if i % 3 == 0 else None for i in range(200)]
+    assert [got[i].y for i in range(200)] == [i // 2 + 1 if i % 2 == 0 else 900 + i for i in range(200)]
+    assert running.highest_of((df, "seq"), (df.limit(0), "seq")) == [199, 0]
+
+
 def test_ledger_and_low_stock(spark):
     def moves(*data):
         return spark.createDataFrame(
