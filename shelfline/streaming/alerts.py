@@ -1,8 +1,9 @@
 """Low-stock alerts as movements arrive.
 
 Movements are summed per product and minute first, so that a product with very
-many of them is one row a minute. The balance of each product is keyed state,
-carried on from minute to minute in Arrow batches.
+many of them is one row a minute. The balances are keyed state, carried on from
+minute to minute in Arrow batches, a key for every 64 ids that follow each other:
+one call of Python books the minutes of all of them.
 """
 
 from __future__ import annotations
@@ -18,18 +19,25 @@ from shelfline.schema import LOW_STOCK
 from shelfline.streaming.runner import require_utc
 
 ALERT = "id_producto long, ts timestamp, cantidad long, saldo long"
+#: Two to this power ids have their balances in one state. It bounds the state of a key, whatever the number of products.
+ID_BITS = 6
 
 
 def _book(low: int):
     """The crossing rule as an inner function, which executors get without this package."""
 
     def book(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minutes = pd.concat(list(parts)).sort_values("ts")
-        start = state.get[0] if state.exists else int(minutes["opening"].iloc[0])
-        balance = start + minutes["cantidad"].cumsum()
+        minutes = pd.concat(list(parts)).sort_values(["id_producto", "ts"])
+        balances = dict(zip(*state.get)) if state.exists else {}
+        product = minutes["id_producto"]
+        opening = minutes.drop_duplicates("id_producto")
+        balances = {**dict(zip(opening["id_producto"].tolist(), opening["opening"].tolist())), **balances}
+        balance = product.map(balances) + minutes.groupby("id_producto")["cantidad"].cumsum()
         before = balance - minutes["cantidad"]
-        state.update((int(balance.iloc[-1]),))
-        crossed = minutes.assign(id_producto=key[0], saldo=balance)[(before >= low) & (balance < low)]
+        last = ~product.duplicated(keep="last")
+        balances.update(zip(product[last].tolist(), balance[last].tolist()))
+        state.update((list(balances), list(balances.values())))
+        crossed = minutes.assign(saldo=balance)[(before >= low) & (balance < low)]
         yield crossed[["id_producto", "ts", "cantidad", "saldo"]]
 
     return book
@@ -55,11 +63,10 @@ def stream_alerts(minutes: DataFrame, producto: DataFrame, low: int = LOW_STOCK)
     """Minutes that take a product from enough stock to low stock: id_producto, ts, cantidad, saldo.
 
     ``minutes`` is a stream of ``minute_sums`` in sequence, written by a query of its
-    own; movements of unknown products are left out.
+    own; movements of products that are unknown or have no stock given are left out.
     """
     require_utc(minutes.sparkSession)
-    opening = producto.select("id_producto", F.col("stock_actual").cast("long").alias("opening"))
-    alerts = minutes.join(opening, "id_producto").groupBy("id_producto").applyInPandasWithState(
-        _book(low), ALERT, "saldo long", "append", GroupStateTimeout.NoTimeout
-    )
+    opening = producto.filter("stock_actual IS NOT NULL").select("id_producto", F.col("stock_actual").cast("long").alias("opening"))
+    keyed = minutes.join(opening, "id_producto").withColumn("_products", F.shiftright("id_producto", ID_BITS)).groupBy("_products")
+    alerts = keyed.applyInPandasWithState(_book(low), ALERT, "ids array<long>, saldos array<long>", "append", GroupStateTimeout.NoTimeout)
     return alerts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

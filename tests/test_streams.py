@@ -282,6 +282,43 @@ def test_alert_stream_equals_batch(spark):
     assert sorted(rows(got, *columns)) == want and want
 
 
+def test_alerts_keep_one_state_for_64_products(spark, tmp_path):
+    """Over several batches and keys, beside a product that has no stock given."""
+    data = [(n % 150 - 10, START + timedelta(minutes=n // 150), "venta", n, -(n % 4)) for n in range(3000)]
+    moves = spark.createDataFrame(data, "id_producto long, ts timestamp_ntz, tipo string, ref long, cantidad long")
+    opening = spark.createDataFrame([(p, None if p == 7 else 5 + p % 30) for p in range(-10, 140)], "id_producto long, stock_actual int")
+    minutes = in_batches(moves.select("id_producto", F.col("ts").cast("timestamp").alias("ts"), "cantidad"), "ts", 3)
+    out = str(tmp_path / "alerts")
+    query = alerts.stream_alerts(minutes, opening).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    columns = ("id_producto", "ts", "cantidad", "saldo")
+    want = sorted(rows(stock.low_stock_crossings(stock.stock_ledger(moves, opening)), *columns))
+    assert sorted(rows(spark.read.parquet(out), *columns)) == want and len({r[0] for r in want}) > 64
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 4  # ids from -64, 0, 64 and 128
+
+
+def test_batches_are_written_in_one_go(spark, monkeypatch):
+    """No job more for more files, and the rows are computed once."""
+    monkeypatch.setattr(runner, "ROWS_A_FILE", 2)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    df = spark.range(60).mapInArrow(count, "id long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("batches", "batches")
+    stream = in_batches(df, "id", 3, spark.range(90, 91))
+    jobs = len(tracker.getJobIdsForGroup("batches"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert made.value == 60 and jobs < 30
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, k: seen.append(sorted(r.id for r in b.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert [len(ids) for ids in seen] == [20, 0, 20, 20, 1] and sum(seen, []) == [*range(60), 90]
+
+
 def test_code_stream_equals_batch(spark):
     kinds = [validity.ISSUED, validity.TRIED, validity.CONSUMED, validity.TRIED]
     data = [(n, (n * 7) % 5, START + timedelta(seconds=97 * n, microseconds=n * 1111), kinds[(n * n // 3) % 4]) for n in range(300)]
