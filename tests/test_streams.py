@@ -150,6 +150,28 @@ def test_commands_equal_a_replay_in_any_order_of_arrival(spark, seed, tmp_path,
         assert sum(stock_of(log).values()) + held(states) == sum(stocks.values()) + received + held({o[0]: o[2] for o in orders})
 
 
+def test_64_orders_are_one_state(spark, seed, tmp_path):
+    """Commands of 200 orders, some twice in a batch, leave four states, and each order goes its own way."""
+    orders = [(n, START, "Rechazada" if n % 5 == 0 else "Pendiente", D(1), 1) for n in range(1, 201)]
+    lines = {n: [(1 + n % 5, 1)] for n in range(1, 201)}
+    t = {
+        **seed,
+        "solicitud": spark.createDataFrame(orders, seed["solicitud"].schema),
+        "detalle_solicitud": spark.createDataFrame([(n, n, p, q, D(1), D(q)) for n, cart in lines.items() for p, q in cart], seed["detalle_solicitud"].schema),
+    }
+    first = [(n, START + timedelta(minutes=n % 7), life.STATUS, n, "Rechazada" if n % 3 else "Aprobada", None) for n in range(1, 201)]
+    second = [(1000 + n, START + timedelta(minutes=9), life.CANCEL, n, None, None) for n in range(1, 201) if n % 4 == 0]
+    second += [(2000 + n, START + timedelta(minutes=10 + n % 2), life.STATUS, n, "Rechazada", None) for n in range(1, 201) if n % 2 == 0]
+    log = intake.intake_log(spark, str(tmp_path / "log"), t).stream("life").create()
+    query = life.run_commands(commands(spark, first, second), log, str(tmp_path / "ck"), delay="1 hour")
+    query.awaitTermination()
+    want, states, _, refused = replayed(dict(rows(seed["producto"], "id_producto", "stock_actual")), {o[0]: o[2] for o in orders}, lines, first + second, False)
+    assert stock_of(log) == want
+    assert dict(rows(intake.current_orders(log), "id_solicitud", "estado")) == states
+    assert log.logged("rechazo").filter("pedido <> '-1'").count() == len(refused) == 50
+    assert 4 <= sum(state.numRowsTotal for state in query.lastProgress.stateOperators) < 20
+
+
 def test_commands_beyond_the_watermark_are_counted(spark, seed, tmp_path):
     """A change that comes after the watermark has passed it changes nothing, and the progress has its number."""
     log = intake.intake_log(spark, str(tmp_path / "log"), seed).stream("life").create()
