@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from shelfline import session
 from shelfline.operators import catalog, customers, orders, people, quality, sales
 
 
@@ -255,3 +256,17 @@ def test_merge_and_price(spark, seed):
 
 def test_cart_totals(seed):
     assert dict(rows(orders.cart_totals(seed["detalle_solicitud"])))[2] == D("215.00")
+
+
+def test_order_items_deal_lines_out_by_their_number(spark, seed, monkeypatch):
+    """Tasks of both sums grow in number with the lines, not in size, whatever the session's shuffle partitions are."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    lines = spark.range(6000).selectExpr("id % 1500 AS id_solicitud", "1 + id % 5 AS id_producto", "cast(id % 3 AS int) AS cantidad")
+    found = orders.order_items(lines, seed["producto"])
+    assert found.rdd.getNumPartitions() == 60
+    got = {(o, n): (lines, pieces) for o, n, lines, pieces in rows(found, "id_solicitud", "nombre_producto", "lineas", "cantidad")}
+    names, want = dict(rows(seed["producto"], "id_producto", "nombre_producto")), {}
+    for n in range(6000):
+        before = want.get((n % 1500, names[1 + n % 5]), (0, 0))
+        want[n % 1500, names[1 + n % 5]] = before[0] + 1, before[1] + n % 3
+    assert got == want
