@@ -20,7 +20,8 @@ is always decided, so the rounds end; a round that rejects an order leaves
 less demand, and one that accepts leaves fewer lines. A chain of orders of which
 each depends on the one before takes a round per link.
 
-Lines are written once in blocks by product and sequence; a round reads the
+Lines are written once in blocks by product and sequence, as many as their number
+asks for, so that no task's share grows with the table; a round reads the
 undecided ones and writes them back with its verdicts.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.order import line_amount
 from shelfline.operators.running import blocked, over_blocks
-from shelfline.session import discard, stage
+from shelfline.session import discard, spread, stage, tasks_for
 
 
 @dataclass
@@ -57,13 +58,15 @@ def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
     """
     stocks = producto.select("id_producto", F.col("stock_actual").alias("free"))
     needs = stage(_needs(lines, stocks), "needs")
-    orders = needs.groupBy("id_solicitud").agg(F.max("unfit").alias("_unfit"), F.min("ts").alias("ts"))
+    count = needs.count()
+    dealt = spread(needs, count, "id_solicitud")
+    orders = dealt.groupBy("id_solicitud").agg(F.max("unfit").alias("_unfit"), F.min("ts").alias("ts"))
     rejected = [orders.filter("_unfit").select("id_solicitud")]
-    fit = needs.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud")
-    undecided = blocked(_contended(fit), ["id_producto"], ["ts", "id_solicitud"])
-    written, rounds = [needs, undecided], 0
+    fit = dealt.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud")
+    undecided = blocked(_contended(fit), ["id_producto"], ["ts", "id_solicitud"], tasks_for(needs.sparkSession, count))
+    written, rounds, left = [needs, undecided], 0, count
     while True:
-        decided = stage(_decide(undecided), f"round_{rounds}")
+        decided = stage(_decide(undecided, left), f"round_{rounds}")
         written.append(decided)
         left, done, denied = decided.agg(
             F.count(F.lit(1)), F.count("accepted"), F.count_if(~F.col("accepted"))
@@ -75,7 +78,7 @@ def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
             rejected.append(decided.filter(~F.col("accepted")).select("id_solicitud").distinct())
         if done == left:
             break
-        undecided = _carry_over(decided)
+        undecided, left = _carry_over(decided), left - done
     refused = stage(reduce(DataFrame.unionByName, rejected), "rejected")
     discard(*written)
     accepted = lines.join(refused, "id_solicitud", "left_anti")
@@ -154,13 +157,17 @@ def _contended(lines: DataFrame) -> DataFrame:
     return lines.join(short, "id_producto", "left_semi")
 
 
-def _decide(lines: DataFrame) -> DataFrame:
-    """The lines with their order's verdict: true, false or NULL for not yet."""
+def _decide(lines: DataFrame, rows: int) -> DataFrame:
+    """The lines, ``rows`` at most, with their order's verdict: true, false or NULL for not yet.
+
+    Ranked lines are dealt out by order once, for the verdicts and for their way back to the lines.
+    """
     ranked = over_blocks(lines, ["id_producto"], ["ts", "id_solicitud"], {"_upto": ("sum", "q")}).select(
         *lines.columns,
         (F.col("_upto") <= F.col("free")).alias("_fits"),
         (F.col("q") > F.col("free")).alias("_lacks"),
     )
+    ranked = spread(ranked, rows, "id_solicitud")
     verdict = F.when(F.min("_fits"), F.lit(True)).when(F.max("_lacks"), F.lit(False))
     verdicts = ranked.groupBy("id_solicitud").agg(verdict.alias("accepted"))
     return ranked.drop("_fits", "_lacks").join(verdicts, "id_solicitud")

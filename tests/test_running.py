@@ -6,6 +6,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from shelfline import session
+from shelfline.operators import allocation
 from shelfline.operators.running import BLOCK, blocked, number_rows, running
 
 
@@ -48,3 +50,22 @@ def test_numbering(spark, split):
     df = spark.createDataFrame([(n,) for n in range(100)], "seq int").repartition(5)
     got = number_rows(df, ["seq"], "id", 7)
     assert dict(rows(got, "seq", "id")) == {n: n + 8 for n in range(100)}
+
+
+def test_blocks_and_shares_follow_the_rows(spark, seed, monkeypatch):
+    """An allocation's blocks and a round's shares grow in number with the lines, and nothing else changes."""
+    lines = spark.range(600).selectExpr(
+        "id AS id_solicitud", "1 + id % 5 AS id_producto", "cast(1 + id % 3 AS int) AS cantidad", "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, id % 50) AS ts"
+    )
+    want = allocation.confirm_orders(lines, seed["producto"])
+    want = sorted(rows(want.rejected)), sorted(rows(want.producto, "id_producto", "stock_actual"))
+    blocks = []
+    monkeypatch.setattr(session, "ROWS_A_TASK", 20)
+    monkeypatch.setattr(allocation, "blocked", lambda *given: blocks.append(blocked(*given)) or blocks[0])
+    shares = []
+    monkeypatch.setattr(allocation, "spread", lambda df, *given: shares.append(session.spread(df, *given)) or shares[-1])
+    monkeypatch.setattr(allocation, "discard", lambda *staged: None)
+    got = allocation.confirm_orders(lines, seed["producto"])
+    assert (sorted(rows(got.rejected)), sorted(rows(got.producto, "id_producto", "stock_actual"))) == want
+    assert blocks[0].select(BLOCK).distinct().count() > 20
+    assert shares[0].rdd.getNumPartitions() == 30
