@@ -31,6 +31,8 @@ from shelfline.llm.encode import ENCODING, encoder
 
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 15
+#: Words that a worker keeps while it writes; about 200 MB.
+CACHED_WORDS = 1_000_000
 
 _U = np.uint64
 BLOCK = (
@@ -128,7 +130,7 @@ class Block:
 
 def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tokens, end = TaskContext.get().partitionId(), encoder(path), np.array([end_id], "<u2").tobytes()
+        shard, tokens, end = TaskContext.get().partitionId(), encoder(path, CACHED_WORDS), np.array([end_id], "<u2").tobytes()
         keys, data, sizes, held, number, start = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -35,6 +35,32 @@ def test_cache_keeps_two_generations(monkeypatch):
         assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == want(text)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_known_words_are_looked_up_once(path, monkeypatch):
+    class Word(str):
+        asked = 0
+
+        def __hash__(self):
+            Word.asked += 1
+            return str.__hash__(self)
+
+    encoder, text = Encoder(path), prose(3, 60)
+    encoder.encode([text])
+    pieces = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda t: [Word(p) for p in pieces(t)])
+    got = encoder.encode([f"{text} unheardof 12345"])
+    assert np.frombuffer(got[0], "<u2").tolist() == whole(path)(f"{text} unheardof 12345")
+    assert Word.asked < 1.5 * len(pieces(text))
+
+
+def test_cache_of_its_own_size():
+    small, large = Encoder(BYTES, 40), Encoder(BYTES, 4000)
+    for encoder in (small, large):
+        for i in range(30):
+            encoder.encode([prose(i % 7, 60)])
+    assert len(small.words) < len(large.words)
+
+
 def test_round_trip(spark, documents, clashing, empty, tmp_path, monkeypatch):
     want, start = [], 0
     rows = sorted(documents.collect(), key=lambda r: key((r.doc_id,)))
