@@ -61,10 +61,11 @@ def confirm_orders(lines: DataFrame, producto: DataFrame) -> Allocation:
     count = needs.count()
     dealt = spread(needs, count, "id_solicitud")
     orders = dealt.groupBy("id_solicitud").agg(F.max("unfit").alias("_unfit"), F.min("ts").alias("ts"))
-    rejected = [orders.filter("_unfit").select("id_solicitud")]
-    fit = dealt.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud")
+    rejected = [needs.filter("unfit").select("id_solicitud").distinct()]
+    # Demand, the lines in doubt and the bounds of the blocks are each read from it.
+    fit = stage(dealt.drop("unfit", "ts").join(orders.filter(~F.col("_unfit")).drop("_unfit"), "id_solicitud"), "fit")
     undecided = blocked(_contended(fit), ["id_producto"], ["ts", "id_solicitud"], tasks_for(needs.sparkSession, count))
-    written, rounds = [needs, undecided], 0
+    written, rounds = [needs, fit, undecided], 0
     while True:
         decided = stage(_decide(undecided), f"round_{rounds}")
         written.append(decided)

@@ -17,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.operators.allocation import append_orders, change_stock, confirm_orders
 from shelfline.operators.people import resolve_customers
-from shelfline.operators.quality import validate_orders
+from shelfline.operators.quality import check_orders
 from shelfline.operators.stock import apply_receipts, new_products, product_text
-from shelfline.session import stage
+from shelfline.session import discard, stage
 from shelfline.sources.feeds import order_keys, read_orders, split_orders
 from shelfline.streaming.log import BatchLog
 from shelfline.streaming.runner import require_utc
@@ -80,31 +80,36 @@ def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
     no trace but its reject row, which has all reasons of all its lines; its customer is not created
     either.
     """
-    whole = stage(batch.select("value", "nuevo").withColumn("_doc", F.monotonically_increasing_id()), "batch")
+    read = read_orders(batch.select("value", "nuevo").withColumn("_doc", F.monotonically_increasing_id()), "nuevo", "_doc")
+    # A document's text is needed only where it turns out to be no order.
+    whole = stage(read.withColumn("value", F.when(F.coalesce(F.size("carrito"), F.lit(0)) == 0, F.col("value"))), "documents")
     if whole.isEmpty():
         return
-    documents = stage(read_orders(whole.filter("nuevo IS NULL").drop("nuevo"), "_doc"), "documents")
+    documents = whole.filter("nuevo IS NULL").drop("nuevo")
     headers, lines, broken = split_orders(documents, "_doc")
     base = log.tables["solicitud"].select("id_solicitud")
     new = whole.select(F.col("nuevo").alias("id_solicitud")).filter("id_solicitud IS NOT NULL").join(base, "id_solicitud", "left_anti")
     new = new.distinct().withColumn("_new", F.lit(True))
-    known = headers.filter("id_solicitud IS NOT NULL AND ts IS NOT NULL")
-    earliest = known.groupBy("id_solicitud").agg(F.min(F.struct("ts", "_doc")).alias("_first"))
-    known = known.join(earliest, "id_solicitud").join(new, "id_solicitud", "left")
+    dated = headers.filter("id_solicitud IS NOT NULL AND ts IS NOT NULL")
+    earliest = dated.groupBy("id_solicitud").agg(F.min(F.struct("ts", "_doc")).alias("_first"))
+    known = dated.join(earliest, "id_solicitud").join(new, "id_solicitud", "left")
     chosen = (F.col("_doc") == F.col("_first._doc")) & F.col("_new").isNotNull()
     fresh = stage(known.filter(chosen).drop("_first", "_new"), "fresh")
-    repeated = known.filter(~chosen).select("_doc", F.lit("repetido").alias("motivo"))
+    repeated = dated.join(fresh.select("_doc"), "_doc", "left_anti").select("_doc", F.lit("repetido").alias("motivo"))
     nameless = headers.filter("id_solicitud IS NULL").select("_doc", F.lit("pedido").alias("motivo"))
     undated = headers.filter("ts IS NULL").select("_doc", F.lit("fecha").alias("motivo"))
 
-    carts = lines.drop("id_solicitud", "ts").join(fresh, "_doc")
-    bad = validate_orders(carts)[1].select("_doc", F.explode("motivos").alias("motivo")).distinct()
-    bad = stage(bad, "bad")
-    result = confirm_orders(carts.join(bad, "_doc", "left_anti"), current_products(log, batch_id))
-    taken = fresh.join(result.accepted.select("_doc").distinct(), "_doc", "left_semi")
+    # The carts are opened and checked once; what reads them more than once are the needs and the accepted lines.
+    checked = check_orders(lines.drop("id_solicitud", "ts").join(fresh, "_doc"))
+    carts = stage(checked.select("_doc", "id_solicitud", "ts", "id_producto", "cantidad", "precio_unitario", "motivos"), "carts")
+    bad = stage(carts.select("_doc", F.explode("motivos").alias("motivo")).distinct(), "bad")
+    result = confirm_orders(carts.drop("motivos").join(bad, "_doc", "left_anti"), current_products(log, batch_id))
+    # Every document chosen has a line, so those with neither fault nor lack of stock are the accepted ones.
+    taken = fresh.join(bad, "_doc", "left_anti").join(result.rejected, "id_solicitud", "left_anti")
     people = resolve_customers(taken, log.rows("persona", batch_id), log.rows("cliente", batch_id))
-    owners = stage(people.feed.select("id_solicitud", "id_cliente"), "owners")
-    orders, order_lines = append_orders(result.accepted.join(owners, "id_solicitud"))
+    owners = stage(people.feed.groupBy("id_solicitud").agg(F.min("id_cliente").alias("id_cliente")), "owners")
+    accepted = stage(result.accepted.join(owners, "id_solicitud"), "accepted")
+    orders, order_lines = append_orders(accepted)
 
     reasons = bad.unionByName(repeated).unionByName(nameless).unionByName(undated).distinct()
     # There are no more reasons than rules, so a list of them is short.
@@ -116,12 +121,13 @@ def take_orders(batch: DataFrame, batch_id: int, log: BatchLog) -> None:
         .unionByName(short)
         .unionByName(broken.select(F.col("value").alias("pedido"), F.lit("documento").alias("motivo")))
     )
-    sold = result.accepted.groupBy("id_producto").agg((-F.sum(F.col("cantidad").cast("long"))).alias("cambio"))
+    sold = accepted.groupBy("id_producto").agg((-F.sum(F.col("cantidad").cast("long"))).alias("cambio"))
     for name, rows in (
         ("solicitud", orders), ("detalle_solicitud", order_lines), ("persona", people.new_persona),
         ("cliente", people.new_cliente), ("rechazo", rejects), ("cambio_stock", sold),
     ):
         log.write(name, batch_id, rows)
+    discard(whole, fresh, carts, bad, owners, accepted)
 
 
 def take_products(batch: DataFrame, batch_id: int, log: BatchLog) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.order import PAGE_TRANSITIONS
 from shelfline.operators import stock, validity
+from shelfline.session import stage
 from shelfline.streaming import alerts, codes, intake, life, runner, sales
 from shelfline.streaming.runner import dropped_rows, in_batches, relay, require_utc, run_to_end
 
@@ -211,6 +212,23 @@ def test_odd_documents_take_no_stock(spark, seed, tmp_path):
     assert rows(again.filter("pedido = '20'"), "motivo") == [("repetido",)] * 3
 
 
+def test_carts_are_opened_once_and_an_order_has_one_owner(spark, seed, tmp_path, monkeypatch):
+    plans = {}
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(intake, "stage", watched)
+    twin = seed["persona"].orderBy("id_persona").limit(1)
+    log = seed_log(spark, {**seed, "persona": seed["persona"].unionByName(twin.withColumn("id_persona", F.col("id_persona") + 1000))}, str(tmp_path / "log"))
+    document = order(20, 2, twin.first().cedula, (3, 3), (1, 1))
+    intake.take_orders(spark.createDataFrame([(document, None), (None, 20)], intake.DOCUMENTS), 0, log)
+    assert "Generate" in plans["carts"] and "Generate" not in plans["accepted"]
+    assert sorted(rows(log.logged("detalle_solicitud"), "id_producto", "cantidad")) == [(1, 1), (3, 3)]
+    assert rows(log.logged("solicitud"), "id_solicitud", "total") == [(20, D("8.00"))]
+
+
 def test_an_empty_batch_changes_nothing(spark, seed, tmp_path):
     log = seed_log(spark, seed, str(tmp_path / "log"))
     before = stock_of(log)
