@@ -322,6 +322,24 @@ def test_alert_stream_equals_batch(spark):
     assert sorted(rows(got, *columns)) == want and want
 
 
+def test_sums_and_balances_keep_their_state_outside_the_heap(spark, monkeypatch, tmp_path):
+    """State of all queries run to their end is RocksDB's, of bounded memory, whatever the session's own stores are."""
+    folders = iter("abcdefgh")
+    monkeypatch.setattr(runner, "scratch_path", lambda _: str(tmp_path / next(folders)))
+    data = [(n % 3, START + timedelta(minutes=n), -n) for n in range(30)]
+    moves = spark.createDataFrame(data, "id_producto long, ts timestamp_ntz, cantidad long")
+    opening = spark.createDataFrame([(0, 30), (1, 9)], "id_producto long, stock_actual int")
+    before = {name: spark.conf.get(name, None) for name in runner._STATE}
+    minutes = relay(alerts.minute_sums(in_batches(moves, "ts", 2), "1 minute"), "minutes")
+    assert run_to_end(alerts.stream_alerts(minutes, opening), "alerts").count() == 2
+    assert {name: spark.conf.get(name, None) for name in runner._STATE} == before
+    for query in (tmp_path / "b", tmp_path / "c"):
+        stores = {p.suffix for p in (query / "checkpoint" / "state" / "0").rglob("*.*") if not p.name.startswith(("_", "."))}
+        assert ".zip" in stores and not stores & {".delta", ".snapshot"}
+        offsets = "".join(p.read_text() for p in (query / "checkpoint" / "offsets").iterdir() if p.name.isdigit())
+        assert runner._STATE["spark.sql.streaming.stateStore.providerClass"] in offsets
+
+
 def test_alerts_keep_one_state_for_64_products(spark, tmp_path):
     """Over several batches and keys, beside a product that has no stock given."""
     data = [(n % 150 - 10, START + timedelta(minutes=n // 150), "venta", n, -(n % 4)) for n in range(3000)]
