@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +28,21 @@ def _book(low: int):
     """The crossing rule as an inner function, which executors get without this package."""
 
     def book(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minutes = pd.concat(list(parts)).sort_values(["id_producto", "ts"])
+        rows = pd.concat(list(parts), ignore_index=True)
+        order = np.lexsort((rows["ts"].to_numpy(), rows["id_producto"].to_numpy()))
+        product, moved = rows["id_producto"].to_numpy()[order], rows["cantidad"].fillna(0).to_numpy(np.int64)[order]
+        first = np.flatnonzero(np.diff(product, prepend=product[0] - 1))
+        ids, opening = product[first].tolist(), rows["opening"].to_numpy()[order[first]].tolist()
         balances = dict(zip(*state.get)) if state.exists else {}
-        product = minutes["id_producto"]
-        opening = minutes.drop_duplicates("id_producto")
-        balances = {**dict(zip(opening["id_producto"].tolist(), opening["opening"].tolist())), **balances}
-        balance = product.map(balances) + minutes.groupby("id_producto")["cantidad"].cumsum()
-        before = balance - minutes["cantidad"]
-        last = ~product.duplicated(keep="last")
-        balances.update(zip(product[last].tolist(), balance[last].tolist()))
+        start = np.array([balances.get(i, own) for i, own in zip(ids, opening)], np.int64)
+        upto = np.cumsum(moved)
+        # Sums run through all products, so each begins at its own balance less what came before it.
+        balance = upto + np.repeat(start - (upto - moved)[first], np.diff(first, append=len(product)))
+        balances.update(zip(ids, balance[np.append(first[1:], len(product)) - 1].tolist()))
         state.update((list(balances), list(balances.values())))
-        crossed = minutes.assign(saldo=balance)[(before >= low) & (balance < low)]
-        yield crossed[["id_producto", "ts", "cantidad", "saldo"]]
+        crossed = np.flatnonzero((balance - moved >= low) & (balance < low))
+        found = rows.iloc[order[crossed]][["id_producto", "ts", "cantidad"]]
+        yield found.assign(saldo=balance[crossed])
 
     return book
 

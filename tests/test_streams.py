@@ -288,6 +288,20 @@ def test_batches_come_in_as_many_files_as_their_rows_ask_for(spark, monkeypatch)
     assert [n for n, _ in seen] == [90, 0, 10, 1] and seen[0][1] > 1
 
 
+def test_large_batches_come_in_files_of_a_task(spark, monkeypatch, tmp_path):
+    """Beyond some files a core, a file takes what a task does; every row arrives in its batch."""
+    monkeypatch.setattr(runner, "ROWS_A_FILE", 1)
+    monkeypatch.setattr(runner, "ROWS_A_TASK", 10)
+    most = runner.FILES_A_CORE * spark.sparkContext.defaultParallelism
+    for rows_there, files in ((100, most), (20 * most, 2 * most)):
+        folder, seen = tmp_path / str(files), []
+        monkeypatch.setattr(runner, "scratch_path", lambda _: str(folder))
+        stream = in_batches(spark.range(rows_there), "id", 1)
+        assert [len(list(part.glob("*.parquet"))) for part in sorted(folder.glob("part=*"))] == [files, files]
+        stream.writeStream.foreachBatch(lambda b, k: seen.append(b.count())).trigger(availableNow=True).start().awaitTermination()
+        assert seen == [rows_there, 0]
+
+
 def test_windowed_sales_come_out_for_all_days(spark):
     data = [(n, START + timedelta(hours=n), "Entregada" if n % 2 else "Pendiente", D(n)) for n in range(240)]
     schema = "id_solicitud long, fecha_solicitud timestamp_ntz, estado string, total decimal(12,2)"
